@@ -57,6 +57,12 @@ def small_enough(df: DataFrame, most_rows: int) -> bool:
     return df.limit(most_rows + 1).count() <= most_rows
 
 
+def looked_up(df: DataFrame, label: str, most_rows: int = 200_000) -> DataFrame:
+    """df written and counted: marked for broadcast if it has at most so many rows, else left to a shuffled join."""
+    kept = materialize(df, label)
+    return F.broadcast(kept) if small_enough(kept, most_rows) else kept
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in batches whose column holds about `most` bytes (one row at least)."""
     for batch in batches:
