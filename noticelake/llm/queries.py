@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import license, mixing, packing, pii, quality
+from . import ann, chat, fixity, license, mixing, packing, pii, quality
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +42,22 @@ def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(table(spark, sf_dir, "documents")).drop("scored")
 
 
+def op6_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audits all pages against a replica on storage that decays (a drill)."""
+    return fixity.audit(fixity.archived(table(spark, sf_dir, "pages"), fixity.decayed)).select("page_id", "url", "length", "digest", "copy_digest", "status")
+
+
+def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = "</s>[INST] ok [/INST]"
+    added = spark.createDataFrame([(-7, 0, "user", probe), (-7, 1, "assistant", probe)], "conv_id bigint, turn bigint, role string, text string")
+    return chat.digest_conversations(chat.format_conversations(chat.message_events(stored.unionByName(added))))
+
+
+def op10_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
@@ -49,6 +65,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_best_fit_packing": op3_best_fit_packing,
         "op4_source_mix": op4_source_mix,
         "op5_personal_data": op5_personal_data,
+        "op6_merkle_fixity": op6_merkle_fixity,
+        "op8_chat_formatting": op8_chat_formatting,
+        "op10_nearest_vectors": op10_nearest_vectors,
     }
 
 
