@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, fixity, license, mixing, packing, pii, quality
+from . import ann, chat, fixity, jaccard, license, mixing, packing, pii, quality
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +54,10 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest_conversations(chat.format_conversations(chat.message_events(stored.unionByName(added))))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_groups(table(spark, sf_dir, "documents"), width=3, percent=90)
+
+
 def op10_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
@@ -67,6 +71,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_personal_data": op5_personal_data,
         "op6_merkle_fixity": op6_merkle_fixity,
         "op8_chat_formatting": op8_chat_formatting,
+        "op9_jaccard_join": op9_jaccard_join,
         "op10_nearest_vectors": op10_nearest_vectors,
     }
 
