@@ -16,61 +16,108 @@ from __future__ import annotations
 
 import math
 import os
+import re
+import struct
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, batch_of, slices
+from .common import LOWER, SAME, Words, batch_of, slices
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, grp bigint"
 #: Words a worker keeps with their ids.
-MOST_WORDS = 400_000
-_tokenizers: dict[str, tuple[object, dict[str, bytes]]] = {}
+MOST_WORDS = 700_000
+#: Bytes of text tokenised at a time.
+SLICE = 8 << 20
+#: A word's last character, if one of these follows a letter, is a token run of its own in tokenizers that cut there.
+TAIL = ".,"
+_tokenizers: dict[str, "WordTokenizer"] = {}
 
 
-def word_ids(path: str, words: list[str]) -> list[bytes]:
-    """The ids of each word, as little-endian unsigned 32-bit numbers."""
-    if path not in _tokenizers:
+class WordTokenizer:
+    """Ids of words by a tokenizer file, with a table of those seen. What it may assume is asked of the tokenizer itself."""
+
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _tokenizers[path] = (Tokenizer.from_file(path), {})
-    tokenizer, known = _tokenizers[path]
-    missing = [w for w in words if w not in known]
-    if len(known) + len(missing) > MOST_WORDS:
-        known.clear()
-        missing = words
-    encode = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
-    for at in range(0, len(missing), 10_000):
-        part = missing[at : at + 10_000]
-        for w, e in zip(part, encode(part, add_special_tokens=False)):
-            known[w] = np.array(e.ids, "<u4").tobytes()
-    return [known[w] for w in words]
-
-
-def batch_ids(texts: pa.Array, path: str, end_id: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all texts, flat, each text's end id included, and their offsets."""
-    words = Words(texts)
-    coded = word_ids(path, words.dictionary.to_pylist())
-    sizes = np.array([len(x) // 4 for x in coded], np.int64)
-    table = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(np.frombuffer(b"".join(coded), "<u4")))
-    flat = table.take(pa.array(words.ids)).flatten().to_numpy() if len(coded) else np.zeros(0, np.uint32)
-    before = np.concatenate([[0], np.cumsum(sizes[words.ids] if len(coded) else [])]).astype(np.int64)
-    ends = before[words.offsets[1:]]
-    return np.insert(flat, ends, np.uint32(end_id)), np.concatenate([[0], ends + np.arange(1, len(ends) + 1)])
+        self.inner = Tokenizer.from_file(path)
+        self.known: dict[str, bytes] = {}
+        letters = "abcdefghijklmnopqrstuvwxyz"
+        normal = self.inner.normalizer
+        self.lowers = normal is not None and normal.normalize_str(letters.upper()) == letters
+        cut = self.inner.pre_tokenizer
+        self.tail = "".join(t for t in TAIL if cut is not None and all([x for x, _ in cut.pre_tokenize_str(f"a{c}{t}")] == [f"a{c}", t] for c in letters))
+        self.added = sorted({str(t.content)[:2] for t in self.inner.get_added_tokens_decoder().values()})
+
+    def encode(self, words: list[str]) -> list[bytes]:
+        """The ids of each word, as little-endian unsigned 32-bit numbers."""
+        missing = [w for w in words if w not in self.known]
+        if len(self.known) + len(missing) > MOST_WORDS:
+            self.known.clear()
+            missing = words
+        run = getattr(self.inner, "encode_batch_fast", self.inner.encode_batch)
+        for at in range(0, len(missing), 10_000):
+            part = missing[at : at + 10_000]
+            for w, e in zip(part, run(part, add_special_tokens=False)):
+                self.known[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
+        return [self.known[w] for w in words]
+
+    def table(self, words: pa.Array) -> tuple[pa.ListArray, np.ndarray]:
+        """The ids of each word, and how many."""
+        coded = self.encode(words.to_numpy(zero_copy_only=False).tolist())
+        sizes = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(np.frombuffer(b"".join(coded), "<u4"))), sizes
+
+    def batch_ids(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, flat, each text's end id included, and their offsets."""
+        plain = self.lowers and not any(pc.any(pc.match_substring(texts, t)).as_py() for t in self.added)
+        words = Words(texts, LOWER if plain else SAME)
+        if plain and self.tail and len(words.dictionary):
+            ends = pc.match_substring_regex(words.dictionary, f"[a-z][{re.escape(self.tail)}]$")
+            stems = pc.if_else(ends, pc.utf8_slice_codeunits(words.dictionary, 0, -1), words.dictionary).dictionary_encode()
+            table, sizes = self.table(stems.dictionary)
+            stem = stems.indices.to_numpy()
+            last = pc.index_in(pc.if_else(ends, pc.utf8_slice_codeunits(words.dictionary, -1), ""), value_set=pa.array(list(self.tail)))
+            last = pc.fill_null(last, -1).to_numpy(zero_copy_only=False)
+            tails = [np.frombuffer(x, "<u4") for x in self.encode(list(self.tail))]
+            flat = table.take(stems.indices).flatten().to_numpy()
+            sizes = sizes[stem]
+            stops = np.cumsum(sizes)
+            at, more = [], []
+            for k, ids in enumerate(tails):
+                where = np.flatnonzero(last == k)
+                at.append(np.repeat(stops[where], len(ids)))
+                more.append(np.tile(ids, len(where)))
+                sizes[where] += len(ids)
+            flat = np.insert(flat, np.concatenate(at), np.concatenate(more))
+            table = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(flat))
+        else:
+            table, sizes = self.table(words.dictionary)
+        flat = table.take(pa.array(words.ids)).flatten().to_numpy()
+        before = np.concatenate([[0], np.cumsum(sizes[words.ids])]).astype(np.int64)
+        stops = before[words.offsets[1:]]
+        return np.insert(flat, stops, np.uint32(end_id)), np.concatenate([[0], stops + np.arange(1, len(stops) + 1)])
+
+
+def word_tokenizer(path: str) -> WordTokenizer:
+    if path not in _tokenizers:
+        _tokenizers[path] = WordTokenizer(path)
+    return _tokenizers[path]
 
 
 def cutter(path: str, capacity: int, end_id: int, groups: int, keep_ids: bool):
     def run(batches):
         context, row = TaskContext.get(), 0
-        task = context.partitionId() if context else 0
-        for batch in slices(batches, "text"):
-            ids, offsets = batch_ids(batch.column("text"), path, end_id)
+        task, tokenizer = context.partitionId() if context else 0, word_tokenizer(path)
+        for batch in slices(batches, "text", SLICE):
+            ids, offsets = tokenizer.batch_ids(pc.fill_null(batch.column("text"), ""), end_id)
             docs, out = batch.column("doc_id").to_pylist(), []
             for doc, low, high in zip(docs, offsets[:-1].tolist(), offsets[1:].tolist()):
                 for piece, at in enumerate(range(low, high, capacity)):
