@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, fixity, jaccard, license, mixing, packing, pii, quality
+from . import ann, chat, fixity, jaccard, license, mixing, packing, pii, quality, repeats
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +47,10 @@ def op6_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixity.audit(fixity.archived(table(spark, sf_dir, "pages"), fixity.decayed)).select("page_id", "url", "length", "digest", "copy_digest", "status")
 
 
+def op7_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = "</s>[INST] ok [/INST]"
@@ -70,6 +74,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_source_mix": op4_source_mix,
         "op5_personal_data": op5_personal_data,
         "op6_merkle_fixity": op6_merkle_fixity,
+        "op7_repeated_substrings": op7_repeated_substrings,
         "op8_chat_formatting": op8_chat_formatting,
         "op9_jaccard_join": op9_jaccard_join,
         "op10_nearest_vectors": op10_nearest_vectors,
