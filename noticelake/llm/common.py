@@ -63,6 +63,35 @@ def looked_up(df: DataFrame, label: str, most_rows: int = 200_000) -> DataFrame:
     return F.broadcast(kept) if small_enough(kept, most_rows) else kept
 
 
+#: Identifier of rows without one: above all real ones, apart by text.
+NO_ID = (1 << 63) - (1 << 40)
+
+
+def with_keys(docs: DataFrame) -> DataFrame:
+    """(id, k1, k2, text): id is doc_id, or a number above all of them; k1 and k2 tell texts apart; a null text is empty."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    keyed = docs.select(F.col("doc_id").cast("long").alias("id"), text.alias("text"))
+    keyed = keyed.withColumns({"k1": F.xxhash64("text"), "k2": F.xxhash64(F.lit(1), "text", F.length("text"))})
+    return keyed.withColumn("id", F.coalesce("id", F.lit(NO_ID) + F.pmod("k1", F.lit(1 << 40))))
+
+
+def distinct_texts(keyed: DataFrame, most_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Each text once, in the row with the smallest id; and (id, k1, first) for rows that repeat a text of a smaller id.
+
+    Counts are summed on the map side, and lists of copies are broadcast only if counted to be short, so a text that a third of
+    all rows hold is no burden.
+    """
+    texts = keyed.select("id", "k1", "k2")
+    several = texts.groupBy("k1", "k2").agg(F.min("id").alias("first"), F.count("*").alias("rows")).filter("rows > 1").drop("rows")
+    met = texts.join(looked_up(several, "several", most_rows), ["k1", "k2"])
+    copies = looked_up(met.filter("id > first").select("id", "k1", "first").distinct(), "copies", most_rows)
+    single = keyed.join(copies.drop("first"), ["id", "k1"], "left_anti")
+    again = looked_up(met.filter("id = first").groupBy("id", "k1").count().filter("count > 1").drop("count"), "again", most_rows)
+    if not small_enough(again, 0):
+        single = single.join(again, ["id", "k1"], "left_anti").unionByName(single.join(again, ["id", "k1"], "left_semi").dropDuplicates(["id", "k1"]))
+    return single, copies
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in batches whose column holds about `most` bytes (one row at least)."""
     for batch in batches:
@@ -158,3 +187,35 @@ def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
 
 def batch_of(schema_names: Sequence[str], arrays: Sequence[object]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([a if isinstance(a, pa.Array) else pa.array(a) for a in arrays], list(schema_names))
+
+
+def bucket_of(elements: np.ndarray, buckets: int) -> np.ndarray:
+    return ((elements >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
+
+def blobs(bucket: np.ndarray, *columns: np.ndarray):
+    """(bucket, bytes of each column) for each bucket that occurs."""
+    order = np.argsort(bucket, kind="stable")
+    bucket, columns = bucket[order], [c[order] for c in columns]
+    starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
+    stops = np.append(starts[1:], len(bucket))
+    return bucket[starts], [[c[a:b].tobytes() for a, b in zip(starts, stops)] for c in columns]
+
+
+def by_bucket(batches, names):
+    """(bucket, arrays of bytes joined) from rows sorted by bucket."""
+    at, held = None, [[] for _ in names]
+    for b in batches:
+        for bucket, *values in zip(b.column("bucket").to_pylist(), *(b.column(n).to_pylist() for n in names)):
+            if bucket != at:
+                if at is not None:
+                    yield at, [b"".join(h) for h in held]
+                at, held = bucket, [[] for _ in names]
+            for h, v in zip(held, values):
+                h.append(v)
+    if at is not None:
+        yield at, [b"".join(h) for h in held]
+
+
+def buckets_for(spark: SparkSession) -> int:
+    return 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))

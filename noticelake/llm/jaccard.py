@@ -1,36 +1,36 @@
 """N-gram Jaccard join by T-occurrence search.
 
-A document's set are the 64-bit fingerprints of its distinct word shingles. Two sets of similarity t share at least
-ceil(t * larger size) elements (T), so under any common order of all elements they share one among the first n - T + 1 of
-each. The order puts long inverted lists last: pass 1 counts elements and finds the most frequent ones (a bounded number;
-which ones are taken changes the work, never the result) and collapses documents with equal sets into one. Pass 2 deals the
-first elements of the remaining documents out by element; documents of fitting sizes that meet there are chained into
-candidate groups, far smaller than all pairs. Pass 3 sends the whole set of each document of a group to that group, once.
-
-In a group, inverted lists answer a T-occurrence query for each document: short lists are merged and counted, the longest
-ones are set aside and probed by binary search (DivideSkip), and documents that reach T and the similarity are linked.
-Candidates already connected are not verified again, so a group of thousands of near copies costs a spanning tree of links.
-Groups above a bounded size are dealt to tasks by pairs of blocks. Components of the links follow by star contraction.
-
-Nulls: a null text has an empty set and is linked with nothing; a null doc_id takes part only through copies of its text.
-Rows that share a doc_id are one document of the graph and each get a result row. Ties go to the smaller doc_id. An empty
-table gives an empty result. Extra columns are ignored.
+A document's set are the 64-bit fingerprints of its distinct word shingles. Sets of similarity t or more differ in at most
+D = (1-t)/(1+t) * (sum of sizes) elements. The space of elements is cut into m > D parts, so linked sets agree on m - D parts
+at least; the fingerprints of a set's parts are dealt out and documents with an equal part and fitting sizes are chained into
+candidate groups. m is one number for a class of sizes; a document near the top of its class also takes part in the next one.
+Parts with at most one element say little: a document leaves them out if it has fewer than m - D of them (then an agreeing
+pair has another part in common). No pairs are listed, and a passage that many documents share makes no candidates.
+
+The whole set of each document of a group goes to that group, once. There, inverted lists answer a T-occurrence query for
+each document (T: elements that a linked set must share): short lists are merged and counted, the longest ones are set aside
+and probed by binary search (DivideSkip), and documents that reach T and the similarity are linked. Candidates already
+connected are not verified again, so a group of thousands of near copies costs a spanning tree of links. Groups above a
+bounded size are dealt to tasks by pairs of blocks. Components of the links follow by star contraction.
+
+Nulls: a null text has an empty set and is linked with nothing, as is one without words; rows with a null doc_id are
+documents apart by text, after all others: a group of only such rows has a null component. Rows that share a doc_id are one
+document of the graph and each get a result row. Ties go to the smaller doc_id. An empty table gives an empty result. Extra
+columns are ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, Words, arrow_map, batch_of, join_on, looked_up, materialize, mix, small_enough, window_hashes
+from .common import LOWER, NO_ID, Words, arrow_map, batch_of, blobs, bucket_of, buckets_for, distinct_texts, looked_up, materialize, mix, small_enough, window_hashes, with_keys
 from .graph import components
 
-#: Elements below this quantile of the hash space are counted in pass 1.
-COUNTED = np.uint64((1 << 64) // 6)
-#: A list of so many documents is long; at most so many long lists are put last in order.
-LONG, MOST_LONG = 32, 1_000_000
+#: Sizes in a class differ by this factor at most.
+CLASS_RATIO = 1.4
 #: Elements that a task holds at once; larger groups are cut into blocks.
 GROUP_ELEMENTS = 8_000_000
 
@@ -64,110 +64,103 @@ def hash_run(hashes: np.ndarray) -> int:
     return total
 
 
-def summed(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values, dtype=np.uint64)])
-    return total[offsets[1:]] - total[offsets[:-1]]
+def size_classes(most: int, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Upper ends of the classes of sizes up to `most`; D and m of each class."""
+    tops = [1]
+    while tops[-1] < most:
+        tops.append(max(tops[-1] + 1, int(tops[-1] * CLASS_RATIO)))
+    tops = np.array(tops, np.int64)
+    differ = 2 * tops * (100 - percent) // (100 + percent)
+    spare = np.maximum(1, np.where(differ > 8, (differ * (100 - percent)) // 120 + 2, 1))
+    return tops, differ, differ + spare
 
 
-def bucket_of(elements: np.ndarray, buckets: int) -> np.ndarray:
-    return ((elements >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+def part_rows(width: int, percent: int, buckets: int):
+    """Of each document the fingerprints of its parts, by bucket; and a row with sizes of the slice's documents."""
 
-
-def blobs(bucket: np.ndarray, *columns: np.ndarray):
-    """(bucket, bytes of each column) for each bucket that occurs."""
-    order = np.argsort(bucket, kind="stable")
-    bucket, columns = bucket[order], [c[order] for c in columns]
-    starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
-    stops = np.append(starts[1:], len(bucket))
-    return bucket[starts], [[c[a:b].tobytes() for a, b in zip(starts, stops)] for c in columns]
-
-
-SETS = "kind string, bucket int, doc_id bigint, n bigint, sig_a bigint, sig_b bigint, elements binary"
-
-
-def describe(width: int, buckets: int):
-    """A row for each document (size and 128-bit signature of its set) and rows of counted elements by bucket."""
+    def parts_of(element, offsets, sizes, chosen, level, ids, tops, differ, parts):
+        """Fingerprints, ids and sizes for documents `chosen`, cut as class `level` has it."""
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        use = chosen[owner]
+        element, owner = element[use], owner[use]
+        if not len(element):
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        m = parts[level[owner]].astype(np.uint64)
+        part = ((element >> np.uint64(32)) * m >> np.uint64(32)).astype(np.int64)  # elements are in order, so parts are
+        first = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (part[1:] != part[:-1])]))
+        held = np.diff(np.append(first, len(element)))
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(element ^ np.uint64(0x5851F42D4C957F2D)), dtype=np.uint64)])
+        print_ = total[np.append(first[1:], len(element))] - total[first]
+        whose, part = owner[first], part[first]
+        weak = parts[level] - np.bincount(whose[held > 1], minlength=len(sizes))  # parts with at most one element
+        allowed = parts[level] - differ[level]
+        told = (held > 1) | (weak >= allowed)[whose]
+        print_, whose, part = print_[told], whose[told], part[told]
+        none = np.flatnonzero(chosen & (weak >= allowed))  # these need their empty parts too
+        full = np.concatenate([[0], np.cumsum(np.bincount(owner[first], minlength=len(sizes)))])
+        empty = []
+        for d in none.tolist():
+            have = ((element[first[full[d] : full[d + 1]]] >> np.uint64(32)) * np.uint64(parts[level[d]]) >> np.uint64(32)).astype(np.int64)
+            empty.append(np.setdiff1d(np.arange(parts[level[d]]), have))
+        if empty:
+            print_ = np.concatenate([print_, np.zeros(sum(map(len, empty)), np.uint64)])
+            whose = np.concatenate([whose, np.repeat(none, [len(x) for x in empty])])
+            part = np.concatenate([part, *empty])
+        key = mix(print_ ^ mix(part.astype(np.uint64) * np.uint64(1 << 20) + level[whose].astype(np.uint64) + np.uint64(1)))
+        return key, ids[whose], sizes[whose].astype(np.int32)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         element, offsets = shingle_sets(batch.column("text"), width)
-        sizes = np.diff(offsets)
-        sig_a, sig_b = summed(mix(element ^ np.uint64(0x5851F42D4C957F2D)), offsets).view(np.int64), summed(mix(element + np.uint64(0x14057B7EF767814F)), offsets).view(np.int64)
-        low = element[element < COUNTED]
-        scaled = low * np.uint64(6)
-        bucket, (data,) = blobs(bucket_of(scaled, buckets), low)
-        d, b = batch.num_rows, len(bucket)
-        none = lambda k: pa.nulls(b, k)
+        sizes, ids = np.diff(offsets), batch.column("id").to_numpy()
+        tops, differ, parts = size_classes(int(sizes.max()) * 2 + 2, percent)
+        level = np.searchsorted(tops, sizes)
+        own = parts_of(element, offsets, sizes, sizes > 0, level, ids, tops, differ, parts)
+        upper = (sizes > 0) & (100 * sizes >= percent * (tops[level] + 1))  # can be linked with a set of the next class
+        above = parts_of(element, offsets, sizes, upper, level + 1, ids, tops, differ, parts)
+        key, doc, n = (np.concatenate(x) for x in zip(own, above))
+        bucket, (e, d, s) = blobs(bucket_of(key, buckets), key, doc, n)
+        told = [batch.column("k1").to_numpy().astype(np.int64).tobytes(), ids.tobytes(), sizes.astype(np.int32).tobytes()]
+        somewhere = int(ids[0]) % buckets
         return batch_of(
-            ["kind", "bucket", "doc_id", "n", "sig_a", "sig_b", "elements"],
-            [
-                pa.array(["doc"] * d + ["counted"] * b),
-                pa.concat_arrays([pa.nulls(d, pa.int32()), pa.array(bucket.astype(np.int32))]),
-                pa.concat_arrays([pa.concat_arrays([batch.column("doc_id")]), none(pa.int64())]),
-                pa.concat_arrays([pa.array(sizes.astype(np.int64)), none(pa.int64())]),
-                pa.concat_arrays([pa.array(sig_a), none(pa.int64())]),
-                pa.concat_arrays([pa.array(sig_b), none(pa.int64())]),
-                pa.concat_arrays([pa.nulls(d, pa.binary()), pa.array(data, pa.binary())]),
-            ],
-        )
+            ["bucket", "told", "keys", "docs", "sizes"],
+            [pa.array([*bucket.tolist(), somewhere], pa.int32()), pa.array([False] * len(e) + [True]), pa.array([*e, told[0]], pa.binary()), pa.array([*d, told[1]], pa.binary()), pa.array([*s, told[2]], pa.binary())],
+        )
 
     return run
 
 
-def by_bucket(batches, names):
-    """(bucket, arrays of bytes joined) from rows sorted by bucket."""
-    at, held = None, [[] for _ in names]
-    for b in batches:
-        for bucket, *values in zip(b.column("bucket").to_pylist(), *(b.column(n).to_pylist() for n in names)):
-            if bucket != at:
-                if at is not None:
-                    yield at, [b"".join(h) for h in held]
-                at, held = bucket, [[] for _ in names]
-            for h, v in zip(held, values):
-                h.append(v)
-    if at is not None:
-        yield at, [b"".join(h) for h in held]
+PARTS = "bucket int, told boolean, keys binary, docs binary, sizes binary"
 
 
-def long_lists(batches):
-    for _, (data,) in by_bucket(batches, ["elements"]):
-        found, counts = np.unique(np.frombuffer(data, np.uint64), return_counts=True)
-        if (often := counts >= LONG).any():
-            yield batch_of(["element", "docs"], [found[often].view(np.int64), counts[often].astype(np.int64)])
-
-
-def prefixes(width: int, percent: int, buckets: int, last: np.ndarray):
-    """Of each document the first n - T + 1 elements in order, by bucket of the element."""
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        element, offsets = shingle_sets(batch.column("text"), width)
-        sizes = np.diff(offsets)
-        owner = np.repeat(np.arange(len(sizes)), sizes)
-        if len(last):
-            at = np.minimum(np.searchsorted(last, element), len(last) - 1)
-            order = np.argsort(owner * 2 + (last[at] == element), kind="stable")
-            element = element[order]
-        first = sizes - (percent * sizes + 99) // 100 + 1
-        taken = np.arange(len(element)) - offsets[:-1][owner] < first[owner]
-        element, owner = element[taken], owner[taken]
-        ids = batch.column("doc_id").to_numpy()
-        bucket, (e, d, n) = blobs(bucket_of(element, buckets), element, ids[owner], sizes[owner].astype(np.int32))
-        return batch_of(["bucket", "elements", "docs", "sizes"], [pa.array(bucket.astype(np.int32)), pa.array(e, pa.binary()), pa.array(d, pa.binary()), pa.array(n, pa.binary())])
-
-    return run
+def chains(percent: int):
+    """Candidate edges (a, b): among documents with an equal part, in order of size, neighbours whose sizes fit.
 
+    Rows with sizes pass through: a is then the document, b its text's key, n the size of its set.
+    """
 
-def chains(percent: int):
-    """Candidate edges: among documents that hold an element, in order of size, neighbours whose sizes fit."""
+    def joined(key, doc, size):
+        e, d, n = np.frombuffer(key, np.uint64), np.frombuffer(doc, np.int64), np.frombuffer(size, np.int32).astype(np.int64)
+        order = np.lexsort((d, n, e))
+        e, d, n = e[order], d[order], n[order]
+        meet = np.flatnonzero((e[1:] == e[:-1]) & (d[1:] != d[:-1]) & (100 * n[:-1] >= percent * n[1:]))
+        pairs = np.unique(np.column_stack([np.maximum(d[meet], d[meet + 1]), np.minimum(d[meet], d[meet + 1])]), axis=0)
+        return batch_of(["a", "b", "n"], [np.ascontiguousarray(pairs[:, 0]), np.ascontiguousarray(pairs[:, 1]), pa.nulls(len(pairs), pa.int64())])
 
     def run(batches):
-        for _, (e, d, n) in by_bucket(batches, ["elements", "docs", "sizes"]):
-            e, d, n = np.frombuffer(e, np.uint64), np.frombuffer(d, np.int64), np.frombuffer(n, np.int32).astype(np.int64)
-            order = np.lexsort((d, n, e))
-            e, d, n = e[order], d[order], n[order]
-            meet = np.flatnonzero((e[1:] == e[:-1]) & (d[1:] != d[:-1]) & (100 * n[:-1] >= percent * n[1:]))
-            if len(meet):
-                pairs = np.unique(np.column_stack([np.maximum(d[meet], d[meet + 1]), np.minimum(d[meet], d[meet + 1])]), axis=0)
-                yield batch_of(["a", "b"], [np.ascontiguousarray(pairs[:, 0]), np.ascontiguousarray(pairs[:, 1])])
+        at, held = None, ([], [], [])
+        for b in batches:
+            for bucket, told, *row in zip(*(b.column(n).to_pylist() for n in ("bucket", "told", "keys", "docs", "sizes"))):
+                if told:
+                    yield batch_of(["a", "b", "n"], [np.frombuffer(row[1], np.int64), np.frombuffer(row[0], np.int64), np.frombuffer(row[2], np.int32).astype(np.int64)])
+                    continue
+                if bucket != at:
+                    if at is not None:
+                        yield joined(*(b"".join(h) for h in held))
+                    at, held = bucket, ([], [], [])
+                for h, v in zip(held, row):
+                    h.append(v)
+        if at is not None:
+            yield joined(*(b"".join(h) for h in held))
 
     return run
 
@@ -176,7 +169,7 @@ def whole_sets(width: int):
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         element, offsets = shingle_sets(batch.column("text"), width)
         data = [element[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:])]
-        return batch_of(["component", "parts", "doc_id", "elements"], [batch.column("component"), batch.column("parts"), batch.column("doc_id"), pa.array(data, pa.binary())])
+        return batch_of(["component", "parts", "id", "elements"], [batch.column("component"), batch.column("parts"), batch.column("id"), pa.array(data, pa.binary())])
 
     return run
 
@@ -261,12 +254,10 @@ def searched(percent: int):
                 out.extend(Group(np.array(docs, np.int64), sets, np.array(block, np.int64)).links(percent))
 
         for b in batches:
-            for key, doc, part, data in zip(zip(*(b.column(n).to_pylist() for n in ("component", "block_a", "block_b"))), b.column("doc_id").to_pylist(), b.column("part").to_pylist(), b.column("elements").to_pylist()):
+            for key, doc, part, data in zip(zip(*(b.column(n).to_pylist() for n in ("component", "block_a", "block_b"))), b.column("id").to_pylist(), b.column("part").to_pylist(), b.column("elements").to_pylist()):
                 if key != at:
                     close()
                     at, docs, sets, block = key, [], [], []
-                if docs and docs[-1] == doc:
-                    continue
                 docs.append(doc)
                 sets.append(np.frombuffer(data, np.uint64))
                 block.append(part)
@@ -280,40 +271,33 @@ def searched(percent: int):
     return run
 
 
-def buckets_for(spark: SparkSession) -> int:
-    return 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def jaccard_groups(docs: DataFrame, width: int = 3, percent: int = 90, least_broadcast: int = 1_000_000) -> DataFrame:
     """A row for each document: doc_id, n_shingles, component_id (smallest doc_id reachable over links)."""
-    spark = docs.sparkSession
-    buckets = buckets_for(spark)
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    seen = materialize(arrow_map(narrow, describe(width, buckets), SETS), "sets")
-    described = seen.filter(F.col("kind") == "doc").select("doc_id", "n", "sig_a", "sig_b")
-    counted = seen.filter(F.col("kind") == "counted").select("bucket", "elements").repartition("bucket").sortWithinPartitions("bucket")
-    often = counted.mapInArrow(long_lists, "element bigint, docs bigint").orderBy(F.col("docs").desc(), "element").limit(MOST_LONG).select("element").toArrow().column("element").to_numpy()
-    last = np.sort(np.ascontiguousarray(often).view(np.uint64))
-
-    classes = described.filter("n > 0").groupBy("sig_a", "sig_b").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows")).filter("rows > 1").drop("rows")
-    classes = looked_up(classes, "classes", least_broadcast)
-    member = materialize(join_on(described, classes, ["sig_a", "sig_b"], "left").select("doc_id", "n", F.coalesce("first", "doc_id").alias("first")), "members")
-    copies = looked_up(member.filter(F.col("doc_id") != F.col("first")).select("doc_id").distinct(), "copies", least_broadcast)
-    single = narrow.filter(F.col("doc_id").isNotNull()).join(copies, "doc_id", "left_anti")
-
-    dealt = arrow_map(single, prefixes(width, percent, buckets, last), "bucket int, elements binary, docs binary, sizes binary").repartition("bucket").sortWithinPartitions("bucket")
-    candidates = components(dealt.mapInArrow(chains(percent), "a bigint, b bigint"))
-    sized = candidates.join(member.filter(F.col("doc_id") == F.col("first")).groupBy(F.col("doc_id").alias("node")).agg(F.max("n").alias("n")), "node")
+    buckets = buckets_for(docs.sparkSession)
+    keyed = with_keys(docs)
+    single, copies = distinct_texts(keyed, least_broadcast)
+    dealt = arrow_map(single.select("id", "k1", "text"), part_rows(width, percent, buckets), PARTS).repartition("bucket").sortWithinPartitions("bucket")
+    found = materialize(dealt.mapInArrow(chains(percent), "a bigint, b bigint, n bigint"), "chains")
+    sizes = found.filter("n IS NOT NULL").select(F.col("a").alias("id"), F.col("b").alias("k1"), "n")
+
+    candidates = components(found.filter("n IS NULL").select("a", "b"))
+    sized = candidates.join(sizes.groupBy(F.col("id").alias("node")).agg(F.sum("n").alias("n")), "node")
     parts = sized.groupBy("component").agg(F.ceil(F.sum("n") / GROUP_ELEMENTS).cast("int").alias("parts"))
-    grouped = looked_up(sized.join(parts, "component").select(F.col("node").alias("doc_id"), "component", "parts"), "candidates", least_broadcast)
-    sets = arrow_map(single.join(grouped, "doc_id"), whole_sets(width), "component bigint, parts int, doc_id bigint, elements binary")
-    part = F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")
+    grouped = looked_up(sized.join(parts, "component").select(F.col("node").alias("id"), "component", "parts"), "candidates", least_broadcast)
+    sets = arrow_map(single.select("id", "text").join(grouped, "id"), whole_sets(width), "component bigint, parts int, id bigint, elements binary")
+    part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     sets = sets.withColumn("part", part).withColumn("other", other).withColumns({"block_a": F.least("part", "other"), "block_b": F.greatest("part", "other")})
-    sets = sets.drop("other", "parts").repartition("component", "block_a", "block_b").sortWithinPartitions("component", "block_a", "block_b", "doc_id")
+    sets = sets.drop("other", "parts").repartition("component", "block_a", "block_b").sortWithinPartitions("component", "block_a", "block_b", "id")
     links = sets.mapInArrow(searched(percent), "a bigint, b bigint")
     reached = looked_up(components(links).select(F.col("node").alias("first"), "component"), "reached", least_broadcast)
-    return join_on(member, reached, ["first"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "first").alias("component_id"))
+
+    member = keyed.select("id", "k1").join(copies, ["id", "k1"], "left").withColumn("first", F.coalesce("first", "id"))
+    sizes = sizes.select(F.col("id").alias("first"), "k1", "n")
+    out = member.join(sizes, ["first", "k1"], "left").join(reached, "first", "left")
+    real = lambda c: F.when(c < NO_ID, c)
+    own = F.when(F.col("n") > 0, F.coalesce("component", "first")).otherwise(F.col("id"))
+    return out.select(real(F.col("id")).alias("doc_id"), F.col("n").alias("n_shingles"), real(own).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80, least_broadcast: int = 1_000_000) -> DataFrame:

@@ -28,8 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, arrow_map, batch_of, looked_up, materialize, mix, window_hashes
-from .jaccard import blobs, bucket_of, buckets_for, by_bucket
+from .common import NO_ID, Words, arrow_map, batch_of, blobs, bucket_of, buckets_for, by_bucket, distinct_texts, looked_up, materialize, mix, window_hashes, with_keys
 
 #: Words in a run from which anchors are taken.
 RUN = 6
@@ -309,14 +308,9 @@ def remove_repeats(docs: DataFrame, width: int = 13, least_broadcast: int = 500_
     """A row for each document: n_words, n_removed, kept_sha256 of its kept words joined by a space, and kept_text if any went."""
     spark = docs.sparkSession
     buckets = buckets_for(spark)
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    keyed = keyed.withColumn("text_key", F.xxhash64("text"))
-
-    class_key = [F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), "text", F.length("text")).alias("k2")]
-    texts = keyed.select("id", *class_key)
-    classes = texts.groupBy("k1", "k2").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last")
-    copies = looked_up(texts.join(classes.drop("last"), ["k1", "k2"]).filter(F.col("id") > F.col("first")).select("id", F.col("k1").alias("text_key"), F.lit(True).alias("whole")).distinct(), "copies", least_broadcast)
-    single = keyed.join(copies.drop("whole"), ["id", "text_key"], "left_anti")
+    keyed = with_keys(docs)
+    single, copies = distinct_texts(keyed, least_broadcast)
+    single = single.withColumnRenamed("k1", "text_key")
 
     dealt = arrow_map(single.select("text_key", "text"), anchor_rows(width, buckets), "bucket int, anchors binary, text_keys binary").repartition("bucket").sortWithinPartitions("bucket")
     shared = dealt.mapInArrow(shared_anchors, "text_key bigint, shared binary").groupBy("text_key").agg(F.collect_list("shared").alias("shared"))
@@ -344,4 +338,6 @@ def remove_repeats(docs: DataFrame, width: int = 13, least_broadcast: int = 500_
     dealt = suffixes.mapInArrow(dealer(width, large, hot, groups), DEALT).repartition("bucket").sortWithinPartitions("bucket")
     removed = dealt.mapInArrow(searched(width), "id bigint, text_key bigint, starts binary").groupBy("id", "text_key").agg(F.collect_list("starts").alias("starts"))
     removed = looked_up(removed, "removed", least_broadcast)
-    return arrow_map(keyed.join(copies, ["id", "text_key"], "left").join(removed, ["id", "text_key"], "left").select("doc_id", "text", "starts", "whole"), removal(width), "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept_text string")
+    told = keyed.withColumnRenamed("k1", "text_key").join(copies.select("id", F.col("k1").alias("text_key"), F.lit(True).alias("whole")), ["id", "text_key"], "left")
+    told = told.join(removed, ["id", "text_key"], "left").select(F.when(F.col("id") < NO_ID, F.col("id")).alias("doc_id"), "text", "starts", "whole")
+    return arrow_map(told, removal(width), "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept_text string")
