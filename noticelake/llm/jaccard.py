@@ -175,23 +175,25 @@ def whole_sets(width: int):
 
 
 class Group:
-    """Sets of a candidate group, with inverted lists over them."""
+    """Sets of a candidate group, with inverted lists over them.
+
+    Documents whose elements have the longest lists come first: the common source of near copies before the copies, so that
+    each copy is connected by its first verification.
+    """
 
     def __init__(self, docs: np.ndarray, sets: list[np.ndarray], block: np.ndarray):
-        order = np.lexsort((docs, [len(s) for s in sets]))
-        self.docs, self.sets, self.block = docs[order], [sets[i] for i in order], block[order]
-        self.sizes = np.array([len(s) for s in self.sets], np.int64)
-        flat = np.concatenate(self.sets)
-        self.offsets = np.concatenate([[0], np.cumsum(self.sizes)])
-        _, token = np.unique(flat, return_inverse=True)
-        owner = np.repeat(np.arange(len(self.docs)), self.sizes)
-        self.token = token.astype(np.int64)
-        keys = self.token * len(self.docs) + owner
-        self.keys = np.sort(keys)
-        self.lists = self.keys % len(self.docs)
-        self.starts = np.searchsorted(self.keys, np.arange(self.token.max() + 2) * len(self.docs))
-        self.lengths = np.diff(self.starts)
-        self.parent = np.arange(len(self.docs))
+        sizes = np.array([len(s) for s in sets], np.int64)
+        _, token, length = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        mean = np.add.reduceat(length[token], np.concatenate([[0], np.cumsum(sizes)[:-1]])) / sizes
+        order = np.lexsort((docs, -mean))
+        token = [x for x in np.split(token.astype(np.int64), np.cumsum(sizes)[:-1])]
+        self.docs, self.block, self.sizes, self.lengths = docs[order], block[order], sizes[order], length
+        self.tokens = [token[i] for i in order]
+        owner = np.repeat(np.arange(len(docs)), self.sizes)
+        self.keys = np.sort(np.concatenate(self.tokens) * len(docs) + owner)
+        self.lists = self.keys % len(docs)
+        self.starts = np.concatenate([[0], np.cumsum(length)])
+        self.parent = np.arange(len(docs))
 
     def root(self, i: int) -> int:
         while self.parent[i] != i:
@@ -201,45 +203,50 @@ class Group:
 
     def roots(self, of: np.ndarray) -> np.ndarray:
         r = self.parent[of]
-        while (p := self.parent[r] != r).any():
-            r = np.where(p, self.parent[r], r)
+        while (self.parent[r] != r).any():
+            r = self.parent[r]
         return r
 
+    def merged(self, tokens: np.ndarray) -> np.ndarray:
+        return np.concatenate([self.lists[self.starts[t] : self.starts[t + 1]] for t in tokens]) if len(tokens) else np.zeros(0, np.int64)
+
     def links(self, percent: int):
         """Pairs of documents that connect all linked ones, across the two blocks if there are two."""
         two = len(np.unique(self.block)) > 1
         for i in range(1, len(self.docs)):
             n = int(self.sizes[i])
-            low = int(np.searchsorted(self.sizes, -(-percent * n // 100)))
-            if low >= i:
-                continue
-            least = -(-percent * n // 100)  # shared elements with any partner that is no larger
-            tokens = self.token[self.offsets[i] : self.offsets[i + 1]]
-            tokens = tokens[np.argsort(self.lengths[tokens], kind="stable")]
+            least = -(-percent * n // 100)  # elements shared with any linked set
+            tokens = self.tokens[i][np.argsort(self.lengths[self.tokens[i]], kind="stable")]
             longest = int(self.lengths[tokens[-1]])
             set_aside = min(least - 1, int(least / (0.0085 * np.log2(longest + 1) + 1))) if longest > 1 else 0
             short, long = tokens[: n - set_aside], tokens[n - set_aside :]
-            merged = np.concatenate([self.lists[self.starts[t] : self.starts[t + 1]] for t in short])
-            merged = merged[(merged >= low) & (merged < i)]
-            if not len(merged):
-                continue
-            near, counts = np.unique(merged, return_counts=True)
-            enough = counts >= least - set_aside
-            near, counts = near[enough], counts[enough]
+            found = self.merged(short)
+            found = found[found < i]
+            near, counts = np.unique(found, return_counts=True)
+            fits = (counts >= least - set_aside) & (percent * self.sizes[near] <= 100 * n) & (percent * n <= 100 * self.sizes[near])
+            near, counts = near[fits], counts[fits]
             order = np.argsort(-counts, kind="stable")
-            near, counts = near[order], counts[order]
-            while len(near):
+            near, counts, whole, tried = near[order], counts[order], False, 0
+            while True:
                 other = self.roots(near) != self.root(i)
                 if two:
                     other &= self.block[near] != self.block[i]
                 near, counts = near[other], counts[other]
                 if not len(near):
                     break
+                if not whole and tried >= 8:  # many candidates: merging the long lists too costs less than probing for each
+                    counts = counts + np.bincount(self.merged(long), minlength=len(self.docs))[near]
+                    whole = True
+                    linked = 100 * counts >= percent * (n + self.sizes[near] - counts)
+                    near, counts = near[linked], counts[linked]
+                    continue
                 j, shared = int(near[0]), int(counts[0])
                 near, counts = near[1:], counts[1:]
-                probes = long * len(self.docs) + j
-                at = np.minimum(np.searchsorted(self.keys, probes), len(self.keys) - 1)
-                shared += int((self.keys[at] == probes).sum())
+                if not whole:
+                    probes = long * len(self.docs) + j
+                    at = np.minimum(np.searchsorted(self.keys, probes), len(self.keys) - 1)
+                    shared += int((self.keys[at] == probes).sum())
+                    tried += 1
                 if 100 * shared >= percent * (n + int(self.sizes[j]) - shared):
                     self.parent[self.root(i)] = self.root(j)
                     yield int(self.docs[i]), int(self.docs[j])
