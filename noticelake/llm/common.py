@@ -13,8 +13,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Text bytes that one step of a vectorised function works on; bounds a Python worker's memory.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -108,6 +109,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYT
 
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, column: str = "text", most: int = SLICE_BYTES) -> DataFrame:
     """mapInArrow over slices of bounded size."""
+    if df.sparkSession.conf.get(BATCH_ROWS, "10000") == "10000":  # the default; long texts make such batches large
+        df.sparkSession.conf.set(BATCH_ROWS, "2000")
 
     def run(batches):
         for piece in slices(batches, column, most):

@@ -4,14 +4,16 @@ A suffix is the word sequence from one position on, as deep as a window is long.
 starts in a document with a smaller doc_id.
 
 1. Documents with equal texts are one class; all but its smallest doc_id repeat it whole.
-2. Only suffixes that can repeat become part of a tree. A window's anchor is the least fingerprint of its runs of `RUN` words;
-   equal windows have equal anchors, so a window whose anchor no other text has is unique. Anchors (about a fifth of all
-   positions) are dealt out by value and those in several texts are returned to their texts.
-3. The suffixes left are counted by first word; prefixes with more suffixes than a task should hold are made longer, word by
-   word. Groups of suffixes with a common prefix are dealt to buckets of bounded size. A whole window that is more frequent
-   than that needs no tree, only its smallest doc_id, which is summed on the map side and looked up.
+2. A window's anchor is the run of `RUN` words in it with the least fingerprint. Equal windows have equal anchors at the same
+   place, so only suffixes that start at anchors (about a fifth of all positions) need to be in a tree, with the words before
+   them that the anchor's windows reach. Anchors are dealt out by value; those of several texts are returned to their texts.
+3. The suffixes at these anchors are counted by first word; prefixes with more suffixes than a task should hold are made
+   longer, word by word. Groups with a common prefix are dealt to buckets of bounded size. Where a whole anchor is still too
+   frequent, its windows are suffixes of their own with themselves as prefix; a window that is too frequent even so needs no
+   tree, only its smallest doc_id, which is summed on the map side and looked up.
 4. In a bucket, suffixes in lexicographic order with their common-prefix lengths are the subtrees of its prefixes. Internal
-   nodes as deep as a window are the repeats; each one's smallest doc_id tells which of its leaves are removed.
+   nodes as deep as a window are the repeats; each one's smallest doc_id tells which of its leaves are removed. Maximal
+   repeats longer than a window are the unions of overlapping ones.
 
 Nulls: a null text has no words; a null doc_id counts as larger than all others. Repeated rows (same doc_id and text) are one
 document and each get a result row. Texts shorter than a window lose nothing. An empty table gives an empty result. Extra
@@ -34,27 +36,30 @@ from .common import NO_ID, Words, arrow_map, batch_of, blobs, bucket_of, buckets
 RUN = 6
 #: Suffixes of a prefix, and of a bucket, that a task should hold.
 GROUP = 250_000
+#: Buckets at least, so that small inputs are spread as well.
+LEAST_BUCKETS = 24
 LAST = (1 << 63) - 1
 
 
-def anchors(hashes: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts of the windows that lie in one text, and their anchors."""
-    n = len(hashes) - width + 1
+def anchors(hashes: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts of the windows that lie in one text; their anchors' fingerprints and places."""
+    n, run = len(hashes) - width + 1, min(RUN, width)
     if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    runs = window_hashes(hashes, min(RUN, width))
-    least = runs[:n].copy()
-    for k in range(1, width - min(RUN, width) + 1):
-        np.minimum(least, runs[k : k + n], out=least)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    runs = window_hashes(hashes, run)
+    least, at = runs[:n].copy(), np.zeros(n, np.int64)
+    for k in range(1, width - run + 1):
+        lower = runs[k : k + n] < least
+        least[lower], at[lower] = runs[k : k + n][lower], k
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     inside = np.flatnonzero(doc[:n] == doc[width - 1 :])
-    return inside, least[inside]
+    return inside, least[inside], inside + at[inside]
 
 
 def anchor_rows(width: int, buckets: int):
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         words = Words(batch.column("text"))
-        start, value = anchors(words.hashes(), words.offsets, width)
+        start, value, _ = anchors(words.hashes(), words.offsets, width)
         doc = np.searchsorted(words.offsets, start, side="right") - 1
         new = np.ones(len(start), bool)
         new[1:] = (value[1:] != value[:-1]) | (doc[1:] != doc[:-1])
@@ -86,189 +91,284 @@ def shared_anchors(batches):
             yield batch_of(["text_key", "shared"], [keys, pa.array(parts, pa.binary())])
 
 
-def packed(*arrays: np.ndarray) -> list[bytes]:
-    squeeze = zstandard.ZstdCompressor(level=1)
-    return [squeeze.compress(np.ascontiguousarray(a).tobytes()) for a in arrays]
+NAMES = ["table", "words", "docs", "text_keys", "places", "lows", "highs"]
+SUFFIXES = ", ".join(f"{n} binary" for n in NAMES)
+DEALT = "bucket int, " + SUFFIXES
+
+
+class Suffixes:
+    """Suffixes at anchors. A row of words holds `reach` words before the anchor and a window from it on (0: not known); the
+    anchor's windows start low to high words before it; place is the anchor's position in its text."""
+
+    def __init__(self, words, docs, text_keys, places, lows, highs):
+        self.words, self.docs, self.text_keys, self.places, self.lows, self.highs = words, docs, text_keys, places, lows, highs
 
+    def __len__(self) -> int:
+        return len(self.docs)
 
-def opened(blob: bytes, kind) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), kind)
+    def __getitem__(self, at) -> Suffixes:
+        return Suffixes(*(x[at] for x in (self.words, self.docs, self.text_keys, self.places, self.lows, self.highs)))
 
+    @staticmethod
+    def joined(parts: list[Suffixes]) -> Suffixes:
+        return Suffixes(*(np.concatenate([getattr(p, n) for p in parts]) for n in ("words", "docs", "text_keys", "places", "lows", "highs")))
 
-SUFFIXES = "table binary, words binary, docs binary, text_keys binary, starts binary"
-NAMES = ["table", "words", "docs", "text_keys", "starts"]
+    def coded(self) -> list[bytes]:
+        """Compressed columns, with a table of distinct words."""
+        table, at = np.unique(self.words, return_inverse=True)
+        at = at.reshape(self.words.shape).astype(np.uint16 if len(table) < 65536 else np.uint32).T
+        squeeze = zstandard.ZstdCompressor(level=1)
+        columns = (table, at, self.docs, self.text_keys, self.places.astype(np.int32), self.lows.astype(np.uint8), self.highs.astype(np.uint8))
+        return [squeeze.compress(np.ascontiguousarray(c).tobytes()) for c in columns]
 
+    @staticmethod
+    def decoded(row: list[bytes]) -> Suffixes:
+        opened = [zstandard.ZstdDecompressor().decompress(x) for x in row]
+        table, docs, keys, places, lows, highs = (np.frombuffer(opened[i], k) for i, k in ((0, np.uint64), (2, np.int64), (3, np.int64), (4, np.int32), (5, np.uint8), (6, np.uint8)))
+        at = np.frombuffer(opened[1], np.uint16 if len(table) < 65536 else np.uint32)
+        return Suffixes(table[at].reshape(-1, len(docs)).T, docs, keys, places, lows.astype(np.int64), highs.astype(np.int64))
 
-def coded(matrix: np.ndarray, docs: np.ndarray, keys: np.ndarray, starts: np.ndarray) -> list[bytes]:
-    """Suffixes (a row of word fingerprints each) with a table of distinct words."""
-    table, at = np.unique(matrix, return_inverse=True)
-    return packed(table, at.reshape(matrix.shape).astype(np.uint16 if len(table) < 65536 else np.uint32).T, docs, keys, starts.astype(np.int32))
+    def windows(self, width: int, back: int) -> tuple[np.ndarray, np.ndarray]:
+        """Which suffixes have a window that starts so many words before the anchor, and these windows."""
+        own = np.flatnonzero((self.lows <= back) & (back <= self.highs))
+        reach = self.words.shape[1] - width
+        return own, self.words[own, reach - back : reach - back + width]
 
+    def as_windows(self, width: int) -> Suffixes:
+        """Each window as a suffix of its own."""
+        reach, parts = self.words.shape[1] - width, []
+        for back in range(reach + 1):
+            own, words = self.windows(width, back)
+            wide = np.concatenate([np.zeros((len(own), reach), np.uint64), words], axis=1)
+            none = np.zeros(len(own), np.int64)
+            parts.append(Suffixes(wide, self.docs[own], self.text_keys[own], self.places[own] - np.int32(back), none, none))
+        return Suffixes.joined(parts)
 
-def decoded(row: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    table, docs, keys, starts = opened(row[0], np.uint64), opened(row[2], np.int64), opened(row[3], np.int64), opened(row[4], np.int32)
-    at = opened(row[1], np.uint16 if len(table) < 65536 else np.uint32)
-    return table[at].reshape(width, len(docs)).T, docs, keys, starts
+
+def rows_of(batches, names: list[str]):
+    """(first columns, suffixes) row by row."""
+    for b in batches:
+        for row in zip(*(b.column(n).to_pylist() for n in (*names, *NAMES))):
+            yield (*row[: len(names)], Suffixes.decoded(row[len(names) :]))
 
 
 def suffix_rows(width: int):
-    """Of each text the suffixes that can repeat."""
+    """Of each text the suffixes at anchors that other texts have too."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         words = Words(batch.column("text"))
         hashes = words.hashes()
-        start, value = anchors(hashes, words.offsets, width)
-        doc = np.searchsorted(words.offsets, start, side="right") - 1
+        start, value, place = anchors(hashes, words.offsets, width)
         shared = [np.frombuffer(b"".join(x.as_py()), np.uint64) for x in batch.column("shared")]
-        if not len(start) or not shared:
+        if not len(start) or not sum(map(len, shared)):
             return None
+        doc = np.searchsorted(words.offsets, start, side="right") - 1
         spread = lambda v, d: mix(v ^ mix(d.astype(np.uint64) + np.uint64(1)))  # noqa: E731  one number for value and text; a clash only adds a suffix
         wanted = np.sort(spread(np.concatenate(shared), np.repeat(np.arange(len(shared)), [len(x) for x in shared])))
-        if not len(wanted):
-            return None
         own = spread(value, doc)
-        start, doc = (x[wanted[np.minimum(np.searchsorted(wanted, own), len(wanted) - 1)] == own] for x in (start, doc))
+        use = wanted[np.minimum(np.searchsorted(wanted, own), len(wanted) - 1)] == own
+        start, place, doc = start[use], place[use], doc[use]
         if not len(start):
             return None
-        matrix = hashes[start[:, None] + np.arange(width)]
-        row = coded(matrix, batch.column("id").to_numpy()[doc], batch.column("text_key").to_numpy()[doc], start - words.offsets[doc])
+        first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+        last = np.append(first[1:], len(place)) - 1
+        at, doc = place[first], doc[first]
+        highs, lows = at - start[first], at - start[last]
+        reach = width - min(RUN, width)
+        offset = np.arange(-reach, width)
+        known = (offset >= -highs[:, None]) & (offset < width - lows[:, None])
+        matrix = np.where(known, hashes[np.clip(at[:, None] + offset, 0, len(hashes) - 1)], np.uint64(0))
+        ids, keys = batch.column("id").to_numpy()[doc], batch.column("text_key").to_numpy()[doc]
+        row = Suffixes(matrix, ids, keys, at - words.offsets[doc], lows, highs).coded()
         return batch_of(NAMES, [pa.array([x], pa.binary()) for x in row])
 
     return run
 
 
 def prefix(matrix: np.ndarray, length: int) -> np.ndarray:
-    """A number for the first words of each suffix."""
+    """A number for the first words of each row."""
     total = np.full(len(matrix), np.uint64(length))
     for k in range(length):
         total = mix(total ^ matrix[:, k])
     return total
 
 
-def lengths_of(matrix: np.ndarray, large: dict[int, np.ndarray], width: int) -> np.ndarray:
-    """How many words make each suffix's prefix; width + 1 for a whole window that is too frequent for a tree."""
-    length, todo = np.ones(len(matrix), np.int64), np.arange(len(matrix))
-    for k in range(1, width + 1):
+def lengths_of(runs: np.ndarray, large: dict[int, np.ndarray]) -> np.ndarray:
+    """How many words make each suffix's prefix; one more than an anchor has if that is still too frequent."""
+    length, todo = np.ones(len(runs), np.int64), np.arange(len(runs))
+    for k in range(1, runs.shape[1] + 1):
         if k not in large or not len(todo):
             break
-        todo = todo[np.isin(prefix(matrix[todo], k), large[k])]
+        todo = todo[np.isin(prefix(runs[todo], k), large[k])]
         length[todo] = k + 1
     return length
 
 
+def anchors_of(s: Suffixes, width: int) -> np.ndarray:
+    reach = s.words.shape[1] - width
+    return s.words[:, reach : reach + min(RUN, width)]
+
+
 def counter(width: int, length: int, large: dict[int, np.ndarray]):
     """Counts of prefixes of a length among suffixes whose shorter prefixes are all too large."""
 
     def run(batches):
-        for b in batches:
-            for row in zip(*(b.column(n).to_pylist() for n in NAMES)):
-                matrix, *_ = decoded(row, width)
-                matrix = matrix[lengths_of(matrix, large, width) == length]
-                value, count = np.unique(prefix(matrix, length), return_counts=True)
-                yield batch_of(["prefix", "suffixes"], [value.view(np.int64), count.astype(np.int64)])
+        for (s,) in rows_of(batches, []):
+            runs = anchors_of(s, width)
+            runs = runs[lengths_of(runs, large) == length]
+            value, count = np.unique(prefix(runs, length), return_counts=True)
+            yield batch_of(["prefix", "suffixes"], [value.view(np.int64), count.astype(np.int64)])
 
     return run
 
 
 def frequent(width: int, large: dict[int, np.ndarray]):
-    """Smallest doc_id of each too frequent window, by batch."""
+    """Of windows of too frequent anchors: how many, and the smallest doc_id, by batch."""
 
     def run(batches):
-        for b in batches:
-            for row in zip(*(b.column(n).to_pylist() for n in NAMES)):
-                matrix, docs, *_ = decoded(row, width)
-                hot = lengths_of(matrix, large, width) > width
-                value, at = np.unique(prefix(matrix[hot], width), return_inverse=True)
-                least = np.full(len(value), LAST)
-                np.minimum.at(least, at, docs[hot])
-                yield batch_of(["window", "least"], [value.view(np.int64), least])
+        for (s,) in rows_of(batches, []):
+            w = s[lengths_of(anchors_of(s, width), large) > min(RUN, width)].as_windows(width)
+            value, at, count = np.unique(prefix(w.words[:, -width:], width), return_inverse=True, return_counts=True)
+            least = np.full(len(value), LAST)
+            np.minimum.at(least, at, w.docs)
+            yield batch_of(["window", "n", "least"], [value.view(np.int64), count.astype(np.int64), least])
 
     return run
 
 
-DEALT = "bucket int, " + SUFFIXES
-
-
 def dealer(width: int, large: dict[int, np.ndarray], hot: tuple[np.ndarray, np.ndarray], buckets: int):
-    """Suffixes by bucket of their prefix; removed positions of too frequent windows come out in bucket -1, ready."""
+    """Suffixes by bucket of their prefix. Removed places of too frequent windows come out in buckets below 0, ready."""
+
+    def dealt(s: Suffixes, key: np.ndarray):
+        bucket = bucket_of(key, buckets)
+        order = np.argsort(bucket, kind="stable")
+        bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        for k in np.flatnonzero(bounds[1:] > bounds[:-1]).tolist():
+            yield (k, *s[order[bounds[k] : bounds[k + 1]]].coded())
+
+    def out(s: Suffixes):
+        runs = anchors_of(s, width)
+        length = lengths_of(runs, large)
+        key = np.zeros(len(s), np.uint64)
+        for k in range(1, runs.shape[1] + 1):
+            at = length == k
+            key[at] = prefix(runs[at], k)
+        often = length > runs.shape[1]
+        yield from dealt(s[~often], key[~often])
+        if often.any():
+            w = s[often].as_windows(width)
+            key = prefix(w.words[:, -width:], width)
+            at = np.minimum(np.searchsorted(hot[0], key), max(0, len(hot[0]) - 1))
+            ready = hot[0][at] == key if len(hot[0]) else np.zeros(len(key), bool)
+            gone = w[ready][w.docs[ready] > hot[1][at[ready]]] if ready.any() else w[:0]
+            if len(gone):
+                yield (-1 - int(gone.places[0]) % buckets, *gone.coded())
+            yield from dealt(w[~ready], key[~ready])
 
     def run(batches):
-        for b in batches:
-            for row in zip(*(b.column(n).to_pylist() for n in NAMES)):
-                matrix, docs, keys, starts = decoded(row, width)
-                length = lengths_of(matrix, large, width)
-                out = []
-                if (often := length > width).any():
-                    least = hot[1][np.searchsorted(hot[0], prefix(matrix[often], width))]
-                    gone = docs[often] > least
-                    out.append((-1, *packed(np.zeros(0, np.uint64), np.zeros(0, np.uint16), docs[often][gone], keys[often][gone], starts[often][gone].astype(np.int32))))
-                key = np.zeros(len(docs), np.uint64)
-                for k in np.unique(length[~often]):
-                    at = length == k
-                    key[at] = prefix(matrix[at], int(k))
-                bucket = np.where(often, -1, bucket_of(key, buckets))
-                order = np.argsort(bucket, kind="stable")
-                bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
-                for k in range(buckets):
-                    if bounds[k] < bounds[k + 1]:
-                        at = order[bounds[k] : bounds[k + 1]]
-                        out.append((k, *coded(matrix[at], docs[at], keys[at], starts[at])))
-                kinds = [pa.int32(), *[pa.binary()] * len(NAMES)]
-                if out:
-                    yield batch_of(["bucket", *NAMES], [pa.array(c, t) for c, t in zip(zip(*out), kinds)])
+        held: list[Suffixes] = []
+        kinds = [pa.int32(), *[pa.binary()] * len(NAMES)]
+
+        def batch():
+            rows = list(out(Suffixes.joined(held)))
+            held.clear()
+            return batch_of(["bucket", *NAMES], [pa.array(c, t) for c, t in zip(zip(*rows), kinds)])
+
+        for (s,) in rows_of(batches, []):
+            held.append(s)
+            if sum(map(len, held)) >= 100_000:
+                yield batch()
+        if sum(map(len, held)):
+            yield batch()
 
     return run
 
 
+def lexicographic(matrix: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """Order of rows by words, then document."""
+    table, rank = np.unique(matrix, return_inverse=True)
+    rank = rank.reshape(matrix.shape).astype(np.uint64)
+    bits = max(1, int(len(table)).bit_length())
+    keys = []
+    for low in range(0, matrix.shape[1], 64 // bits):
+        key = np.zeros(len(matrix), np.uint64)
+        for c in range(low, min(low + 64 // bits, matrix.shape[1])):
+            key = (key << np.uint64(bits)) | rank[:, c]
+        keys.append(key)
+    return np.lexsort((docs, *keys[::-1]))
+
+
 def subtree_repeats(matrix: np.ndarray, docs: np.ndarray) -> np.ndarray:
     """Which leaves lie below an internal node as deep as a window that has a leaf of a smaller doc_id.
 
     Rows in lexicographic order with the lengths of their common prefixes describe the trees; the nodes of full depth are the
     runs of rows between which that length is the whole width.
     """
-    order = np.lexsort((docs, *matrix.T[::-1]))
+    gone = np.zeros(len(docs), bool)
+    if len(docs) < 2:
+        return gone
+    order, width = lexicographic(matrix, docs), matrix.shape[1]
     sorted_ = matrix[order]
-    common = np.minimum.reduce(np.where(sorted_[1:] != sorted_[:-1], np.arange(matrix.shape[1]), matrix.shape[1]), axis=1) if len(order) > 1 else np.zeros(0, np.int64)
-    node = np.concatenate([[0], np.cumsum(common < matrix.shape[1])])
+    differs = sorted_[1:] != sorted_[:-1]
+    common = np.where(differs.any(axis=1), differs.argmax(axis=1), width)
+    node = np.concatenate([[0], np.cumsum(common < width)])
     first = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
     least = docs[order][first]  # leaves of a node are in order of doc_id
-    gone = np.zeros(len(order), bool)
     gone[order] = docs[order] > least[node]
     return gone
 
 
-def searched(width: int):
+PLACES = "part int, ids binary, text_keys binary, starts binary"
+
+
+def searched(width: int, parts: int):
+    """Starts of windows to remove, by part of the documents."""
+
     def emit(docs, keys, starts):
-        order = np.lexsort((starts, keys, docs))
-        docs, keys, starts = docs[order], keys[order], starts[order].astype(np.int32)
-        at = np.flatnonzero(np.concatenate([[True], (docs[1:] != docs[:-1]) | (keys[1:] != keys[:-1])]))
-        return batch_of(["id", "text_key", "starts"], [docs[at], keys[at], pa.array([x.tobytes() for x in np.split(starts, at[1:])], pa.binary())])
+        part, (d, k, s) = blobs((docs % parts).astype(np.int64), docs, keys, starts.astype(np.int32))
+        return batch_of(["part", "ids", "text_keys", "starts"], [pa.array(part.astype(np.int32)), *(pa.array(x, pa.binary()) for x in (d, k, s))])
+
+    def found(held: list[Suffixes]):
+        s, out = Suffixes.joined(held), []
+        for back in range(s.words.shape[1] - width + 1):
+            own, matrix = s.windows(width, back)
+            at = own[subtree_repeats(matrix, s.docs[own])]
+            out.append((s.docs[at], s.text_keys[at], s.places[at] - np.int32(back)))
+        return [np.concatenate(x) for x in zip(*out)]
 
     def run(batches):
-        at, rows = None, []
-
-        def close():
-            if rows:
-                m, d, k, s = (np.concatenate(x) for x in zip(*rows))
-                gone = subtree_repeats(m, d)
-                if gone.any():
-                    return emit(d[gone], k[gone], s[gone])
-            return None
+        at, held = None, []
+        for bucket, s in rows_of(batches, ["bucket"]):
+            if bucket < 0:
+                yield emit(s.docs, s.text_keys, s.places)
+                continue
+            if bucket != at:
+                if held and len((out := found(held))[0]):
+                    yield emit(*out)
+                at, held = bucket, []
+            held.append(s)
+        if held and len((out := found(held))[0]):
+            yield emit(*out)
 
-        for b in batches:
-            for bucket, *row in zip(*(b.column(n).to_pylist() for n in ("bucket", *NAMES))):
-                if bucket == -1:
-                    docs, keys, starts = opened(row[2], np.int64), opened(row[3], np.int64), opened(row[4], np.int32)
-                    if len(docs):
-                        yield emit(docs, keys, starts)
-                    continue
-                if bucket != at:
-                    if (out := close()) is not None:
-                        yield out
-                    at, rows = bucket, []
-                rows.append(decoded(row, width))
-        if (out := close()) is not None:
-            yield out
+    return run
+
+
+def gathered(width: int):
+    """By document the word ranges to remove, as pairs of 32-bit numbers."""
+
+    def ranges(d, k, s):
+        order = np.lexsort((s, k, d))
+        d, k, s = d[order], k[order], s[order].astype(np.int64)
+        other = np.concatenate([[True], (d[1:] != d[:-1]) | (k[1:] != k[:-1])])
+        begins = np.flatnonzero(other | np.concatenate([[True], s[1:] > s[:-1] + width]))
+        pairs = np.column_stack([s[begins], s[np.append(begins[1:], len(s)) - 1] + width]).astype(np.int32)
+        docs = np.flatnonzero(other[begins])
+        return batch_of(["id", "text_key", "ranges"], [d[begins][docs], k[begins][docs], pa.array([x.tobytes() for x in np.split(pairs, docs[1:])], pa.binary())])
+
+    def run(batches):
+        renamed = (b.rename_columns(["bucket", *b.schema.names[1:]]) for b in batches)
+        for _, (d, k, s) in by_bucket(renamed, ["ids", "text_keys", "starts"]):
+            yield ranges(np.frombuffer(d, np.int64), np.frombuffer(k, np.int64), np.frombuffer(s, np.int32))
 
     return run
 
@@ -278,19 +378,17 @@ def removal(width: int):
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         total, removed, digest, texts = [], [], [], []
-        for text, starts, whole in zip(batch.column("text"), batch.column("starts"), batch.column("whole").to_pylist()):
+        for text, ranges, whole in zip(batch.column("text"), batch.column("ranges"), batch.column("whole").to_pylist()):
             words = (text.as_buffer().to_pybytes() if text.is_valid and len(text.as_buffer()) else b"").split()
             n = len(words)
             if whole and n >= width:
                 words = []
-            elif starts.is_valid:
-                steps = np.zeros(n + 1, np.int64)
-                for part in starts.as_py():
-                    at = np.frombuffer(part, np.int32)
-                    np.add.at(steps, at, 1)
-                    np.add.at(steps, at + width, -1)
-                keep = np.cumsum(steps[:-1]) == 0
-                words = [w for w, k in zip(words, keep.tolist()) if k]
+            elif ranges.is_valid:
+                kept, done = [], 0
+                for low, high in np.frombuffer(ranges.as_py(), np.int32).reshape(-1, 2).tolist():
+                    kept += words[done:low]
+                    done = max(done, high)
+                words = kept + words[done:]
             left = b" ".join(words)
             total.append(n)
             removed.append(n - len(words))
@@ -307,19 +405,18 @@ def removal(width: int):
 def remove_repeats(docs: DataFrame, width: int = 13, least_broadcast: int = 500_000) -> DataFrame:
     """A row for each document: n_words, n_removed, kept_sha256 of its kept words joined by a space, and kept_text if any went."""
     spark = docs.sparkSession
-    buckets = buckets_for(spark)
     keyed = with_keys(docs)
     single, copies = distinct_texts(keyed, least_broadcast)
     single = single.withColumnRenamed("k1", "text_key")
 
+    buckets = buckets_for(spark)
     dealt = arrow_map(single.select("text_key", "text"), anchor_rows(width, buckets), "bucket int, anchors binary, text_keys binary").repartition("bucket").sortWithinPartitions("bucket")
     shared = dealt.mapInArrow(shared_anchors, "text_key bigint, shared binary").groupBy("text_key").agg(F.collect_list("shared").alias("shared"))
-    shared = looked_up(shared, "shared", least_broadcast)
-    suffixes = materialize(arrow_map(single.join(shared, "text_key").select("id", "text_key", "text", "shared"), suffix_rows(width), SUFFIXES), "suffixes")
+    suffixes = materialize(arrow_map(single.select("id", "text_key", "text").join(shared, "text_key"), suffix_rows(width), SUFFIXES), "suffixes")
 
     large: dict[int, np.ndarray] = {}
     total = 0
-    for length in range(1, width + 1):
+    for length in range(1, min(RUN, width) + 1):
         counts = suffixes.mapInArrow(counter(width, length, large), "prefix bigint, suffixes bigint").groupBy("prefix").agg(F.sum("suffixes").alias("suffixes"))
         if length == 1:
             counts = materialize(counts, "prefixes")
@@ -329,15 +426,15 @@ def remove_repeats(docs: DataFrame, width: int = 13, least_broadcast: int = 500_
             break
         large[length] = np.sort(np.ascontiguousarray(found).view(np.uint64))
     hot = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-    if width in large:
-        least = suffixes.mapInArrow(frequent(width, large), "window bigint, least bigint").groupBy("window").agg(F.min("least").alias("least")).toArrow()
+    if min(RUN, width) in large:
+        least = suffixes.mapInArrow(frequent(width, large), "window bigint, n bigint, least bigint").groupBy("window").agg(F.sum("n").alias("n"), F.min("least").alias("least")).filter(F.col("n") > GROUP).toArrow()
         value = np.ascontiguousarray(least.column("window").to_numpy()).view(np.uint64)
         order = np.argsort(value)
         hot = (value[order], least.column("least").to_numpy()[order])
-    groups = max(buckets, -(-2 * total // GROUP))
+    groups = max(LEAST_BUCKETS, -(-2 * total // GROUP))
     dealt = suffixes.mapInArrow(dealer(width, large, hot, groups), DEALT).repartition("bucket").sortWithinPartitions("bucket")
-    removed = dealt.mapInArrow(searched(width), "id bigint, text_key bigint, starts binary").groupBy("id", "text_key").agg(F.collect_list("starts").alias("starts"))
-    removed = looked_up(removed, "removed", least_broadcast)
+    places = dealt.mapInArrow(searched(width, buckets), PLACES).repartition("part").sortWithinPartitions("part")
+    removed = looked_up(places.mapInArrow(gathered(width), "id bigint, text_key bigint, ranges binary"), "removed", least_broadcast)
     told = keyed.withColumnRenamed("k1", "text_key").join(copies.select("id", F.col("k1").alias("text_key"), F.lit(True).alias("whole")), ["id", "text_key"], "left")
-    told = told.join(removed, ["id", "text_key"], "left").select(F.when(F.col("id") < NO_ID, F.col("id")).alias("doc_id"), "text", "starts", "whole")
+    told = told.join(removed, ["id", "text_key"], "left").select(F.when(F.col("id") < NO_ID, F.col("id")).alias("doc_id"), "text", "ranges", "whole")
     return arrow_map(told, removal(width), "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept_text string")
