@@ -4,8 +4,10 @@ A document's set are the 64-bit fingerprints of its distinct word shingles. Sets
 D = (1-t)/(1+t) * (sum of sizes) elements. The space of elements is cut into m > D parts, so linked sets agree on m - D parts
 at least; the fingerprints of a set's parts are dealt out and documents with an equal part and fitting sizes are chained into
 candidate groups. m is one number for a class of sizes; a document near the top of its class also takes part in the next one.
-Parts with at most one element say little: a document leaves them out if it has fewer than m - D of them (then an agreeing
-pair has another part in common). No pairs are listed, and a passage that many documents share makes no candidates.
+Parts that say little - (nearly) empty ones, and parts that more than `COMMON` documents share, such as those of a common
+line - are left out by any document that has fewer than m - D of them: it has a telling part in common with each document
+it is linked with. Documents with more of them, such as members of a large group of near copies, are chained by those too.
+No pairs are listed.
 
 The whole set of each document of a group goes to that group, once. There, inverted lists answer a T-occurrence query for
 each document (T: elements that a linked set must share): short lists are merged and counted, the longest ones are set aside
@@ -32,7 +34,9 @@ from .graph import components
 #: Sizes in a class differ by this factor at most.
 CLASS_RATIO = 1.4
 #: Elements that a task holds at once; larger groups are cut into blocks.
-GROUP_ELEMENTS = 8_000_000
+GROUP_ELEMENTS = 2_000_000
+#: A part that more documents share is common.
+COMMON = 16
 
 
 def shingle_sets(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -64,27 +68,30 @@ def hash_run(hashes: np.ndarray) -> int:
     return total
 
 
-def size_classes(most: int, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Upper ends of the classes of sizes up to `most`; D and m of each class."""
+def size_classes(most: int, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Upper ends of the classes of sizes up to `most`; D and m of each class; elements up to which a part says little."""
+    ratio = max(CLASS_RATIO, 100 / percent)  # so that linked sets lie in the same class or in neighbouring ones
     tops = [1]
     while tops[-1] < most:
-        tops.append(max(tops[-1] + 1, int(tops[-1] * CLASS_RATIO)))
+        tops.append(max(tops[-1] + 1, int(tops[-1] * ratio)))
     tops = np.array(tops, np.int64)
     differ = 2 * tops * (100 - percent) // (100 + percent)
-    spare = np.maximum(1, np.where(differ > 8, (differ * (100 - percent)) // 120 + 2, 1))
-    return tops, differ, differ + spare
+    parts = differ + np.maximum(1, np.where(differ > 8, differ // 6 + 2, 1))
+    mean = np.concatenate([[1], tops[:-1] + 1]) / parts  # elements of a part, in the smallest sets of the class
+    few = (1 + mean) * np.exp(-mean) * parts < (parts - differ) / 2
+    return tops, differ, parts, few.astype(np.int64)
 
 
 def part_rows(width: int, percent: int, buckets: int):
     """Of each document the fingerprints of its parts, by bucket; and a row with sizes of the slice's documents."""
 
-    def parts_of(element, offsets, sizes, chosen, level, ids, tops, differ, parts):
-        """Fingerprints, ids and sizes for documents `chosen`, cut as class `level` has it."""
+    def parts_of(element, sizes, chosen, level, ids, differ, parts, few):
+        """Fingerprints, ids and notes (size, level, how many parts may be left out) for documents `chosen`, cut as class `level` has it."""
         owner = np.repeat(np.arange(len(sizes)), sizes)
         use = chosen[owner]
         element, owner = element[use], owner[use]
         if not len(element):
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         m = parts[level[owner]].astype(np.uint64)
         part = ((element >> np.uint64(32)) * m >> np.uint64(32)).astype(np.int64)  # elements are in order, so parts are
         first = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (part[1:] != part[:-1])]))
@@ -92,9 +99,10 @@ def part_rows(width: int, percent: int, buckets: int):
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(element ^ np.uint64(0x5851F42D4C957F2D)), dtype=np.uint64)])
         print_ = total[np.append(first[1:], len(element))] - total[first]
         whose, part = owner[first], part[first]
-        weak = parts[level] - np.bincount(whose[held > 1], minlength=len(sizes))  # parts with at most one element
+        telling = held > few[level[whose]]
+        weak = parts[level] - np.bincount(whose[telling], minlength=len(sizes))
         allowed = parts[level] - differ[level]
-        told = (held > 1) | (weak >= allowed)[whose]
+        told = telling | (weak >= allowed)[whose]
         print_, whose, part = print_[told], whose[told], part[told]
         none = np.flatnonzero(chosen & (weak >= allowed))  # these need their empty parts too
         full = np.concatenate([[0], np.cumsum(np.bincount(owner[first], minlength=len(sizes)))])
@@ -107,64 +115,86 @@ def part_rows(width: int, percent: int, buckets: int):
             whose = np.concatenate([whose, np.repeat(none, [len(x) for x in empty])])
             part = np.concatenate([part, *empty])
         key = mix(print_ ^ mix(part.astype(np.uint64) * np.uint64(1 << 20) + level[whose].astype(np.uint64) + np.uint64(1)))
-        return key, ids[whose], sizes[whose].astype(np.int32)
+        spare = np.clip(allowed - weak, 0, 255)
+        return key, ids[whose], (sizes + (level << 32) + (spare << 40))[whose]
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         element, offsets = shingle_sets(batch.column("text"), width)
         sizes, ids = np.diff(offsets), batch.column("id").to_numpy()
-        tops, differ, parts = size_classes(int(sizes.max()) * 2 + 2, percent)
+        tops, differ, parts, few = size_classes(int(sizes.max()) * 2 + 4, percent)
         level = np.searchsorted(tops, sizes)
-        own = parts_of(element, offsets, sizes, sizes > 0, level, ids, tops, differ, parts)
+        own = parts_of(element, sizes, sizes > 0, level, ids, differ, parts, few)
         upper = (sizes > 0) & (100 * sizes >= percent * (tops[level] + 1))  # can be linked with a set of the next class
-        above = parts_of(element, offsets, sizes, upper, level + 1, ids, tops, differ, parts)
+        above = parts_of(element, sizes, upper, level + 1, ids, differ, parts, few)
         key, doc, n = (np.concatenate(x) for x in zip(own, above))
         bucket, (e, d, s) = blobs(bucket_of(key, buckets), key, doc, n)
-        told = [batch.column("k1").to_numpy().astype(np.int64).tobytes(), ids.tobytes(), sizes.astype(np.int32).tobytes()]
+        told = [batch.column("k1").to_numpy().astype(np.int64).tobytes(), ids.tobytes(), sizes.astype(np.int64).tobytes()]
         somewhere = int(ids[0]) % buckets
         return batch_of(
-            ["bucket", "told", "keys", "docs", "sizes"],
+            ["bucket", "told", "keys", "docs", "notes"],
             [pa.array([*bucket.tolist(), somewhere], pa.int32()), pa.array([False] * len(e) + [True]), pa.array([*e, told[0]], pa.binary()), pa.array([*d, told[1]], pa.binary()), pa.array([*s, told[2]], pa.binary())],
         )
 
     return run
 
 
-PARTS = "bucket int, told boolean, keys binary, docs binary, sizes binary"
+PARTS = "bucket int, told boolean, keys binary, docs binary, notes binary"
+FOUND = "kind int, a bigint, b bigint, n bigint"
+EDGE, DOCUMENT, SHARED = 0, 1, 2
 
 
 def chains(percent: int):
-    """Candidate edges (a, b): among documents with an equal part, in order of size, neighbours whose sizes fit.
-
-    Rows with sizes pass through: a is then the document, b its text's key, n the size of its set.
+    """EDGE rows (a, b): among documents with an equal part, in order of size, neighbours whose sizes fit. SHARED rows: document
+    a has the common part b, with note n. DOCUMENT rows pass through: a is the document, b its text's key, n the size of its set.
     """
 
-    def joined(key, doc, size):
-        e, d, n = np.frombuffer(key, np.uint64), np.frombuffer(doc, np.int64), np.frombuffer(size, np.int32).astype(np.int64)
+    def rows(kind, a, b, n):
+        return batch_of(["kind", "a", "b", "n"], [pa.array(np.full(len(a), kind, np.int32)), np.ascontiguousarray(a), np.ascontiguousarray(b), n])
+
+    def joined(key, doc, note):
+        e, d, note = np.frombuffer(key, np.uint64), np.frombuffer(doc, np.int64), np.frombuffer(note, np.int64)
+        n = note & 0xFFFFFFFF
         order = np.lexsort((d, n, e))
-        e, d, n = e[order], d[order], n[order]
-        meet = np.flatnonzero((e[1:] == e[:-1]) & (d[1:] != d[:-1]) & (100 * n[:-1] >= percent * n[1:]))
+        e, d, n, note = e[order], d[order], n[order], note[order]
+        first = np.flatnonzero(np.concatenate([[True], e[1:] != e[:-1]]))
+        common = np.repeat(np.diff(np.append(first, len(e))) > COMMON, np.diff(np.append(first, len(e))))
+        meet = np.flatnonzero((e[1:] == e[:-1]) & (d[1:] != d[:-1]) & (100 * n[:-1] >= percent * n[1:]) & ~common[1:])
         pairs = np.unique(np.column_stack([np.maximum(d[meet], d[meet + 1]), np.minimum(d[meet], d[meet + 1])]), axis=0)
-        return batch_of(["a", "b", "n"], [np.ascontiguousarray(pairs[:, 0]), np.ascontiguousarray(pairs[:, 1]), pa.nulls(len(pairs), pa.int64())])
+        yield rows(EDGE, pairs[:, 0], pairs[:, 1], pa.nulls(len(pairs), pa.int64()))
+        if common.any():
+            yield rows(SHARED, d[common], e[common].view(np.int64), note[common])
 
     def run(batches):
         at, held = None, ([], [], [])
         for b in batches:
-            for bucket, told, *row in zip(*(b.column(n).to_pylist() for n in ("bucket", "told", "keys", "docs", "sizes"))):
+            for bucket, told, *row in zip(*(b.column(n).to_pylist() for n in ("bucket", "told", "keys", "docs", "notes"))):
                 if told:
-                    yield batch_of(["a", "b", "n"], [np.frombuffer(row[1], np.int64), np.frombuffer(row[0], np.int64), np.frombuffer(row[2], np.int32).astype(np.int64)])
+                    yield rows(DOCUMENT, np.frombuffer(row[1], np.int64), np.frombuffer(row[0], np.int64), np.frombuffer(row[2], np.int64))
                     continue
                 if bucket != at:
                     if at is not None:
-                        yield joined(*(b"".join(h) for h in held))
+                        yield from joined(*(b"".join(h) for h in held))
                     at, held = bucket, ([], [], [])
                 for h, v in zip(held, row):
                     h.append(v)
         if at is not None:
-            yield joined(*(b"".join(h) for h in held))
+            yield from joined(*(b"".join(h) for h in held))
 
     return run
 
 
+def chained_by_common(found: DataFrame) -> DataFrame:
+    """Edges by common parts, of documents with too many of them to leave them out: each to the least document of the part.
+
+    Counts and minima are summed on the map side; the joins have one row for each key on one side.
+    """
+    shared = found.filter(F.col("kind") == SHARED).select(F.col("a").alias("id"), F.col("b").alias("part"), F.shiftright("n", 32).bitwiseAND(F.lit(255)).alias("level"), F.shiftright("n", 40).alias("spare"))
+    full = shared.groupBy("id", "level").agg(F.count("*").alias("parts"), F.max("spare").alias("spare")).filter("parts >= spare").select("id", "level")
+    kept = materialize(shared.join(full, ["id", "level"], "left_semi").select("id", "part"), "common")
+    least = kept.groupBy("part").agg(F.min("id").alias("b"))
+    return kept.join(least, "part").filter("id != b").select(F.col("id").alias("a"), "b")
+
+
 def whole_sets(width: int):
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         element, offsets = shingle_sets(batch.column("text"), width)
@@ -284,10 +314,10 @@ def jaccard_groups(docs: DataFrame, width: int = 3, percent: int = 90, least_bro
     keyed = with_keys(docs)
     single, copies = distinct_texts(keyed, least_broadcast)
     dealt = arrow_map(single.select("id", "k1", "text"), part_rows(width, percent, buckets), PARTS).repartition("bucket").sortWithinPartitions("bucket")
-    found = materialize(dealt.mapInArrow(chains(percent), "a bigint, b bigint, n bigint"), "chains")
-    sizes = found.filter("n IS NOT NULL").select(F.col("a").alias("id"), F.col("b").alias("k1"), "n")
+    found = materialize(dealt.mapInArrow(chains(percent), FOUND), "chains")
+    sizes = found.filter(F.col("kind") == DOCUMENT).select(F.col("a").alias("id"), F.col("b").alias("k1"), "n")
 
-    candidates = components(found.filter("n IS NULL").select("a", "b"))
+    candidates = components(found.filter(F.col("kind") == EDGE).select("a", "b").unionByName(chained_by_common(found)))
     sized = candidates.join(sizes.groupBy(F.col("id").alias("node")).agg(F.sum("n").alias("n")), "node")
     parts = sized.groupBy("component").agg(F.ceil(F.sum("n") / GROUP_ELEMENTS).cast("int").alias("parts"))
     grouped = looked_up(sized.join(parts, "component").select(F.col("node").alias("id"), "component", "parts"), "candidates", least_broadcast)
