@@ -98,15 +98,15 @@ def spans_of(kind: str, cut: Column) -> Column:
     return F.when(F.size(cut) > 1, folded).otherwise(F.slice(blank, 1, 0))
 
 
-def find_spans(docs: DataFrame, kinds: list[str] | None = None) -> DataFrame:
-    """docs with a column spans: array<struct<start, kind, stop, score>>, by start, then kind; kind is an index into NAMES."""
+def find_spans(docs: DataFrame, kinds: list[str] | None = None, to: str = "spans") -> DataFrame:
+    """docs with a column more: array<struct<start, kind, stop, score>>, by start, then kind; kind is an index into NAMES."""
     kinds = NAMES if kinds is None else kinds
     names = docs.columns
     kept = F.struct(*[F.col(f"`{c}`").alias(c) for c in names])
     plain = docs.select(kept.alias("__row"), F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), MARK, OTHER).alias("__plain"))
     cut = plain.select("__row", *[pieces(k, F.col("__plain")).alias(f"__{k}") for k in kinds])
     found = cut.select("__row", *[spans_of(k, F.col(f"__{k}")).alias(f"__{k}") for k in kinds])
-    return found.select("__row.*", F.sort_array(F.concat(*[F.col(f"__{k}") for k in kinds])).alias("spans"))
+    return found.select("__row.*", F.sort_array(F.concat(*[F.col(f"__{k}") for k in kinds])).alias(to))
 
 
 def span_text(spans: Column) -> Column:
@@ -144,7 +144,7 @@ def masked(text: Column, spans: Column) -> Column:
 def mask_documents(docs: DataFrame, least_score: float = 0.5) -> DataFrame:
     """The same documents with personal data masked; n_chars, if there, follows the text."""
     base = [NAMES.index(k) for k in BASE]
-    found = find_spans(docs)
-    text = F.when(F.col("text").isNotNull(), masked(F.col("text"), F.filter("spans", lambda s: s["kind"].isin(base) | (s["score"] >= least_score))))
-    out = found.withColumn("text", text).drop("spans")
+    found = find_spans(docs, to="__spans")
+    text = F.when(F.col("text").isNotNull(), masked(F.col("text"), F.filter("__spans", lambda s: s["kind"].isin(base) | (s["score"] >= least_score))))
+    out = found.withColumn("text", text).drop("__spans")
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
