@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, fixity, jaccard, license, mixing, packing, pii, quality, repeats
+from . import ann, chat, fixity, jaccard, license, mixing, packing, pii, quality, repeats, sql
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,5 +81,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return sql.oracle_sql()
