@@ -538,3 +538,120 @@ def stream_tumbling(spark, sf_dir):
 SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 6 HOUR AS session_end, count(*) AS n FROM s GROUP BY user_id, sid""")
 def stream_session(spark, sf_dir):
     return streaming.session_counts(table(spark, sf_dir, "events"))
+
+
+@query("WITH v AS (SELECT o_custkey AS key, o_orderdate AS seen_at, o_orderkey AS amendment FROM orders) SELECT key, arg_max(seen_at, (seen_at, amendment)) AS seen_at, arg_max(amendment, (seen_at, amendment)) AS amendment FROM v GROUP BY key")
+def stream_upsert(spark, sf_dir):
+    """orders as a stream, merged into keyed state batch by batch."""
+    path = f"{sf_dir}/orders.parquet"
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).option("pathGlobFilter", "orders.parquet").parquet(sf_dir).select(F.col("o_custkey").alias("key"), F.col("o_orderdate").alias("seen_at"), F.col("o_orderkey").alias("amendment"))
+    folder = streaming.work_folder(spark)
+    return streaming.upsert_stream(stream, streaming.SnapshotTable(spark, f"{folder}/state"), "key", [F.col("seen_at").desc(), F.col("amendment").desc()], f"{folder}/checkpoint", greatest=["amendment"])
+
+
+# ---- more functions and lookups ----
+
+
+@query(f"SELECT doc_id, trim(regexp_replace(lower(translate(text, '’‘ʼ′`´', '''''''''''''')), '\\s+', ' ', 'g')) AS soft, strip_accents(substr(text, 1, 300)) AS plain FROM documents")
+def soft_normalize(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.soft_normalize(F.col("text")).alias("soft"), text.strip_accents(F.substring("text", 1, 300)).alias("plain"))
+
+
+@query(rf"""WITH {LINES} SELECT doc_id, pos - 1 AS pos, length(line) <= 120 AND (regexp_matches(line, '^\s*\d+(\.\d+)*[.)]?\s+\S') OR line LIKE '%:' OR (line = upper(line) AND line <> lower(line) AND length(line) > 4)) AS heading FROM l""")
+def heading_lines(spark, sf_dir):
+    return documents.lines(table(spark, sf_dir, "documents"), "doc_id").select("doc_id", "pos", text.looks_like_heading(F.col("line")).alias("heading"))
+
+
+def words_sql(words) -> str:
+    return f"regexp_matches(lower(line), '{'|'.join(words)}')"
+
+
+@query(rf"""WITH {LINES} SELECT doc_id, pos - 1 AS pos, (CASE WHEN {words_sql(documents.REQUIREMENT_WORDS)} THEN 0.08 ELSE 0 END + CASE WHEN {words_sql(documents.DATE_WORDS)} OR regexp_matches(line, '{documents.DATE_HINT}') THEN 0.07 ELSE 0 END
++ CASE WHEN {words_sql(documents.EVALUATION_WORDS)} THEN 0.06 ELSE 0 END)::DOUBLE AS boost FROM l""")
+def keyword_boost(spark, sf_dir):
+    return documents.lines(table(spark, sf_dir, "documents"), "doc_id").select("doc_id", "pos", documents.keyword_boost(F.col("line")).alias("boost"))
+
+
+@query("SELECT event_id, props AS object FROM events")
+def json_extract(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", text.json_object(F.concat(F.lit("Here it is: "), "props", F.lit(" as asked."))).alias("object"))
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'cb:' || c_custkey WHEN c_custkey % 3 = 1 THEN 'cb:am:' || c_custkey ELSE 'src:' || c_name END AS stable_key, printf('%08d', c_custkey) || ',43' || c_nationkey AS codes,
+sha256('["a' || c_nationkey || '","b"]') AS attachment_hash, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment ELSE c_name END AS first_text, CASE WHEN c_custkey % 5 <> 0 THEN c_custkey::INT END AS amendment FROM customer""")
+def record_keys(spark, sf_dir):
+    from ..operators import notices as n
+
+    c, key = table(spark, sf_dir, "customer"), F.col("c_custkey")
+    s = key.cast("string")
+    uid = F.when(key % 3 == 0, F.concat(F.lit("cb:"), s, F.lit(":am02"))).when(key % 3 == 1, F.concat(F.lit("cb:am:"), s, F.lit(":am1"))).otherwise("")
+    nation = F.col("c_nationkey").cast("string")
+    return c.select(
+        "c_custkey", n.stable_key(uid, F.lit("src"), F.lit(" "), F.col("c_name")).alias("stable_key"), F.array_join(n.parse_codes(F.concat(F.lit("*"), F.lpad(s, 8, "0"), F.lit("\n* 43-"), nation)), ",").alias("codes"),
+        n.attachment_hash(F.array(F.lit("b"), F.concat(F.lit(" a"), nation), F.lit("b "), F.lit(""))).alias("attachment_hash"),
+        text.first_nonempty(F.when(key % 2 == 0, F.col("c_mktsegment")), F.lit("  "), F.col("c_name")).alias("first_text"), n.amendment(F.when(key % 5 != 0, F.concat(F.lit(" "), s)).otherwise("x1")).alias("amendment"),
+    )
+
+
+@query("SELECT o_orderkey, o_orderdate AS parsed, CAST(floor(epoch(o_orderdate - TIMESTAMP '1996-06-01') / 86400) AS BIGINT) AS days_left FROM orders")
+def parse_dates(spark, sf_dir):
+    forms = [F.date_format("o_orderdate", p) for p in ("yyyy-MM-dd HH:mm:ss.SSSSSS", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")]
+    raw = F.when(F.col("o_orderkey") % 2 == 0, forms[0]).otherwise(forms[1])
+    d = table(spark, sf_dir, "orders").select("o_orderkey", numbers.parse_timestamp(raw).alias("parsed"))
+    return d.withColumn("days_left", numbers.days_left(F.col("parsed"), F.lit(AS_OF).cast("timestamp")))
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderdate BETWEEN TIMESTAMP '1995-01-01' AND TIMESTAMP '1995-03-31'")
+def seen_between(spark, sf_dir):
+    return table(spark, sf_dir, "orders").filter(F.col("o_orderdate").between(F.lit("1995-01-01").cast("timestamp"), F.lit("1995-03-31").cast("timestamp"))).select("o_orderkey")
+
+
+@query("SELECT (user_id * 60)::BIGINT AS seconds FROM events WHERE event_type = 'purchase' ORDER BY ts DESC LIMIT 5")
+def recent_durations(spark, sf_dir):
+    """Purchases as runs: they end at their time and took as many minutes as the user's number."""
+    started = F.col("ts") - F.make_dt_interval(F.lit(0), F.lit(0), F.col("user_id").cast("int"))
+    return state.recent_durations(table(spark, sf_dir, "events").filter("event_type = 'purchase'").select(F.lit("ok").alias("status"), started.alias("started_at"), F.col("ts").alias("finished_at")))
+
+
+@query("SELECT source AS url, max(n_chars) AS n_chars, arg_max(doc_id, (n_chars, -doc_id)) AS fingerprint FROM documents GROUP BY source")
+def latest_cache_by_url(spark, sf_dir):
+    return lookups.newest(table(spark, sf_dir, "documents"), ["source"], "n_chars", "doc_id").select(F.col("source").alias("url"), "n_chars", F.col("doc_id").alias("fingerprint"))
+
+
+@query("""WITH c AS (SELECT 'k' || n_nationkey || ':am1' AS k, n_name AS v FROM nation WHERE n_nationkey % 2 = 0 UNION ALL SELECT 'k' || n_nationkey AS k, 'plain ' || n_name AS v FROM nation WHERE n_nationkey % 3 = 0)
+SELECT c_custkey, coalesce(a.v, b.v) AS v FROM customer LEFT JOIN c a ON a.k = 'k' || c_nationkey || ':am1' LEFT JOIN c b ON b.k = 'k' || c_nationkey""")
+def first_key_lookup(spark, sf_dir):
+    n = table(spark, sf_dir, "nation")
+    k = F.concat(F.lit("k"), F.col("n_nationkey").cast("string"))
+    cache = n.filter("n_nationkey % 2 = 0").select(F.concat(k, F.lit(":am1")).alias("k"), F.col("n_name").alias("v")).unionByName(n.filter("n_nationkey % 3 = 0").select(k.alias("k"), F.concat(F.lit("plain "), "n_name").alias("v")))
+    key = F.concat(F.lit("k"), F.col("c_nationkey").cast("string"))
+    wanted = table(spark, sf_dir, "customer").select("c_custkey", F.concat(key, F.lit(":am1")).alias("a"), key.alias("b"))
+    return lookups.first_key_lookup(wanted, cache, ["a", "b"], "k", "v").select("c_custkey", "v")
+
+
+@query("""WITH a AS (SELECT *, row_number() OVER (PARTITION BY o_orderpriority, o_custkey ORDER BY o_orderkey) AS x FROM orders), b AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority, o_orderkey) AS y FROM a WHERE x <= 3)
+SELECT o_orderkey FROM b WHERE y <= 4 ORDER BY o_custkey, o_orderpriority, o_orderkey LIMIT 500""")
+def chunk_quota(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").withColumn("item", F.concat_ws("/", F.lpad(F.col("o_custkey").cast("string"), 12, "0"), "o_orderpriority"))
+    return documents.quota(o, "item", "o_custkey", "o_orderkey", 3, 4, 500).select("o_orderkey")
+
+
+@query(f"""WITH {FINAL}, k AS (SELECT doc_id, score FROM f WHERE len(reasons) = 0 AND (is_direct OR score >= 70) ORDER BY score DESC, doc_id LIMIT 15), w AS (SELECT doc_id, score FROM f WHERE len(reasons) = 1 AND score >= 80)
+SELECT doc_id, CAST(score AS INTEGER) AS score FROM (SELECT *, 0 AS t FROM k UNION ALL SELECT *, 1 AS t FROM w WHERE doc_id NOT IN (SELECT doc_id FROM k)) ORDER BY t, score DESC, doc_id LIMIT 20""")
+def model_gate(spark, sf_dir):
+    d = scored(spark, sf_dir)
+    kept, watched = d.filter("reject_reason IS NULL").select("doc_id", "score"), rules.near_misses(d).filter("reject_reason <> 'exclude_below_score_threshold'").select("doc_id", "score")
+    return rules.model_gate(kept, watched, "doc_id", [F.col("score").desc(), F.col("doc_id")]).select("doc_id", F.col("score").cast("int").alias("score"))
+
+
+@query("SELECT c_custkey, c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F') AS reviewed FROM customer")
+def review_marks(spark, sf_dir):
+    marks = table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey"), F.lit(True).alias("reviewed")).distinct()
+    return table(spark, sf_dir, "customer").join(marks, "c_custkey", "left").select("c_custkey", F.coalesce("reviewed", F.lit(False)).alias("reviewed"))
+
+
+@query("SELECT event_id, CASE WHEN user_id % 4 = 0 THEN false ELSE true END AS signal FROM events")
+def any_signal(spark, sf_dir):
+    empty, some = F.array().cast("array<string>"), F.array(F.lit("x"))
+    e = table(spark, sf_dir, "events").select("event_id", F.create_map(F.lit("requirements"), empty, F.lit("dates"), F.when(F.col("user_id") % 4 == 0, empty).otherwise(some)).alias("m"))
+    return e.select("event_id", numbers.any_signal(F.col("m")).alias("signal"))
