@@ -133,7 +133,7 @@ def repair_leniently(x: Column) -> Column:
 
 
 def looks_like_heading(line: Column) -> Column:
-    numbered = line.rlike(r"^\s*\d+(\.\d+)*[.)]?\s+\S")
+    numbered = line.rlike(r"^\d+(\.\d+)*\.?\s+\S")
     shouted = (line == F.upper(line)) & (line != F.lower(line)) & (F.char_length(line) > 4)
     return (F.char_length(line) <= 120) & (line != "") & (numbered | line.endswith(":") | shouted)
 
@@ -146,7 +146,7 @@ def json_object(x: Column) -> Column:
 
 
 
-def listed(values: Column, most: int = 5) -> Column:
+def listed(values: Column, most: int = 3) -> Column:
     """Joined by commas, with a count of what is left out."""
     more = F.size(values) - most
-    return F.concat(F.array_join(F.slice(values, 1, most), ", "), F.when(more > 0, F.concat(F.lit(" +"), more.cast("string"), F.lit(" more"))).otherwise(F.lit("")))
+    return F.concat(F.array_join(F.slice(values, 1, most), ", "), F.when(more > 0, F.concat(F.lit(", +"), more.cast("string"), F.lit(" more"))).otherwise(F.lit("")))

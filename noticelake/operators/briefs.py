@@ -13,14 +13,27 @@ from ..functions.text import blank, json_object, match_key, normalize_text, trun
 BRIEF = "struct<category:string,fit:string,requirements:array<string>,stakeholders:array<string>,timeline:string,summary:string,next_step:string>"
 
 # Words that decide a category or a fit, the first that occurs in this order.
-CATEGORIES = {"erp": "ERP modernization", "procure": "Procurement", "payroll": "HR/payroll", "human": "HR/payroll", "integrat": "Integration/data", "data": "Integration/data", "managed": "AMS", "support": "AMS"}
-FITS = {"strong": "high", "high": "high", "good": "medium", "medium": "medium", "partial": "medium", "weak": "low", "low": "low", "none": "low"}
+CATEGORIES = {
+    "erp modernization": "ERP modernization", "erp modernisation": "ERP modernization", "erp upgrade": "ERP modernization", "erp migration": "ERP modernization",
+    "financial systems": "ERP modernization", "procurement": "procurement", "source to pay": "procurement", "procure to pay": "procurement", "hr": "HR/payroll", "hcm": "HR/payroll",
+    "hris": "HR/payroll", "payroll": "HR/payroll", "integration": "integration/data", "data": "integration/data", "ams": "AMS", "application management": "AMS",
+    "managed services": "AMS", "erp": "ERP modernization", "financial": "ERP modernization", "procure": "procurement", "supply": "procurement", "managed": "AMS",
+}
+FITS = {"strong": "strong", "high": "strong", "good": "strong", "moderate": "moderate", "medium": "moderate", "fair": "moderate", "weak": "weak", "low": "weak", "none": "weak"}
+RELEVANCE = {"high": "high", "medium": "medium", "moderate": "medium", "med": "medium", "low": "low"}
 
 
 def first_match(x: Column, words: dict[str, str], otherwise: str) -> Column:
     key, out = match_key(x), F.lit(otherwise)
     for word, name in reversed(words.items()):
-        out = F.when(key.rlike(rf"\b{match_word(word)}"), name).otherwise(out)
+        out = F.when(F.contains(key, F.lit(match_word(word))), name).otherwise(out)
+    return out
+
+
+def relevance(x: Column) -> Column:
+    out = F.lit("medium")
+    for word, name in RELEVANCE.items():
+        out = F.when(F.lower(F.trim(blank(x))) == word, name).otherwise(out)
     return out
 
 
@@ -47,13 +60,13 @@ def grounded(items: Column, text: Column) -> Column:
 def normalize_brief(df: DataFrame, reply: str, text: str, hinted: Column) -> DataFrame:
     """Adds brief: category, fit (unknown without a hint), grounded requirements, stakeholders, timeline, confidence, summary."""
     out = df.withColumn("__b", parse_reply(F.col(reply)))
-    found = grounded(as_list(F.col("__b.requirements"), 8), F.col(text))
+    found = grounded(as_list(F.col("__b.requirements"), 6), F.col(text))
     out = out.withColumn("__found", F.coalesce(found, F.array().cast("array<string>")))
     n = F.size("__found")
     confidence = F.when(hinted & (n >= 3), "high").when(n >= 2, "medium").otherwise("low")
     none = F.array().cast("array<string>")
     brief = F.struct(
-        first_match(F.col("__b.category"), CATEGORIES, "unknown").alias("category"),
+        first_match(F.col("__b.category"), CATEGORIES, "other").alias("category"),
         F.when(hinted, first_match(F.col("__b.fit"), FITS, "unknown")).otherwise("unknown").alias("fit"),
         F.when(confidence == "low", none).otherwise(F.col("__found")).alias("requirements"),
         as_list(F.col("__b.stakeholders"), 5).alias("stakeholders"),

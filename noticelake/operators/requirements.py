@@ -15,39 +15,62 @@ BOILERPLATE = [
     "references", "report", "introduction", "work completed", "results", "conclusion", "executive summary", "background", "overview", "purpose", "objectives", "summary",
     "methodology", "approach", "scope", "timeline", "schedule", "work plan", "project plan", "deliverables", "milestones",
 ]
-STAFFING_WORDS = ("resource", "consultant", "staff", "personnel", "ressource", "security clearance", "resume", "cv")
-SUBMISSION_WORDS = ("submit", "submission", "proposal", "bid", "deadline", "closing", "format", "form", "soumission", "offre")
+# Beginnings of items that say nothing; names that are requirements however short.
+BOILERPLATE_STARTS = ("summary", "introduction", "conclusion", "results", "background", "overview", "purpose", "objectives", "scope", "methodology", "approach", "security requirement", "appendix", "annex")
+SHORT_NAMES = ("ssl", "tls", "vpn", "ssh", "ipsec", "https", "aes", "rsa", "mfa")
+STANDARDS = r"\b(soc\s?1|soc\s?2|soc\s?3|iso\s?27001)\b"
+
+# Words that route an item.
+STAFFING_WORDS = ("level", "resource", "resources", "consultant", "consultants", "specialist", "analyst", "architect", "project manager", "project executive", "developer", "engineer", "tbips", "spict")
+SUBMISSION_WORDS = ("submission", "submit", "bid", "response format", "proposal format", "file size", "portal", "email", "deadline", "due date", "closing date", "must be submitted", "submit via", "submit by", "response must", "proposal must")
+TECHNICAL_WORDS = (
+    "integration", "api", "interface", "architecture", "data", "database", "security", "performance", "availability", "scalability", "cloud", "migration", "modernization",
+    "modernisation", "implementation", "deployment", "testing", "monitoring", "analytics", "reporting", "governance", "compliance", "privacy", "backup", "disaster recovery",
+    "resilience", "encryption", "authentication", "authorization", "identity", "access", "network", "hosting", "storage", "etl", "integration platform", "sensing", "risk",
+    "mapping", "modernization plan",
+)
 
 
 def has_evidence(item: Column, evidence: Column) -> Column:
     """Whether the evidence holds the item, a date of it, or two (all, if fewer) of its tokens of four characters or more."""
-    dates = F.regexp_extract_all(item, F.lit(f"({DATE_HINT})"), F.lit(1))
+    dates = F.transform(F.regexp_extract_all(item, F.lit(f"({DATE_HINT})"), F.lit(1)), match_key)
 
     def holds(x: Column) -> Column:
-        tokens = F.array_distinct(F.filter(F.split(x["key"], " "), lambda t: F.char_length(t) >= 4))
+        tokens = F.filter(F.split(x["key"], " "), lambda t: F.char_length(t) >= 4)
         some = let(tokens, lambda ts: (F.size(ts) > 0) & (F.size(F.filter(ts, lambda t: F.contains(x["text"], t))) >= F.least(F.lit(2), F.size(ts))))
-        return (x["key"] != "") & (F.contains(x["text"], x["key"]) | F.exists(dates, lambda d: F.contains(blank(evidence), d)) | some)
+        return (x["key"] != "") & (x["text"] != "") & (F.contains(x["text"], x["key"]) | F.exists(dates, lambda d: F.contains(x["text"], d)) | some)
 
     return let(F.struct(match_key(item).alias("key"), match_key(evidence).alias("text")), holds)
 
 
+def word_list(x: Column) -> Column:
+    return F.regexp_extract_all(x, F.lit("[A-Za-z0-9]+"), F.lit(0))
+
+
 def is_boilerplate(item: Column) -> Column:
+    """Of low signal, or one of the standard items, or a heading's beginning."""
     key = match_key(item)
-    return key.isin(*BOILERPLATE) | key.rlike(r"^(?:appendix|annex|section|page|part|figure|table|volume)(?: [a-z0-9]{1,4})?$") | (key == "")
+    return low_signal_requirement(item) | (key == "") | key.isin(*BOILERPLATE) | key.rlike("^(?:" + "|".join(BOILERPLATE_STARTS) + ")")
 
 
 def low_signal_date(item: Column) -> Column:
-    return ~blank(item).rlike(r"\d") & ~F.lower(blank(item)).rlike("deadline|closing|cloture|date limite")
+    x = F.trim(blank(item))
+    return (F.char_length(x) < 4) | ~x.rlike(r"\d")
 
 
 def low_signal_risk(item: Column) -> Column:
-    key = match_key(item)
-    return (F.char_length(key) < 12) | key.isin("none", "n a", "unknown", "not specified", "no risks identified")
+    x = F.trim(blank(item))
+    return (F.char_length(x) < 6) | ((F.size(word_list(x)) <= 2) & (F.char_length(x) < 18))
 
 
 def low_signal_requirement(item: Column) -> Column:
-    key = match_key(item)
-    return (F.char_length(key) < 8) | (F.size(F.split(key, " ")) < 2) | is_boilerplate(item)
+    """Short without being a known name, standard or code; or few words, mostly in capitals."""
+    x = F.trim(blank(item))
+    n, words = F.char_length(x), word_list(x)
+    short = (n < 8) | ((F.size(words) <= 2) & (n < 18))
+    known = F.lower(x).rlike(STANDARDS) | F.lower(x).isin(*SHORT_NAMES) | (F.contains(x, F.lit("/")) & (n <= 12)) | x.rlike(r"^[A-Z0-9/\\-]{2,10}$")
+    capitals = F.size(F.filter(words, lambda w: (w == F.upper(w)) & (w != F.lower(w)))) / F.greatest(F.size(words), F.lit(1))
+    return (x == "") | F.when(short, ~known).otherwise((F.size(words) <= 4) & (capitals >= 0.6))
 
 
 def ordered_distinct(items: Column) -> Column:
@@ -94,17 +117,17 @@ def clean_structured(df: DataFrame, attachment: str, evidence: str = "evidence",
 
 
 def route(item: Column) -> Column:
-    """staffing, submission or technical."""
-    key = match_key(item)
-    word = lambda words: key.rlike(r"\b(?:" + "|".join(words) + ")")
-    return F.when(word(STAFFING_WORDS), "staffing").when(word(SUBMISSION_WORDS), "submission").otherwise("technical")
+    """staffing if it holds a staffing word; submission if it holds a submission word and no technical one; else technical."""
+    low = F.lower(blank(item))
+    holds = lambda words: low.rlike("|".join(words))
+    return F.when(holds(STAFFING_WORDS), "staffing").when(holds(SUBMISSION_WORDS) & ~holds(TECHNICAL_WORDS), "submission").otherwise("technical")
 
 
 def routed(items: DataFrame, key: str, order: str, item: str, most: dict | None = None) -> DataFrame:
-    """(key, class, rank, item): one submission and two technical items of each key, each match key once; staffing is dropped."""
+    """(key, class, rank, item): one submission and two technical items of each key, each once; staffing is dropped."""
     most = most or {"submission": 1, "technical": 2}
-    told = items.withColumns({"class": route(F.col(item)), "__key": match_key(F.col(item))}).filter(F.col("class").isin(*most))
-    once = told.withColumn("__n", F.row_number().over(Window.partitionBy(key, "__key").orderBy(order))).filter("__n = 1")
+    told = items.withColumn("class", route(F.col(item))).filter(F.col("class").isin(*most) & (blank(F.col(item)) != ""))
+    once = told.withColumn("__n", F.row_number().over(Window.partitionBy(key, item).orderBy(order))).filter("__n = 1")
     ranked = once.withColumn("rank", F.row_number().over(Window.partitionBy(key, "class").orderBy(order)))
     limit = F.element_at(F.create_map(*[F.lit(x) for p in most.items() for x in p]), F.col("class"))
     return ranked.filter(F.col("rank") <= limit).select(key, "class", "rank", F.col(item).alias("item"))

@@ -74,7 +74,7 @@ def reject_reasons(config: RuleConfig, as_of: Column) -> Column:
     against = F.contains(kind, F.lit("rfp against supply arrangement")) | F.contains(kind, F.lit("decoulant d'un arrangement en matiere d'approvisionnement"))
     days = F.floor((F.unix_timestamp("close_at") - F.unix_timestamp(as_of)) / 86400)
     checks = {
-        "exclude_award_notice": T.any_of(kind, terms["award"]) | title.rlike("^(?:acan|pac)"),
+        "exclude_award_notice": T.any_of(kind, terms["award"]) | title.rlike(r"^(?:acan|pac)\b"),
         "exclude_supply_arrangement": F.lit(not config.include_supply) & T.any_of(text, terms["supply"]) & ~against,
         "exclude_staffing": ~direct & F.lit(not config.include_staffing) & title.rlike("|".join(config.staffing_patterns)),
         "exclude_negative_title": ~direct & T.any_of(title, terms["negative"]) & ~allowed,
@@ -125,10 +125,15 @@ def with_evidence(df: DataFrame, similarity: str = "similarity") -> DataFrame:
 
 def rationale(bucket: Column, similarity: Column) -> Column:
     """What speaks for a row, in words."""
-    part = lambda name, k: F.when(F.size(f"{k}_hits") > 0, F.concat(F.lit(f"{name}: "), listed(F.col(f"{k}_hits"))))
-    rules = F.concat_ws("; ", part("SAP", "direct"), part("ERP", "domain"), part("Transformation", "transform"), part("IT", "it"), F.when(F.col("it_code"), F.lit("IT code")))
-    meaning = F.concat(F.lit("Semantic: "), bucket, F.lit(" (sim "), F.format_number(similarity, 2), F.lit(")"))
-    return F.concat(F.lit("Rules: "), F.when(rules != "", rules).otherwise(F.lit("none")), F.lit(" | "), meaning)
+    some = lambda k: F.size(f"{k}_hits") > 0
+    part = lambda name, k: F.when(some(k), F.concat(F.lit(f"{name} ("), listed(F.col(f"{k}_hits")), F.lit(")")))
+    allowed = F.concat("allow_title_hits", "allow_product_hits")
+    rules = F.concat_ws(
+        "; ", F.when(F.col("is_direct"), F.coalesce(part("SAP direct", "direct"), F.lit("SAP direct"))), F.when(~F.col("is_direct"), part("ERP domain", "domain")), F.when(~F.col("is_direct"), part("Transform", "transform")),
+        F.when(F.col("it_code"), F.lit("UNSPSC IT")), F.when(F.size(allowed) > 0, F.concat(F.lit("Allowlist ("), listed(allowed, 2), F.lit(")"))),
+    )
+    meaning = F.when(bucket != "unknown", F.concat(F.lit("Semantic: "), bucket, F.coalesce(F.concat(F.lit(" (sim "), F.format_number(similarity, 2), F.lit(")")), F.lit(""))))
+    return F.concat_ws(" | ", F.when(rules != "", F.concat(F.lit("Rules: "), rules)), meaning)
 
 
 def reason_counts(df: DataFrame, most: int = 15) -> DataFrame:

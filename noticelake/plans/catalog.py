@@ -129,7 +129,7 @@ def cascade_sql() -> str:
     t = DATA_TERMS
     weak = "len(list_filter(direct, lambda x: x NOT IN ('password', 'ederwh'))) = 0 AND NOT contains(title, 'password') AND NOT contains(title, 'ederwh') AND NOT allowed AND (len(portal) > 0 OR (len(dom) = 0 AND len(it) = 0))"
     reasons = [
-        ("exclude_award_notice", f"{any_sql('kind', t['award'])} OR regexp_matches(title, '^(?:acan|pac)')"),
+        ("exclude_award_notice", rf"{any_sql('kind', t['award'])} OR regexp_matches(title, '^(?:acan|pac)\b')"),
         ("exclude_supply_arrangement", any_sql("body", t["supply"])),
         ("exclude_staffing", r"NOT is_direct AND regexp_matches(title, '\bin\b|\bder\b')"),
         ("exclude_negative_title", f"NOT is_direct AND {any_sql('title', t['negative'])} AND NOT allowed"),
@@ -333,7 +333,7 @@ def repeated_lines(spark, sf_dir):
     return documents.repeated_lines(table(spark, sf_dir, "documents"), "source", "doc_id")
 
 
-@query(rf"""WITH {LINES}, h AS (SELECT *, CASE WHEN length(line) <= 120 AND (regexp_matches(line, '^\s*\d+(\.\d+)*[.)]?\s+\S') OR line LIKE '%:' OR (line = upper(line) AND line <> lower(line) AND length(line) > 4)) AND line NOT LIKE '%.'
+@query(rf"""WITH {LINES}, h AS (SELECT *, CASE WHEN length(line) <= 120 AND (regexp_matches(line, '^\d+(\.\d+)*\.?\s+\S') OR line LIKE '%:' OR (line = upper(line) AND line <> lower(line) AND length(line) > 4)) AND line NOT LIKE '%.'
   AND len(regexp_split_to_array(line, '\s+')) <= 12 THEN 1 ELSE 0 END AS heading FROM l), s AS (SELECT *, sum(heading) OVER (PARTITION BY doc_id ORDER BY pos) AS section FROM h)
 SELECT doc_id, section::BIGINT AS section, arg_min(line, pos) AS heading, count(*) - 1 AS n_lines FROM s WHERE section BETWEEN 1 AND 8 GROUP BY doc_id, section""")
 def sectionize(spark, sf_dir):
@@ -380,16 +380,20 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.lines(table(spark, sf_dir, "documents"), "doc_id").withColumnRenamed("line", "item")
 
 
-@query(rf"""WITH {ITEMS}, b AS (SELECT *, k IN ({BOILER}) OR k = '' OR regexp_matches(k, '^(?:appendix|annex|section|page|part|figure|table|volume)(?: [a-z0-9]{{1,4}})?$') AS boiler FROM i)
-SELECT doc_id, pos, boiler AS boilerplate, length(k) < 8 OR len(string_split(k, ' ')) < 2 OR boiler AS low_requirement, NOT regexp_matches(item, '\d') AND NOT regexp_matches(lower(item), 'deadline|closing|cloture|date limite') AS low_date,
-length(k) < 12 OR k IN ('none', 'n a', 'unknown', 'not specified', 'no risks identified') AS low_risk FROM b""")
+STARTS, NAMES = "|".join(requirements.BOILERPLATE_STARTS), ", ".join(f"'{n}'" for n in requirements.SHORT_NAMES)
+
+
+@query(rf"""WITH {ITEMS}, w AS (SELECT *, length(item) AS n, regexp_extract_all(item, '[A-Za-z0-9]+') AS words FROM i),
+r AS (SELECT *, CASE WHEN n < 8 OR (len(words) <= 2 AND n < 18) THEN NOT (regexp_matches(lower(item), '{requirements.STANDARDS}') OR lower(item) IN ({NAMES}) OR (contains(item, '/') AND n <= 12) OR regexp_matches(item, '^[A-Z0-9/\\-]{{2,10}}$'))
+  ELSE len(words) <= 4 AND len(list_filter(words, lambda x: x = upper(x) AND x <> lower(x))) / greatest(len(words), 1) >= 0.6 END AS low FROM w)
+SELECT doc_id, pos, low OR k IN ({BOILER}) OR k = '' OR regexp_matches(k, '^(?:{STARTS})') AS boilerplate, low AS low_requirement, n < 4 OR NOT regexp_matches(item, '\d') AS low_date, n < 6 OR (len(words) <= 2 AND n < 18) AS low_risk FROM r""")
 def low_signal(spark, sf_dir):
     x = F.col("item")
     return items(spark, sf_dir).select("doc_id", "pos", requirements.is_boilerplate(x).alias("boilerplate"), requirements.low_signal_requirement(x).alias("low_requirement"), requirements.low_signal_date(x).alias("low_date"), requirements.low_signal_risk(x).alias("low_risk"))
 
 
-@query(rf"""WITH {ITEMS}, e AS (SELECT i.*, d.text, {key_sql('d.text')} AS body, list_distinct(list_filter(string_split(k, ' '), lambda t: length(t) >= 4)) AS tokens FROM i JOIN documents d ON d.doc_id = i.doc_id + 1)
-SELECT doc_id, pos, k <> '' AND (contains(body, k) OR len(list_filter(regexp_extract_all(item, '({documents.DATE_HINT})', 1), lambda q: contains(text, q))) > 0
+@query(rf"""WITH {ITEMS}, e AS (SELECT i.*, d.text, {key_sql('d.text')} AS body, list_filter(string_split(k, ' '), lambda t: length(t) >= 4) AS tokens FROM i JOIN documents d ON d.doc_id = i.doc_id + 1)
+SELECT doc_id, pos, k <> '' AND (contains(body, k) OR len(list_filter(regexp_extract_all(item, '({documents.DATE_HINT})', 1), lambda q: contains(body, trim(regexp_replace(lower(q), '[^a-z0-9]+', ' ', 'g'))))) > 0
   OR (len(tokens) > 0 AND len(list_filter(tokens, lambda t: contains(body, t))) >= least(2, len(tokens)))) AS supported FROM e""")
 def evidence_span(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select((F.col("doc_id") - 1).alias("doc_id"), "text")
@@ -402,11 +406,11 @@ def merge_requirements(spark, sf_dir):
     return requirements.merged_items(items(spark, sf_dir), "doc_id", "pos", "item").select("doc_id", F.array_join("items", "|").alias("items"))
 
 
-STAFF, SUBMIT = "|".join(requirements.STAFFING_WORDS), "|".join(requirements.SUBMISSION_WORDS)
+STAFF, SUBMIT, TECHNICAL = ("|".join(w) for w in (requirements.STAFFING_WORDS, requirements.SUBMISSION_WORDS, requirements.TECHNICAL_WORDS))
 
 
-@query(rf"""WITH {ITEMS}, r AS (SELECT *, CASE WHEN regexp_matches(k, '\b(?:{STAFF})') THEN 'staffing' WHEN regexp_matches(k, '\b(?:{SUBMIT})') THEN 'submission' ELSE 'technical' END AS class FROM i),
-o AS (SELECT *, row_number() OVER (PARTITION BY doc_id, k ORDER BY pos) AS n FROM r WHERE class <> 'staffing'), q AS (SELECT *, row_number() OVER (PARTITION BY doc_id, class ORDER BY pos) AS rank FROM o WHERE n = 1)
+@query(rf"""WITH {ITEMS}, r AS (SELECT *, CASE WHEN regexp_matches(lower(item), '{STAFF}') THEN 'staffing' WHEN regexp_matches(lower(item), '{SUBMIT}') AND NOT regexp_matches(lower(item), '{TECHNICAL}') THEN 'submission' ELSE 'technical' END AS class FROM i),
+o AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item ORDER BY pos) AS n FROM r WHERE class <> 'staffing'), q AS (SELECT *, row_number() OVER (PARTITION BY doc_id, class ORDER BY pos) AS rank FROM o WHERE n = 1)
 SELECT doc_id, class, CAST(rank AS INTEGER) AS rank, item FROM q WHERE rank <= CASE WHEN class = 'submission' THEN 1 ELSE 2 END""")
 def requirement_routing(spark, sf_dir):
     return requirements.routed(items(spark, sf_dir), "doc_id", "pos", "item")
@@ -557,7 +561,7 @@ def soft_normalize(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.soft_normalize(F.col("text")).alias("soft"), text.strip_accents(F.substring("text", 1, 300)).alias("plain"))
 
 
-@query(rf"""WITH {LINES} SELECT doc_id, pos - 1 AS pos, length(line) <= 120 AND (regexp_matches(line, '^\s*\d+(\.\d+)*[.)]?\s+\S') OR line LIKE '%:' OR (line = upper(line) AND line <> lower(line) AND length(line) > 4)) AS heading FROM l""")
+@query(rf"""WITH {LINES} SELECT doc_id, pos - 1 AS pos, length(line) <= 120 AND (regexp_matches(line, '^\d+(\.\d+)*\.?\s+\S') OR line LIKE '%:' OR (line = upper(line) AND line <> lower(line) AND length(line) > 4)) AS heading FROM l""")
 def heading_lines(spark, sf_dir):
     return documents.lines(table(spark, sf_dir, "documents"), "doc_id").select("doc_id", "pos", text.looks_like_heading(F.col("line")).alias("heading"))
 

@@ -78,7 +78,9 @@ def resource_choice(resources: DataFrame, preferred: str = "open") -> DataFrame:
     """The best CSV or ZIP resource about tenders: by preference, wording and language; the first where equal."""
     name = F.lower(F.col("name"))
     has = lambda w: F.contains(name, F.lit(w))
-    score = F.when(has("tender") & has("notice"), 10).otherwise(0) + F.when(has(preferred), 100).otherwise(0) + F.when(has("new"), 50).otherwise(0) + F.when(name.rlike("eng|english|anglais"), 5).otherwise(0)
+    second = {"open": "new", "new": "open"}.get(preferred)
+    score = F.when(has("tender") & has("notice"), 10).otherwise(0) + F.when(has(preferred), 100).otherwise(0) + (F.when(has(second), 50).otherwise(0) if second else F.lit(0))
+    score = score + F.when(has("en"), 5).otherwise(0) + F.when(has("french") | has("fr"), 5).otherwise(0)
     fits = F.upper("format").isin("CSV", "ZIP") & has("tender")
     return resources.filter(fits).withColumn("score", score).orderBy(F.col("score").desc(), "position").limit(1)
 

@@ -101,3 +101,11 @@ def test_stream_windows_equal_the_batch(spark, tmp_path):
     whole = streaming.tumbling_counts(events)
     got = streaming.run_to_table(streaming.tumbling_counts(stream), str(tmp_path / "o"), whole)
     assert {tuple(r) for r in got.collect()} <= {tuple(r) for r in whole.collect()} and got.count() > 0
+
+
+def test_low_signal_and_routes(spark):
+    d = spark.createDataFrame([(x,) for x in ("SOC 2", "TLS", "AB/12", "hosting", "Provide hosting services", "ACME CORP INC", "Scope of the work to do", "Level 3 analyst", "Submit via the portal", "Encrypted backup of data")], "x string")
+    got = d.select(requirements.low_signal_requirement(F.col("x")).alias("low"), requirements.is_boilerplate(F.col("x")).alias("b"), requirements.route(F.col("x")).alias("r")).collect()
+    assert [r["low"] for r in got] == [False, False, False, True, False, True, False, False, False, False]
+    assert got[6]["b"] and not got[4]["b"]
+    assert [r["r"] for r in got[7:]] == ["staffing", "submission", "technical"]

@@ -51,7 +51,7 @@ def test_threshold_and_rationale(spark):
     d = spark.createDataFrame([("ERP migration", "middleware", "", "", "", ["43210000"], None)], FIELDS)
     out = rules.final_score(rules.with_evidence(rules.cascade(d, F.lit(AS_OF).cast("timestamp")).withColumn("similarity", F.lit(0.5))))
     got = out.withColumn("why", rules.rationale(F.lit("AMS"), F.lit(0.5))).first()
-    assert got["score"] >= 70 and got["reject_reason"] is None and "ERP: erp" in got["why"]
+    assert got["score"] >= 70 and got["reject_reason"] is None and got["why"] == "Rules: ERP domain (erp); Transform (migration, migration); UNSPSC IT; Allowlist (erp) | Semantic: AMS (sim 0.50)"
 
 
 def test_notice_normalisation(spark):
@@ -67,5 +67,5 @@ def test_briefs(spark):
     reply = 'Sure: {"category": "erp upgrade", "fit": "Strong", "requirements": ["provide S/4HANA", "cook lunch", "train users"], "summary": "Short"} done'
     d = spark.createDataFrame([(reply, "The supplier must provide S/4HANA and train users.", True), ("no json", "text", False)], "reply string, text string, hint boolean")
     a, b = briefs.normalize_brief(d, "reply", "text", F.col("hint")).select("brief.*").collect()
-    assert (a["category"], a["fit"], a["confidence"], a["requirements"]) == ("ERP modernization", "high", "medium", ["provide S/4HANA", "train users"])
+    assert (a["category"], a["fit"], a["confidence"], a["requirements"]) == ("ERP modernization", "strong", "medium", ["provide S/4HANA", "train users"])
     assert (b["fit"], b["confidence"], b["requirements"]) == ("unknown", "low", [])
