@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batch_of, looked_up, materialize
+from .common import batch_of, looked_up, map_batches, materialize
 
 MARGIN = 1e-9
 BLOCKS = "curve int, dim int, ids binary, vectors binary, asks binary, centre binary, radius double"
@@ -183,9 +183,9 @@ def nearest(vectors: DataFrame, asks, k: int = 20, curves: int = 4, axes: int =
     rows = vectors.filter(sound).select(F.col("vec_id").cast("long").alias("vec_id"), numbers.alias("embedding"), F.size(numbers).alias("dim"), asks.alias("asks"))
     norm = F.aggregate("embedding", F.lit(0.0), lambda t, x: t + x * x)
     spread = math.sqrt(rows.agg(F.avg(norm)).first()[0] or 1.0)
-    keyed = rows.mapInArrow(keyer(curves, axes, bits, spread, seed), "curve int, key bigint, vec_id bigint, dim int, embedding array<double>, asks boolean")
-    blocks = materialize(keyed.repartitionByRange("curve", "dim", "key", "vec_id").sortWithinPartitions("curve", "dim", "key", "vec_id").mapInArrow(blocker(window), BLOCKS), "blocks")
-    first = materialize(ranked(blocks.mapInArrow(within(k), FOUND)).filter(F.col("rank") <= k), "windows")
+    keyed = map_batches(rows, keyer(curves, axes, bits, spread, seed), "curve int, key bigint, vec_id bigint, dim int, embedding array<double>, asks boolean")
+    blocks = materialize(map_batches(keyed.repartitionByRange("curve", "dim", "key", "vec_id").sortWithinPartitions("curve", "dim", "key", "vec_id"), blocker(window), BLOCKS), "blocks")
+    first = materialize(ranked(map_batches(blocks, within(k), FOUND)).filter(F.col("rank") <= k), "windows")
     if not whole:
         return first.select("query_id", "rank", "vec_id", "score")
     least = first.filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("least"))
@@ -194,5 +194,5 @@ def nearest(vectors: DataFrame, asks, k: int = 20, curves: int = 4, axes: int =
     queries = queries.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int")).groupBy("part", "dim").agg(F.collect_list(F.struct("vec_id", "embedding", "least")).alias("asking"))
     queries = looked_up(queries, "queries", most_rows=32)
     meeting = blocks.filter(F.col("curve") == 0).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).join(queries, ["part", "dim"])
-    rest = meeting.select("dim", "ids", "vectors", "centre", "radius", "asking").mapInArrow(across(k), FOUND)
+    rest = map_batches(meeting.select("dim", "ids", "vectors", "centre", "radius", "asking"), across(k), FOUND)
     return ranked(first.select("query_id", "vec_id", "score").unionByName(rest)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, join_on
+from .common import batch_of, join_on, map_batches
 
 EVENTS = "conv_id bigint, seq bigint, kind string, target bigint, role string, text string"
 SEGMENTS = "conv_id bigint, turn_no bigint, segment string, begins bigint, mask_from bigint, mask_to bigint"
@@ -100,7 +100,7 @@ def format_conversations(events: DataFrame) -> DataFrame:
     edits = edits.select("conv_id", F.col("target").alias("seq"), F.col("last.text").alias("edited"))
     live = join_on(events.filter(~F.col("kind").eqNullSafe("edit")), edits, ["conv_id", "seq"], "left")
     dealt = live.select("conv_id", "seq", "kind", "role", "text", "edited").repartition("conv_id").sortWithinPartitions("conv_id", "seq", "role", "text")
-    return dealt.mapInArrow(folded, SEGMENTS)
+    return map_batches(dealt, folded, SEGMENTS)
 
 
 def read_back(batches):
@@ -144,7 +144,7 @@ def _read(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def digest_conversations(segments: DataFrame) -> DataFrame:
-    return segments.mapInArrow(read_back, READ)
+    return map_batches(segments, read_back, READ)
 
 
 def message_events(conversations: DataFrame) -> DataFrame:

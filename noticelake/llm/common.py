@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 
 BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Text bytes that one step of a vectorised function works on; bounds a Python worker's memory.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -54,8 +56,8 @@ def text_key(text: Column) -> Column:
 
 
 def small_enough(df: DataFrame, most_rows: int) -> bool:
-    """Whether df has at most so many rows; counts no further than that."""
-    return df.limit(most_rows + 1).count() <= most_rows
+    """Whether df has at most so many rows; on written tables the count comes from the files' footers."""
+    return df.count() <= most_rows
 
 
 def looked_up(df: DataFrame, label: str, most_rows: int = 200_000) -> DataFrame:
@@ -107,10 +109,30 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYT
             start = stop
 
 
+def released(fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """fn; at a task's end its worker gives freed memory back, as workers live on and share the executor's memory."""
+
+    def run(batches):
+        yield from fn(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):
+            pass
+
+    return run
+
+
+def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """mapInArrow with batches of a bounded number of rows."""
+    if df.sparkSession.conf.get(BATCH_ROWS, "10000") == "10000":  # the default; long texts make such batches large
+        df.sparkSession.conf.set(BATCH_ROWS, "1000")
+    return df.mapInArrow(released(fn), schema)
+
+
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, column: str = "text", most: int = SLICE_BYTES) -> DataFrame:
     """mapInArrow over slices of bounded size."""
-    if df.sparkSession.conf.get(BATCH_ROWS, "10000") == "10000":  # the default; long texts make such batches large
-        df.sparkSession.conf.set(BATCH_ROWS, "2000")
 
     def run(batches):
         for piece in slices(batches, column, most):
@@ -118,7 +140,7 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], sch
             if out is not None and out.num_rows:
                 yield out
 
-    return df.mapInArrow(run, schema)
+    return map_batches(df, run, schema)
 
 
 def translated(texts: pa.Array, table: bytes) -> pa.Array:

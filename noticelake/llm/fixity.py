@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, materialize, slices
+from .common import batch_of, map_batches, materialize, slices
 
 FAN_OUT_BITS, LEVELS = 4, 3
 #: Records in an archive: a full tree.
@@ -68,7 +68,7 @@ def writer(replica):
 def archived(pages: DataFrame, replica=sound) -> DataFrame:
     """A row for each record: archive, place and offset in it, its digest and that of the replica's record (null: not there)."""
     narrow = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    return narrow.mapInArrow(writer(replica), RECORDS)
+    return map_batches(narrow, writer(replica), RECORDS)
 
 
 def tree(records: DataFrame, digest: str) -> list[DataFrame]:

@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, materialize
+from .common import batch_of, map_batches, materialize
 
 
 def roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -52,7 +51,7 @@ def contracted(batches):
 
 
 def contract(edges: DataFrame) -> DataFrame:
-    return edges.select("a", "b").mapInArrow(contracted, "a bigint, b bigint")
+    return map_batches(edges.select("a", "b"), contracted, "a bigint, b bigint")
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, Words, arrow_map, batch_of, blobs, bucket_of, buckets_for, by_bucket, distinct_texts, looked_up, materialize, mix, window_hashes, with_keys
+from .common import NO_ID, arrow_map, batch_of, blobs, bucket_of, buckets_for, by_bucket, distinct_texts, looked_up, map_batches, materialize, mix, window_hashes, with_keys, Words
 
 #: Words in a run from which anchors are taken.
 RUN = 6
@@ -411,13 +411,13 @@ def remove_repeats(docs: DataFrame, width: int = 13, least_broadcast: int = 500_
 
     buckets = buckets_for(spark)
     dealt = arrow_map(single.select("text_key", "text"), anchor_rows(width, buckets), "bucket int, anchors binary, text_keys binary").repartition("bucket").sortWithinPartitions("bucket")
-    shared = dealt.mapInArrow(shared_anchors, "text_key bigint, shared binary").groupBy("text_key").agg(F.collect_list("shared").alias("shared"))
+    shared = map_batches(dealt, shared_anchors, "text_key bigint, shared binary").groupBy("text_key").agg(F.collect_list("shared").alias("shared"))
     suffixes = materialize(arrow_map(single.select("id", "text_key", "text").join(shared, "text_key"), suffix_rows(width), SUFFIXES), "suffixes")
 
     large: dict[int, np.ndarray] = {}
     total = 0
     for length in range(1, min(RUN, width) + 1):
-        counts = suffixes.mapInArrow(counter(width, length, large), "prefix bigint, suffixes bigint").groupBy("prefix").agg(F.sum("suffixes").alias("suffixes"))
+        counts = map_batches(suffixes, counter(width, length, large), "prefix bigint, suffixes bigint").groupBy("prefix").agg(F.sum("suffixes").alias("suffixes"))
         if length == 1:
             counts = materialize(counts, "prefixes")
             total = counts.agg(F.sum("suffixes")).first()[0] or 0
@@ -427,14 +427,14 @@ def remove_repeats(docs: DataFrame, width: int = 13, least_broadcast: int = 500_
         large[length] = np.sort(np.ascontiguousarray(found).view(np.uint64))
     hot = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
     if min(RUN, width) in large:
-        least = suffixes.mapInArrow(frequent(width, large), "window bigint, n bigint, least bigint").groupBy("window").agg(F.sum("n").alias("n"), F.min("least").alias("least")).filter(F.col("n") > GROUP).toArrow()
+        least = map_batches(suffixes, frequent(width, large), "window bigint, n bigint, least bigint").groupBy("window").agg(F.sum("n").alias("n"), F.min("least").alias("least")).filter(F.col("n") > GROUP).toArrow()
         value = np.ascontiguousarray(least.column("window").to_numpy()).view(np.uint64)
         order = np.argsort(value)
         hot = (value[order], least.column("least").to_numpy()[order])
     groups = max(LEAST_BUCKETS, -(-2 * total // GROUP))
-    dealt = suffixes.mapInArrow(dealer(width, large, hot, groups), DEALT).repartition("bucket").sortWithinPartitions("bucket")
-    places = dealt.mapInArrow(searched(width, buckets), PLACES).repartition("part").sortWithinPartitions("part")
-    removed = looked_up(places.mapInArrow(gathered(width), "id bigint, text_key bigint, ranges binary"), "removed", least_broadcast)
+    dealt = map_batches(suffixes, dealer(width, large, hot, groups), DEALT).repartition("bucket").sortWithinPartitions("bucket")
+    places = map_batches(dealt, searched(width, buckets), PLACES).repartition("part").sortWithinPartitions("part")
+    removed = looked_up(map_batches(places, gathered(width), "id bigint, text_key bigint, ranges binary"), "removed", least_broadcast)
     told = keyed.withColumnRenamed("k1", "text_key").join(copies.select("id", F.col("k1").alias("text_key"), F.lit(True).alias("whole")), ["id", "text_key"], "left")
     told = told.join(removed, ["id", "text_key"], "left").select(F.when(F.col("id") < NO_ID, F.col("id")).alias("doc_id"), "text", "ranges", "whole")
     return arrow_map(told, removal(width), "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept_text string")
