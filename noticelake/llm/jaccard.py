@@ -2,12 +2,13 @@
 
 A document's set are the 64-bit fingerprints of its distinct word shingles. Sets of similarity t or more differ in at most
 D = (1-t)/(1+t) * (sum of sizes) elements. The space of elements is cut into m > D parts, so linked sets agree on m - D parts
-at least; the fingerprints of a set's parts are dealt out and documents with an equal part and fitting sizes are chained into
-candidate groups. m is one number for a class of sizes; a document near the top of its class also takes part in the next one.
-Parts that say little - (nearly) empty ones, and parts that more than `COMMON` documents share, such as those of a common
-line - are left out by any document that has fewer than m - D of them: it has a telling part in common with each document
-it is linked with. Documents with more of them, such as members of a large group of near copies, are chained by those too.
-No pairs are listed.
+at least; the fingerprints of a set's parts are dealt out as short sets, on which T-occurrence is searched first. m is one
+number for a class of sizes; a document near the top of its class also takes part in the next one. Parts that say little -
+(nearly) empty ones - are left out by any document that has fewer than m - D of them. The lists of the other parts are short
+or long: lists of at most `COMMON` documents are merged (a bounded number of pairs for each entry, counted on the map side);
+longer ones, such as those of a common line, are set aside. A pair is a candidate if its merged count reaches m - D less the
+parts that either document left out or has in long lists. Documents to which that leaves nothing, such as members of a large
+group of near copies, are linked to the least such document of each long list instead: no pairs are listed there.
 
 The whole set of each document of a group goes to that group, once. There, inverted lists answer a T-occurrence query for
 each document (T: elements that a linked set must share): short lists are merged and counted, the longest ones are set aside
@@ -28,15 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, NO_ID, Words, arrow_map, batch_of, blobs, bucket_of, buckets_for, distinct_texts, looked_up, materialize, mix, small_enough, window_hashes, with_keys
+from .common import LOWER, NO_ID, arrow_map, batch_of, blobs, bucket_of, buckets_for, distinct_texts, looked_up, map_batches, materialize, mix, small_enough, window_hashes, with_keys, Words
 from .graph import components
 
 #: Sizes in a class differ by this factor at most.
 CLASS_RATIO = 1.4
 #: Elements that a task holds at once; larger groups are cut into blocks.
 GROUP_ELEMENTS = 2_000_000
-#: A part that more documents share is common.
-COMMON = 16
+#: A list of a part with more documents is long.
+COMMON = 8
 
 
 def shingle_sets(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -76,7 +77,7 @@ def size_classes(most: int, percent: int) -> tuple[np.ndarray, np.ndarray, np.nd
         tops.append(max(tops[-1] + 1, int(tops[-1] * ratio)))
     tops = np.array(tops, np.int64)
     differ = 2 * tops * (100 - percent) // (100 + percent)
-    parts = differ + np.maximum(1, np.where(differ > 8, differ // 6 + 2, 1))
+    parts = differ + np.maximum(1, np.where(differ > 8, differ // 4 + 2, 1 + differ // 4))
     mean = np.concatenate([[1], tops[:-1] + 1]) / parts  # elements of a part, in the smallest sets of the class
     few = (1 + mean) * np.exp(-mean) * parts < (parts - differ) / 2
     return tops, differ, parts, few.astype(np.int64)
@@ -139,37 +140,48 @@ def part_rows(width: int, percent: int, buckets: int):
 
 
 PARTS = "bucket int, told boolean, keys binary, docs binary, notes binary"
-FOUND = "kind int, a bigint, b bigint, n bigint"
-EDGE, DOCUMENT, SHARED = 0, 1, 2
+FOUND = "kind int, a bigint, b bigint, n bigint, c bigint"
+PAIR, DOCUMENT, SHARED = 0, 1, 2
 
 
-def chains(percent: int):
-    """EDGE rows (a, b): among documents with an equal part, in order of size, neighbours whose sizes fit. SHARED rows: document
-    a has the common part b, with note n. DOCUMENT rows pass through: a is the document, b its text's key, n the size of its set.
+def merged_lists(percent: int):
+    """PAIR rows: documents a and b of fitting sizes agree on c parts with short lists; n holds the level and what either can leave
+    out. SHARED rows: document a is in the long list of part b, with note n. DOCUMENT rows pass through: a is the document, b its
+    text's key, n the size of its set.
     """
 
-    def rows(kind, a, b, n):
-        return batch_of(["kind", "a", "b", "n"], [pa.array(np.full(len(a), kind, np.int32)), np.ascontiguousarray(a), np.ascontiguousarray(b), n])
+    def rows(kind, a, b, n, c):
+        return batch_of(["kind", "a", "b", "n", "c"], [pa.array(np.full(len(a), kind, np.int32)), *(np.ascontiguousarray(x) for x in (a, b, n, c))])
 
     def joined(key, doc, note):
         e, d, note = np.frombuffer(key, np.uint64), np.frombuffer(doc, np.int64), np.frombuffer(note, np.int64)
-        n = note & 0xFFFFFFFF
-        order = np.lexsort((d, n, e))
-        e, d, n, note = e[order], d[order], n[order], note[order]
+        order = np.lexsort((d, e))
+        e, d, note = e[order], d[order], note[order]
+        size, level, spare = note & 0xFFFFFFFF, (note >> 32) & 0xFF, note >> 40
         first = np.flatnonzero(np.concatenate([[True], e[1:] != e[:-1]]))
-        common = np.repeat(np.diff(np.append(first, len(e))) > COMMON, np.diff(np.append(first, len(e))))
-        meet = np.flatnonzero((e[1:] == e[:-1]) & (d[1:] != d[:-1]) & (100 * n[:-1] >= percent * n[1:]) & ~common[1:])
-        pairs = np.unique(np.column_stack([np.maximum(d[meet], d[meet + 1]), np.minimum(d[meet], d[meet + 1])]), axis=0)
-        yield rows(EDGE, pairs[:, 0], pairs[:, 1], pa.nulls(len(pairs), pa.int64()))
-        if common.any():
-            yield rows(SHARED, d[common], e[common].view(np.int64), note[common])
+        count = np.diff(np.append(first, len(e)))
+        long = np.repeat(count > COMMON, count)
+        pairs = []
+        for step in range(1, COMMON):
+            i = np.flatnonzero((e[step:] == e[:-step]) & ~long[step:])
+            if not len(i):
+                break
+            j = i + step
+            i, j = (x[(d[i] != d[j]) & (100 * size[i] >= percent * size[j]) & (100 * size[j] >= percent * size[i])] for x in (i, j))
+            pairs.append(np.column_stack([d[i], d[j], level[i] | (spare[i] << 8) | (spare[j] << 16)]))
+        if pairs and len(p := np.concatenate(pairs)):
+            found, times = np.unique(p, axis=0, return_counts=True)
+            yield rows(PAIR, found[:, 0], found[:, 1], found[:, 2], times.astype(np.int64))
+        if long.any():
+            yield rows(SHARED, d[long], e[long].view(np.int64), note[long], np.ones(long.sum(), np.int64))
 
     def run(batches):
         at, held = None, ([], [], [])
         for b in batches:
             for bucket, told, *row in zip(*(b.column(n).to_pylist() for n in ("bucket", "told", "keys", "docs", "notes"))):
                 if told:
-                    yield rows(DOCUMENT, np.frombuffer(row[1], np.int64), np.frombuffer(row[0], np.int64), np.frombuffer(row[2], np.int64))
+                    sizes = np.frombuffer(row[2], np.int64)
+                    yield rows(DOCUMENT, np.frombuffer(row[1], np.int64), np.frombuffer(row[0], np.int64), sizes, np.zeros(len(sizes), np.int64))
                     continue
                 if bucket != at:
                     if at is not None:
@@ -183,16 +195,23 @@ def chains(percent: int):
     return run
 
 
-def chained_by_common(found: DataFrame) -> DataFrame:
-    """Edges by common parts, of documents with too many of them to leave them out: each to the least document of the part.
-
-    Counts and minima are summed on the map side; the joins have one row for each key on one side.
+def candidate_edges(found: DataFrame, most_rows: int) -> DataFrame:
+    """(a, b): pairs that reach their count over short lists, and documents that only long lists can tell, each with the least of its
+    list. Counts and minima are summed on the map side; joins have one row for each key on one side.
     """
-    shared = found.filter(F.col("kind") == SHARED).select(F.col("a").alias("id"), F.col("b").alias("part"), F.shiftright("n", 32).bitwiseAND(F.lit(255)).alias("level"), F.shiftright("n", 40).alias("spare"))
-    full = shared.groupBy("id", "level").agg(F.count("*").alias("parts"), F.max("spare").alias("spare")).filter("parts >= spare").select("id", "level")
-    kept = materialize(shared.join(full, ["id", "level"], "left_semi").select("id", "part"), "common")
+    byte = lambda c, k: F.shiftright(c, k).bitwiseAND(F.lit(255))
+    shared = found.filter(F.col("kind") == SHARED).select(F.col("a").alias("id"), F.col("b").alias("part"), byte("n", 32).alias("level"), byte("n", 40).alias("spare"))
+    long = shared.groupBy("id", "level").agg(F.count("*").alias("parts"), F.max("spare").alias("spare"))
+    long = looked_up(long, "long", most_rows)
+    pairs = found.filter(F.col("kind") == PAIR).groupBy("a", "b", "n").agg(F.sum("c").alias("c"))
+    pairs = pairs.select("a", "b", "c", byte("n", 0).alias("level"), byte("n", 8).alias("spare_a"), byte("n", 16).alias("spare_b"))
+    for x in ("a", "b"):
+        pairs = pairs.join(long.select(F.col("id").alias(x), "level", F.col("parts").alias(f"long_{x}")), [x, "level"], "left")
+    left = lambda x: F.col(f"spare_{x}") - F.coalesce(f"long_{x}", F.lit(0))
+    pairs = pairs.filter((F.col("c") >= left("a")) & (F.col("c") >= left("b"))).select("a", "b")
+    kept = materialize(shared.join(long.filter("parts >= spare").select("id", "level"), ["id", "level"], "left_semi").select("id", "part"), "common")
     least = kept.groupBy("part").agg(F.min("id").alias("b"))
-    return kept.join(least, "part").filter("id != b").select(F.col("id").alias("a"), "b")
+    return pairs.unionByName(kept.join(least, "part").filter("id != b").select(F.col("id").alias("a"), "b"))
 
 
 def whole_sets(width: int):
@@ -314,10 +333,10 @@ def jaccard_groups(docs: DataFrame, width: int = 3, percent: int = 90, least_bro
     keyed = with_keys(docs)
     single, copies = distinct_texts(keyed, least_broadcast)
     dealt = arrow_map(single.select("id", "k1", "text"), part_rows(width, percent, buckets), PARTS).repartition("bucket").sortWithinPartitions("bucket")
-    found = materialize(dealt.mapInArrow(chains(percent), FOUND), "chains")
+    found = materialize(map_batches(dealt, merged_lists(percent), FOUND), "lists")
     sizes = found.filter(F.col("kind") == DOCUMENT).select(F.col("a").alias("id"), F.col("b").alias("k1"), "n")
 
-    candidates = components(found.filter(F.col("kind") == EDGE).select("a", "b").unionByName(chained_by_common(found)))
+    candidates = components(candidate_edges(found, least_broadcast))
     sized = candidates.join(sizes.groupBy(F.col("id").alias("node")).agg(F.sum("n").alias("n")), "node")
     parts = sized.groupBy("component").agg(F.ceil(F.sum("n") / GROUP_ELEMENTS).cast("int").alias("parts"))
     grouped = looked_up(sized.join(parts, "component").select(F.col("node").alias("id"), "component", "parts"), "candidates", least_broadcast)
@@ -326,7 +345,7 @@ def jaccard_groups(docs: DataFrame, width: int = 3, percent: int = 90, least_bro
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     sets = sets.withColumn("part", part).withColumn("other", other).withColumns({"block_a": F.least("part", "other"), "block_b": F.greatest("part", "other")})
     sets = sets.drop("other", "parts").repartition("component", "block_a", "block_b").sortWithinPartitions("component", "block_a", "block_b", "id")
-    links = sets.mapInArrow(searched(percent), "a bigint, b bigint")
+    links = map_batches(sets, searched(percent), "a bigint, b bigint")
     reached = looked_up(components(links).select(F.col("node").alias("first"), "component"), "reached", least_broadcast)
 
     member = keyed.select("id", "k1").join(copies, ["id", "k1"], "left").withColumn("first", F.coalesce("first", "id"))
