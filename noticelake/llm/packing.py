@@ -17,7 +17,6 @@ from __future__ import annotations
 import math
 import os
 import re
-import struct
 import zlib
 
 import numpy as np
@@ -28,11 +27,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, SAME, Words, batch_of, slices
+from .common import LOWER, SAME, batch_of, map_batches, slices, Words
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, grp bigint"
-#: Words a worker keeps with their ids.
-MOST_WORDS = 700_000
+#: Words a worker keeps with their ids (some 40 bytes each).
+MOST_WORDS = 1_000_000
 #: Bytes of text tokenised at a time.
 SLICE = 8 << 20
 #: A word's last character, if one of these follows a letter, is a token run of its own in tokenizers that cut there.
@@ -48,7 +47,7 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.inner = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        self.forget()
         letters = "abcdefghijklmnopqrstuvwxyz"
         normal = self.inner.normalizer
         self.lowers = normal is not None and normal.normalize_str(letters.upper()) == letters
@@ -56,24 +55,43 @@ class WordTokenizer:
         self.tail = "".join(t for t in TAIL if cut is not None and all([x for x, _ in cut.pre_tokenize_str(f"a{c}{t}")] == [f"a{c}", t] for c in letters))
         self.added = sorted({str(t.content)[:2] for t in self.inner.get_added_tokens_decoder().values()})
 
-    def encode(self, words: list[str]) -> list[bytes]:
-        """The ids of each word, as little-endian unsigned 32-bit numbers."""
-        missing = [w for w in words if w not in self.known]
-        if len(self.known) + len(missing) > MOST_WORDS:
-            self.known.clear()
-            missing = words
+    def forget(self) -> None:
+        """An empty table: 128-bit digests of words in order, each with the number of its entry; entries' ids, flat, with offsets."""
+        self.high, self.low, self.entry = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.flat, self.offsets = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def find(self, high: np.ndarray, low: np.ndarray) -> np.ndarray:
+        """The entry of each digest, -1 if there is none."""
+        if not len(self.high):
+            return np.full(len(high), -1)
+        at = np.minimum(np.searchsorted(self.high, high), len(self.high) - 1)
+        return np.where((self.high[at] == high) & (self.low[at] == low), self.entry[at], -1)
+
+    def learn(self, words: list[str], high: np.ndarray, low: np.ndarray) -> None:
         run = getattr(self.inner, "encode_batch_fast", self.inner.encode_batch)
-        for at in range(0, len(missing), 10_000):
-            part = missing[at : at + 10_000]
-            for w, e in zip(part, run(part, add_special_tokens=False)):
-                self.known[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
-        return [self.known[w] for w in words]
+        ids = [e.ids for at in range(0, len(words), 10_000) for e in run(words[at : at + 10_000], add_special_tokens=False)]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        new = np.arange(len(words)) + len(self.entry)
+        self.flat = np.concatenate([self.flat, np.fromiter((i for x in ids for i in x), np.uint32, int(sizes.sum()))])
+        self.offsets = np.concatenate([self.offsets, self.offsets[-1] + np.cumsum(sizes)])
+        high, low, entry = (np.concatenate(x) for x in ((self.high, high), (self.low, low), (self.entry, new)))
+        order = np.argsort(high)
+        self.high, self.low, self.entry = high[order], low[order], entry[order]
 
     def table(self, words: pa.Array) -> tuple[pa.ListArray, np.ndarray]:
-        """The ids of each word, and how many."""
-        coded = self.encode(words.to_numpy(zero_copy_only=False).tolist())
-        sizes = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
-        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(np.frombuffer(b"".join(coded), "<u4"))), sizes
+        """The ids of each word (words are distinct), and how many."""
+        texts = words.to_numpy(zero_copy_only=False)
+        digests = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, texts)), ">u8").astype(np.uint64).reshape(-1, 2)
+        high, low = np.ascontiguousarray(digests[:, 0]), np.ascontiguousarray(digests[:, 1])
+        found = self.find(high, low)
+        if (missing := np.flatnonzero(found < 0)).size:
+            if len(self.entry) + len(missing) > MOST_WORDS:
+                self.forget()
+                missing = np.arange(len(texts))
+            self.learn(texts[missing].tolist(), high[missing], low[missing])
+            found = self.find(high, low)
+        every = pa.ListArray.from_arrays(pa.array(self.offsets.astype(np.int32)), pa.array(self.flat))
+        return every.take(pa.array(found)), np.diff(self.offsets)[found]
 
     def batch_ids(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, flat, each text's end id included, and their offsets."""
@@ -86,7 +104,7 @@ class WordTokenizer:
             stem = stems.indices.to_numpy()
             last = pc.index_in(pc.if_else(ends, pc.utf8_slice_codeunits(words.dictionary, -1), ""), value_set=pa.array(list(self.tail)))
             last = pc.fill_null(last, -1).to_numpy(zero_copy_only=False)
-            tails = [np.frombuffer(x, "<u4") for x in self.encode(list(self.tail))]
+            tails = [np.array(x.as_py(), np.uint32) for x in self.table(pa.array(list(self.tail)))[0]]
             flat = table.take(stems.indices).flatten().to_numpy()
             sizes = sizes[stem]
             stops = np.cumsum(sizes)
@@ -188,8 +206,8 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, e
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     groups = max(1, math.ceil(docs.count() / group_docs))
     more = ", ids binary" if keep_ids else ""
-    pieces = narrow.mapInArrow(cutter(tokenizer_path, capacity, end_id, groups, keep_ids), PIECES + more)
+    pieces = map_batches(narrow, cutter(tokenizer_path, capacity, end_id, groups, keep_ids), PIECES + more)
     order = [F.col("grp"), F.col("length").desc(), F.col("ids_crc32"), F.col("doc_id"), F.col("piece")]
     dealt = pieces.repartition(groups, "grp").sortWithinPartitions(*order)
     names = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if keep_ids else [])]
-    return dealt.mapInArrow(packer(capacity, names), "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint" + more + ", sequence_id bigint, offset bigint")
+    return map_batches(dealt, packer(capacity, names), "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint" + more + ", sequence_id bigint, offset bigint")
