@@ -109,10 +109,17 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYT
             start = stop
 
 
+#: What empties the tables that functions keep in a worker between tasks; any task of another function calls them.
+HELD: list[Callable[[], None]] = []
+
+
 def released(fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """fn; at a task's end its worker gives freed memory back, as workers live on and share the executor's memory."""
 
     def run(batches):
+        if not getattr(fn, "keeps_tables", False):
+            for drop in HELD:
+                drop()
         yield from fn(batches)
         gc.collect()
         pa.default_memory_pool().release_unused()

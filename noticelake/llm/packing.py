@@ -27,16 +27,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, SAME, batch_of, map_batches, slices, Words
+from .common import HELD, LOWER, SAME, Words, batch_of, map_batches, slices
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, grp bigint"
 #: Words a worker keeps with their ids (some 40 bytes each).
-MOST_WORDS = 1_000_000
+MOST_WORDS = 600_000
 #: Bytes of text tokenised at a time.
-SLICE = 8 << 20
+SLICE = 4 << 20
 #: A word's last character, if one of these follows a letter, is a token run of its own in tokenizers that cut there.
 TAIL = ".,"
 _tokenizers: dict[str, "WordTokenizer"] = {}
+HELD.append(_tokenizers.clear)
 
 
 class WordTokenizer:
@@ -149,6 +150,7 @@ def cutter(path: str, capacity: int, end_id: int, groups: int, keep_ids: bool):
             keep = len(names) if keep_ids else len(names) - 1
             yield batch_of(names[:keep], [pa.array(c, k) for c, k in zip(columns[:keep], kinds)])
 
+    run.keeps_tables = True
     return run
 
 
