@@ -1,10 +1,10 @@
 """Quality rules with cross-document line frequency.
 
 Each text is split at line feeds; a line is normalised (A-Z to lower case, digits to 0, white space runs to one space) and
-hashed. A line's frequency is the number of distinct documents of its host that hold it. Documents are told apart by a
-min-hash of their 3-word shingles, so copies of one document count once and a copied clean document is not taken for
-boilerplate. Lines above the limit are removed; a document that has lost more than a given share of its words is depleted
-and rejected, as is one that fails the base rules.
+hashed. A line's frequency is the number of distinct documents of its host that hold it. Documents are told apart by their
+whole text, so exact copies of one document count once and different documents that share most of their lines count each.
+Lines above the limit are removed; a document that has lost more than a given share of its words is depleted and rejected,
+as is one that fails the base rules.
 
 Nulls: a null text has no words and fails the base rules; a null host is a host of its own; a null doc_id is kept as it is.
 Repeated rows get the same verdict each. An empty table gives an empty result. Extra columns are ignored.
@@ -19,13 +19,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SAME, Words, arrow_map, batch_of, join_on, materialize, mix, small_enough, text_key, window_hashes
+from .common import SAME, Words, arrow_map, batch_of, join_on, materialize, mix, small_enough, text_key
 
 WHITE = b" \t\n\x0b\x0c\r"
 CONTINUATION = bytes(range(0x80, 0xC0))
 SYMBOLS = b"#*$%&|<>"
 LINE_TABLE = bytes(b + 32 if 65 <= b <= 90 else 48 if 48 <= b <= 57 else b for b in range(256))
-FEATURES = "doc_id bigint, host string, text_key bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, signature bigint, lines array<struct<hash:bigint,words:int>>"
+FEATURES = "doc_id bigint, host string, text_key bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, lines array<struct<hash:bigint,words:int>>"
 
 
 def repeat_words(words: Words, width: int = 3) -> np.ndarray:
@@ -62,27 +62,6 @@ def repeat_words(words: Words, width: int = 3) -> np.ndarray:
     return covered[words.offsets[1:]] - covered[words.offsets[:-1]]
 
 
-def signatures(words: Words) -> np.ndarray:
-    """By text: the least hash of its 3-word shingles, or of its words if it has fewer."""
-    hashes, offsets = words.hashes(), words.offsets
-    n = len(hashes)
-    threes = np.full(n + 1, np.uint64(0xFFFFFFFFFFFFFFFF))
-    if n >= 3:
-        threes[: n - 2] = window_hashes(hashes, 3)
-        last = offsets[1:]
-        for back in (1, 2):  # windows that cross a text's end
-            cut = last - back
-            threes[cut[(cut >= 0)]] = np.uint64(0xFFFFFFFFFFFFFFFF)
-    short = words.counts < 3
-    out = np.zeros(len(offsets) - 1, np.uint64)
-    full = np.flatnonzero(~short)
-    if len(full):
-        out[full] = np.minimum.reduceat(threes, np.ravel(np.column_stack([offsets[full], offsets[full + 1]])))[::2]
-    for i in np.flatnonzero(short):
-        out[i] = hashes[offsets[i] : offsets[i + 1]].sum() if words.counts[i] else 0
-    return out.view(np.int64)
-
-
 def features(batch: pa.RecordBatch) -> pa.RecordBatch:
     texts = pc.fill_null(batch.column("text"), "")
     words = Words(texts, SAME)
@@ -106,13 +85,13 @@ def features(batch: pa.RecordBatch) -> pa.RecordBatch:
     hashes = np.array(lines, np.uint64).view(np.int64)
     structs = pa.StructArray.from_arrays([pa.array(hashes), pa.array(np.array(counts, np.int32))], ["hash", "words"])
     return batch_of(
-        ["doc_id", "host", "text_key", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "signature", "lines"],
-        [batch.column("doc_id"), batch.column("host"), batch.column("text_key"), words.counts, np.array(word_chars, np.int64), np.array(symbols, np.int64), np.array(dup_lines, np.int64), repeat_words(words), signatures(words), pa.ListArray.from_arrays(pa.array(np.array(bounds, np.int32)), structs)],
+        ["doc_id", "host", "text_key", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines"],
+        [batch.column("doc_id"), batch.column("host"), batch.column("text_key"), words.counts, np.array(word_chars, np.int64), np.array(symbols, np.int64), np.array(dup_lines, np.int64), repeat_words(words), pa.ListArray.from_arrays(pa.array(np.array(bounds, np.int32)), structs)],
     )
 
 
 def line_features(docs: DataFrame, host: str = "source") -> DataFrame:
-    """A row for each document: base counts, min-hash, and each distinct normalised line's hash with its words."""
+    """A row for each document: base counts, and each distinct normalised line's hash with its words."""
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(host).cast("string").alias("host"), text_key(F.col("text")).alias("text_key"), F.col("text").cast("string").alias("text"))
     return arrow_map(narrow, features, FEATURES)
 
@@ -123,8 +102,8 @@ def frequent_lines(found: DataFrame, least_docs: int, share: float) -> DataFrame
     The distinct count is taken in two steps (by host, line and document, then by host and line), so that a line that a
     third of all documents hold is summed on the map side first.
     """
-    limit = found.groupBy("host").agg(F.greatest(F.lit(float(least_docs)), F.count_distinct("signature") * F.lit(share)).alias("limit"))
-    held = found.select("host", "signature", F.explode("lines.hash").alias("hash")).groupBy("host", "hash").agg(F.count_distinct("signature").alias("docs")).filter(F.col("docs") > least_docs)
+    limit = found.groupBy("host").agg(F.greatest(F.lit(float(least_docs)), F.count_distinct("text_key") * F.lit(share)).alias("limit"))
+    held = found.select("host", "text_key", F.explode("lines.hash").alias("hash")).groupBy("host", "hash").agg(F.count_distinct("text_key").alias("docs")).filter(F.col("docs") > least_docs)
     return join_on(held, limit, ["host"], "inner").filter(F.col("docs") > F.col("limit")).select("host", "hash")
 
 
@@ -139,7 +118,7 @@ def quality_rules(docs: DataFrame, host: str = "source", least_docs: int = 20, s
     key = ["doc_id", "text_key", "host"]
     lines = found.select(*key, F.explode("lines").alias("line")).select(*key, F.col("line.hash").alias("hash"), F.col("line.words").alias("words"))
     lost = join_on(lines, above, ["host", "hash"], "inner").distinct().groupBy(*key).agg(F.sum("words").alias("n_removed_words"), F.collect_set("hash").alias("removed_lines"))
-    out = join_on(found.drop("lines", "signature"), lost, key, "left")
+    out = join_on(found.drop("lines"), lost, key, "left")
     removed = F.coalesce("n_removed_words", F.lit(0).cast("long"))
     return out.withColumns(
         {

@@ -1,6 +1,6 @@
 """SQL for DuckDB that gives the rows of the operators' queries, where SQL can express them.
 
-op1 (min-hash signatures) and op3 (tokens, packing) have none; tests hold them against plain versions.
+op1 (line frequency) and op3 (tokens, packing) have none; tests hold them against plain versions.
 """
 
 from __future__ import annotations

@@ -54,6 +54,17 @@ def test_frequent_lines_leave_and_copies_stay(documents):
     assert footer not in texts[0] and texts[200] == copy and 100 not in texts
 
 
+def test_different_documents_that_share_most_lines_count_each(documents):
+    rng = random.Random(2)
+    shared = "\n".join(prose(rng, 20) for _ in range(5))
+    rows = [(i, f"{shared}\n{prose(rng, 30)}", "a") for i in range(200)]
+    few = prose(rng, 12)
+    rows += [(1000 + i, f"{few}\n{prose(rng, 60)}", "b") for i in range(20)]  # at the limit, not above
+    found = {r["doc_id"]: r for r in quality.quality_rules(documents(rows)).collect()}
+    assert all(found[i]["n_removed_words"] == 100 and not found[i]["kept"] and not found[i]["base_failed"] for i in range(200))
+    assert all(found[1000 + i]["n_removed_words"] == 0 and found[1000 + i]["kept"] for i in range(20))
+
+
 def test_license(documents):
     rows = HARD + [(10, "Released UNDER the MIT License. Apache-License, version 2.0 cc-by-nc", "a"), (11, "GNU General Public License, version 3", "a"), (12, "gnu general public license as published by the free software foundation, either version 3; all rights reserved", None)]
     got = {r["doc_id"]: r for r in license.license_scan(documents(rows)).collect()}
