@@ -1,0 +1,24 @@
+"""Queries over whole texts against the SQL of their twins without its cuts."""
+
+import pytest
+
+from noticelake.plans import catalog
+
+from .test_parity import DATA, duck, pytestmark, rows  # noqa: F401
+
+CUTS = {"substr(text, 1, 400)": "text", "substr(text, 1, 300)": "text", "substr(string_split(text, chr(10))[1], 1, 80)": "string_split(text, chr(10))[1]"}
+WHOLE = sorted(n for n in catalog.QUERIES if n.endswith("_whole"))
+
+
+def test_each_query_that_cuts_has_a_whole_one():
+    assert WHOLE == sorted(f"{n}_whole" for n, sql in catalog.SQL.items() if any(c in sql for c in CUTS)) and len(WHOLE) == 11
+
+
+@pytest.mark.parametrize("name", WHOLE)
+def test_whole_query_equals_sql_without_cuts(spark, duck, name):  # noqa: F811
+    sql = catalog.SQL[name.removesuffix("_whole")]
+    for cut, whole in CUTS.items():
+        sql = sql.replace(cut, whole)
+    ours, theirs = catalog.QUERIES[name](spark, str(DATA)).toPandas(), duck.execute(sql).df()
+    assert sorted(ours.columns) == sorted(theirs.columns)
+    assert rows(ours) == rows(theirs)
