@@ -43,8 +43,8 @@ def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Audits all pages against a replica on storage that decays (a drill)."""
-    return fixity.audit(fixity.archived(table(spark, sf_dir, "pages"), fixity.decayed)).select("page_id", "url", "length", "digest", "copy_digest", "status")
+    """Writes all pages to archives and a replica of those on storage that decays (a drill), and audits the replica's files against ours."""
+    return fixity.audit(*fixity.archived(table(spark, sf_dir, "pages"), fixity.decayed)).select("page_id", "url", "length", "digest", "copy_digest", "status")
 
 
 def op7_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

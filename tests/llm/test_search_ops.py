@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -113,6 +114,40 @@ def test_fixity(spark):
     assert fixity.audit(fixity.archived(d.limit(0), fixity.decayed)).count() == 0
 
 
+def test_fixity_reads_stored_files(spark):
+    rng = random.Random(6)
+    pages = [(i, f"http://h/{i}", f"<p>{rng.random()}</p>" * 9) for i in range(5000)]
+    ours = fixity.archives(spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1))
+    theirs = fixity.replicated(ours, fixity.sound)
+    assert fixity.audit(ours, theirs).count() == 0 and not set(ours.inputFiles()) & set(theirs.inputFiles())
+    rows = [r.asDict() for r in theirs.collect()]
+    at = {(r["archive"], r["node"]): r for r in rows}
+    assert len({r["archive"] for r in rows}) == 2 and len(rows) == 313
+
+    def again(node, change):
+        row = at[(0, node)]
+        records = [(p, u, fixity.unpacked(m)) for p, u, _, m in fixity.members(row)]
+        row |= dict(zip(row, fixity.piece(0, node, row["offset"], change(records))))
+
+    again(2, lambda x: x[:5] + [(-1, "http://new", fixity.warc_record(-1, "http://new", b"new"))] + x[5:])  # inserted
+    again(3, lambda x: [x[1], x[0], *x[2:]])  # out of order
+    again(5, lambda x: x[:4] + x[5:])  # lost
+    rows = [r for r in rows if r is not at[(0, 7)]]  # a range is lost
+    lone = dict(at[(0, 255)], archive=9, node=0)  # an archive that only the replica has
+    changed = fixity.stored(spark.createDataFrame([tuple(r.values()) for r in [*rows, lone]], fixity.STORED).coalesce(1), "replica")
+    member = list(fixity.members(at[(0, 100)]))[3][3]
+    (file,) = [Path(f.removeprefix("file://")) for f in changed.inputFiles()]
+    raw = bytearray(file.read_bytes())
+    raw[raw.index(member) + len(member) // 2] ^= 1  # a bit rots in the stored file
+    file.write_bytes(raw)
+    (file.parent / f".{file.name}.crc").unlink()
+    got = sorted((r["status"], r["page_id"], r["archive"]) for r in fixity.audit(ours, changed).collect())
+    last = [p for p, *_ in fixity.members(at[(0, 255)])]
+    want = [("corrupt", 1603, 0), ("extra", -1, 0), *(("extra", p, 9) for p in last), ("missing", 84, 0), *(("missing", p, 0) for p in range(112, 128))]
+    assert [x for x in got if x[0] != "moved"] == sorted(want)
+    assert [x[1] for x in got if x[0] == "moved"] in ([48], [49])
+
+
 def test_chat_round_trip(spark):
     rng = random.Random(9)
     parts = ["<s>", "</s>", "[INST]", "[/INST]", "[OUT]", "\\", "[", "<", "é", "\n", "[ROLE]", "x"]
