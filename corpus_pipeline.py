@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noticelake.llm import jaccard, mixing, packing, pii, quality
-from noticelake.llm.common import join_on, looked_up, materialize
+from noticelake.llm.common import join_on, looked_up, materialize, small_enough
 from noticelake.llm.queries import tokenizer_path
 
 #: Documents up to which a stage's list of decisions is broadcast rather than joined by shuffle.
@@ -33,11 +33,15 @@ def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it. Documents taken once, the common case, need not be looked up."""
-    other = mixing.mix_sources(docs).filter(F.col("copies") != 1).groupBy("doc_id", "text_key").agg(F.max("copies").alias("__copies"))
-    other = looked_up(other.withColumnRenamed("text_key", "__key"), "copies", MOST_BROADCAST)
-    keyed = docs.withColumn("__key", F.xxhash64("text"))
+    key = ["doc_id", "__key", "source"]
+    mixed = mixing.mix_sources(docs).withColumnRenamed("text_key", "__key").groupBy(*key).agg(F.sum("copies").alias("__copies"), F.count("*").alias("__rows"))
+    other = looked_up(mixed.filter("__copies <> 1 OR __rows > 1"), "copies", MOST_BROADCAST)
+    keyed = join_on(docs.withColumn("__key", F.xxhash64("text")), other, key, "left")
+    if not small_enough(other.filter("__rows > 1"), 0):  # equal rows: one of them as often as the mix takes them together
+        single = F.coalesce("__rows", F.lit(1)) == 1
+        keyed = keyed.filter(single).unionByName(keyed.filter(~single).dropDuplicates(key))
     times = F.coalesce("__copies", F.lit(1)).cast("int")
-    return join_on(keyed, other, ["doc_id", "__key"], "left").withColumn("__time", F.explode(F.when(times > 0, F.sequence(F.lit(1), times)))).select(*docs.columns)
+    return keyed.withColumn("__time", F.explode(F.when(times > 0, F.sequence(F.lit(1), times)))).select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, NO_ID, arrow_map, batch_of, blobs, bucket_of, buckets_for, distinct_texts, looked_up, map_batches, materialize, mix, small_enough, window_hashes, with_keys, Words
+from .common import LOWER, NO_ID, arrow_map, batch_of, blobs, bucket_of, buckets_for, distinct_texts, join_on, looked_up, map_batches, materialize, mix, small_enough, window_hashes, with_keys, Words
 from .graph import components
 
 #: Sizes in a class differ by this factor at most.
@@ -356,13 +356,42 @@ def jaccard_groups(docs: DataFrame, width: int = 3, percent: int = 90, least_bro
     return out.select(real(F.col("id")).alias("doc_id"), F.col("n").alias("n_shingles"), real(own).alias("component_id"))
 
 
+#: Numbers of texts that doc_id alone does not name: above real ones, below NO_ID.
+NUMBERED = NO_ID - (1 << 54)
+
+
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80, least_broadcast: int = 1_000_000) -> DataFrame:
-    """The documents, of each group of linked ones the one with the smallest doc_id; of rows with that doc_id, one. Rows without doc_id stay."""
-    found = materialize(jaccard_groups(docs, width, percent), "groups")
-    gone = looked_up(found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "gone", least_broadcast)
-    kept = docs.join(gone, docs["doc_id"] == gone["doc_id"], "left_anti")
-    twice = materialize(found.filter(F.col("doc_id").isNotNull() & (F.col("doc_id") == F.col("component_id"))).groupBy("doc_id").count().filter("count > 1").select("doc_id"), "twice")
-    if small_enough(twice, 0):
-        return kept
-    again = kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(twice, "doc_id", "left_anti").unionByName(again)
+    """The documents, of each group of linked texts the one with the smallest doc_id (then text key; rows without doc_id last).
+
+    A document is its doc_id and text: of rows that share both, one stays; texts that share only a doc_id, or have none, are
+    numbered and decided each by itself.
+    """
+    names, text = docs.columns, F.coalesce(F.col("text").cast("string"), F.lit(""))
+    key = {"__k1": F.xxhash64(text), "__k2": F.xxhash64(F.lit(1), text, F.length(text))}
+    texts = docs.select(F.col("doc_id").cast("long").alias("__doc"), text.alias("text")).withColumns(key).drop("text")
+    shared = texts.groupBy("__doc").agg(*[f(k).alias(f"{n}{k}") for k in key for n, f in (("low", F.min), ("high", F.max))])
+    shared = looked_up(shared.filter("__doc IS NULL OR low__k1 <> high__k1 OR low__k2 <> high__k2").select("__doc"), "shared", least_broadcast)
+    odd = join_on(texts, shared, ["__doc"], "left_semi").distinct() if not small_enough(shared, 0) else None
+    keyed, node = docs, F.col("doc_id").cast("long")
+    if odd is not None:
+        odd = looked_up(odd.withColumn("__number", F.lit(NUMBERED) + F.monotonically_increasing_id()), "numbered", least_broadcast)
+        keyed = join_on(docs.withColumn("__doc", node).withColumns(key), odd, ["__doc", *key], "left")
+        node = F.coalesce("__number", "__doc")
+    keyed = keyed.withColumn("__node", node).select(*names, "__node")
+
+    found = materialize(jaccard_groups(keyed.select(F.col("__node").alias("doc_id"), "text"), width, percent).select(F.col("doc_id").alias("__node"), F.col("component_id").alias("component")), "groups")
+    if odd is None:
+        gone = found.filter(F.col("__node") != F.col("component")).select("__node").distinct()
+    else:  # numbers are in no order: the first of a group goes by doc_id and text key
+        named = found.distinct().join(odd.withColumnRenamed("__number", "__node"), "__node", "left")
+        doc = F.when(F.col("__node") < NUMBERED, F.col("__node")).otherwise(F.col("__doc"))
+        named = named.select("__node", "component", F.struct(doc.isNull().alias("none"), doc.alias("doc"), "__k1", "__k2").alias("place"))
+        first = named.groupBy("component").agg(F.min_by("__node", "place").alias("first"))
+        gone = named.join(first, "component").filter(F.col("__node") != F.col("first")).select("__node")
+    gone = looked_up(gone, "gone", least_broadcast)
+    kept = keyed.join(gone, "__node", "left_anti")
+    twice = looked_up(found.groupBy("__node").count().filter("count > 1").select("__node").join(gone, "__node", "left_anti"), "twice", least_broadcast)
+    if not small_enough(twice, 0):
+        again = kept.join(twice, "__node", "left_semi").dropDuplicates(["__node"])
+        kept = kept.join(twice, "__node", "left_anti").unionByName(again)
+    return kept.select(*names)

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from noticelake.llm import ann, chat, fixity, graph, jaccard, repeats
+from noticelake.llm import ann, chat, fixity, graph, jaccard, mixing, repeats
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -64,6 +64,32 @@ def test_jaccard_repeated_rows_and_null_ids(documents):
     assert kept.columns == documents(rows).columns and [r["doc_id"] for r in kept.filter("doc_id = 0").collect()] == [0]
 
 
+def test_texts_that_share_a_doc_id_or_have_none(documents):
+    rng = random.Random(8)
+    a, b, c, d = (" ".join(f"w{rng.randint(0, 10**6)}" for _ in range(60)) for _ in range(4))
+    rows = [(1, a, "s"), (5, a + " end", "s"), (5, b, "s"), (5, b, "s"), (7, c, "s"), (7, d, "s"), (9, c + " end", "s"), (None, d, "s")]
+    rows += [(None, f"{a} {b}", "s")] * 40 + [(None, "", "s")] * 3 + [(None, None, "s")] * 2
+    got = jaccard.one_of_each(documents(rows))
+    found = sorted(((r["doc_id"], r["text"] or "") for r in got.collect()), key=repr)
+    assert found == sorted([(1, a), (5, b), (7, c), (7, d), (None, f"{a} {b}"), (None, "")], key=repr)
+
+
+def test_mix_takes_equal_rows_as_often_as_it_says(spark, documents):
+    import corpus_pipeline
+
+    rng = random.Random(9)
+    rows = [(i % 40 if i % 3 else None, f"x{i % 40} " * (1 + i % 40), rng.choice("ab")) for i in range(300)]
+    want = defaultdict(int)
+    d = documents(rows).coalesce(1)
+    texts = {r["k"]: r["text"] for r in d.select(F.xxhash64("text").alias("k"), "text").collect()}
+    for r in mixing.mix_sources(d).collect():
+        want[r["doc_id"], texts[r["text_key"]], r["source"]] += r["copies"]
+    got = defaultdict(int)
+    for r in corpus_pipeline.mix_stage(spark, d, "").collect():
+        got[r["doc_id"], r["text"], r["source"]] += 1
+    assert got == {k: v for k, v in want.items() if v}
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(250)] + [(k, k + 1) for k in range(1000, 1100)]
