@@ -31,6 +31,24 @@ KINDS = {
     "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}+|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9])", "", 0.7, "iban|account|bank|konto|compte|cuenta"),
 }
 NAMES = list(KINDS)
+
+# The length of account numbers by country, from the IBAN registry.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def exact_iban() -> str:
+    """Account numbers of their country's length, so that groups after them are not taken in."""
+    ways = []
+    for n, countries in IBAN_LENGTHS.items():
+        fours, rest = divmod(n - 4, 4)
+        ways.append(f"(?:{countries.replace(' ', '|')})[0-9]{{2}}(?:[A-Z0-9]{{{n - 4}}}|(?: [A-Z0-9]{{4}}){{{fours}}}" + (f" [A-Z0-9]{{{rest}}})" if rest else ")"))
+    return rf"(?<![A-Za-z0-9])(?:{'|'.join(ways)})(?![A-Za-z0-9])"
+
+
+EXACT_IBAN = exact_iban()
 BASE = ("email", "ip", "card", "phone")
 BYTE = "0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 
@@ -73,8 +91,9 @@ def stands(kind: str, x: Column) -> Column:
     return F.lit(True)
 
 
-def pieces(kind: str, text: Column) -> Column:
-    pattern, needs = KINDS[kind][:2]
+def pieces(kind: str, text: Column, pattern: str | None = None) -> Column:
+    own, needs = KINDS[kind][:2]
+    pattern = pattern or own
     cut = F.split(F.regexp_replace(text, f"({pattern})", f"{MARK}$1{MARK}"), MARK, -1)
     return F.when(F.contains(text, F.lit(needs)), cut) if needs else cut
 
@@ -98,15 +117,19 @@ def spans_of(kind: str, cut: Column) -> Column:
     return F.when(F.size(cut) > 1, folded).otherwise(F.slice(blank, 1, 0))
 
 
-def find_spans(docs: DataFrame, kinds: list[str] | None = None, to: str = "spans") -> DataFrame:
-    """docs with a column more: array<struct<start, kind, stop, score>>, by start, then kind; kind is an index into NAMES."""
-    kinds = NAMES if kinds is None else kinds
+def find_spans(docs: DataFrame, kinds: list[str] | None = None, to: str = "spans", exact: bool = False) -> DataFrame:
+    """docs with a column more: array<struct<start, kind, stop, score>>, by start, then kind; kind is an index into NAMES.
+
+    exact: account numbers are looked for by their country's length too, which finds those that more groups follow.
+    """
+    ways = [(f"__{k}", k, None) for k in (NAMES if kinds is None else kinds)]
+    ways += [("__exact", "iban", EXACT_IBAN)] * (exact and "iban" in (kinds or NAMES))
     names = docs.columns
     kept = F.struct(*[F.col(f"`{c}`").alias(c) for c in names])
     plain = docs.select(kept.alias("__row"), F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), MARK, OTHER).alias("__plain"))
-    cut = plain.select("__row", *[pieces(k, F.col("__plain")).alias(f"__{k}") for k in kinds])
-    found = cut.select("__row", *[spans_of(k, F.col(f"__{k}")).alias(f"__{k}") for k in kinds])
-    return found.select("__row.*", F.sort_array(F.concat(*[F.col(f"__{k}") for k in kinds])).alias(to))
+    cut = plain.select("__row", *[pieces(k, F.col("__plain"), pattern).alias(n) for n, k, pattern in ways])
+    found = cut.select("__row", *[spans_of(k, F.col(n)).alias(n) for n, k, _ in ways])
+    return found.select("__row.*", F.sort_array(F.concat(*[F.col(n) for n, _, _ in ways])).alias(to))
 
 
 def span_text(spans: Column) -> Column:
@@ -144,7 +167,7 @@ def masked(text: Column, spans: Column) -> Column:
 def mask_documents(docs: DataFrame, least_score: float = 0.5) -> DataFrame:
     """The same documents with personal data masked; n_chars, if there, follows the text."""
     base = [NAMES.index(k) for k in BASE]
-    found = find_spans(docs, to="__spans")
+    found = find_spans(docs, to="__spans", exact=True)
     text = F.when(F.col("text").isNotNull(), masked(F.col("text"), F.filter("__spans", lambda s: s["kind"].isin(base) | (s["score"] >= least_score))))
     out = found.withColumn("text", text).drop("__spans")
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

@@ -198,6 +198,12 @@ def test_account_numbers_and_masks(documents):
     assert {r["doc_id"]: (r["text"], r["spans"]) for r in masked.collect()} == {1: ("IBAN <IBAN> or GB82 WEST 1234 5698 7654 33; <EMAIL> é <PHONE>", "clash"), 2: (None, "clash"), 3: ("", "clash")}
 
 
+def test_masks_account_numbers_that_more_groups_follow(documents):
+    rows = [(1, "ES91 2100 0418 4502 0005 1332 BIC CAIXESBB", "a"), (2, "AT61 1904 3002 3457 3201 2024", "a"), (3, "ES91 2100 0418 4502 0005 1332 GB82 WEST 1234 5698 7654 32 2024", "a"), (4, "AT61 1904 3002 3457 3202 2024", "a"), (5, "GB82WEST12345698765432 XX", "a")]
+    got = {r["doc_id"]: r["text"] for r in pii.mask_documents(documents(rows)).collect()}
+    assert got == {1: "<IBAN> BIC CAIXESBB", 2: "<IBAN> 2024", 3: "<IBAN> <IBAN> 2024", 4: rows[3][1], 5: "<IBAN> XX"}
+
+
 @pytest.mark.parametrize("operator", [quality.quality_rules, license.license_scan, mixing.mix_sources, pii.personal_data, lambda d: packing.pack_documents(d, tokenizer()[0])])
 def test_empty_tables(documents, operator):
     assert operator(documents([])).count() == 0
