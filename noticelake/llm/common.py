@@ -55,15 +55,25 @@ def text_key(text: Column) -> Column:
     return F.xxhash64(text)
 
 
+#: Bytes of a written table (compressed files) up to which it may be broadcast.
+MOST_BROADCAST_BYTES = 8 << 20
+
+
 def small_enough(df: DataFrame, most_rows: int) -> bool:
     """Whether df has at most so many rows; on written tables the count comes from the files' footers."""
     return df.count() <= most_rows
 
 
+def file_bytes(written: DataFrame) -> int:
+    """The size of a written table's files, as Spark's own statistics have it; nothing is read."""
+    return int(written._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue())
+
+
 def looked_up(df: DataFrame, label: str, most_rows: int = 200_000) -> DataFrame:
-    """df written and counted: marked for broadcast if it has at most so many rows, else left to a shuffled join."""
+    """df written and measured: marked for broadcast if neither its rows nor its files' bytes are above the limits, else left
+    to a shuffled join."""
     kept = materialize(df, label)
-    return F.broadcast(kept) if small_enough(kept, most_rows) else kept
+    return F.broadcast(kept) if file_bytes(kept) <= MOST_BROADCAST_BYTES and small_enough(kept, most_rows) else kept
 
 
 #: Identifier of rows without one: above all real ones, apart by text.
@@ -113,10 +123,24 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYT
 HELD: list[Callable[[], None]] = []
 
 
+def frugal() -> None:
+    """Large blocks of a worker come from the system and go back to it, whatever was freed before (the allocator would else
+    raise that limit as it goes and keep them)."""
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 256 << 10)  # M_MMAP_THRESHOLD
+        libc.mallopt(-1, 1 << 20)  # M_TRIM_THRESHOLD
+        libc.mallopt(-8, 2)  # M_ARENA_MAX
+    except (OSError, AttributeError):
+        pass
+    pa.set_memory_pool(pa.system_memory_pool())
+
+
 def released(fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """fn; at a task's end its worker gives freed memory back, as workers live on and share the executor's memory."""
 
     def run(batches):
+        frugal()
         if not getattr(fn, "keeps_tables", False):
             for drop in HELD:
                 drop()

@@ -345,7 +345,7 @@ def jaccard_groups(docs: DataFrame, width: int = 3, percent: int = 90, least_bro
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     sets = sets.withColumn("part", part).withColumn("other", other).withColumns({"block_a": F.least("part", "other"), "block_b": F.greatest("part", "other")})
     sets = sets.drop("other", "parts").repartition("component", "block_a", "block_b").sortWithinPartitions("component", "block_a", "block_b", "id")
-    links = map_batches(sets, searched(percent), "a bigint, b bigint")
+    links = materialize(map_batches(sets, searched(percent), "a bigint, b bigint"), "links")  # else two Python workers a task
     reached = looked_up(components(links).select(F.col("node").alias("first"), "component"), "reached", least_broadcast)
 
     member = keyed.select("id", "k1").join(copies, ["id", "k1"], "left").withColumn("first", F.coalesce("first", "id"))

@@ -33,7 +33,7 @@ PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigin
 #: Words a worker keeps with their ids (some 40 bytes each).
 MOST_WORDS = 600_000
 #: Bytes of text tokenised at a time.
-SLICE = 4 << 20
+SLICE = 2 << 20
 #: A word's last character, if one of these follows a letter, is a token run of its own in tokenizers that cut there.
 TAIL = ".,"
 _tokenizers: dict[str, "WordTokenizer"] = {}
