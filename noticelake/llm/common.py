@@ -66,7 +66,7 @@ def small_enough(df: DataFrame, most_rows: int) -> bool:
 
 def file_bytes(written: DataFrame) -> int:
     """The size of a written table's files, as Spark's own statistics have it; nothing is read."""
-    return int(written._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue())
+    return int(str(written._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def looked_up(df: DataFrame, label: str, most_rows: int = 200_000) -> DataFrame:
