@@ -8,6 +8,7 @@ from __future__ import annotations
 import re
 
 from . import license as license_
+from . import pii
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -72,27 +73,38 @@ PII = {
     "ip": r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+",
     "card": r"[0-9](?:[\x20-]?[0-9])+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"\b[A-Z]{2}[0-9]{2}(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?\b|\b[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}\b",
+    "iban": rf"\b{pii.IBAN}\b",
+    "nir": rf"\b{pii.NIR}\b",
+    "dni": rf"\b{pii.DNI}\b",
+    "ssn": rf"\b{pii.SSN}\b",
+    "secret": rf"\b{pii.SECRET}",
+    "password": rf"\b{pii.PASSWORD}",
 }
 
 
-def op5() -> str:
+def op5(least: float = 0.5) -> str:
     parts = " UNION ALL ".join(f"SELECT doc_id, {k} AS kind, '{name}' AS name, string_split(regexp_replace(t, '({rx})', chr(1) || '\\1' || chr(1), 'g'), chr(1)) AS cut FROM d" for k, (name, rx) in enumerate(PII.items()))
     turned = "list_transform(string_split(substr(solid, 5) || substr(solid, 1, 4), ''), lambda c: CASE WHEN c >= 'A' THEN (ascii(c) - 55)::VARCHAR ELSE c END)"
+    near = r"lower(right(before, {w}) || ' ' || left(after, {w}))".format(w=pii.WINDOW)
+    scores = " ".join(f"WHEN {k} THEN CASE WHEN regexp_matches({near}, '\\b(?:{pii.KINDS[n][3]})') THEN {round(100 * min(1.0, pii.KINDS[n][2] + pii.RAISE))} ELSE {round(100 * pii.KINDS[n][2])} END" for k, n in enumerate(PII))
     return f"""WITH d AS (SELECT doc_id, replace(coalesce(text, ''), chr(1), chr(2)) AS t FROM documents), c AS ({parts}),
 u AS (SELECT doc_id, kind, name, unnest(cut) AS piece, generate_subscripts(cut, 1) AS i FROM c WHERE len(cut) > 1),
-p AS (SELECT *, sum(length(piece)) OVER (PARTITION BY doc_id, kind ORDER BY i) AS high FROM u),
-m AS (SELECT *, high - length(piece) AS low, regexp_replace(piece, '[^0-9]', '', 'g') AS digits, replace(piece, ' ', '') AS solid FROM p WHERE i % 2 = 0),
-v AS (SELECT doc_id, kind, name, low, high FROM m WHERE CASE kind WHEN 0 THEN true
+p AS (SELECT *, sum(length(piece)) OVER o AS high, lag(piece) OVER o AS before, lead(piece) OVER o AS after FROM u WINDOW o AS (PARTITION BY doc_id, kind ORDER BY i)),
+m AS (SELECT *, high - length(piece) AS low, regexp_replace(piece, '[^0-9]', '', 'g') AS digits, replace(piece, ' ', '') AS solid, CASE kind {scores} END AS score FROM p WHERE i % 2 = 0),
+v AS (SELECT doc_id, kind, name, low, high, score FROM m WHERE (kind < 4 OR score >= {round(100 * least)}) AND CASE kind WHEN 0 THEN true
   WHEN 1 THEN list_bool_and(list_transform(string_split(piece, '.'), lambda x: length(ltrim(x, '0')) <= 3 AND coalesce(try_cast(x AS HUGEINT), 999) <= 255))
   WHEN 2 THEN length(digits) BETWEEN 12 AND 19 AND list_sum(list_transform(range(1, length(digits) + 1), lambda k: CASE WHEN k % 2 = 1 THEN substr(digits, length(digits) + 1 - k, 1)::INT
     ELSE 2 * substr(digits, length(digits) + 1 - k, 1)::INT - CASE WHEN substr(digits, length(digits) + 1 - k, 1)::INT > 4 THEN 9 ELSE 0 END END)) % 10 = 0
   WHEN 3 THEN length(digits) BETWEEN 9 AND 15
-  ELSE length(solid) BETWEEN 15 AND 34 AND list_reduce(list_prepend(0::HUGEINT, list_transform(string_split(array_to_string({turned}, ''), ''), lambda c: c::HUGEINT)), lambda x, y: (x * 10 + y) % 97) = 1 END),
-g AS (SELECT doc_id, count(*) FILTER (kind = 0) AS n_email, count(*) FILTER (kind = 1) AS n_ip, count(*) FILTER (kind = 2) AS n_card, count(*) FILTER (kind = 3) AS n_phone,
+  WHEN 4 THEN list_reduce(list_prepend(0::HUGEINT, list_transform(string_split(array_to_string({turned}, ''), ''), lambda c: c::HUGEINT)), lambda x, y: (x * 10 + y) % 97) = 1
+  WHEN 5 THEN 97 - substr(piece, 1, 13)::BIGINT % 97 = substr(piece, 14, 2)::BIGINT
+  WHEN 6 THEN substr('{pii.DNI_LETTERS}', (substr(piece, 1, 8)::INT % 23 + 1)::INT, 1) = right(piece, 1)
+  WHEN 7 THEN left(piece, 3) NOT IN ('000', '666') AND left(piece, 1) <> '9' AND substr(piece, 5, 2) <> '00' AND right(piece, 4) <> '0000'
+  WHEN 8 THEN regexp_matches(piece, '[0-9]') AND regexp_matches(piece, '[A-Za-z]') ELSE true END),
+g AS (SELECT doc_id, count(*) FILTER (kind = 0) AS n_email, count(*) FILTER (kind = 1) AS n_ip, count(*) FILTER (kind = 2) AS n_card, count(*) FILTER (kind = 3) AS n_phone, count(*) AS n_spans, string_agg(score::VARCHAR, ',' ORDER BY low, kind) AS scores,
   string_agg(name || ':' || low::BIGINT || ':' || high::BIGINT, ',' ORDER BY low, kind) FILTER (kind < 4) AS base, string_agg(name || ':' || low::BIGINT || ':' || high::BIGINT, ',' ORDER BY low, kind) AS spans FROM v GROUP BY doc_id)
-SELECT d.doc_id, coalesce(n_email, 0)::BIGINT AS n_email, coalesce(n_ip, 0)::BIGINT AS n_ip, coalesce(n_card, 0)::BIGINT AS n_card, coalesce(n_phone, 0)::BIGINT AS n_phone, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
-FROM d LEFT JOIN g ON d.doc_id = g.doc_id"""
+SELECT d.doc_id, coalesce(n_email, 0)::BIGINT AS n_email, coalesce(n_ip, 0)::BIGINT AS n_ip, coalesce(n_card, 0)::BIGINT AS n_card, coalesce(n_phone, 0)::BIGINT AS n_phone, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
+coalesce(n_spans, 0)::BIGINT AS n_spans, coalesce(scores, '') AS scores FROM d LEFT JOIN g ON d.doc_id = g.doc_id"""
 
 
 OP6 = r"""WITH r AS (SELECT page_id, url, html, ('0x' || substr(sha256(coalesce(url, '')), 1, 2))::INT AS kind,

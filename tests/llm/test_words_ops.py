@@ -190,18 +190,44 @@ def test_personal_data(documents):
 
 
 def test_account_numbers_and_masks(documents):
-    d = documents([(1, "IBAN GB82 WEST 1234 5698 7654 32 or GB82 WEST 1234 5698 7654 33; jo@x.org é +1 (555) 123-4567", "a"), (2, None, "a"), (3, "", "a")])
+    d = documents([(1, "IBAN GB82 WEST 1234 5698 7654 32 or GB82 WEST 1234 5698 7654 33; jo@x.org é +1 (555) 123-4567", "a"), (2, None, "a"), (3, "", "a"), (4, "\u0001 same", "a")])
     got = {r["doc_id"]: r for r in pii.personal_data(d).collect()}
-    assert got[1]["spans"] == "iban:5:32,email:65:73,phone:76:93" and got[2]["spans"] == ""
+    assert (got[1]["spans"], got[1]["scores"], got[1]["n_spans"]) == ("iban:5:32,email:65:73,phone:76:93", "100,70,60", 3) and got[2]["spans"] == ""
     masked = pii.mask_documents(d)
     assert masked.columns == d.columns
-    assert {r["doc_id"]: (r["text"], r["spans"]) for r in masked.collect()} == {1: ("IBAN <IBAN> or GB82 WEST 1234 5698 7654 33; <EMAIL> é <PHONE>", "clash"), 2: (None, "clash"), 3: ("", "clash")}
+    assert {r["doc_id"]: (r["text"], r["spans"]) for r in masked.collect()} == {1: ("IBAN <IBAN> or GB82 WEST 1234 5698 7654 33; <EMAIL> é <PHONE>", "clash"), 2: (None, "clash"), 3: ("", "clash"), 4: ("\u0001 same", "clash")}
 
 
-def test_masks_account_numbers_that_more_groups_follow(documents):
+def test_groups_that_follow_account_numbers(documents):
     rows = [(1, "ES91 2100 0418 4502 0005 1332 BIC CAIXESBB", "a"), (2, "AT61 1904 3002 3457 3201 2024", "a"), (3, "ES91 2100 0418 4502 0005 1332 GB82 WEST 1234 5698 7654 32 2024", "a"), (4, "AT61 1904 3002 3457 3202 2024", "a"), (5, "GB82WEST12345698765432 XX", "a")]
     got = {r["doc_id"]: r["text"] for r in pii.mask_documents(documents(rows)).collect()}
     assert got == {1: "<IBAN> BIC CAIXESBB", 2: "<IBAN> 2024", 3: "<IBAN> <IBAN> 2024", 4: rows[3][1], 5: "<IBAN> XX"}
+    spans = {r["doc_id"]: r["spans"] for r in pii.personal_data(documents(rows)).collect()}
+    assert spans[2] == "iban:0:24" and spans[1] == "iban:0:29" and spans[4] == ""
+
+
+def test_context_decides_where_the_form_says_little(documents):
+    hexes = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    pairs = [
+        (f'token = "{hexes}"', f'commit "{hexes}"', f'token = "<SECRET>"'), ("SSN 078-05-1120 of", "part 078-05-1120 of", "SSN <SSN> of"), ("dni 12345678Z", "ref 12345678Z", "dni <DNI>"),
+        ("num\u00e9ro 185057800608491", "code 185057800608491", "num\u00e9ro <NIR>"),
+    ]
+    rows = [(2 * k + j, t, "a") for k, p in enumerate(pairs) for j, t in enumerate(p[:2])]
+    got = {r["doc_id"]: r for r in pii.personal_data(documents(rows)).collect()}
+    texts = {r["doc_id"]: r["text"] for r in pii.mask_documents(documents(rows)).collect()}
+    for k, (_, without, masked) in enumerate(pairs):
+        assert got[2 * k]["n_spans"] == 1 and got[2 * k + 1]["n_spans"] == 0 and texts[2 * k] == masked and texts[2 * k + 1] == without
+    wrong = [(1, "ssn 000-12-3456", "a"), (2, "dni 12345678A", "a"), (3, "num\u00e9ro 185057800608492", "a"), (4, "token " + "a" * 40, "a"), (5, "Password: hunter2 x", "a")]
+    assert {r["doc_id"]: r["spans"] for r in pii.personal_data(documents(wrong)).collect()} == {1: "", 2: "", 3: "", 4: "", 5: "password:0:17"}
+
+
+def test_many_spans_in_one_text(documents):
+    n = 200_000
+    text = " ".join(f"a{i}@b.org" for i in range(n))
+    d = documents([(1, text, "a")])
+    r = pii.personal_data(d).select("n_email", "base_sha256").first()
+    assert r["n_email"] == n and r["base_sha256"] == hashlib.sha256(",".join(f"email:{m.start()}:{m.end()}" for m in re.finditer(r"\S+", text)).encode()).hexdigest()
+    assert pii.mask_documents(d).first()["text"] == " ".join(["<EMAIL>"] * n)
 
 
 @pytest.mark.parametrize("operator", [quality.quality_rules, license.license_scan, mixing.mix_sources, pii.personal_data, lambda d: packing.pack_documents(d, tokenizer()[0])])
