@@ -1,9 +1,10 @@
 """License scans by template markup.
 
-A template is wording in which `<<beginOptional>>...<<endOptional>>` may be left out and `<<var;words=a-b>>` stands for a to
-b words of any kind. It is compiled into a token automaton that accepts word sequences whose mandatory wording matches
-exactly. Texts are lower-cased (A-Z) and cut into words of 0-9, a-z and non-ASCII characters. Each automaton starts only
-where its anchor word (the longest of its leading mandatory words) stands, which loses no match.
+A template is wording in which `<<beginOptional>>...<<endOptional>>` may be left out (also at its start, and nested) and
+`<<var;words=a-b>>` stands for a to b words of any kind. It is compiled into token automata that accept word sequences whose
+mandatory wording matches exactly. Texts are lower-cased (A-Z) and cut into words of 0-9, a-z and non-ASCII characters.
+Templates are files in `templates/`: whole texts of short licenses and of one long one, and the notices by which files name
+long ones; a text with the opening of a license and other wording after it does not match.
 
 Nulls: a null text is empty: no words, no labels, score 0. Repeated rows are scanned each; a null doc_id stays null. An
 empty table gives an empty result; extra columns are ignored. Very long texts are worked through whole, in one pass.
@@ -13,6 +14,7 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -29,61 +31,81 @@ BASE = {
     "cc by nc": "cc-by-nc",
 }
 
-# Wording of public licenses and notices, with markup for what may vary.
-TEMPLATES = {
-    "gpl-3": "gnu general public license <<beginOptional>>as published by the free software foundation either<<endOptional>> version 3",
-    "all-rights-reserved": "all rights reserved",
-    "apache-2-notice": "licensed under the apache license version 2 0 <<beginOptional>>the license<<endOptional>> you may not use this file except in compliance with the license",
-    "mpl-2-notice": "this source code form is subject to the terms of the mozilla public license v 2 0",
-    "mit-text": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files <<beginOptional>>the software<<endOptional>> to deal in <<var;words=1-3>> without restriction",
-    "isc-text": "permission to use copy modify and <<beginOptional>>or<<endOptional>> distribute this software for any purpose with or without fee is hereby granted",
-    "bsd-text": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
-    "unlicense-text": "this is free and unencumbered software released into the public domain",
-    "cc0-notice": "to the extent possible under law <<var;words=1-12>> has <<beginOptional>>have<<endOptional>> waived all copyright and related or neighboring rights to <<var;words=1-12>>",
-}
+FOLDER = Path(__file__).parent / "templates"
 
-WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-WORD_TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-SCHEMA = "doc_id bigint, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double, places array<struct<label:string,start:bigint,stop:bigint>>"
-ANY = object()
 
+def read_templates(folder: str | Path = FOLDER) -> dict[str, str]:
+    """Markup by label from a folder's .txt files, read on the driver. A file's name is the label."""
+    return {f.stem: f.read_text() for f in sorted(Path(folder).glob("*.txt"))}
 
-class Automaton:
-    """States 0..end; step[s] has (word or ANY, next); skip[s] has states reached without a word."""
 
-    def __init__(self, label: str, markup: str, base: bool = False):
-        self.label, self.base = label, base
+def as_template(text: str) -> str:
+    """A plain license text as markup: what numbers or bullets a line may be left out, and so may a copyright line."""
+    out = []
+    for line in text.split("\n"):
+        line = re.sub(r"^(\s*)(\(?[0-9a-z]{1,2}[.)])(?=\s)", r"\1<<beginOptional>>\2<<endOptional>>", line)
+        out.append(f"<<beginOptional>>{line}<<endOptional>>" if re.match(r"\s*copyright\b.*[0-9]{4}", line, re.I) else line)
+    return "\n".join(out)
+
+
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+WORD_TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
+SCHEMA = "doc_id bigint, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double, places array<struct<label:string,start:bigint,stop:bigint>>"
+#: Stands for a word of any kind (None, as that is the same object in every process).
+ANY = None
+
+
+def parsed(label: str, markup: str) -> list[tuple]:
+    """Elements in order: ("word", w), ("any", least, most) and ("maybe", elements); optional regions may hold others."""
+    stack: list[list[tuple]] = [[]]
+    for part in re.split(r"(<<[^>]*>>)", markup):
+        if part == "<<beginOptional>>":
+            stack.append([])
+        elif part == "<<endOptional>>":
+            if len(stack) < 2:
+                raise ValueError(f"template {label}: an optional region ends that did not begin")
+            inner = stack.pop()
+            stack[-1].append(("maybe", inner))
+        elif found := re.fullmatch(r"<<var;words=(\d+)-(\d+)>>", part):
+            stack[-1].append(("any", int(found[1]), int(found[2])))
+        else:
+            stack[-1] += [("word", w) for w in WORD.findall(part.lower())]
+    if len(stack) > 1:
+        raise ValueError(f"template {label}: an optional region does not end")
+    return stack[0]
+
+
+def turned(elements: list[tuple]) -> list[tuple]:
+    return [("maybe", turned(e[1])) if e[0] == "maybe" else e for e in reversed(elements)]
+
+
+class Machine:
+    """A token automaton: states 0..end; step[s] has (word or ANY, next); skip[s] has states reached without a word."""
+
+    def __init__(self, elements: list[tuple]):
         self.step: dict[int, list[tuple[object, int]]] = defaultdict(list)
         self.skip: dict[int, list[int]] = defaultdict(list)
-        state, opened, lead, leading = 0, [], [], True
-        for part in re.split(r"(<<[^>]*>>)", markup):
-            if part == "<<beginOptional>>":
-                opened.append(state)
-                leading = False
-            elif part == "<<endOptional>>":
-                self.skip[opened.pop()].append(state)
-            elif found := re.fullmatch(r"<<var;words=(\d+)-(\d+)>>", part):
-                least, most = map(int, found.groups())
+        self.end = self.add(elements, 0)
+
+    def add(self, elements: list[tuple], state: int) -> int:
+        for e in elements:
+            if e[0] == "word":
+                self.step[state].append((e[1], state + 1))
+                state += 1
+            elif e[0] == "maybe":
+                after = self.add(e[1], state)
+                self.skip[state].append(after)
+                state = after
+            else:
                 ends = []
-                for k in range(most):
-                    if k >= least:
+                for k in range(e[2]):
+                    if k >= e[1]:
                         ends.append(state)
                     self.step[state].append((ANY, state + 1))
                     state += 1
                 for s in ends:
                     self.skip[s].append(state)
-                leading = False
-            else:
-                for word in WORD.findall(part.lower()):
-                    self.step[state].append((word, state + 1))
-                    state += 1
-                    if leading:
-                        lead.append(word)
-        if opened or not lead:
-            raise ValueError(f"template {label}: unclosed optional region, or no mandatory word at its start")
-        self.end = state
-        self.anchor = max(range(len(lead)), key=lambda i: (len(lead[i]), i))
-        self.anchor_word = lead[self.anchor]
+        return state
 
     def closed(self, states: set[int]) -> set[int]:
         todo, seen = list(states), set(states)
@@ -94,22 +116,49 @@ class Automaton:
                     todo.append(t)
         return seen
 
-    def match(self, word_at, start: int, stop: int) -> int | None:
-        """The end of the longest match that starts at `start`, before `stop`."""
+    def longest(self, word_at, start: int, stop: int, by: int = 1) -> int | None:
+        """Where the longest match that begins at `start` ends, going by 1 or -1 until `stop`; None if there is none."""
         states, found, at = self.closed({0}), None, start
         while states:
             if self.end in states:
                 found = at
-            if at >= stop:
+            if at == stop:
                 break
             word = word_at(at)
             states = self.closed({t for s in states for w, t in self.step.get(s, ()) if w is ANY or w == word})
-            at += 1
+            at += by
         return found
 
 
+class Automaton:
+    """A template: automata of what follows its anchor, read forwards, and of what precedes it, read backwards.
+
+    The anchor is a mandatory word, the longest of those that stand in the template least often. Any match has it, so texts are
+    searched only where it stands; optional regions may come before and after.
+    """
+
+    def __init__(self, label: str, markup: str, base: bool = False):
+        self.label, self.base = label, base
+        elements = parsed(label, markup)
+        words = [e[1] for e in elements if e[0] == "word"]
+        if not words:
+            raise ValueError(f"template {label}: no mandatory word")
+        every = WORD.findall(re.sub(r"<<[^>]*>>", " ", markup.lower()))
+        self.anchor_word = min(words, key=lambda w: (every.count(w), -len(w), words.index(w)))
+        at = elements.index(("word", self.anchor_word))
+        self.after, self.before = Machine(elements[at + 1 :]), Machine(turned(elements[:at]))
+
+    def match(self, word_at, at: int, low: int, high: int) -> tuple[int, int] | None:
+        """Begin and end of the longest match with its anchor at `at`, within low and high."""
+        end = self.after.longest(word_at, at + 1, high)
+        if end is None:
+            return None
+        begin = self.before.longest(word_at, at - 1, low - 1, -1)
+        return None if begin is None else (begin + 1, end)
+
+
 def compiled(templates: dict[str, str] | None = None, base: dict[str, str] | None = None) -> list[Automaton]:
-    own = TEMPLATES if templates is None else templates
+    own = read_templates() if templates is None else templates
     return [Automaton(label, phrase, True) for phrase, label in (BASE if base is None else base).items()] + [Automaton(label, markup) for label, markup in own.items()]
 
 
@@ -131,9 +180,8 @@ def scanner(automata: list[Automaton]):
         for at, doc in zip(hits.tolist(), docs.tolist()):
             low, high = int(words.offsets[doc]), int(words.offsets[doc + 1])
             for a in lists[of_word[at]]:
-                start = at - a.anchor
-                if start >= low and (end := a.match(word_at, start, high)) is not None:
-                    places[doc].append((start - low, end - low, a))
+                if (found := a.match(word_at, at, low, high)) is not None:
+                    places[doc].append((found[0] - low, found[1] - low, a))
         n = batch.num_rows
         counts = words.counts
         n_base, first, last, base_labels, labels, score, listed = [0] * n, [None] * n, [None] * n, [""] * n, [""] * n, [0.0] * n, [[] for _ in range(n)]

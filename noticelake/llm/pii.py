@@ -131,14 +131,14 @@ CHUNK = 256
 BLANK = "named_struct('start', 0L, 'kind', 0, 'stop', 0L, 'score', 0.0D)"
 
 
-def sums_before(lengths: Column) -> Column:
+def sums_before(numbers: Column) -> Column:
     """For each number the sum of those before it."""
     zero = lambda at: F.struct(at.alias("at"), F.expr("slice(array(0L), 1, 0)").alias("all"))
     add = lambda s, n: F.struct((s["at"] + n).alias("at"), F.concat(s["all"], F.array(s["at"])).alias("all"))
     fold = lambda x, at: F.aggregate(x, zero(at), add, lambda s: s["all"])
-    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / CHUNK).cast("int")), lambda k: F.slice(lengths, k * CHUNK + 1, CHUNK))
+    chunked = lambda ns: F.transform(F.sequence(F.lit(0), F.floor((F.size(ns) - 1) / CHUNK).cast("int")), lambda k: F.slice(ns, k * CHUNK + 1, CHUNK))
     totals = lambda c: F.transform(c, lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda t, n: t + n))
-    return let(chunks, lambda c: F.flatten(F.zip_with(c, fold(totals(c), F.lit(0).cast("long")), fold)))
+    return let(let(numbers, chunked), lambda c: F.flatten(F.zip_with(c, fold(totals(c), F.lit(0).cast("long")), fold)))
 
 
 def let(value: Column, body) -> Column:

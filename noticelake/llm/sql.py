@@ -5,46 +5,40 @@ op1 (line frequency) and op3 (tokens, packing) have none; tests hold them agains
 
 from __future__ import annotations
 
-import re
-
 from . import license as license_
 from . import pii
 
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def template_regex(markup: str) -> str:
-    """A template as a pattern over words that are each followed by one space."""
+def template_regex(elements: list[tuple]) -> str:
+    """A template as a pattern over words that have a space before and after each."""
     out = ""
-    for part in re.split(r"(<<[^>]*>>)", markup):
-        if part == "<<beginOptional>>":
-            out += "(?:"
-        elif part == "<<endOptional>>":
-            out += ")?"
-        elif found := re.fullmatch(r"<<var;words=(\d+)-(\d+)>>", part):
-            out += f"(?:[^ ]+ ){{{found[1]},{found[2]}}}"
+    for e in elements:
+        if e[0] == "word":
+            out += f" {e[1]} "
+        elif e[0] == "maybe":
+            out += f"(?:{template_regex(e[1])})?"
         else:
-            out += "".join(f"{w} " for w in part.split())
+            out += f"(?: [^ ]+ ){{{e[1]},{e[2]}}}"
     return out
 
 
 def op2() -> str:
     plain = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
-    base = ", ".join(f"{{'label': '{label}', 'words': {phrase.split()}}}" for phrase, label in license_.BASE.items())
-    labels = ", ".join(f"CASE WHEN regexp_matches(flat, ' {template_regex(m)}') THEN '{label}' END" for label, m in license_.TEMPLATES.items())
-    longest = max(len(m.split()) + 30 for m in license_.TEMPLATES.values())
-    spans = " UNION ALL ".join(
-        [f"SELECT doc_id, i AS low, i + {len(p.split())} AS high FROM spot WHERE w[i + 1 : i + {len(p.split())}] = {p.split()}" for p in license_.BASE]
-        + [f"SELECT doc_id, i, i + length(regexp_replace(regexp_extract(array_to_string(w[i + 1 : i + {longest}], ' ') || ' ', '^{template_regex(m)}'), '[^ ]', '', 'g')) FROM spot WHERE regexp_matches(array_to_string(w[i + 1 : i + {longest}], ' ') || ' ', '^{template_regex(m)}')" for m in license_.TEMPLATES.values()]
-    )
-    return f"""WITH d AS (SELECT doc_id, {plain} AS w FROM documents), spot AS (SELECT doc_id, w, unnest(range(0, len(w))) AS i FROM d WHERE regexp_matches(array_to_string(w, ' '), 'licen|reserved|redistribution|permission|copyright|unencumbered|cc by nc')),
-b AS (SELECT doc_id, i, p.label FROM spot, (SELECT unnest([{base}]) AS p) WHERE w[i + 1 : i + len(p.words)] = p.words),
-s AS ({spans}), c AS (SELECT doc_id, count(DISTINCT k) AS covered FROM (SELECT doc_id, unnest(range(low, high)) AS k FROM s) GROUP BY doc_id),
-n AS (SELECT doc_id, count(*) AS n, min(i) AS low, max(i) AS high, list_sort(list(DISTINCT label)) AS labels FROM b GROUP BY doc_id),
-f AS (SELECT doc_id, w, ' ' || array_to_string(w, ' ') || ' ' AS flat FROM d)
-SELECT f.doc_id, len(w)::BIGINT AS n_words, coalesce(n.n, 0)::BIGINT AS n_base, n.low::BIGINT AS first_word, n.high::BIGINT AS last_word, coalesce(array_to_string(n.labels, ','), '') AS base_labels,
-array_to_string(list_sort(list_distinct(list_concat(coalesce(n.labels, []::VARCHAR[]), list_filter([{labels}], lambda x: x IS NOT NULL)))), ',') AS labels, coalesce(covered / len(w), 0)::DOUBLE AS score
-FROM f LEFT JOIN n ON f.doc_id = n.doc_id LEFT JOIN c ON f.doc_id = c.doc_id"""
+    every = [(True, label, markup) for markup, label in license_.BASE.items()] + [(False, label, markup) for label, markup in license_.read_templates().items()]
+    cuts = []
+    for base, label, markup in every:
+        pattern = template_regex(license_.parsed(label, markup))
+        cuts.append(f"SELECT doc_id, {base} AS base, '{label}' AS label, string_split(regexp_replace(cells, '({pattern})', chr(1) || '\\1' || chr(1), 'g'), chr(1)) AS cut FROM d WHERE regexp_matches(cells, '{pattern}')")
+    return f"""WITH w AS (SELECT doc_id, {plain} AS words FROM documents), d AS (SELECT doc_id, len(words) AS n, CASE WHEN len(words) > 0 THEN ' ' || array_to_string(words, '  ') || ' ' ELSE '' END AS cells FROM w),
+c AS ({" UNION ALL ".join(cuts)}),
+u AS (SELECT doc_id, base, label, unnest(cut) AS piece, generate_subscripts(cut, 1) AS i FROM c), k AS (SELECT *, (length(piece) - length(replace(piece, ' ', ''))) // 2 AS k FROM u),
+p AS (SELECT *, sum(k) OVER (PARTITION BY doc_id, base, label ORDER BY i) AS high FROM k), s AS (SELECT doc_id, base, label, high - k AS low, high FROM p WHERE i % 2 = 0),
+v AS (SELECT doc_id, count(DISTINCT x) AS covered FROM (SELECT doc_id, unnest(range(low::BIGINT, high::BIGINT)) AS x FROM s) GROUP BY doc_id),
+g AS (SELECT doc_id, count(*) FILTER (base) AS n_base, min(low) FILTER (base) AS first_word, max(low) FILTER (base) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM s GROUP BY doc_id)
+SELECT d.doc_id, n::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(covered / n, 0)::DOUBLE AS score
+FROM d LEFT JOIN g ON d.doc_id = g.doc_id LEFT JOIN v ON d.doc_id = v.doc_id"""
 
 
 def op4(seed: int = 7, buckets: int = 4096) -> str:

@@ -66,20 +66,64 @@ def test_different_documents_that_share_most_lines_count_each(documents):
 
 
 def test_license(documents):
-    rows = HARD + [(10, "Released UNDER the MIT License. Apache-License, version 2.0 cc-by-nc", "a"), (11, "GNU General Public License, version 3", "a"), (12, "gnu general public license as published by the free software foundation, either version 3; all rights reserved", None)]
+    long = "word " * 100_000
+    rows = HARD + [(10, "Released UNDER the MIT License. Apache-License, version 2.0 cc-by-nc", "a"), (11, "GNU General Public License, version 3", "a"), (12, "gnu general public license as published by the free software foundation, either version 3; all rights reserved", None), (13, long + "under the mit license " + long, "a")]
     got = {r["doc_id"]: r for r in license.license_scan(documents(rows)).collect()}
     assert (got[10]["n_words"], got[10]["n_base"], got[10]["first_word"], got[10]["last_word"], got[10]["base_labels"]) == (13, 3, 1, 10, "apache-2,cc-by-nc,mit")
-    assert got[11]["labels"] == "gpl-3" and got[12]["labels"] == "all-rights-reserved,gpl-3" and got[12]["n_base"] == 0 and got[11]["score"] == 1.0
+    assert got[11]["labels"] == "gpl-3-line" and got[12]["labels"] == "gpl-3-line" and got[12]["n_base"] == 0 and got[11]["score"] == 1.0
     assert got[1]["n_words"] == 0 and got[1]["labels"] == "" and got[1]["first_word"] is None
+    assert (got[13]["n_base"], got[13]["first_word"], got[13]["labels"]) == (1, 100_000, "mit,mit-line")
+
+
+def filled(markup, rng):
+    """A text that the template accepts: options taken at random, words for what may vary."""
+
+    def of(elements):
+        out = []
+        for e in elements:
+            if e[0] == "word":
+                out.append(e[1])
+            elif e[0] == "any":
+                out += [f"z{rng.randint(0, 99)}" for _ in range(rng.randint(e[1], e[2]))]
+            elif rng.random() < 0.5:
+                out += of(e[1])
+        return out
+
+    return of(license.parsed("x", markup))
+
+
+def test_whole_license_texts(documents):
+    """Each template's texts get its label, with any mandatory word changed they don't, whatever the options; in any place."""
+    rng, rows, want = random.Random(4), [], {}
+    for label, markup in license.read_templates().items():
+        for _ in range(3):
+            words = filled(markup, rng)
+            rows.append((len(rows), "Intro " + " ".join(words).upper() + ". The end", "a"))
+            want[rows[-1][0]] = (label, True)
+        top = [e[1] for e in license.parsed(label, markup) if e[0] == "word"]
+        for at in {0, len(top) // 2, len(top) - 1}:
+            seen, words = 0, []
+            for e in license.parsed(label, markup):
+                if e[0] == "word":
+                    words.append("altered" if seen == at else e[1])
+                    seen += 1
+                elif e[0] == "any":
+                    words += ["zz"] * max(1, e[1])
+            rows.append((len(rows), " ".join(words), "a"))
+            want[rows[-1][0]] = (label, False)
+    got = {r["doc_id"]: set(r["labels"].split(",")) for r in license.license_scan(documents(rows)).collect()}
+    assert len(want) > 100 and not [(i, label, there, got[i], rows[i]) for i, (label, there) in want.items() if (label in got[i]) != there]
 
 
 def test_template_markup():
-    a = license.Automaton("x", "to the <<beginOptional>>fullest <<endOptional>>extent <<var;words=0-2>> law")
-    for text, end in (("to the extent law", 4), ("to the fullest extent of any law", 7), ("to the extent of any other law", None), ("to the fullest law", None)):
+    a = license.Automaton("x", "<<beginOptional>>a <<beginOptional>>very <<endOptional>>short title<<endOptional>> to the <<beginOptional>>fullest <<endOptional>>extent <<var;words=0-2>> law")
+    for text, span in (("to the extent law", (0, 4)), ("to the fullest extent of any law", (0, 7)), ("to the extent of any other law", None), ("to the fullest law", None), ("x a short title to the extent law y", (1, 8)), ("a very short title to the extent law", (0, 8)), ("very short title to the extent law", (3, 7))):
         words = text.split()
-        assert a.match(lambda i: words[i], 0, len(words)) == end
-    with pytest.raises(ValueError):
-        license.Automaton("y", "<<beginOptional>>only<<endOptional>>")
+        found = [m for i, w in enumerate(words) if w == a.anchor_word and (m := a.match(lambda i: words[i], i, 0, len(words)))]
+        assert found == ([span] if span else []), text
+    for wrong in ("<<beginOptional>>only<<endOptional>>", "<<beginOptional>>a b", "a <<endOptional>>", "<<var;words=1-2>>"):
+        with pytest.raises(ValueError):
+            license.Automaton("y", wrong)
 
 
 def tokenizer():
