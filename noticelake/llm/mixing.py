@@ -2,10 +2,12 @@
 
 A source's target is its share of the mix by weight, but no more than max_ratio times its size; what is above is shared anew
 by weight until no target is above (found in closed form: sources in order of the level at which they are full). Each document
-then has target / size of its source as expected copies: the whole part is certain, the rest is a probability p. Documents
-are ranked by (u / (1-u)) / (p / (1-p)), u a random number from a hash of seed and document, and the first are taken until the
-source's words are reached; the last place goes to the document whose size comes nearest to what is then missing, if that
-brings the source nearer to its target. A copied row counts as a document of its own.
+then has the whole part of target / size of its source as certain copies. What is then missing is drawn with unequal
+probabilities: a document's chance p is in proportion to `favour` powers of its size (by classes of sizes, each up to twice the
+one before), at most 1, and such that the chances times the sizes come to what is missing; a chance of 1 is a certain copy more.
+Documents are ranked by (u / (1-u)) / (p / (1-p)), u a random number from a hash of seed and document, and the first are taken
+until the source's words are reached; the last place goes to the document whose size comes nearest to what is then missing, if
+that brings the source nearer to its target. A copied row counts as a document of its own.
 
 The ranking is never gathered by source: ranks are cut into buckets whose words are summed by (source, bucket); only the
 bucket in which the target is reached is ordered exactly. A source with a third of all rows is thus spread evenly.
@@ -19,7 +21,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Words, arrow_map, batch_of, join_on, looked_up, materialize
@@ -51,6 +53,33 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), total
     )
 
 
+def size_class(size: Column) -> Column:
+    """Binary digits of a size."""
+    return F.length(F.bin(size))
+
+
+def inclusion(by_class: DataFrame, targets: DataFrame, favour: float) -> DataFrame:
+    """(source, class, source_size, target, certain, p, missing) from the words of each source and size class and the targets.
+
+    Classes of the largest sizes are full (p = 1) as long as the rest, at p in proportion to size ** favour, could not hold what is
+    missing; `missing` is what the draw is to reach.
+    """
+    of, down = Window.partitionBy("source"), Window.partitionBy("source").orderBy(F.col("class").desc())
+    size, f = F.col("source_size"), F.pow(F.lit(2.0), F.col("class") * favour)
+    ratio = F.when(size > 0, F.col("target") / size).otherwise(F.lit(0.0))
+    found = join_on(by_class, targets, ["source"], "inner").withColumns({"f": f, "certain": F.floor(ratio + NONE)})
+    found = found.withColumn("missing", F.greatest(F.col("target") - F.col("certain") * size, F.lit(0.0)))
+    before = F.coalesce(F.sum("words").over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rest = F.sum(F.col("words") * F.col("f")).over(down.rowsBetween(0, Window.unboundedFollowing))
+    found = found.withColumn("level", F.when(rest > 0, (F.col("missing") - before) / rest).otherwise(F.lit(0.0)))
+    fits = F.col("level") * F.col("f") <= 1 + NONE
+    found = found.withColumn("level", F.min(F.when(fits, F.struct((-F.col("class")).alias("turn"), "level"))).over(of)["level"])
+    found = found.withColumn("p", F.greatest(F.col("level") * F.col("f"), F.lit(0.0)))
+    full = F.col("p") >= 1 - NONE
+    missing = F.col("missing") - F.coalesce(F.sum(F.when(full, F.col("words"))).over(of), F.lit(0))
+    return found.withColumns({"missing": missing, "certain": F.col("certain") + full.cast("long"), "p": F.when(full, F.lit(0.0)).otherwise(F.col("p"))}).select("source", "class", "source_size", "target", "certain", "p", "missing")
+
+
 def rank_key(p, seed: int):
     """The Pareto ranking variable as a number from 0 to 1 (q / (1+q), which keeps the order)."""
     u = (F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))), 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 52))
@@ -58,29 +87,28 @@ def rank_key(p, seed: int):
     return odds / (1 + odds)
 
 
-def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), total_ratio: float = 1.5, max_ratio: float = 2.0, seed: int = 7) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), total_ratio: float = 1.5, max_ratio: float = 2.0, seed: int = 7, favour: float = 0.25) -> DataFrame:
     """A row for each document: doc_id, text_key, source, size, source_size, target, copies, taken (copies times size)."""
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64("text").alias("text_key"), F.col("text").cast("string").alias("text"))
     sizes = materialize(arrow_map(narrow, sized, "doc_id bigint, source string, text_key bigint, size bigint").withColumn("row", F.monotonically_increasing_id()), "sizes")
-    targets = looked_up(source_targets(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), weights, total_ratio, max_ratio), "targets")
-    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    certain = F.floor(ratio + NONE)
-    p = ratio - certain
+    sizes = sizes.withColumn("class", size_class(F.col("size")))
+    by_class = materialize(sizes.groupBy("source", "class").agg(F.sum("size").alias("words")), "classes")
+    targets = source_targets(by_class.groupBy("source").agg(F.sum("words").alias("source_size")), weights, total_ratio, max_ratio)
+    odds = looked_up(inclusion(by_class, targets, favour), "odds")
     ranked = (
-        join_on(sizes, targets, ["source"], "inner")
-        .withColumns({"certain": certain, "p": F.greatest(p, F.lit(0.0)), "missing": F.col("target") - certain * F.col("source_size")})
+        join_on(sizes, odds, ["source", "class"], "inner")
         .withColumn("rank", F.when(F.col("p") > NONE, rank_key(F.col("p"), seed)).otherwise(F.lit(1.0)))
         .withColumn("bucket", F.least(F.floor(F.col("rank") * BUCKETS), F.lit(BUCKETS - 1)))
     )
     ranked = materialize(ranked, "ranked")
-    summed = ranked.groupBy("source", "bucket").agg(F.sum("size").alias("words"), F.first("missing").alias("missing"))
+    summed = ranked.filter(F.col("p") > NONE).groupBy("source", "bucket").agg(F.sum("size").alias("words"), F.first("missing").alias("missing"))
     to_here = Window.partitionBy("source").orderBy("bucket")
     reached = (F.col("before") <= F.col("missing")) & (F.col("before") + F.col("words") > F.col("missing"))
     cut = summed.withColumn("before", F.sum("words").over(to_here) - F.col("words")).filter(reached).select("source", F.col("bucket").alias("cut"), "before")
     placed = join_on(ranked, looked_up(cut, "cut"), ["source"], "left")
     key = F.struct("rank", "doc_id", "size", "row")
     in_order = Window.partitionBy("source", "bucket").orderBy("rank", "doc_id", "size", "row").rowsBetween(Window.unboundedPreceding, 0)
-    edge = placed.filter(F.col("bucket") == F.col("cut")).withColumn("upto", F.col("before") + F.sum("size").over(in_order))
+    edge = placed.filter((F.col("bucket") == F.col("cut")) & (F.col("p") > NONE)).withColumn("upto", F.col("before") + F.sum("size").over(in_order))
     fits = F.col("upto") <= F.col("missing")
     edge = edge.groupBy("source").agg(F.max(F.when(fits, key)).alias("last"), F.max(F.when(fits, F.col("upto"))).alias("reached"))
     at_edge = (F.col("bucket") == F.col("cut")) & (key <= F.col("last"))

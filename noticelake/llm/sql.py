@@ -41,7 +41,7 @@ SELECT d.doc_id, n::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, fi
 FROM d LEFT JOIN g ON d.doc_id = g.doc_id LEFT JOIN v ON d.doc_id = v.doc_id"""
 
 
-def op4(seed: int = 7, buckets: int = 4096) -> str:
+def op4(seed: int = 7, favour: float = 0.25) -> str:
     return f"""WITH z AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::BIGINT AS size FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, [5.0, 2.0, 1.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS weight FROM z GROUP BY source),
 c AS (SELECT *, 2.0::DOUBLE * source_size AS cap, 1.5::DOUBLE * sum(source_size) OVER () AS total, sum(weight) OVER () AS all_weight, row_number() OVER o AS turn,
@@ -49,12 +49,17 @@ c AS (SELECT *, 2.0::DOUBLE * source_size AS cap, 1.5::DOUBLE * sum(source_size)
   coalesce(sum(weight) OVER (ORDER BY 2.0::DOUBLE * source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS weight_before FROM s WINDOW o AS (ORDER BY 2.0::DOUBLE * source_size / weight, source NULLS LAST)),
 l AS (SELECT *, (total - cap_before) / (all_weight - weight_before) AS level FROM c),
 t AS (SELECT source, source_size, coalesce(least(cap, weight * (SELECT level FROM l WHERE cap >= weight * level ORDER BY turn LIMIT 1)), cap) AS target FROM l),
-r AS (SELECT z.*, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS ratio FROM z JOIN t ON z.source IS NOT DISTINCT FROM t.source),
-p AS (SELECT *, floor(ratio + 1e-12) AS certain, greatest(ratio - floor(ratio + 1e-12), 0) AS p, target - floor(ratio + 1e-12) * source_size AS missing,
-  (('0x' || substr(md5('{seed}:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE AS u FROM r),
+x0 AS (SELECT source, length(bin(size)) AS class, sum(size)::BIGINT AS words FROM z GROUP BY ALL),
+x1 AS (SELECT x0.*, source_size, target, pow(2.0::DOUBLE, class * {favour}::DOUBLE) AS f, floor(CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END + 1e-12) AS certain FROM x0 JOIN t ON x0.source IS NOT DISTINCT FROM t.source),
+x2 AS (SELECT *, greatest(target - certain * source_size, 0) AS missing FROM x1),
+x3 AS (SELECT *, sum(words * f) OVER (PARTITION BY source ORDER BY class DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest, coalesce(sum(words) OVER (PARTITION BY source ORDER BY class DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS before FROM x2),
+x4 AS (SELECT *, CASE WHEN rest > 0 THEN (missing - before) / rest ELSE 0 END AS level FROM x3),
+x5 AS (SELECT * EXCLUDE (level), arg_max(level, class) FILTER (level * f <= 1 + 1e-12) OVER (PARTITION BY source) AS level FROM x4), x6 AS (SELECT *, greatest(level * f, 0) AS p0 FROM x5),
+x7 AS (SELECT source, class, source_size, target, certain + (p0 >= 1 - 1e-12)::INT AS certain, CASE WHEN p0 >= 1 - 1e-12 THEN 0 ELSE p0 END AS p, missing - coalesce(sum(words) FILTER (p0 >= 1 - 1e-12) OVER (PARTITION BY source), 0)::DOUBLE AS missing FROM x6),
+p AS (SELECT z.*, source_size, target, certain, p, missing, (('0x' || substr(md5('{seed}:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE AS u FROM z JOIN x7 ON z.source IS NOT DISTINCT FROM x7.source AND length(bin(size)) = x7.class),
 q AS (SELECT *, CASE WHEN p > 1e-12 THEN (u / (1 - u)) / (p / (1 - p)) END AS odds FROM p),
 k AS (SELECT *, CASE WHEN odds IS NULL THEN 1.0::DOUBLE ELSE odds / (1 + odds) END AS rank FROM q),
-a AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY rank, doc_id, size ROWS UNBOUNDED PRECEDING) AS upto FROM k),
+a AS (SELECT *, sum(CASE WHEN p > 1e-12 THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY rank, doc_id, size ROWS UNBOUNDED PRECEDING) AS upto FROM k),
 i AS (SELECT *, p > 1e-12 AND upto <= missing AS taken_in FROM a),
 e AS (SELECT source, min(missing) - coalesce(max(upto) FILTER (taken_in), 0) AS short FROM i GROUP BY source),
 x AS (SELECT i.source, arg_min(doc_id, (abs(short - size), rank, doc_id)) AS doc_id FROM i JOIN e ON i.source IS NOT DISTINCT FROM e.source WHERE NOT taken_in AND p > 1e-12 AND abs(short - size) < short GROUP BY i.source)

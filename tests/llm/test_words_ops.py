@@ -210,6 +210,25 @@ def test_mix(documents):
         assert target[k] == pytest.approx(want[k]) and abs(taken[k] - want[k]) <= largest / 2
 
 
+def test_chances_differ_by_size_and_come_to_what_is_missing(spark):
+    rng = random.Random(8)
+    words = {("a", k): rng.randint(1, 10**6) for k in range(1, 15)} | {(None, k): rng.randint(1, 100) for k in range(1, 6)} | {("c", 1): 0, ("d", 3): 40}
+    size = Counter()
+    for (source, _), n in words.items():
+        size[source] += n
+    target = {"a": 1.37 * size["a"], None: 0.02 * size[None], "c": 0.0, "d": 80.0}
+    rows = spark.createDataFrame([(*k, n) for k, n in words.items()], "source string, class int, words long")
+    targets = spark.createDataFrame([(s, n, 1.0, target[s]) for s, n in size.items()], "source string, source_size long, weight double, target double")
+    got = mixing.inclusion(rows, targets, 0.25).collect()
+    reached, chances = Counter(), defaultdict(dict)
+    for r in got:
+        reached[r["source"]] += (r["certain"] + r["p"]) * words[r["source"], r["class"]]
+        chances[r["source"]][r["class"]] = r["p"] + r["certain"]
+        assert 0 <= r["p"] < 1
+    assert all(reached[s] == pytest.approx(target[s]) for s in size) and len(got) == len(words)
+    assert all(chances["a"][k] < chances["a"][k + 1] or chances["a"][k] == chances["a"][k + 1] == 2 for k in range(1, 14))
+
+
 def luhn(d):
     return sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(d[::-1])) % 10 == 0
 
