@@ -1,8 +1,9 @@
 """Chat formatting by event-sourced reconstruction.
 
 A log holds events of conversations: `message` starts a message with its text, `delta` adds text to the message that is open
-(or starts one), `regenerate` discards the open message and starts it anew, `edit` sets the text of the message whose first
-event has seq = target; the edit with the largest seq wins. The log is dealt by conversation and sorted by sequence; tasks
+(or starts one, if none is open or its role is another), `regenerate` discards the open message and starts it anew, `edit` sets
+the text of the message one of whose events has seq = target; the edit with the largest seq wins, and one whose target is no
+event of its conversation changes nothing. The log is dealt by conversation and sorted by sequence; tasks
 fold it as a stream and hold one open message at a time, so a conversation with a third of all rows needs no more memory
 than its longest message. Edits are found beforehand by a grouped maximum and joined to the event they change.
 
@@ -20,7 +21,7 @@ import hashlib
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import batch_of, join_on, map_batches
@@ -77,8 +78,9 @@ def folded(batches, chunk: int = 2000):
                 close()
                 conv, begins, turn = c, 0, 0
             role, text = role or "", text or ""
-            if kind == "delta" and opened is not None:
+            if kind == "delta" and opened is not None and role in ("", opened[0]):
                 opened[1].append(text)
+                opened[2] = edited if edited is not None else opened[2]
             elif kind == "regenerate" and opened is not None:
                 opened = [role or opened[0], [text], edited]
             else:
@@ -150,3 +152,28 @@ def digest_conversations(segments: DataFrame) -> DataFrame:
 def message_events(conversations: DataFrame) -> DataFrame:
     """One message event for each stored turn."""
     return conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("seq"), F.lit("message").alias("kind"), F.lit(None).cast("long").alias("target"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
+
+
+#: Events that a turn may have.
+STEPS = 4
+
+
+def turn_events(conversations: DataFrame) -> DataFrame:
+    """Stored turns as the log of a session that ends with them: of four turns of a conversation one comes whole, one in two
+    deltas, one after a draft that is generated anew, and one is edited into what is stored. Turns are numbered by turn, role
+    and text, so ties have an order; seq is unique in a conversation."""
+    order = Window.partitionBy("conv_id").orderBy("seq", "role", "text")
+    turns = message_events(conversations).withColumn("n", F.row_number().over(order)).drop("seq", "kind", "target")
+    text, base = F.coalesce("text", F.lit("")), F.col("n").cast("long") * STEPS
+    half = F.floor(F.char_length(text) / 2).cast("int")
+    first, rest = F.substring(text, F.lit(1), half), F.substring(text, half + 1, F.char_length(text))
+
+    def event(step: int, kind: str, value, target=F.lit(None).cast("long")):
+        return F.struct((base + step).alias("seq"), F.lit(kind).alias("kind"), target.alias("target"), value.alias("text"))
+
+    way = F.col("n") % 4
+    streamed = F.array(event(0, "message", first), event(1, "delta", rest))
+    anew = F.array(event(0, "message", F.concat(F.lit("draft of "), rest)), event(1, "regenerate", first), event(2, "delta", rest))
+    edited = F.array(event(0, "message", rest), event(1, "delta", first), event(2, "edit", F.lit("not yet"), base), event(3, "edit", text, base))
+    events = F.when(way == 1, streamed).when(way == 2, anew).when(way == 3, edited).otherwise(F.array(event(0, "message", text)))
+    return turns.select("conv_id", "role", F.explode(events).alias("e")).select("conv_id", "e.seq", "e.kind", "e.target", "role", "e.text")

@@ -55,7 +55,7 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = "</s>[INST] ok [/INST]"
     added = spark.createDataFrame([(-7, 0, "user", probe), (-7, 1, "assistant", probe)], "conv_id bigint, turn bigint, role string, text string")
-    return chat.digest_conversations(chat.format_conversations(chat.message_events(stored.unionByName(added))))
+    return chat.digest_conversations(chat.format_conversations(chat.turn_events(stored.unionByName(added))))
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

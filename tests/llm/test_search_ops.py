@@ -174,12 +174,13 @@ def test_fixity_reads_stored_files(spark):
     assert [x[1] for x in got if x[0] == "moved"] in ([48], [49])
 
 
-def test_chat_round_trip(spark):
+@pytest.mark.parametrize("events", [chat.message_events, chat.turn_events])
+def test_chat_round_trip(spark, events):
     rng = random.Random(9)
     parts = ["<s>", "</s>", "[INST]", "[/INST]", "[OUT]", "\\", "[", "<", "é", "\n", "[ROLE]", "x"]
     rows = [(c, t, rng.choice(["user", "assistant", "system", "tool[1]", None]), rng.choice([None, "".join(rng.choice(parts) for _ in range(rng.randint(0, 12)))])) for c in (None, 1, 2, 3) for t in range(6)]
     d = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("segment", F.lit("clash"))
-    got = chat.digest_conversations(chat.format_conversations(chat.message_events(d))).collect()
+    got = chat.digest_conversations(chat.format_conversations(events(d))).collect()
     for r in got:
         turns = [(a or "", b or "") for c, _, a, b in rows if c == r["conv_id"]]
         loss = "".join(b for a, b in turns if a == "assistant")
@@ -189,10 +190,54 @@ def test_chat_round_trip(spark):
     assert all(chat.unescape(chat.escape(x)) == x for x in ("".join(rng.choice(parts) for _ in range(9)) for _ in range(300)))
 
 
+def plain_fold(log):
+    """(role, text) of each message, by the rules, from a log in order."""
+    edits = {}
+    for seq, kind, target, _, text in log:
+        if kind == "edit":
+            edits[target] = text or ""
+    out = []
+    for seq, kind, _, role, text in log:
+        if kind == "edit":
+            continue
+        role, text = role or "", text or ""
+        if kind == "delta" and out and role in ("", out[-1][0]):
+            out[-1][1] += text
+            out[-1][2] = edits.get(seq, out[-1][2])
+        elif kind == "regenerate" and out:
+            out[-1] = [role or out[-1][0], text, edits.get(seq)]
+        else:
+            out.append([role, text, edits.get(seq)])
+    return [(r, t if e is None else e) for r, t, e in out]
+
+
+def test_chat_any_log(spark):
+    rng, rows, logs = random.Random(12), [], {}
+    for conv in [None, *range(40)]:
+        logs[conv] = [(k, rng.choice(["message", "delta", "delta", "regenerate", "edit"]), rng.randint(-1, 12), rng.choice(["user", "assistant", None]), rng.choice(["a", "b<", "", None])) for k in range(12)]
+        rows += [(conv, s, kind, target if kind == "edit" else None, role, text) for s, kind, target, role, text in logs[conv]]
+    rng.shuffle(rows)
+    events = spark.createDataFrame(rows, chat.EVENTS).repartition(5)
+    got = defaultdict(list)
+    for r in chat.format_conversations(events).orderBy("conv_id", "turn_no").collect():
+        got[r["conv_id"]].append(r["segment"])
+    assert {c: [chat.render_turn(*m)[0] for m in plain_fold(log)] for c, log in logs.items() if plain_fold(log)} == got
+
+
+def test_chat_long_text(spark):
+    text = "<[x" * 1_000_000
+    d = spark.createDataFrame([(1, 0, "assistant", text)], "conv_id long, turn long, role string, text string")
+    r = chat.digest_conversations(chat.format_conversations(chat.turn_events(d))).first()
+    assert (r["n_turns"], r["loss_chars"], r["loss_sha256"]) == (1, 3_000_000, hashlib.sha256(text.encode()).hexdigest())
+
+
 def test_chat_events_fold(spark):
     log = [(1, 3, "delta", None, None, "lo"), (1, 1, "message", None, "user", "hi"), (1, 2, "message", None, "assistant", "hel"), (1, 4, "regenerate", None, None, "bye"), (1, 5, "delta", None, None, "!"), (1, 6, "edit", 1, None, "hey"), (1, 7, "edit", 1, None, "HEY")]
     got = chat.format_conversations(spark.createDataFrame(log, chat.EVENTS)).orderBy("turn_no").collect()
     assert [r["segment"] for r in got] == ["<s>[INST]HEY[/INST]", "[OUT]bye!</s>"]
+    log = [(1, 1, "message", None, "user", "hi"), (1, 2, "delta", None, "assistant", "hel"), (1, 3, "delta", None, "assistant", "lo")]
+    got = chat.format_conversations(spark.createDataFrame(log, chat.EVENTS)).orderBy("turn_no").collect()
+    assert [r["segment"] for r in got] == ["<s>[INST]hi[/INST]", "[OUT]hello</s>"]
     assert chat.digest_conversations(chat.format_conversations(spark.createDataFrame([], chat.EVENTS))).count() == 0
 
 
