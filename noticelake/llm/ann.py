@@ -1,17 +1,20 @@
 """Nearest neighbours by largest inner product over shifted space-filling curves.
 
 Vectors are projected on a few random directions, several times, each time with another shift; a projection's cells are put
-in order by a Hilbert curve. Spark range-partitions each ordering; runs of `window` neighbours in it are searched for the
-queries among them, the curves' findings are merged and reranked. That gives each query a score its k-th neighbour has at
-least. Vectors without structure (isotropic noise in many dimensions) defeat any such ordering, so a second pass makes the
-result whole: blocks of the first ordering, each with centre and radius, meet the queries in blocks, and a block is searched
-for those queries for which its bound, q.c + |q| r, reaches what they have. The result is exact.
+in order by a Hilbert curve. Spark range-partitions each ordering; in it a run of `window` neighbours is searched, with half a
+window before and after it, for the queries among them; so neighbouring windows overlap. The curves' findings are merged and
+reranked. On vectors with structure that is nearly all; on others (isotropic noise in many dimensions) no such ordering finds
+enough, so a second pass makes the result whole: vectors in runs of one ordering, and queries in such runs, each run with centre
+and radius. Only the runs' summaries are paired at first: a pair stays where its bound (the largest product that a query and a
+vector of the two can have) reaches the least that one of its queries has found. Vectors go only to pairs that stay, and are
+searched for the queries whose own bound reaches what they have. The result is exact.
 
 Inner products are sums of products of doubles from the first component to the last; a faster product only preselects, with a
 margin above its rounding. Vectors of other lengths than the query's are no candidates for it.
 
 Nulls: vectors that are null, empty, zero or hold null or non-finite components take no part, nor do rows without vec_id.
-Ties go to the smaller vec_id. Repeated rows of one vec_id count once if they are equal. An empty table gives an empty result.
+Ties go to the smaller vec_id. Of rows that share a vec_id the smallest vector (by components in order) stands for all. An empty
+table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,13 +23,17 @@ import math
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import batch_of, looked_up, map_batches, materialize
+from .common import batch_of, looked_up, map_batches, materialize, small_enough
 
 MARGIN = 1e-9
-BLOCKS = "curve int, dim int, ids binary, vectors binary, asks binary, centre binary, radius double"
+#: Parts that blocks of queries are dealt to at most.
+MOST_PARTS = 4096
+BLOCKS = "block string, dim int, ids binary, vectors binary, centre binary, radius double, norm double, least binary, floor double"
 FOUND = "query_id bigint, vec_id bigint, score double"
 
 
@@ -81,29 +88,67 @@ def keyer(curves: int, axes: int, bits: int, spread: float, seed: int):
     return run
 
 
-def blocker(window: int):
-    """Cuts a sorted partition into blocks of at most `window` vectors of one curve and length."""
+def runs(batches, names: list[str]):
+    """(head, ids, vectors, further columns): parts of sorted batches in which curve and length are the same."""
+    for b in batches:
+        heads = np.column_stack([np.asarray(b.column(n), np.int64) for n in ("curve", "dim")])
+        bounds = np.concatenate([[0], np.flatnonzero((heads[1:] != heads[:-1]).any(axis=1)) + 1, [len(heads)]])
+        for low, high in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            if high > low:
+                part = b.slice(low, high - low)
+                vectors = part.column("embedding").flatten().to_numpy(zero_copy_only=False).reshape(high - low, -1)
+                yield tuple(heads[low].tolist()), np.asarray(part.column("vec_id"), np.int64), vectors, [part.column(n).to_numpy(zero_copy_only=False) for n in names]
+
 
-    def made(curve, dim, ids, rows, asks):
-        x = np.asarray(rows, np.float64).reshape(len(ids), dim)
-        centre = x.mean(axis=0)
-        return curve, dim, np.asarray(ids, np.int64).tobytes(), x.tobytes(), np.asarray(asks, bool).tobytes(), centre.tobytes(), float(np.sqrt(((x - centre) ** 2).sum(axis=1).max()))
+def windowed(window: int, k: int):
+    """What the queries of each window find in it and in half a window before and after."""
+    half = window // 2
 
     def run(batches):
-        head, ids, rows, asks = None, [], [], []
-        kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.float64()]
-        names = ["curve", "dim", "ids", "vectors", "asks", "centre", "radius"]
-        for b in batches:
-            for c, d, i, v, a in zip(*(b.column(n).to_pylist() for n in ("curve", "dim", "vec_id", "embedding", "asks"))):
-                if ids and ((c, d) != head or len(ids) == window):
-                    yield batch_of(names, [pa.array([x], k) for x, k in zip(made(*head, ids, rows, asks), kinds)])
-                    ids, rows, asks = [], [], []
-                head = (c, d)
-                ids.append(i)
-                rows.append(v)
-                asks.append(a)
-        if ids:
-            yield batch_of(names, [pa.array([x], k) for x, k in zip(made(*head, ids, rows, asks), kinds)])
+        head, held, done = None, None, 0
+
+        def searched(stop: int):
+            ids, x, asks = held
+            core, near = slice(done, stop), slice(max(0, done - half), stop + half)
+            own = np.flatnonzero(asks[core]) + done
+            return best(ids[own], x[own].astype(np.float64), np.full(len(own), -np.inf), ids[near], x[near].astype(np.float64), k)
+
+        for now, ids, x, (asks,) in runs(batches, ["asks"]):
+            if now != head:
+                if held is not None and (rows := searched(len(held[0]))):
+                    yield _found(rows)
+                head, held, done = now, (ids, x, asks), 0
+            else:
+                held = tuple(np.concatenate(p) for p in zip(held, (ids, x, asks)))
+            while len(held[0]) - done >= window + half:
+                if rows := searched(done + window):
+                    yield _found(rows)
+                done += window
+                spare = max(0, done - half)
+                held, done = tuple(h[spare:] for h in held), done - spare
+        if held is not None and (rows := searched(len(held[0]))):
+            yield _found(rows)
+
+    return run
+
+
+def blocker(window: int):
+    """Cuts a sorted partition into blocks of at most `window` vectors of one length, each with its centre, radius and largest norm,
+    and with what its vectors have found so far (nothing, if they are no queries)."""
+
+    def run(batches):
+        context, count = TaskContext.get(), 0
+        task = context.partitionId() if context else 0
+        for (_, dim), ids, x, (least,) in runs(batches, ["least"]):
+            for low in range(0, len(ids), window):
+                part = slice(low, low + window)
+                y, floor = x[part].astype(np.float64), np.where(np.isnan(least[part].astype(np.float64)), -np.inf, least[part].astype(np.float64))
+                centre = y.mean(axis=0)
+                radius, norm = np.sqrt(((y - centre) ** 2).sum(axis=1).max()), np.sqrt((y * y).sum(axis=1).max())
+                count += 1
+                values = (f"{task}-{count}", dim, ids[part].tobytes(), x[part].tobytes(), centre.tobytes(), float(radius), float(norm), floor.tobytes(), float(floor.min()))
+                kinds = [pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.float64(), pa.float64(), pa.binary(), pa.float64()]
+                yield batch_of([f.split()[0] for f in BLOCKS.split(", ")], [pa.array([v], t) for v, t in zip(values, kinds)])
 
     return run
 
@@ -141,28 +186,32 @@ def _found(rows):
     return batch_of(["query_id", "vec_id", "score"], [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.float64()))])
 
 
-def within(k: int):
-    def run(batches):
-        for b in batches:
-            for dim, ids, vectors, asks in zip(*(b.column(n).to_pylist() for n in ("dim", "ids", "vectors", "asks"))):
-                ids, x, asks = np.frombuffer(ids, np.int64), np.frombuffer(vectors).reshape(-1, dim), np.frombuffer(asks, bool)
-                if rows := best(ids[asks], x[asks], np.full(asks.sum(), -np.inf), ids, x, k):
-                    yield _found(rows)
+PAIRED = "block string, asking string"
 
-    return run
 
+def reaching(batches):
+    """Pairs of a block and a block of queries that may hold a product as large as the least that one of the queries has found."""
+    for b in batches:
+        rows = []
+        for r in b.to_pylist():
+            c, q = np.frombuffer(r["centre"]), np.frombuffer(r["q_centre"])
+            most = c @ q + np.sqrt(c @ c) * r["q_radius"] + r["radius"] * (np.sqrt(q @ q) + r["q_radius"])
+            most = min(most, r["norm"] * r["q_norm"])
+            if most + abs(most) * MARGIN + MARGIN >= r["q_floor"]:
+                rows.append((r["block"], r["asking"]))
+        if rows:
+            yield batch_of(["block", "asking"], [pa.array(c, pa.string()) for c in zip(*rows)])
 
-def across(k: int):
+
+def across(k: int, kind: str):
     def run(batches):
         for b in batches:
-            for dim, ids, vectors, centre, radius, asking in zip(*(b.column(n).to_pylist() for n in ("dim", "ids", "vectors", "centre", "radius", "asking"))):
-                q_ids = np.array([x["vec_id"] for x in asking], np.int64)
-                q = np.array([x["embedding"] for x in asking], np.float64).reshape(len(q_ids), dim)
-                least = np.array([-np.inf if x["least"] is None else x["least"] for x in asking])
-                bound = q @ np.frombuffer(centre) + np.sqrt((q * q).sum(axis=1)) * radius
-                reach = bound * (1 + MARGIN) + MARGIN >= least
-                ids, x = np.frombuffer(ids, np.int64), np.frombuffer(vectors).reshape(-1, dim)
-                if rows := best(q_ids[reach], q[reach], least[reach], ids, x, k):
+            for r in b.to_pylist():
+                q_ids, least = np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["q_least"])
+                q, x = (np.frombuffer(r[n], kind).astype(np.float64).reshape(-1, r["dim"]) for n in ("q_vectors", "vectors"))
+                bound = q @ np.frombuffer(r["centre"]) + np.sqrt((q * q).sum(axis=1)) * r["radius"]
+                reach = bound + np.abs(bound) * MARGIN + MARGIN >= least
+                if rows := best(q_ids[reach], q[reach], least[reach], np.frombuffer(r["ids"], np.int64), x, k):
                     yield _found(rows)
 
     return run
@@ -176,23 +225,39 @@ def ranked(found: DataFrame) -> DataFrame:
 def nearest(vectors: DataFrame, asks, k: int = 20, curves: int = 4, axes: int = 6, bits: int = 10, window: int = 1024, query_block: int = 1024, seed: int = 11, whole: bool = True) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest of each row for which the condition `asks` holds, among all other rows.
 
-    With whole=False, what the curves' windows find, without the second pass.
+    With whole=False, what the curves' windows find, without the second pass. Blocks of queries are dealt out and meet the
+    summaries of all blocks of vectors; that is a stated set of queries against all rows, in blocks.
     """
+    single = isinstance(vectors.schema["embedding"].dataType.elementType, T.FloatType)
+    kind, element = ("<f4", "float") if single else ("<f8", "double")
     numbers = F.col("embedding").cast("array<double>")
     sound = F.col("vec_id").isNotNull() & (F.size(numbers) > 0) & F.forall(numbers, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(numbers, lambda x: x != 0)
-    rows = vectors.filter(sound).select(F.col("vec_id").cast("long").alias("vec_id"), numbers.alias("embedding"), F.size(numbers).alias("dim"), asks.alias("asks"))
-    norm = F.aggregate("embedding", F.lit(0.0), lambda t, x: t + x * x)
+    rows = vectors.filter(sound).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(f"array<{element}>").alias("embedding"), F.size(numbers).alias("dim"), asks.alias("asks"))
+    twice = looked_up(rows.groupBy("vec_id").count().filter("count > 1").select("vec_id"), "twice")
+    if not small_enough(twice, 0):
+        least = F.min(F.struct("embedding", "dim", "asks")).alias("row")
+        one = rows.join(twice, "vec_id", "left_semi").groupBy("vec_id").agg(least).select("vec_id", "row.*")
+        rows = rows.join(twice, "vec_id", "left_anti").unionByName(one)
+    norm = F.aggregate("embedding", F.lit(0.0), lambda t, x: t + x.cast("double") * x.cast("double"))
     spread = math.sqrt(rows.agg(F.avg(norm)).first()[0] or 1.0)
-    keyed = map_batches(rows, keyer(curves, axes, bits, spread, seed), "curve int, key bigint, vec_id bigint, dim int, embedding array<double>, asks boolean")
-    blocks = materialize(map_batches(keyed.repartitionByRange("curve", "dim", "key", "vec_id").sortWithinPartitions("curve", "dim", "key", "vec_id"), blocker(window), BLOCKS), "blocks")
-    first = materialize(ranked(map_batches(blocks, within(k), FOUND)).filter(F.col("rank") <= k), "windows")
+    key = ["curve", "dim", "key", "vec_id"]
+    keyed = lambda df, n: map_batches(df, keyer(n, axes, bits, spread, seed), f"curve int, key bigint, vec_id bigint, dim int, embedding array<{element}>, asks boolean")
+    ordered = lambda df: df.repartitionByRange(*key).sortWithinPartitions(*key)
+    first = materialize(ranked(map_batches(ordered(keyed(rows, curves)), windowed(window, k), FOUND)).filter(F.col("rank") <= k), "windows")
     if not whole:
         return first.select("query_id", "rank", "vec_id", "score")
-    least = first.filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("least"))
-    queries = rows.filter("asks").join(least, "vec_id", "left")
-    parts = max(1, math.ceil(rows.filter("asks").count() / query_block))
-    queries = queries.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int")).groupBy("part", "dim").agg(F.collect_list(F.struct("vec_id", "embedding", "least")).alias("asking"))
-    queries = looked_up(queries, "queries", most_rows=32)
-    meeting = blocks.filter(F.col("curve") == 0).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).join(queries, ["part", "dim"])
-    rest = map_batches(meeting.select("dim", "ids", "vectors", "centre", "radius", "asking"), across(k), FOUND)
+
+    none = F.lit(None).cast("double")
+    blocks = materialize(map_batches(ordered(keyed(rows, 1)).withColumn("least", none), blocker(window), BLOCKS), "blocks")
+    reached = first.filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("least"))
+    asking = keyed(rows.filter("asks"), 1).join(reached, "vec_id", "left")
+    asking = materialize(map_batches(ordered(asking), blocker(query_block), BLOCKS).select(F.col("block").alias("asking"), "dim", *[F.col(c).alias(f"q_{c}") for c in ("ids", "vectors", "centre", "radius", "norm", "least", "floor")]), "queries")
+    parts = max(1, min(asking.count(), MOST_PARTS))
+    dealt = F.pmod(F.xxhash64("asking"), F.lit(parts)).cast("int").alias("part")
+    told = asking.select(dealt, "asking", "dim", "q_centre", "q_radius", "q_norm", "q_floor")
+    everywhere = F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part")
+    pairs = blocks.select("block", "dim", "centre", "radius", "norm", everywhere).join(looked_up(told, "told"), ["part", "dim"])
+    pairs = materialize(map_batches(pairs, reaching, PAIRED), "pairs")
+    meeting = blocks.select("block", "dim", "ids", "vectors", "centre", "radius").join(pairs, "block").join(looked_up(asking.drop("dim"), "asking"), "asking")
+    rest = map_batches(meeting.select("dim", "ids", "vectors", "centre", "radius", "q_ids", "q_vectors", "q_least"), across(k, kind), FOUND)
     return ranked(first.select("query_id", "vec_id", "score").unionByName(rest)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
