@@ -273,5 +273,11 @@ def by_bucket(batches, names):
         yield at, [b"".join(h) for h in held]
 
 
-def buckets_for(spark: SparkSession) -> int:
-    return 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+#: Text bytes whose fingerprints one bucket should hold.
+BUCKET_BYTES = 4 << 20
+
+
+def buckets_for(docs: DataFrame, text: str = "text") -> int:
+    """Buckets for fingerprints of the texts, by their bytes (counted), and several for each shuffle partition."""
+    total = docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
+    return max(4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES))

@@ -329,8 +329,8 @@ def searched(percent: int):
 
 def jaccard_groups(docs: DataFrame, width: int = 3, percent: int = 90, least_broadcast: int = 1_000_000) -> DataFrame:
     """A row for each document: doc_id, n_shingles, component_id (smallest doc_id reachable over links)."""
-    buckets = buckets_for(docs.sparkSession)
     keyed = with_keys(docs)
+    buckets = buckets_for(keyed)
     single, copies = distinct_texts(keyed, least_broadcast)
     dealt = arrow_map(single.select("id", "k1", "text"), part_rows(width, percent, buckets), PARTS).repartition("bucket").sortWithinPartitions("bucket")
     found = materialize(map_batches(dealt, merged_lists(percent), FOUND), "lists")

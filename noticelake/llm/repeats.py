@@ -6,7 +6,8 @@ starts in a document with a smaller doc_id.
 1. Documents with equal texts are one class; all but its smallest doc_id repeat it whole.
 2. A window's anchor is the run of `RUN` words in it with the least fingerprint. Equal windows have equal anchors at the same
    place, so only suffixes that start at anchors (about a fifth of all positions) need to be in a tree, with the words before
-   them that the anchor's windows reach. Anchors are dealt out by value; those of several texts are returned to their texts.
+   them that the anchor's windows reach. Anchors are dealt out by value, after those that a slice of texts shares among itself
+   have been summed up; those of several texts are returned to their texts.
 3. The suffixes at these anchors are counted by first word; prefixes with more suffixes than a task should hold are made
    longer, word by word. Groups with a common prefix are dealt to buckets of bounded size. Where a whole anchor is still too
    frequent, its windows are suffixes of their own with themselves as prefix; a window that is too frequent even so needs no
@@ -35,7 +36,7 @@ from .common import NO_ID, arrow_map, batch_of, blobs, bucket_of, buckets_for, b
 #: Words in a run from which anchors are taken.
 RUN = 6
 #: Suffixes of a prefix, and of a bucket, that a task should hold.
-GROUP = 250_000
+GROUP = 120_000
 #: Buckets at least, so that small inputs are spread as well.
 LEAST_BUCKETS = 24
 LAST = (1 << 63) - 1
@@ -56,39 +57,75 @@ def anchors(hashes: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.nda
     return inside, least[inside], inside + at[inside]
 
 
+ANCHORS = "bucket int, told boolean, anchors binary, text_keys binary, sure binary"
+
+
 def anchor_rows(width: int, buckets: int):
+    """Each text's anchors, by bucket. Anchors that several texts of a slice have are known to be shared: these texts are told at
+    once, and the slice sends each such anchor once, marked as sure; so an anchor that a third of all texts have costs its
+    bucket a row for each slice, not for each text."""
+
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         words = Words(batch.column("text"))
         start, value, _ = anchors(words.hashes(), words.offsets, width)
         doc = np.searchsorted(words.offsets, start, side="right") - 1
-        new = np.ones(len(start), bool)
+        order = np.lexsort((doc, value))
+        value, doc = value[order], doc[order]
+        new = np.ones(len(value), bool)
         new[1:] = (value[1:] != value[:-1]) | (doc[1:] != doc[:-1])
-        value, key = value[new], batch.column("text_key").to_numpy()[doc[new]]
-        bucket, (v, k) = blobs(bucket_of(mix(value), buckets), value, key)
-        return batch_of(["bucket", "anchors", "text_keys"], [pa.array(bucket.astype(np.int32)), pa.array(v, pa.binary()), pa.array(k, pa.binary())])
+        value, doc = value[new], doc[new]
+        key = batch.column("text_key").to_numpy()[doc]
+        same = value[1:] == value[:-1]
+        first = np.concatenate([[True], ~same]) if len(value) else np.zeros(0, bool)
+        several = np.zeros(len(value), bool)
+        several[1:] |= same
+        several[:-1] |= same
+        bucket, (v, k, s) = blobs(bucket_of(mix(value[first]), buckets), value[first], key[first], several[first])
+        to, (told, whom) = blobs(bucket_of(mix(key[several].view(np.uint64)), buckets), value[several], key[several])
+        return batch_of(
+            ["bucket", "told", "anchors", "text_keys", "sure"],
+            [pa.array(np.concatenate([bucket, to]).astype(np.int32)), pa.array([False] * len(bucket) + [True] * len(to)), pa.array([*v, *told], pa.binary()), pa.array([*k, *whom], pa.binary()), pa.array([*s, *[b""] * len(to)], pa.binary())],
+        )
 
     return run
 
 
+def by_text(v: np.ndarray, k: np.ndarray) -> pa.RecordBatch:
+    order = np.argsort(k, kind="stable")
+    keys, starts = np.unique(k[order], return_index=True)
+    return batch_of(["text_key", "shared"], [keys, pa.array([x.tobytes() for x in np.split(v[order], starts[1:])], pa.binary())])
+
+
 def shared_anchors(batches):
     """By text: its anchors that other texts have too."""
-    for _, (v, k) in by_bucket(batches, ["anchors", "text_keys"]):
-        v, k = np.frombuffer(v, np.uint64), np.frombuffer(k, np.int64)
-        order = np.lexsort((k, v))
-        v, k = v[order], k[order]
-        new = np.ones(len(v), bool)
-        new[1:] = (v[1:] != v[:-1]) | (k[1:] != k[:-1])
-        v, k = v[new], k[new]
+    told: list[tuple[bytes, bytes]] = []
+
+    def asked():
+        for b in batches:
+            known = b.column("told").to_numpy(zero_copy_only=False)
+            if known.any():
+                at = pa.array(np.flatnonzero(known))
+                told.extend(zip(b.column("anchors").take(at).to_pylist(), b.column("text_keys").take(at).to_pylist()))
+            if not known.all():
+                yield b.filter(pa.array(~known))
+
+    def passed():
+        while told:
+            v, k = told.pop()
+            yield by_text(np.frombuffer(v, np.uint64), np.frombuffer(k, np.int64))
+
+    for _, (v, k, s) in by_bucket(asked(), ["anchors", "text_keys", "sure"]):
+        yield from passed()
+        v, k, s = np.frombuffer(v, np.uint64), np.frombuffer(k, np.int64), np.frombuffer(s, bool)
+        order = np.argsort(v, kind="stable")
+        v, k, s = v[order], k[order], s[order]
         same = v[1:] == v[:-1]
         several = np.zeros(len(v), bool)
         several[1:] |= same
         several[:-1] |= same
-        if several.any():
-            v, k = v[several], k[several]
-            order = np.argsort(k, kind="stable")
-            keys, starts = np.unique(k[order], return_index=True)
-            parts = [x.tobytes() for x in np.split(v[order], starts[1:])]
-            yield batch_of(["text_key", "shared"], [keys, pa.array(parts, pa.binary())])
+        if (news := several & ~s).any():  # what is sure was told already
+            yield by_text(v[news], k[news])
+    yield from passed()
 
 
 NAMES = ["table", "words", "docs", "text_keys", "places", "lows", "highs"]
@@ -404,13 +441,12 @@ def removal(width: int):
 
 def remove_repeats(docs: DataFrame, width: int = 13, least_broadcast: int = 500_000) -> DataFrame:
     """A row for each document: n_words, n_removed, kept_sha256 of its kept words joined by a space, and kept_text if any went."""
-    spark = docs.sparkSession
     keyed = with_keys(docs)
     single, copies = distinct_texts(keyed, least_broadcast)
     single = single.withColumnRenamed("k1", "text_key")
 
-    buckets = buckets_for(spark)
-    dealt = arrow_map(single.select("text_key", "text"), anchor_rows(width, buckets), "bucket int, anchors binary, text_keys binary").repartition("bucket").sortWithinPartitions("bucket")
+    buckets = buckets_for(keyed)
+    dealt = arrow_map(single.select("text_key", "text"), anchor_rows(width, buckets), ANCHORS).repartition("bucket").sortWithinPartitions("bucket")
     shared = map_batches(dealt, shared_anchors, "text_key bigint, shared binary").groupBy("text_key").agg(F.collect_list("shared").alias("shared"))
     suffixes = materialize(arrow_map(single.select("id", "text_key", "text").join(shared, "text_key"), suffix_rows(width), SUFFIXES), "suffixes")
 

@@ -90,7 +90,9 @@ def test_mix_takes_equal_rows_as_often_as_it_says(spark, documents):
     assert got == {k: v for k, v in want.items() if v}
 
 
-def test_components(spark):
+@pytest.mark.parametrize("one_task", [0, 500_000])
+def test_components(spark, monkeypatch, one_task):
+    monkeypatch.setattr(graph, "ONE_TASK", one_task)
     rng = random.Random(2)
     edges = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(250)] + [(k, k + 1) for k in range(1000, 1100)]
     least = {x: x for e in edges for x in e}
@@ -128,6 +130,23 @@ def test_repeats(documents, monkeypatch, width, group):
     assert sorted(((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got), key=str) == plain_removal(rows, width)
 
 
+@pytest.mark.parametrize("operator", [repeats.remove_repeats, jaccard.jaccard_groups, jaccard.one_of_each])
+def test_empty_tables(documents, operator):
+    assert operator(documents([])).count() == 0
+
+
+def test_one_anchor_in_most_texts_and_a_very_long_text(documents):
+    """A footer in half of all texts, in many slices and buckets; and a text of 400,000 words that repeats itself and another."""
+    rng = random.Random(13)
+    footer = " ".join(f"f{k}" for k in range(20))
+    rows = [(i, " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(30)) + (f" {footer}" if i % 2 else ""), "a") for i in range(2000)]
+    rows.append((5000, " ".join([rows[0][1], *(f"v{k % 1000}" for k in range(400_000)), rows[1][1]]), "a"))
+    got = repeats.remove_repeats(documents(rows).repartition(7)).collect()
+    assert sorted(((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got), key=str) == plain_removal(rows, 13)
+    found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_groups(documents([rows[-1], (5001, rows[-1][1] + " end", "a")])).collect()}
+    assert found[5000][1] == found[5001][1] == 5000 and found[5001][0] == found[5000][0] + 1
+
+
 def test_fixity(spark):
     rng = random.Random(4)
     pages = [(i, f"http://h/{i}", f"<p>{rng.random()}</p>") for i in range(600)] + [(7, None, None), (7, None, None)]
@@ -262,6 +281,29 @@ def test_nearest(spark):
     assert ann.nearest(d.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_curves_alone_on_vectors_with_structure(spark):
+    """On clustered vectors the windows alone reach 0.9, and the second pass leaves nearly no pair of blocks."""
+    rng = np.random.default_rng(5)
+    centres = rng.standard_normal((100, 32))
+    x = (centres[rng.integers(0, 100, 6000)] + 0.05 * rng.standard_normal((6000, 32))).astype(np.float32)
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    wide = x.astype(float)
+    score = wide[::20] @ wide.T
+    score[np.arange(300), np.arange(0, 6000, 20)] = -np.inf
+    want = [set(np.argsort(-s)[:20].tolist()) for s in score]
+    for whole, least in ((False, 0.9), (True, 1.0)):
+        got = defaultdict(set)
+        for r in ann.nearest(d, F.col("vec_id") % 20 == 0, window=512, whole=whole).collect():
+            got[r["query_id"]].add(r["vec_id"])
+        assert sum(len(got[20 * i] & w) for i, w in enumerate(want)) >= least * 6000
+
+
+def test_rows_that_share_a_vec_id(spark):
+    d = spark.createDataFrame([(0, [1.0, 1.0]), (1, [3.0, 0.0]), (1, [2.0, 9.0]), (1, [2.0, 9.0]), (2, [5.0, 0.0]), (2, [5.0, 0.0])], "vec_id long, embedding array<double>")
+    got = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in ann.nearest(d, F.col("vec_id") == 0).orderBy("rank").collect()]
+    assert got == [(0, 1, 1, 11.0), (0, 2, 2, 5.0)]
+
+
 def test_hilbert_neighbours_are_neighbours():
     cells = np.stack(np.meshgrid(*[np.arange(8)] * 3), -1).reshape(-1, 3)
     order = np.argsort(ann.hilbert_key(cells, 3))
