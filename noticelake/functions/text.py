@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import sys
 import unicodedata
 from functools import lru_cache
@@ -70,6 +71,22 @@ def normalize_text(x: Column) -> Column:
     return squeeze(strip_accents(F.lower(plain_apostrophes(blank(x)))))
 
 
+@lru_cache
+def marks() -> re.Pattern:
+    return re.compile("[" + "".join(chr(c) for c in range(0x300, sys.maxunicode + 1) if unicodedata.combining(chr(c))) + "]")
+
+
+SIGNS = str.maketrans(dict.fromkeys(APOSTROPHES, "'"))
+
+
+def plain_text(x: str | None) -> str:
+    """What normalize_text gives, for functions that hold the text in Python already."""
+    low = (x or "").translate(SIGNS).lower()
+    if not low.isascii():
+        low = marks().sub("", unicodedata.normalize("NFKD", low))
+    return " ".join(low.split())
+
+
 def soft_normalize(x: Column) -> Column:
     """As normalize_text, accents kept."""
     return squeeze(F.lower(plain_apostrophes(blank(x))))
@@ -107,7 +124,7 @@ def html_escape(x: Column) -> Column:
 def truncate(x: Column, most: int) -> Column:
     """At most so many characters, cut at the last space that leaves something, with three dots."""
     head = F.substring(x, 1, most - 3)
-    at_space = F.regexp_extract(head, r"^(.*\S)\s", 1)
+    at_space = F.regexp_extract(head, r"(?s)^(.*\S)\s", 1)
     return F.when(F.char_length(x) <= most, x).otherwise(F.concat(F.when(at_space != "", at_space).otherwise(head), F.lit("...")))
 
 

@@ -11,6 +11,7 @@ from ..functions.numbers import evidence_score, semantic_score
 from ..functions.text import blank, listed, normalize_text
 from ..plans import terms as T
 
+# Reasons for rejection, in the order in which they are tried.
 REASONS = (
     "exclude_award_notice", "exclude_supply_arrangement", "exclude_staffing", "exclude_negative_title", "exclude_non_it_unspsc", "exclude_goods_or_hardware",
     "exclude_no_erp_domain", "exclude_no_transformation", "exclude_no_it_context", "exclude_far_future_close",
@@ -28,12 +29,17 @@ class RuleConfig:
     min_score: int = 70
 
 
+# The fields of a notice that rules read, in order.
 BLOB = ("title", "title_en", "title_fr", "description", "description_en", "description_fr", "unspsc_desc_en", "unspsc_desc_fr", "gsin_desc_en", "gsin_desc_fr", "notice_type_en", "notice_type_fr", "procurement_category")
 
 
+def raw_blob(df: DataFrame) -> Column:
+    """The language and classification columns that df has, joined."""
+    return F.concat_ws(" ", *[F.nullif(blank(F.col(c)), F.lit("")) for c in BLOB if c in df.columns])
+
+
 def text_blob(df: DataFrame) -> Column:
-    """The language and classification columns that df has, as one normalised text."""
-    return normalize_text(F.concat_ws(" ", *[F.nullif(blank(F.col(c)), F.lit("")) for c in BLOB if c in df.columns]))
+    return normalize_text(raw_blob(df))
 
 
 def code_starts(codes: Column, prefixes: list[str]) -> Column:
@@ -45,11 +51,17 @@ def once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
 
+IN_TEXT = ("direct", "domain", "transform", "it", "portal", "supply", "hardware")
+IN_TITLE = ("allow_title", "allow_product", "negative")
+
+
 def rule_hits(df: DataFrame, config: RuleConfig = RuleConfig()) -> DataFrame:
-    """Adds __text, __title, __type and the hits of each dictionary."""
-    terms = config.terms
-    out = once(df, {"__text": text_blob(df), "__title": normalize_text(F.col("title")), "__type": normalize_text(F.coalesce(F.nullif(blank(F.col("notice_type_en")), F.lit("")), blank(F.col("notice_type_fr"))))})
-    return once(out, {f"{k}_hits": T.hits(F.col("__text"), terms[k]) for k in ("direct", "domain", "transform", "it", "portal")} | {f"{k}_hits": T.hits(F.col("__title"), terms[k]) for k in ("allow_title", "allow_product")})
+    """Adds __title, __type and the hits of each dictionary; the text and the title are each read once for all terms."""
+    told = lambda names: {k: config.terms[k] for k in names}
+    out = df.withColumns({"__in_text": T.scan(raw_blob(df), told(IN_TEXT)), "__in_title": T.scan(F.col("title"), told(IN_TITLE))})
+    hits = {f"{k}_hits": F.col(f"__in_text.{k}") for k in IN_TEXT} | {f"{k}_hits": F.col(f"__in_title.{k}") for k in IN_TITLE}
+    kind = normalize_text(F.coalesce(F.nullif(blank(F.col("notice_type_en")), F.lit("")), blank(F.col("notice_type_fr"))))
+    return once(out, hits | {"__title": F.col("__in_title.norm"), "__type": kind}).drop("__in_text", "__in_title")
 
 
 def is_direct(config: RuleConfig) -> Column:
@@ -66,7 +78,7 @@ def is_direct(config: RuleConfig) -> Column:
 
 def reject_reasons(config: RuleConfig, as_of: Column) -> Column:
     """All reasons of a row, in order; as_of is a parameter, so reruns agree."""
-    terms, text, title, kind = config.terms, F.col("__text"), F.col("__title"), F.col("__type")
+    terms, title, kind = config.terms, F.col("__title"), F.col("__type")
     direct, it_code = F.col("is_direct"), F.col("it_code")
     allowed = (F.size("allow_title_hits") > 0) | (F.size("allow_product_hits") > 0)
     some = lambda k: F.size(f"{k}_hits") > 0
@@ -75,11 +87,11 @@ def reject_reasons(config: RuleConfig, as_of: Column) -> Column:
     days = F.floor((F.unix_timestamp("close_at") - F.unix_timestamp(as_of)) / 86400)
     checks = {
         "exclude_award_notice": T.any_of(kind, terms["award"]) | title.rlike(r"^(?:acan|pac)\b"),
-        "exclude_supply_arrangement": F.lit(not config.include_supply) & T.any_of(text, terms["supply"]) & ~against,
+        "exclude_supply_arrangement": F.lit(not config.include_supply) & some("supply") & ~against,
         "exclude_staffing": ~direct & F.lit(not config.include_staffing) & title.rlike("|".join(config.staffing_patterns)),
-        "exclude_negative_title": ~direct & T.any_of(title, terms["negative"]) & ~allowed,
+        "exclude_negative_title": ~direct & some("negative") & ~allowed,
         "exclude_non_it_unspsc": ~direct & code_starts(F.col("unspsc"), T.NON_IT_PREFIXES),
-        "exclude_goods_or_hardware": ~direct & (F.contains(F.upper(blank(F.col("procurement_category"))), F.lit("GD")) | T.any_of(text, terms["hardware"])),
+        "exclude_goods_or_hardware": ~direct & (F.contains(F.upper(blank(F.col("procurement_category"))), F.lit("GD")) | some("hardware")),
         "exclude_no_erp_domain": ~direct & ~some("domain") & ~allowed & ~(some("transform") & (it_code | some("it"))),
         "exclude_no_transformation": ~direct & ~some("transform") & ~information & ~allowed,
         "exclude_no_it_context": ~direct & ~it_code & ~some("it") & ~allowed,
@@ -124,7 +136,7 @@ def with_evidence(df: DataFrame, similarity: str = "similarity") -> DataFrame:
 
 
 def rationale(bucket: Column, similarity: Column) -> Column:
-    """What speaks for a row, in words."""
+    """What speaks for a row, in words. The labels are fixed values."""
     some = lambda k: F.size(f"{k}_hits") > 0
     part = lambda name, k: F.when(some(k), F.concat(F.lit(f"{name} ("), listed(F.col(f"{k}_hits")), F.lit(")")))
     allowed = F.concat("allow_title_hits", "allow_product_hits")
@@ -150,9 +162,15 @@ def watchlist(df: DataFrame, order: list[Column], blocked: tuple = ("exclude_awa
     return near_misses(df).filter(~F.col("reject_reason").isin(*blocked)).orderBy(*order).limit(most)
 
 
-def model_gate(kept: DataFrame, watched: DataFrame, key: str, order: list[Column], top: int = 10, borderline: int = 5, least_score: int = 80, most: int = 20) -> DataFrame:
-    """Rows for a costly model: the top and borderline kept ones and watched ones of a least score; each key once, capped."""
-    first = kept.orderBy(*order).limit(top + borderline).withColumn("__from", F.lit(0))
-    second = watched.filter(F.col("score") >= least_score).withColumn("__from", F.lit(1))
-    once = Window.partitionBy(key).orderBy("__from")
-    return first.unionByName(second, allowMissingColumns=True).withColumn("__n", F.row_number().over(once)).filter("__n = 1").orderBy("__from", *order).limit(most).drop("__n", "__from")
+def model_gate(decided: DataFrame, key: str, order: list[Column], top: int = 10, borderline: int = 5, least_score: int = 80, most: int = 20, spent: int = 0) -> DataFrame:
+    """Rows for a costly model: the top and borderline kept ones and near misses of a least score; each key once, capped at what
+    is left of the day's `most` after `spent` calls. decided is read once; only the first rows of each kind leave a task.
+    """
+    miss = (F.size("reject_reasons") == 1) & (F.col("reject_reason") != "exclude_below_score_threshold") & (F.col("score") >= least_score)
+    from_ = F.when(F.col("reject_reason").isNull(), 0).when(miss, 1)
+    left = max(0, most - spent)
+    placed = decided.withColumn("__from", from_).filter("__from IS NOT NULL")
+    placed = placed.withColumn("__n", F.row_number().over(Window.partitionBy("__from").orderBy(*order))).filter(F.col("__n") <= max(most, top + borderline))
+    placed = placed.filter((F.col("__from") == 1) | (F.col("__n") <= top + borderline))
+    first = placed.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy("__from"))).filter("__n = 1")
+    return first.orderBy("__from", *order).limit(left).drop("__n", "__from")

@@ -78,11 +78,10 @@ def first_last_seen(history: DataFrame, key: str, at: str) -> DataFrame:
     return history.groupBy(key).agg(F.min(at).alias("first_seen"), F.max(at).alias("last_seen"), F.count("*").alias("sightings"))
 
 
-def decisions(kept: DataFrame, rejected: DataFrame, key: str) -> DataFrame:
-    """One row for each decided item, to be appended to the decision log."""
-    a = kept.select(key, F.lit("kept").alias("decision"), F.col("score").cast("int").alias("score"), F.lit(None).cast("string").alias("reason"))
-    b = rejected.select(key, F.lit("rejected").alias("decision"), F.lit(None).cast("int").alias("score"), F.col("reject_reason").alias("reason"))
-    return a.unionByName(b)
+def decisions(decided: DataFrame, key: str) -> DataFrame:
+    """One row for each decided item, to be appended to the decision log; the items are read once."""
+    kept = F.col("reject_reason").isNull()
+    return decided.select(key, F.when(kept, "kept").otherwise("rejected").alias("decision"), F.when(kept, F.col("score").cast("int")).alias("score"), F.col("reject_reason").alias("reason"))
 
 
 def remove_key(df: DataFrame, gone: DataFrame, key: str) -> DataFrame:

@@ -21,13 +21,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None, whole: bool = False):
-    """Registers a query under its function's name. whole: its SQL cuts texts, so NAME_whole runs it over whole ones; that has no SQL."""
+def query(sql: str | None = None):
+    """Registers a query under its function's name."""
 
     def add(fn):
         QUERIES[fn.__name__] = fn
-        if whole:
-            QUERIES[f"{fn.__name__}_whole"] = lambda spark, sf_dir: fn(spark, sf_dir, whole=True)
         if sql is not None:
             SQL[fn.__name__] = sql
         return fn
@@ -80,16 +78,14 @@ def pii_scrub(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.scrub_pii(F.col("text")).alias("clean"))
 
 
-@query("""SELECT doc_id, replace(replace(replace(replace(replace(substr(text, 1, 400), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') AS safe FROM documents""", whole=True)
-def html_escaped(spark, sf_dir, whole=False):
-    return table(spark, sf_dir, "documents").select("doc_id", text.html_escape(F.col("text") if whole else F.substring("text", 1, 400)).alias("safe"))
+@query("""SELECT doc_id, replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') AS safe FROM documents""")
+def html_escaped(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.html_escape(F.col("text")).alias("safe"))
 
 
 @query(r"""SELECT doc_id, CASE WHEN length(text) <= 120 THEN text ELSE coalesce(nullif(regexp_extract(substr(text, 1, 117), '^(.*\S)\s', 1, 's'), ''), substr(text, 1, 117)) || '...' END AS short FROM documents""")
 def truncated(spark, sf_dir):
-    head = F.substring("text", 1, 117)
-    at_space = F.regexp_extract(head, r"(?s)^(.*\S)\s", 1)
-    return table(spark, sf_dir, "documents").select("doc_id", F.when(F.char_length("text") <= 120, F.col("text")).otherwise(F.concat(F.when(at_space != "", at_space).otherwise(head), F.lit("..."))).alias("short"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.truncate(F.col("text"), 120).alias("short"))
 
 
 # ---- terms and rules, over documents as notices ----
@@ -103,13 +99,13 @@ DATA_TERMS = {
 DATA_CONFIG = rules.RuleConfig(terms=DATA_TERMS, staffing_patterns=(r"\bin\b", r"\bder\b"), portal_words=("password", "ederwh"), max_close_days=180, min_score=70)
 
 
-def notices(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    """documents as notices: the first line as title (80 characters of it, or whole), codes and dates from the numbers."""
+def notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents as notices: the first line as title, codes and dates from the numbers."""
     line = F.element_at(F.split("text", "\n"), 1)
     d = table(spark, sf_dir, "documents")
     code = F.element_at(F.array(*[F.lit(c) for c in ("43211500", "81111500", "72101500", "80101507", "50000000")]), (F.col("doc_id") % 5 + 1).cast("int"))
     return d.select(
-        "doc_id", (line if whole else F.substring(line, 1, 80)).alias("title"), F.col("text").alias("description"), F.lit("").alias("notice_type_fr"),
+        "doc_id", "n_chars", line.alias("title"), F.col("text").alias("description"), F.lit("").alias("notice_type_fr"),
         F.when(F.col("doc_id") % 7 == 0, "Request for Information").when(F.col("doc_id") % 31 == 0, "ACAN").otherwise("Request for Proposal").alias("notice_type_en"),
         F.when(F.col("doc_id") % 11 == 0, "*GD").otherwise("*SRV").alias("procurement_category"), F.array(code).alias("unspsc"), F.timestamp_add("DAY", (F.col("n_chars") % 400).cast("int"), F.lit(AS_OF).cast("timestamp")).alias("close_at"),
     )
@@ -144,7 +140,7 @@ def cascade_sql() -> str:
         ("exclude_far_future_close", "NOT is_direct AND n_chars % 400 > 180"),
     ]
     listed = ", ".join(f"CASE WHEN {c} THEN '{r}' END" for r, c in reasons)
-    return f"""n AS (SELECT doc_id, n_chars, substr(string_split(text, chr(10))[1], 1, 80) AS raw, text,
+    return f"""n AS (SELECT doc_id, n_chars, string_split(text, chr(10))[1] AS raw, text,
   CASE WHEN doc_id % 7 = 0 THEN 'Request for Information' WHEN doc_id % 31 = 0 THEN 'ACAN' ELSE 'Request for Proposal' END AS ntype,
   CASE WHEN doc_id % 11 = 0 THEN '*GD' ELSE '*SRV' END AS cat, ['43211500', '81111500', '72101500', '80101507', '50000000'][doc_id % 5 + 1] AS code FROM documents),
 b AS (SELECT doc_id, n_chars, code, {norm_sql('raw')} AS title, {norm_sql('ntype')} AS kind, {norm_sql("raw || ' ' || text || ' ' || ntype || ' ' || cat")} AS body FROM n),
@@ -159,61 +155,60 @@ c AS (SELECT *, list_filter([{listed}], lambda r: r IS NOT NULL) AS reasons,
 CASCADE = cascade_sql()
 
 
-def decided(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    return rules.cascade(notices(spark, sf_dir, whole), F.lit(AS_OF).cast("timestamp"), DATA_CONFIG)
+def decided(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.cascade(notices(spark, sf_dir), F.lit(AS_OF).cast("timestamp"), DATA_CONFIG)
 
 
-@query(f"WITH {CASCADE} SELECT doc_id, array_to_string(direct, ',') AS direct, array_to_string(dom, ',') AS domain_terms, array_to_string(tr, ',') AS transform_terms, array_to_string(it, ',') AS it_terms FROM c", whole=True)
-def term_hits(spark, sf_dir, whole=False):
-    d = decided(spark, sf_dir, whole)
+@query(f"WITH {CASCADE} SELECT doc_id, array_to_string(direct, ',') AS direct, array_to_string(dom, ',') AS domain_terms, array_to_string(tr, ',') AS transform_terms, array_to_string(it, ',') AS it_terms FROM c")
+def term_hits(spark, sf_dir):
+    d = decided(spark, sf_dir)
     return d.select("doc_id", *[F.array_join(f"{k}_hits", ",").alias(a) for k, a in (("direct", "direct"), ("domain", "domain_terms"), ("transform", "transform_terms"), ("it", "it_terms"))])
 
 
-@query(f"WITH {CASCADE} SELECT term, count(*) AS docs FROM (SELECT unnest(list_distinct(list_concat(direct, dom, tr, it))) AS term FROM c) GROUP BY term", whole=True)
-def term_hit_counts(spark, sf_dir, whole=False):
-    d = decided(spark, sf_dir, whole)
+@query(f"WITH {CASCADE} SELECT term, count(*) AS docs FROM (SELECT unnest(list_distinct(list_concat(direct, dom, tr, it))) AS term FROM c) GROUP BY term")
+def term_hit_counts(spark, sf_dir):
+    d = decided(spark, sf_dir)
     return d.select(F.explode(F.array_distinct(F.concat("direct_hits", "domain_hits", "transform_hits", "it_hits"))).alias("term")).groupBy("term").agg(F.count("*").alias("docs"))
 
 
-@query(f"WITH {CASCADE} SELECT doc_id, is_direct, reasons[1] AS reject_reason, array_to_string(reasons, ',') AS reasons, CAST(rule_score AS INTEGER) AS rule_score FROM c", whole=True)
-def rule_cascade(spark, sf_dir, whole=False):
-    return decided(spark, sf_dir, whole).select("doc_id", "is_direct", "reject_reason", F.array_join("reject_reasons", ",").alias("reasons"), "rule_score")
+@query(f"WITH {CASCADE} SELECT doc_id, is_direct, reasons[1] AS reject_reason, array_to_string(reasons, ',') AS reasons, CAST(rule_score AS INTEGER) AS rule_score FROM c")
+def rule_cascade(spark, sf_dir):
+    return decided(spark, sf_dir).select("doc_id", "is_direct", "reject_reason", F.array_join("reject_reasons", ",").alias("reasons"), "rule_score")
 
 
-@query(f"WITH {CASCADE} SELECT reasons[1] AS reject_reason, count(*) AS rows FROM c WHERE len(reasons) > 0 GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 15", whole=True)
-def reject_report(spark, sf_dir, whole=False):
-    return rules.reason_counts(decided(spark, sf_dir, whole))
+@query(f"WITH {CASCADE} SELECT reasons[1] AS reject_reason, count(*) AS rows FROM c WHERE len(reasons) > 0 GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 15")
+def reject_report(spark, sf_dir):
+    return rules.reason_counts(decided(spark, sf_dir))
 
 
 FINAL = f"""{CASCADE}, s AS (SELECT *, least(120, CAST(round_even(100.0 * (n_chars % 100) / 100, 0) AS INTEGER) + (CASE WHEN it_code OR len(it) > 0 THEN 8 ELSE 0 END) + least(18, 6 * len(dom)) + least(15, 5 * len(tr)) + (CASE WHEN n_allowed > 0 THEN 6 ELSE 0 END)) AS semantic_score FROM c),
 f AS (SELECT *, CASE WHEN is_direct THEN greatest(100, greatest(semantic_score, rule_score) + least(20, 5 * greatest(len(direct) - 1, 0))) ELSE greatest(semantic_score, rule_score) END AS score FROM s)"""
 
 
-def scored(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    d = decided(spark, sf_dir, whole).join(table(spark, sf_dir, "documents").select("doc_id", (F.col("n_chars") % 100 / 100).alias("similarity")), "doc_id")
-    return rules.final_score(rules.with_evidence(d), DATA_CONFIG)
+def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables hold no vectors of documents; similarities that differ from row to row come from n_chars."""
+    return rules.final_score(rules.with_evidence(decided(spark, sf_dir).withColumn("similarity", F.col("n_chars") % 100 / 100)), DATA_CONFIG)
 
 
-@query(f"WITH {FINAL} SELECT doc_id, CAST(semantic_score AS INTEGER) AS semantic_score, CAST(score AS INTEGER) AS score FROM f WHERE len(reasons) = 0 AND (is_direct OR score >= 70) ORDER BY score DESC, doc_id LIMIT 50", whole=True)
-def final_score_topn(spark, sf_dir, whole=False):
-    return scored(spark, sf_dir, whole).filter("reject_reason IS NULL").orderBy(F.col("score").desc(), "doc_id").limit(50).select("doc_id", F.col("semantic_score").cast("int").alias("semantic_score"), F.col("score").cast("int").alias("score"))
+@query(f"WITH {FINAL} SELECT doc_id, CAST(semantic_score AS INTEGER) AS semantic_score, CAST(score AS INTEGER) AS score FROM f WHERE len(reasons) = 0 AND (is_direct OR score >= 70) ORDER BY score DESC, doc_id LIMIT 50")
+def final_score_topn(spark, sf_dir):
+    return scored(spark, sf_dir).filter("reject_reason IS NULL").orderBy(F.col("score").desc(), "doc_id").limit(50).select("doc_id", F.col("semantic_score").cast("int").alias("semantic_score"), F.col("score").cast("int").alias("score"))
 
 
-@query(f"WITH {FINAL} SELECT doc_id, reasons[1] AS reject_reason FROM f WHERE len(reasons) = 1 AND reasons[1] NOT IN ('exclude_award_notice', 'exclude_supply_arrangement', 'exclude_staffing') ORDER BY doc_id LIMIT 20", whole=True)
-def watchlist(spark, sf_dir, whole=False):
-    return rules.watchlist(decided(spark, sf_dir, whole), [F.col("doc_id")]).select("doc_id", "reject_reason")
+@query(f"WITH {FINAL} SELECT doc_id, reasons[1] AS reject_reason FROM f WHERE len(reasons) = 1 AND reasons[1] NOT IN ('exclude_award_notice', 'exclude_supply_arrangement', 'exclude_staffing') ORDER BY doc_id LIMIT 20")
+def watchlist(spark, sf_dir):
+    return rules.watchlist(decided(spark, sf_dir), [F.col("doc_id")]).select("doc_id", "reject_reason")
 
 
-@query(f"WITH {CASCADE} SELECT doc_id, reasons[1] AS reject_reason FROM c WHERE len(reasons) = 1", whole=True)
-def near_miss_single_reason(spark, sf_dir, whole=False):
-    return rules.near_misses(decided(spark, sf_dir, whole)).select("doc_id", "reject_reason")
+@query(f"WITH {CASCADE} SELECT doc_id, reasons[1] AS reject_reason FROM c WHERE len(reasons) = 1")
+def near_miss_single_reason(spark, sf_dir):
+    return rules.near_misses(decided(spark, sf_dir)).select("doc_id", "reject_reason")
 
 
 @query(f"""WITH {FINAL} SELECT doc_id, 'kept' AS decision, CAST(score AS INTEGER) AS score, NULL AS reason FROM f WHERE len(reasons) = 0 AND (is_direct OR score >= 70)
-UNION ALL SELECT doc_id, 'rejected', NULL, CASE WHEN len(reasons) > 0 THEN reasons[1] ELSE 'exclude_below_score_threshold' END FROM f WHERE NOT (len(reasons) = 0 AND (is_direct OR score >= 70))""", whole=True)
-def decisions_append(spark, sf_dir, whole=False):
-    d = scored(spark, sf_dir, whole)
-    return state.decisions(d.filter("reject_reason IS NULL"), d.filter("reject_reason IS NOT NULL"), "doc_id")
+UNION ALL SELECT doc_id, 'rejected', NULL, CASE WHEN len(reasons) > 0 THEN reasons[1] ELSE 'exclude_below_score_threshold' END FROM f WHERE NOT (len(reasons) = 0 AND (is_direct OR score >= 70))""")
+def decisions_append(spark, sf_dir):
+    return state.decisions(scored(spark, sf_dir), "doc_id")
 
 
 # ---- state: orders by customer as versions of records ----
@@ -559,9 +554,9 @@ def stream_upsert(spark, sf_dir):
 # ---- more functions and lookups ----
 
 
-@query(f"SELECT doc_id, trim(regexp_replace(lower(translate(text, '’‘ʼ′`´', '''''''''''''')), '\\s+', ' ', 'g')) AS soft, strip_accents(substr(text, 1, 300)) AS plain FROM documents", whole=True)
-def soft_normalize(spark, sf_dir, whole=False):
-    return table(spark, sf_dir, "documents").select("doc_id", text.soft_normalize(F.col("text")).alias("soft"), text.strip_accents(F.col("text") if whole else F.substring("text", 1, 300)).alias("plain"))
+@query(f"SELECT doc_id, trim(regexp_replace(lower(translate(text, '’‘ʼ′`´', '''''''''''''')), '\\s+', ' ', 'g')) AS soft, strip_accents(text) AS plain FROM documents")
+def soft_normalize(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.soft_normalize(F.col("text")).alias("soft"), text.strip_accents(F.col("text")).alias("plain"))
 
 
 @query(rf"""WITH {LINES} SELECT doc_id, pos - 1 AS pos, length(line) <= 120 AND (regexp_matches(line, '^\d+(\.\d+)*\.?\s+\S') OR line LIKE '%:' OR (line = upper(line) AND line <> lower(line) AND length(line) > 4)) AS heading FROM l""")
@@ -644,11 +639,9 @@ def chunk_quota(spark, sf_dir):
 
 
 @query(f"""WITH {FINAL}, k AS (SELECT doc_id, score FROM f WHERE len(reasons) = 0 AND (is_direct OR score >= 70) ORDER BY score DESC, doc_id LIMIT 15), w AS (SELECT doc_id, score FROM f WHERE len(reasons) = 1 AND score >= 80)
-SELECT doc_id, CAST(score AS INTEGER) AS score FROM (SELECT *, 0 AS t FROM k UNION ALL SELECT *, 1 AS t FROM w WHERE doc_id NOT IN (SELECT doc_id FROM k)) ORDER BY t, score DESC, doc_id LIMIT 20""", whole=True)
-def model_gate(spark, sf_dir, whole=False):
-    d = scored(spark, sf_dir, whole)
-    kept, watched = d.filter("reject_reason IS NULL").select("doc_id", "score"), rules.near_misses(d).filter("reject_reason <> 'exclude_below_score_threshold'").select("doc_id", "score")
-    return rules.model_gate(kept, watched, "doc_id", [F.col("score").desc(), F.col("doc_id")]).select("doc_id", F.col("score").cast("int").alias("score"))
+SELECT doc_id, CAST(score AS INTEGER) AS score FROM (SELECT *, 0 AS t FROM k UNION ALL SELECT *, 1 AS t FROM w WHERE doc_id NOT IN (SELECT doc_id FROM k)) ORDER BY t, score DESC, doc_id LIMIT 20""")
+def model_gate(spark, sf_dir):
+    return rules.model_gate(scored(spark, sf_dir), "doc_id", [F.col("score").desc(), F.col("doc_id")]).select("doc_id", F.col("score").cast("int").alias("score"))
 
 
 @query("SELECT c_custkey, c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F') AS reviewed FROM customer")
