@@ -58,6 +58,11 @@ def squeeze(x: Column) -> Column:
     return F.trim(F.regexp_replace(x, r"(?U)\s+", " "))
 
 
+def trimmed(x: Column) -> Column:
+    """Without white space of any kind at its ends."""
+    return F.regexp_replace(x, r"^\s+|\s+$", "")
+
+
 def plain_apostrophes(x: Column) -> Column:
     return F.translate(x, APOSTROPHES, "'" * len(APOSTROPHES))
 

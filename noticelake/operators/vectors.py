@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import cosine, norm
-from ..functions.text import let
+from ..functions.text import blank, let
 
 #: Buckets beyond which best_bucket refuses to broadcast.
 MOST_BUCKETS = 1000
@@ -27,20 +29,48 @@ def centroids(df: DataFrame, label: str, vector: str) -> DataFrame:
     return parts.groupBy(label).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda p: p["x"]).alias("centroid"))
 
 
-def best_bucket(df: DataFrame, key: str, vector: str, buckets: DataFrame, name: str, bucket_vector: str) -> DataFrame:
-    """(key, bucket, similarity): the bucket of largest cosine; the first by name where equal, unknown where none is above 0.
+def best_match(vector: Column, buckets: DataFrame, name: str, bucket_vector: str) -> Column:
+    """struct<bucket, similarity>: the bucket of largest cosine; the first by name where equal, unknown where none is above 0.
 
-    Buckets are a short list (at most MOST_BUCKETS, counted); they ride along as one literal array of each row, so there is no
-    join and no shuffle.
+    Buckets are a short list (at most MOST_BUCKETS, counted): made unit vectors here, once, they ride along as one literal array of
+    each row, so there is no join and no shuffle; a row's own length is computed once.
     """
     listed = buckets.select(F.col(name).cast("string").alias("name"), F.col(bucket_vector).cast("array<double>").alias("v")).orderBy("name").limit(MOST_BUCKETS + 1).collect()
     if len(listed) > MOST_BUCKETS:
         raise ValueError(f"more than {MOST_BUCKETS} buckets")
     if not listed:
-        return df.select(key, F.lit("unknown").alias("bucket"), F.lit(0.0).alias("similarity"))
-    known = F.array(*[F.struct(cosine(F.col(vector), F.array(*[F.lit(x) for x in b["v"]])).alias("similarity"), F.lit(-k).alias("turn"), F.lit(b["name"]).alias("name")) for k, b in enumerate(listed)])
-    best = let(F.array_max(known), lambda b: F.struct(F.when(b["similarity"] > 0, b["name"]).otherwise("unknown").alias("bucket"), b["similarity"].alias("similarity")))
-    return df.select(key, F.inline(F.array(best)))
+        return F.struct(F.lit("unknown").alias("bucket"), F.lit(0.0).alias("similarity"))
+
+    def against(x: Column) -> Column:
+        size = F.greatest(norm(x), F.lit(5e-324))
+        known = F.array(*[F.struct(cosine_to(x, size, [float(c) for c in b["v"] or ()]).alias("similarity"), F.lit(-k).alias("turn"), F.lit(b["name"]).alias("name")) for k, b in enumerate(listed)])
+        return let(F.array_max(known), lambda b: F.struct(F.when(b["similarity"] > 0, b["name"]).otherwise("unknown").alias("bucket"), b["similarity"].alias("similarity")))
+
+    return let(F.coalesce(vector.cast("array<double>"), F.array().cast("array<double>")), against)
+
+
+def cosine_to(x: Column, size: Column, bucket: list[float]) -> Column:
+    """Cosine of x, whose length is size, and a bucket, clamped to 0..1; 0 for empty or zero vectors. Where lengths differ, the
+    shorter decides, as in numbers.cosine."""
+    length = math.sqrt(sum(c * c for c in bucket))
+    if length == 0:
+        return F.lit(0.0)
+    product = F.aggregate(F.zip_with(x, F.array(*[F.lit(c) for c in bucket]), lambda p, q: p * q), F.lit(0.0), lambda t, p: t + p)
+    even = F.when(product > 0, F.least(F.lit(1.0), product / (size * length))).otherwise(F.lit(0.0))
+    return F.when(F.size(x) == len(bucket), even).when(F.size(x) == 0, F.lit(0.0)).otherwise(cosine(x, F.array(*[F.lit(c) for c in bucket])))
+
+
+def best_bucket(df: DataFrame, key: str, vector: str, buckets: DataFrame, name: str, bucket_vector: str) -> DataFrame:
+    """(key, bucket, similarity), see best_match."""
+    return df.select(key, F.inline(F.array(best_match(F.col(vector), buckets, name, bucket_vector))))
+
+
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
+
+def letter_vector(x: Column) -> Column:
+    """How often each letter a-z stands in a text: a stand-in for the embeddings of a model, none of which is reachable here."""
+    return let(F.lower(blank(x)), lambda t: F.array(*[(F.char_length(t) - F.char_length(F.replace(t, F.lit(c), F.lit("")))).cast("double") for c in LETTERS]))
 
 
 def keyword_similarity(text: Column, keywords: list[str]) -> Column:

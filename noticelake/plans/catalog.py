@@ -6,8 +6,6 @@ documents, orders for versioned records, events for runs and streams, embeddings
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,26 +14,7 @@ from ..operators import documents, lookups, reports, requirements, rules, state,
 from ..plans import terms
 from ..sources import files
 from ..streaming import state as streaming
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Registers a query under its function's name."""
-
-    def add(fn):
-        QUERIES[fn.__name__] = fn
-        if sql is not None:
-            SQL[fn.__name__] = sql
-        return fn
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+from .registry import QUERIES, SQL, query, table  # noqa: F401
 
 AS_OF = "1996-06-01"
 NORM = "trim(regexp_replace(strip_accents(lower(translate({x}, '’‘ʼ′`´', ''''''''''''''))), '\\s+', ' ', 'g'))"
@@ -331,41 +310,106 @@ def repeated_lines(spark, sf_dir):
     return documents.repeated_lines(table(spark, sf_dir, "documents"), "source", "doc_id")
 
 
-@query(rf"""WITH {LINES}, h AS (SELECT *, CASE WHEN length(line) <= 120 AND (regexp_matches(line, '^\d+(\.\d+)*\.?\s+\S') OR line LIKE '%:' OR (line = upper(line) AND line <> lower(line) AND length(line) > 4)) AND line NOT LIKE '%.'
-  AND len(regexp_split_to_array(line, '\s+')) <= 12 THEN 1 ELSE 0 END AS heading FROM l), s AS (SELECT *, sum(heading) OVER (PARTITION BY doc_id ORDER BY pos) AS section FROM h)
-SELECT doc_id, section::BIGINT AS section, arg_min(line, pos) AS heading, count(*) - 1 AS n_lines FROM s WHERE section BETWEEN 1 AND 8 GROUP BY doc_id, section""")
+@query(f"""WITH p AS (SELECT source, doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents), l AS (SELECT source, doc_id, pos, trim(raw) AS line FROM p WHERE trim(raw) <> ''),
+o AS (SELECT source, line FROM l GROUP BY ALL HAVING count(*) > 1), k AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) AS body FROM l WHERE (source, line) NOT IN (SELECT (source, line) FROM o) GROUP BY doc_id),
+n AS (SELECT source, count(*) AS n FROM documents GROUP BY source) SELECT d.source, d.doc_id, CASE WHEN n < 2 THEN trim(text) ELSE coalesce(body, '') END AS text FROM documents d JOIN n ON n.source = d.source LEFT JOIN k ON k.doc_id = d.doc_id""")
+def strip_page_lines(spark, sf_dir):
+    """Sources as documents, their documents as pages."""
+    return documents.strip_page_lines(table(spark, sf_dir, "documents"), "source", "doc_id")
+
+
+HEADINGS = "|".join(documents.HEADING_TERMS)
+# The documents' invented words hold no heading: a third get headings with terms, a third others, a third stay as they are.
+HEADED = "headed AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'Scope of work:' || chr(10) || replace(text, '. ', '.' || chr(10) || '2.1 Key dates' || chr(10)) WHEN 1 THEN replace(text, '. ', '.' || chr(10) || 'Note:' || chr(10)) ELSE text END AS text FROM documents)"
+
+
+def headed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    more = lambda line: F.replace("text", F.lit(". "), F.lit(f".\n{line}\n"))
+    titled = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("Scope of work:\n"), more("2.1 Key dates"))).when(F.col("doc_id") % 3 == 1, more("Note:")).otherwise(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", titled.alias("text"))
+
+
+SECTIONS = rf"""{HEADED}, {LINES.replace("FROM documents", "FROM headed")}, hd AS (SELECT *, length(line) <= 120 AND (regexp_matches(line, '^\d+(\.\d+)*\.?\s+\S') OR line LIKE '%:' OR (line = upper(line) AND line <> lower(line) AND length(line) > 4)) AS shaped FROM l),
+hm AS (SELECT *, shaped AND regexp_matches(strip_accents(lower(line)), '{HEADINGS}') AS main, shaped AND line NOT LIKE '%.' AND len(regexp_split_to_array(line, '\s+')) <= 12 AS loose FROM hd), hb AS (SELECT *, bool_or(main) OVER (PARTITION BY doc_id) AS by_term FROM hm),
+hs AS (SELECT *, sum((CASE WHEN by_term THEN main ELSE loose END)::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS s FROM hb), ht AS (SELECT *, CASE WHEN by_term THEN s ELSE least(s, 8) END AS section FROM hs WHERE s >= 1),
+hf AS (SELECT *, min(pos) OVER (PARTITION BY doc_id, section) AS first FROM ht WHERE section <= 8),
+sec AS (SELECT doc_id, section::BIGINT AS section, arg_min(line, pos) AS heading, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (pos > first), '') AS text, count(*) - 1 AS n_lines FROM hf GROUP BY doc_id, section)"""
+
+
+@query(f"WITH {SECTIONS} SELECT doc_id, section, heading, text, n_lines, length(text)::BIGINT AS chars FROM sec")
 def sectionize(spark, sf_dir):
-    return documents.sectionize(table(spark, sf_dir, "documents"), "doc_id").drop("chars")
+    return documents.sectionize(headed(spark, sf_dir), "doc_id")
+
+
+@query(f"""WITH {SECTIONS}, a AS (SELECT doc_id, string_agg(heading || CASE WHEN text = '' THEN '' ELSE chr(10) || text END, chr(10) || chr(10) ORDER BY section) AS x FROM sec GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN x IS NULL THEN trim(substr(d.text, 1, 4000)) WHEN length(x) <= 4000 THEN x ELSE coalesce(nullif(trim(regexp_extract(substr(x, 1, 4000), '^(.*)\\n', 1, 's')), ''), trim(substr(x, 1, 4000))) END AS excerpt FROM headed d LEFT JOIN a ON a.doc_id = d.doc_id""")
+def section_excerpt(spark, sf_dir):
+    return documents.section_excerpt(headed(spark, sf_dir), "doc_id")
 
 
 MOST, OVERLAP = 1200, 150
 
 
-@query(f"""WITH RECURSIVE t AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE length(text) > 0),
-w AS (SELECT doc_id, text, n, 0 AS chunk, 0 AS start, {MOST} AS want FROM t
-  UNION ALL SELECT doc_id, text, n, chunk + 1, greatest(stop - {OVERLAP}, start + 1), 0 FROM (SELECT *, CASE WHEN start + {MOST} < n AND cut > start + {MOST} * 0.6 THEN cut ELSE least(start + {MOST}, n) END AS stop
-    FROM (SELECT *, CASE WHEN position(' ' IN translate(reverse(substr(text, start + 1, {MOST})), chr(10), ' ')) = 0 THEN -1 ELSE start + length(substr(text, start + 1, {MOST})) - position(' ' IN translate(reverse(substr(text, start + 1, {MOST})), chr(10), ' ')) END AS cut FROM w)) WHERE stop < n)
-SELECT doc_id, chunk, start, CASE WHEN start + {MOST} < n AND cut > start + {MOST} * 0.6 THEN cut ELSE least(start + {MOST}, n) END AS stop FROM (SELECT *, CASE WHEN position(' ' IN translate(reverse(substr(text, start + 1, {MOST})), chr(10), ' ')) = 0 THEN -1
-  ELSE start + length(substr(text, start + 1, {MOST})) - position(' ' IN translate(reverse(substr(text, start + 1, {MOST})), chr(10), ' ')) END AS cut FROM w)""")
+def chunk_sql(source: str, keys: str) -> str:
+    """CTEs up to ck ({keys}, chunk, start, stop, text): the chunks of source's texts, by the rule."""
+    backwards = f"position(' ' IN translate(reverse(substr(text, start + 1, {MOST})), chr(10), ' '))"
+    step = f"SELECT *, CASE WHEN {backwards} > 0 AND length(substr(text, start + 1, {MOST})) - {backwards} > {int(MOST * 0.6)} THEN start + length(substr(text, start + 1, {MOST})) - {backwards} ELSE least(start + {MOST}, n) END AS stop"
+    return f"""ct AS (SELECT {keys}, text, length(text) AS n FROM {source} WHERE length(text) > 0), cw AS ({step} FROM (SELECT *, 0 AS start FROM ct) UNION ALL {step} FROM (SELECT {keys}, text, n, greatest(stop - {OVERLAP}, start + 1) AS start FROM cw WHERE stop < n)),
+ck AS (SELECT {keys}, (row_number() OVER (PARTITION BY {keys} ORDER BY start) - 1)::INT AS chunk, start::INT AS start, stop::INT AS stop, regexp_replace(substr(text, start + 1, stop - start), '^\\s+|\\s+$', '', 'g') AS text FROM cw WHERE regexp_matches(substr(text, start + 1, stop - start), '\\S'))"""
+
+
+CHUNKS = chunk_sql("documents", "doc_id")
+
+
+@query(f"WITH RECURSIVE {CHUNKS} SELECT * FROM ck")
 def chunk_text(spark, sf_dir):
-    return documents.chunks(table(spark, sf_dir, "documents"), "doc_id", most=MOST, overlap=OVERLAP).select("doc_id", "chunk", "start", "stop")
+    return documents.chunks(table(spark, sf_dir, "documents"), "doc_id", most=MOST, overlap=OVERLAP)
 
 
-def ranked_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = documents.chunks(table(spark, sf_dir, "documents"), "doc_id")
-    similarity = F.pmod(F.ascii(F.col("text")) + F.char_length("text"), F.lit(100)) / 1000
-    return found.withColumn("score", documents.chunk_score(similarity, documents.keyword_boost(F.col("text"))))
+@query(f"""WITH RECURSIVE {SECTIONS}, src AS (SELECT doc_id, section, heading, text FROM sec UNION ALL SELECT doc_id, NULL, NULL, text FROM headed WHERE doc_id NOT IN (SELECT doc_id FROM sec)), {chunk_sql("src", "doc_id, section, heading")} SELECT * FROM ck""")
+def section_chunks(spark, sf_dir):
+    return documents.section_chunks(headed(spark, sf_dir), "doc_id", most=MOST, overlap=OVERLAP)
 
 
-@query()
+# Stand-ins for the vectors of prompts and chunks (no model is reachable): how often each letter occurs.
+PROMPTS = {"requirements": "mandatory requirements and minimum criteria", "dates": "closing date, deadline and schedule", "evaluation": "evaluation method and rated criteria"}
+LETTER_SQL = "list_transform(string_split('abcdefghijklmnopqrstuvwxyz', ''), lambda c: (length({x}) - length(replace({x}, c, '')))::DOUBLE)"
+PROMPT_SQL = " UNION ALL ".join(f"SELECT '{n}' AS name, {[float(t.count(c)) for c in vectors.LETTERS]}::DOUBLE[] AS w" for n, t in PROMPTS.items())
+BOOST = f"(CASE WHEN regexp_matches(lower(text), '{'|'.join(documents.REQUIREMENT_WORDS)}') THEN 0.08 ELSE 0 END + CASE WHEN regexp_matches(lower(text), '{'|'.join(documents.DATE_WORDS)}') OR regexp_matches(text, '{documents.DATE_HINT}') THEN 0.07 ELSE 0 END + CASE WHEN regexp_matches(lower(text), '{'|'.join(documents.EVALUATION_WORDS)}') THEN 0.06 ELSE 0 END)::DOUBLE"
+SCORED = f"""{CHUNKS}, cv AS (SELECT doc_id, chunk, text, {LETTER_SQL.format(x="lower(text)")} AS v FROM ck),
+cs AS (SELECT doc_id, chunk, text, name, CASE WHEN list_dot_product(v, v) = 0 THEN 0 ELSE least(1.0, list_dot_product(v, w) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(w, w)))) END AS sim FROM cv, ({PROMPT_SQL})),
+cb AS (SELECT doc_id, chunk, any_value(text) AS text, max(sim) AS similarity, arg_max(name, (sim, -CASE name {" ".join(f"WHEN '{n}' THEN {k}" for k, n in enumerate(sorted(PROMPTS)))} END)) AS best FROM cs GROUP BY doc_id, chunk),
+sc AS (SELECT doc_id, chunk, text, CASE WHEN similarity > 0 THEN best END AS prompt, similarity, {BOOST} AS boost, round(least(1.0, similarity + {BOOST}), 4)::DOUBLE AS score FROM cb)"""
+TOP = f"{SCORED}, ra AS (SELECT *, bool_or(score >= 0.06) OVER (PARTITION BY doc_id) AS good, row_number() OVER (PARTITION BY doc_id ORDER BY score >= 0.06 DESC, score DESC, chunk) AS rank FROM sc), tp AS (SELECT * FROM ra WHERE rank <= 6 AND (NOT good OR score >= 0.06))"
+
+
+def scored_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prompts = spark.createDataFrame(list(PROMPTS.items()), "name string, text string").select("name", vectors.letter_vector(F.col("text")).alias("vector"))
+    found = documents.chunks(table(spark, sf_dir, "documents"), "doc_id", most=MOST, overlap=OVERLAP)
+    return documents.score_chunks(found.withColumn("vector", vectors.letter_vector(F.col("text"))), "vector", prompts)
+
+
+@query(f"WITH RECURSIVE {SCORED} SELECT doc_id, chunk, prompt, round(similarity, 4) AS similarity, boost, score FROM sc")
+def chunk_scores(spark, sf_dir):
+    return scored_chunks(spark, sf_dir).select("doc_id", "chunk", "prompt", F.round("similarity", 4).alias("similarity"), "boost", "score")
+
+
+@query(f"WITH RECURSIVE {TOP} SELECT doc_id, chunk, score, rank::INT AS rank FROM tp")
 def retrieval_topk(spark, sf_dir):
-    """The best chunks of each document (chunks come from a fold, so there is no plain SQL twin; see chunk_text)."""
-    return documents.top_chunks(ranked_chunks(spark, sf_dir), "doc_id").select("doc_id", "chunk", "score", "rank")
+    return documents.top_chunks(scored_chunks(spark, sf_dir), "doc_id").select("doc_id", "chunk", "score", "rank")
 
 
-@query()
+BUDGET = 3000
+
+
+@query(f"""WITH RECURSIVE {TOP}, bl AS (SELECT doc_id, rank, trim('CHUNK ' || rank || chr(10) || trim(text)) AS block FROM tp),
+fo AS (SELECT doc_id, 0::BIGINT AS i, 0::BIGINT AS total, false AS over, []::VARCHAR[] AS parts FROM (SELECT DISTINCT doc_id FROM bl) UNION ALL
+  SELECT doc_id, i + 1, CASE WHEN ends OR part = '' THEN total ELSE total + length(part) + 2 END, ends, CASE WHEN ends OR part = '' THEN parts ELSE list_append(parts, part) END FROM (SELECT *, over OR total >= {BUDGET} OR (length(block) > {BUDGET} - total AND {BUDGET} - total <= 20) AS ends,
+    CASE WHEN length(block) <= {BUDGET} - total THEN block WHEN contains(substr(block, 1, {BUDGET} - total), chr(10)) THEN trim(regexp_extract(substr(block, 1, {BUDGET} - total), '^(.*)\\n', 1, 's')) ELSE trim(substr(block, 1, {BUDGET} - total)) END AS part
+    FROM fo JOIN bl ON bl.doc_id = fo.doc_id AND bl.rank = fo.i + 1))
+SELECT doc_id, arg_max(trim(array_to_string(parts, chr(10) || chr(10))), i) AS excerpt FROM fo GROUP BY doc_id""")
 def retrieval_excerpt(spark, sf_dir):
-    return documents.excerpt(documents.top_chunks(ranked_chunks(spark, sf_dir), "doc_id"), "doc_id", "rank", budget=3000)
+    return documents.excerpt(documents.top_chunks(scored_chunks(spark, sf_dir), "doc_id"), "doc_id", "rank", budget=BUDGET)
 
 
 # ---- requirements: document lines as items ----
@@ -390,12 +434,12 @@ def low_signal(spark, sf_dir):
     return items(spark, sf_dir).select("doc_id", "pos", requirements.is_boilerplate(x).alias("boilerplate"), requirements.low_signal_requirement(x).alias("low_requirement"), requirements.low_signal_date(x).alias("low_date"), requirements.low_signal_risk(x).alias("low_risk"))
 
 
-@query(rf"""WITH {ITEMS}, e AS (SELECT i.*, d.text, {key_sql('d.text')} AS body, list_filter(string_split(k, ' '), lambda t: length(t) >= 4) AS tokens FROM i JOIN documents d ON d.doc_id = i.doc_id + 1)
+@query(rf"""WITH {ITEMS}, e AS (SELECT i.*, d.text, {key_sql('d.text')} AS body, list_filter(string_split(k, ' '), lambda t: length(t) >= 4) AS tokens FROM i LEFT JOIN documents d ON d.doc_id = i.doc_id + 1)
 SELECT doc_id, pos, k <> '' AND (contains(body, k) OR len(list_filter(regexp_extract_all(item, '({documents.DATE_HINT})', 1), lambda q: contains(body, trim(regexp_replace(lower(q), '[^a-z0-9]+', ' ', 'g'))))) > 0
   OR (len(tokens) > 0 AND len(list_filter(tokens, lambda t: contains(body, t))) >= least(2, len(tokens)))) AS supported FROM e""")
 def evidence_span(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select((F.col("doc_id") - 1).alias("doc_id"), "text")
-    return items(spark, sf_dir).join(d, "doc_id").select("doc_id", "pos", requirements.has_evidence(F.col("item"), F.col("text")).alias("supported"))
+    return items(spark, sf_dir).join(d, "doc_id", "left").select("doc_id", "pos", requirements.has_evidence(F.col("item"), F.col("text")).alias("supported"))
 
 
 @query(f"""WITH {ITEMS}, f AS (SELECT *, row_number() OVER (PARTITION BY doc_id, k ORDER BY pos) AS n FROM i WHERE k <> ''), g AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS m FROM f WHERE n = 1)

@@ -28,7 +28,8 @@ def test_chunks_cover_the_text(spark):
     text = " ".join(f"word{k}" for k in range(500))
     got = documents.chunks(docs(spark, text), "doc_id", most=300, overlap=40).orderBy("chunk").collect()
     assert got[0]["start"] == 0 and got[-1]["stop"] == len(text) and all(b["start"] < a["stop"] for a, b in zip(got, got[1:]))
-    assert all(r["text"] == text[r["start"] : r["stop"]] for r in got)
+    assert all(r["text"] == text[r["start"] : r["stop"]].strip() for r in got)
+    assert documents.chunk(" " * 30 + "x", 10, 2)[0][1] == 31 and documents.chunk("", 5, 1) == []
     assert documents.chunk("x" * 10, 3, 5)[-1][1] == 10  # an overlap longer than a chunk still moves on
 
 
