@@ -133,6 +133,13 @@ def truncate(x: Column, most: int) -> Column:
     return F.when(F.char_length(x) <= most, x).otherwise(F.concat(F.when(at_space != "", at_space).otherwise(head), F.lit("...")))
 
 
+def cut_at_space(x: Column, most: int) -> Column:
+    """At most so many characters, cut at the last space that leaves something; no dots."""
+    head = F.substring(x, 1, most)
+    at_space = F.trim(F.regexp_extract(head, "(?s)^(.*) ", 1))
+    return F.when(F.char_length(x) <= most, x).otherwise(F.when(at_space != "", at_space).otherwise(F.trim(head)))
+
+
 def repair_mojibake(x: Column) -> Column:
     """UTF-8 that was read as Latin-1: turned back if the whole text allows it, else unchanged."""
     suspect = x.rlike("[ÃÂâ]") & x.rlike("^[\u0001-ÿ]*$")
@@ -140,18 +147,19 @@ def repair_mojibake(x: Column) -> Column:
     return F.coalesce(turned, x)
 
 
-# Sequences left by a second wrong reading, and what they stood for.
-LEFTOVERS = (("â€™", "'"), ("â€˜", "'"), ("â€œ", '"'), ("â€\u009d", '"'), ("â€“", "-"), ("â€”", "-"), ("â€¦", "..."), ("Â ", " "), ("Â", ""))
+# What shows that a text was read wrongly; sequences left by a second wrong reading, and what they stood for.
+SUSPECT = "â€|Ã|Â|¤"
+LEFTOVERS = (("â€™", "’"), ("â€“", "“"), ("â€\u009d", "”"), ("â€\u0098", "‘"), ("â€\u0099", "’"), ("â€–", "–"), ("â€—", "—"), ("Â ", " "), ("Â", ""))
 
 
 def repair_leniently(x: Column) -> Column:
-    """The known leftovers replaced, then UTF-8 read as Latin-1 turned back where it can be."""
+    """UTF-8 read as Latin-1 turned back, what cannot be turned left out; then the known leftovers replaced."""
+    narrow = F.regexp_replace(x, "[^\u0001-ÿ]", "")
+    turned = F.replace(F.make_valid_utf8(F.when(x.rlike(SUSPECT), F.encode(narrow, "ISO-8859-1")).cast("string")), F.lit("\ufffd"), F.lit(""))
+    x = F.coalesce(F.nullif(turned, F.lit("")), x)
     for wrong, right in LEFTOVERS:
         x = F.replace(x, F.lit(wrong), F.lit(right))
-    suspect = x.rlike("[ÃÂâ]")
-    narrow = F.regexp_replace(x, "[^\u0001-ÿ]", "")
-    turned = F.make_valid_utf8(F.when(suspect, F.encode(narrow, "ISO-8859-1")).cast("string"))
-    return F.coalesce(F.replace(turned, F.lit("�"), F.lit("")), x)
+    return x
 
 
 def looks_like_heading(line: Column) -> Column:

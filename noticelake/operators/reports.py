@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ..functions.numbers import percentage
 from ..functions.text import html_escape
 
-EVENT_LABELS = {"new": "New", "amendment": "Amendment", "close_date_changed": "Close date changed", "new_attachment": "New attachment"}
+# What events are called.
+EVENT_LABELS = {"new": "New tender", "amendment": "Amendment posted", "close_date_changed": "Close date changed", "new_attachment": "New attachment"}
 RATES = ("coverage_rate", "signal_rate", "low_signal_rate")
 
 
@@ -30,13 +31,6 @@ def weekly_delta(now: DataFrame, before: DataFrame, metrics: Sequence[str] = RAT
     return tall(now, "current").join(tall(before, "previous"), "metric", "left").withColumn("previous", F.coalesce("previous", F.lit(0.0))).withColumn("delta", F.round(F.col("current") - F.col("previous"), 2))
 
 
-def acceptance(stats: DataFrame, duration: Column, mean_before: Column) -> DataFrame:
-    return stats.select(
-        (F.col("coverage_rate") >= 75).alias("coverage_ok"), (F.col("signal_rate") >= 60).alias("signal_ok"), (F.col("low_signal_rate") <= 10).alias("low_signal_ok"),
-        F.coalesce(duration <= 1.2 * mean_before, F.lit(True)).alias("duration_ok"),
-    )
-
-
 def between(df: DataFrame, at: str, as_of: Column, days_back: int, days_to: int = 0) -> DataFrame:
     """Rows of a half-open window of days before as_of."""
     return df.filter((F.col(at) >= as_of - F.make_dt_interval(F.lit(days_back))) & (F.col(at) < as_of - F.make_dt_interval(F.lit(days_to))))

@@ -73,6 +73,11 @@ def low_signal_requirement(item: Column) -> Column:
     return (x == "") | F.when(short, ~known).otherwise((F.size(words) <= 4) & (capitals >= 0.6))
 
 
+def ordered_strings(items: Column) -> Column:
+    """Items in order, each once."""
+    return F.array_distinct(items)
+
+
 def ordered_distinct(items: Column) -> Column:
     """Items in order, each match key once. Keys stand at the same places, so the first place of a key decides."""
     keyed = F.struct(items.alias("items"), F.transform(items, match_key).alias("keys"))

@@ -531,11 +531,6 @@ def weekly_delta(spark, sf_dir):
     return reports.weekly_delta(reports.coverage(reports.between(f, "ts", now, 7)), reports.coverage(reports.between(f, "ts", now, 14, 7)))
 
 
-@query(f"SELECT coverage_rate >= 75 AS coverage_ok, signal_rate >= 60 AS signal_ok, low_signal_rate <= 10 AS low_signal_ok, 100 <= 1.2 * 90 AS duration_ok FROM ({RATED.format(x=COVER.format(x=FLAGS))})")
-def acceptance(spark, sf_dir):
-    return reports.acceptance(reports.coverage(flagged(spark, sf_dir)), F.lit(100), F.lit(90))
-
-
 @query(f"SELECT o_orderkey AS key, o_orderdate AS close_at, CAST(floor(epoch(o_orderdate - TIMESTAMP '{AS_OF}') / 86400) AS BIGINT) AS days_left FROM orders WHERE o_orderdate >= TIMESTAMP '{AS_OF}' AND o_orderdate <= TIMESTAMP '{AS_OF}' + INTERVAL 7 DAY ORDER BY o_orderdate, o_orderkey LIMIT 15")
 def upcoming_closes(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_orderdate").alias("close_at"))
@@ -564,7 +559,7 @@ def prompt_experiment(spark, sf_dir):
     return reports.experiment_summary(e, "arm")
 
 
-@query("""WITH x AS (SELECT c_custkey AS key, c_name AS title, c_acctbal, CASE WHEN c_custkey % 3 = 0 THEN 'new' ELSE 'updated' END AS section, CASE WHEN c_custkey % 3 = 0 THEN 'New' ELSE 'Amendment; Close date changed' END AS labels FROM customer)
+@query("""WITH x AS (SELECT c_custkey AS key, c_name AS title, c_acctbal, CASE WHEN c_custkey % 3 = 0 THEN 'new' ELSE 'updated' END AS section, CASE WHEN c_custkey % 3 = 0 THEN 'New tender' ELSE 'Amendment posted; Close date changed' END AS labels FROM customer)
 SELECT key, section, '<tr><td>' || replace(title, '&', '&amp;') || '</td><td>' || CAST(CAST(floor(c_acctbal) AS BIGINT) AS VARCHAR) || '</td><td>' || labels || '</td></tr>' AS html FROM x""")
 def digest_rows(spark, sf_dir):
     c = table(spark, sf_dir, "customer")
@@ -699,3 +694,6 @@ def any_signal(spark, sf_dir):
     empty, some = F.array().cast("array<string>"), F.array(F.lit("x"))
     e = table(spark, sf_dir, "events").select("event_id", F.create_map(F.lit("requirements"), empty, F.lit("dates"), F.when(F.col("user_id") % 4 == 0, empty).otherwise(some)).alias("m"))
     return e.select("event_id", numbers.any_signal(F.col("m")).alias("signal"))
+
+
+from . import digest  # noqa: E402, F401  registers its queries

@@ -52,7 +52,8 @@ def test_pii(spark):
 def test_mojibake(spark):
     assert one(spark, text.repair_mojibake(F.col("t")), t="MontrÃ©al") == "Montréal"
     assert one(spark, text.repair_mojibake(F.col("t")), t="Âme 漢") == "Âme 漢"
-    assert one(spark, text.repair_leniently(F.col("t")), t="lâ€™offre") == "l'offre"
+    assert one(spark, text.repair_leniently(F.col("t")), t="lâ\x80\x99offre ÃƒÂ©") == "l’offre ©"
+    assert one(spark, text.repair_leniently(F.col("t")), t="plain é") == "plain é"
 
 
 def test_headings(spark):
