@@ -6,11 +6,17 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Date patterns tried in turn; a value without zone is UTC (the session's zone).
-PATTERNS = ("yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][XXX]", "yyyy-MM-dd HH:mm:ss[.SSSSSS][XXX]", "yyyy-MM-dd'T'HH:mm", "yyyy-MM-dd HH:mm", "yyyy-MM-dd", "yyyy/MM/dd", "MM/dd/yyyy", "d MMM yyyy", "MMMM d, yyyy")
+PATTERNS = (
+    "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][XXX]", "yyyy-MM-dd HH:mm:ss[.SSSSSS][XXX]", "yyyy-MM-dd'T'HH:mm[XXX]", "yyyy-MM-dd HH:mm", "yyyy-MM-dd", "yyyy/MM/dd[ HH:mm:ss]", "yyyy/MM/dd HH:mm", "MM/dd/yyyy[ HH:mm:ss]", "d MMM yyyy[ HH:mm[:ss]]",
+    "d MMMM yyyy[ HH:mm[:ss]]", "MMMM d, yyyy[ HH:mm[:ss]]", "MMM d, yyyy[ HH:mm[:ss]]", "d-MMM-yyyy", "yyyyMMdd", "yyyyMMdd'T'HHmmss[XXX]",
+)
+#: A day's name before a date says nothing more.
+DAY_NAME = r"^(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun)[a-z]*,?\s+"
 
 
 def parse_timestamp(x: Column) -> Column:
-    return F.coalesce(*[F.try_to_timestamp(F.trim(x), F.lit(p)) for p in PATTERNS])
+    plain = F.regexp_replace(F.trim(x), DAY_NAME, "")
+    return F.coalesce(*[F.try_to_timestamp(plain, F.lit(p)) for p in PATTERNS])
 
 
 def seconds_between(start: Column, end: Column) -> Column:
@@ -50,3 +56,19 @@ def semantic_score(similarity: Column, evidence: Column) -> Column:
 def any_signal(values: Column) -> Column:
     """Whether any list of a map of lists has an element."""
     return F.exists(F.map_values(values), lambda x: F.size(x) > 0)
+
+
+def merged_maps(defaults: Column, override: Column) -> Column:
+    """A map with the values of override where it has the key and a value, else of defaults."""
+    return F.map_zip_with(defaults, override, lambda _, a, b: F.coalesce(b, a))
+
+
+def deep_merge(defaults: dict, override: dict) -> dict:
+    """Nested settings, on the driver: override wins, dictionaries are merged."""
+    both = {k: deep_merge(v, override[k]) if isinstance(v, dict) and isinstance(override.get(k), dict) else override.get(k, v) for k, v in defaults.items()}
+    return both | {k: v for k, v in override.items() if k not in defaults}
+
+
+def local_time(at: Column, zone: str) -> Column:
+    """A UTC time as the clock of a zone shows it (no zone)."""
+    return F.convert_timezone(F.lit("UTC"), F.lit(zone), at.cast("timestamp_ntz"))

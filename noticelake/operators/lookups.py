@@ -46,3 +46,13 @@ def first_key_lookup(items: DataFrame, cache: DataFrame, candidates: Sequence[st
 def rows_with_text(cache: DataFrame, least_chars: int, most: int) -> DataFrame:
     """A sample of the newest cache rows with a text of some length."""
     return cache.filter(F.col("text_path").isNotNull() & (F.coalesce("text_chars", F.lit(0)) >= least_chars)).orderBy(F.col("fetched_at").desc_nulls_last()).limit(most)
+
+
+def random_rows(df: DataFrame, key: str, most: int, seed: int = 0) -> DataFrame:
+    """A random sample of a fixed size, the same for the same seed: the rows with the smallest hashes of seed and key."""
+    return df.withColumn("__place", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))).orderBy("__place", key).limit(most).drop("__place")
+
+
+def with_payload(rows: DataFrame, stored: DataFrame, keys: Sequence[str], stored_key: str = "tender_key", payload: str = "payload") -> DataFrame:
+    """Exported rows with the payload stored under the first of their keys that is known."""
+    return first_key_lookup(rows, stored, keys, stored_key, payload)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import blank, let, match_key
+from ..functions.text import blank, let, match_key, repair_leniently
 from .documents import DATE_HINT
 
 # Whole items that say nothing.
@@ -103,20 +103,34 @@ def clean_summary(df: DataFrame, evidence: str = "evidence") -> DataFrame:
     )
 
 
-CATEGORIES = {"requirements": low_signal_requirement, "deliverables": low_signal_requirement, "submission": low_signal_requirement, "dates": low_signal_date, "evaluation": low_signal_requirement, "security": low_signal_requirement, "risks": low_signal_risk}
+# The categories of a structured summary, each with its test for low signal.
+CATEGORIES = {"submission": low_signal_requirement, "evaluation": low_signal_requirement, "scope": low_signal_requirement, "deliverables": low_signal_requirement, "schedule": low_signal_date, "risks": low_signal_risk, "compliance": low_signal_requirement}
 CITATION = "struct<attachment_id:string,section_heading:string,page:int,offsets:array<int>>"
 
 
-def clean_structured(df: DataFrame, attachment: str, evidence: str = "evidence", most: int = 6) -> DataFrame:
-    """Each category's array<struct<text, citations>>: low-signal and unsupported items dropped, each once; missing citations name the attachment."""
-    fallback = F.array(F.struct(F.col(attachment).alias("attachment_id"), F.lit("").alias("section_heading"), F.lit(None).cast("int").alias("page"), F.lit(None).cast("array<int>").alias("offsets"))).cast(f"array<{CITATION}>")
+def citations(given: Column, attachment: Column, heading: Column) -> Column:
+    """Citations with the attachment and heading filled in where they lack one and two offsets or none; one that names the
+    attachment where there is none."""
+    other = lambda x, y: F.coalesce(F.nullif(blank(x), F.lit("")), blank(y))
+    one = lambda c: F.struct(other(c["attachment_id"], attachment).alias("attachment_id"), other(c["section_heading"], heading).alias("section_heading"), c["page"].cast("int").alias("page"), F.when(F.size(c["offsets"]) >= 2, F.slice(c["offsets"], 1, 2)).alias("offsets"))
+    told = F.transform(given, one).cast(f"array<{CITATION}>")
+    none = F.array().cast(f"array<{CITATION}>")
+    named = F.array(F.struct(attachment.alias("attachment_id"), blank(heading).alias("section_heading"), F.lit(None).cast("int").alias("page"), F.lit(None).cast("array<int>").alias("offsets"))).cast(f"array<{CITATION}>")
+    return F.when(F.coalesce(F.size(given), F.lit(0)) > 0, told).when(blank(attachment) != "", named).otherwise(none)
+
+
+def clean_structured(df: DataFrame, attachment: str, evidence: str = "evidence") -> DataFrame:
+    """Each category's array<struct<text, citations>> (with section_heading, if items have one): repaired texts, without those of low
+    signal or (where there is evidence) without support in it, each match key once, with citations."""
 
     def one(name, low):
-        items = F.filter(F.col(name), lambda x: ~low(x["text"]) & has_evidence(x["text"], F.col(evidence)))
-        keys = F.transform(items, lambda x: match_key(x["text"]))
-        items = F.filter(items, lambda x, i: F.array_position(keys, match_key(x["text"])) == i + 1)
-        whole = lambda x: F.struct(x["text"].alias("text"), F.when(F.coalesce(F.size(x["citations"]), F.lit(0)) > 0, x["citations"].cast(f"array<{CITATION}>")).otherwise(fallback).alias("citations"))
-        return F.slice(F.transform(items, whole), 1, most)
+        kind = df.schema[name].dataType.elementType
+        heading = lambda x: x["section_heading"] if "section_heading" in kind.names else F.lit("")
+        items = F.transform(F.col(name), lambda x: F.struct(repair_leniently(F.trim(blank(x["text"]))).alias("text"), citations(x["citations"], F.col(attachment), heading(x)).alias("citations")))
+        told = F.filter(items, lambda x: (x["text"] != "") & ~low(x["text"]) & ((blank(F.col(evidence)) == "") | has_evidence(x["text"], F.col(evidence))))
+        keyed = lambda xs: F.struct(xs.alias("items"), F.transform(xs, lambda x: match_key(x["text"])).alias("keys"))
+        first = lambda s: F.filter(s["items"], lambda x, i: (F.get(s["keys"], i) != "") & (F.array_position(s["keys"], F.get(s["keys"], i)) == i + 1))
+        return let(let(told, keyed), first)
 
     return df.withColumns({n: one(n, low) for n, low in CATEGORIES.items() if n in df.columns})
 

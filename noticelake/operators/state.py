@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def latest_per_key(df: DataFrame, key: str, order: Sequence[Column]) -> DataFrame:
+def latest_per_key(df: DataFrame, key: str | Sequence[str], order: Sequence[Column]) -> DataFrame:
     """The first row of each key in the given order, which must be total."""
-    return df.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter("__n = 1").drop("__n")
+    keys = [key] if isinstance(key, str) else list(key)
+    return df.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("__n = 1").drop("__n")
 
 
 def since(df: DataFrame, column: str, start: Column) -> DataFrame:
@@ -100,3 +101,71 @@ def union_first(frames: Sequence[DataFrame], key: str, order: Sequence[str]) ->
         f = f.withColumn("__frame", F.lit(k))
         all_ = f if all_ is None else all_.unionByName(f, allowMissingColumns=True)
     return latest_per_key(all_, key, [F.col("__frame"), *map(F.col, order)]).drop("__frame")
+
+
+def start_run(runs: DataFrame, started_at: Column, since_at: Column, bootstrap: bool = False, dry_run: bool = False) -> DataFrame:
+    """The one row to append for a run that begins: its id follows the largest so far. runs has id and the columns below."""
+    return runs.agg((F.coalesce(F.max("id"), F.lit(0)) + 1).alias("id")).select(
+        "id", started_at.alias("started_at"), since_at.alias("since"), F.lit(bootstrap).alias("bootstrap"), F.lit(dry_run).alias("dry_run"), F.lit(None).cast("timestamp").alias("finished_at"), F.lit(None).cast("string").alias("status"),
+        F.lit(None).cast("string").alias("error"),
+    )
+
+
+def finish_run(runs: DataFrame, run: Column, finished_at: Column, status: str = "ok", error: str | None = None) -> DataFrame:
+    """The next snapshot of runs, in which one has ended."""
+    own = F.col("id") == run
+    ended = {"finished_at": finished_at, "status": F.lit(status), "error": F.lit(error).cast("string")}
+    return runs.withColumns({c: F.when(own, v).otherwise(F.col(c)) for c, v in ended.items()})
+
+
+# Columns of a cached attachment that a later fetch without them leaves as they are.
+CACHE_STICKY = ("text_path", "text_chars", "summary_json", "summary_cached_at", "requirements_json", "summary_model", "structured_summary_json", "source_sections_json", "selected_chunks_json")
+
+
+def upsert_cache(stored: DataFrame, incoming: DataFrame) -> DataFrame:
+    """The next snapshot of the attachment cache, by fingerprint: what was derived from a file stays until something new is known."""
+    return upsert(stored, incoming, "fingerprint", keep_old_if_null=[c for c in CACHE_STICKY if c in stored.columns])
+
+
+def put_payload(stored: DataFrame, payloads: DataFrame, key: str, payload: str = "payload") -> DataFrame:
+    """stored with the payload of known keys replaced; unknown keys add nothing."""
+    new = payloads.select(F.col(key).alias("__key"), F.col(payload).alias("__new"))
+    out = stored.join(new, F.col(key) == F.col("__key"), "left")
+    return out.withColumn(payload, F.when(F.col("__key").isNotNull(), F.col("__new")).otherwise(F.col(payload))).drop("__key", "__new")
+
+
+def migrate(df: DataFrame, applied: Sequence[int], steps: dict[int, Callable[[DataFrame], DataFrame]]) -> tuple[DataFrame, list[int]]:
+    """df after the steps not yet applied, by number, and the numbers of those. Steps run once each, in order."""
+    due = [v for v in sorted(steps) if v not in set(applied)]
+    for v in due:
+        df = steps[v](df)
+    return df, due
+
+
+#: The cache's steps: version 1 is the table as it began.
+CACHE_STEPS: dict[int, Callable[[DataFrame], DataFrame]] = {
+    2: lambda d: d.withColumns({c: F.lit(None).cast("string") for c in CACHE_STICKY[:6] if c not in d.columns}),
+    3: lambda d: d.withColumns({c: F.lit(None).cast("string") for c in CACHE_STICKY[6:] if c not in d.columns}),
+}
+
+
+def count_usage(usage: DataFrame, calls: DataFrame, day: str = "day", count: str = "count") -> DataFrame:
+    """The next snapshot of daily counters: calls (one row each, with a day) added to what is stored."""
+    more = calls.groupBy(day).agg(F.count("*").alias(count))
+    return usage.select(day, count).unionByName(more).groupBy(day).agg(F.sum(count).alias(count))
+
+
+def left_today(usage: DataFrame, today: Column, most: int) -> DataFrame:
+    """One row: what is left of a day's calls."""
+    spent = F.coalesce(F.sum(F.when(F.col("day") == today, F.col("count"))), F.lit(0))
+    return usage.agg(F.greatest(F.lit(0).cast("long"), (F.lit(most) - spent).cast("long")).alias("left"))
+
+
+def put_marks(marks: DataFrame, edits: DataFrame, key: str = "uid") -> DataFrame:
+    """The next snapshot of review marks (key, status, note): edits have one row for each key, in which null leaves a field as it is
+    and a blank note takes the note away; a key without status and note is gone."""
+    n, o = edits.alias("n"), marks.alias("o")
+    both = o.join(n, F.col(f"o.{key}") == F.col(f"n.{key}"), "full")
+    note = F.when(F.col("n.note").isNull(), F.col("o.note")).otherwise(F.nullif(F.trim(F.col("n.note")), F.lit("")))
+    out = both.select(F.coalesce(f"o.{key}", f"n.{key}").alias(key), F.coalesce("n.status", "o.status").alias("status"), note.alias("note"))
+    return out.filter("status IS NOT NULL OR note IS NOT NULL")

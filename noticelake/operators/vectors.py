@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import cosine, norm
-from ..functions.text import blank, let
+from ..functions.text import blank, let, soft_normalize
 
 #: Buckets beyond which best_bucket refuses to broadcast.
 MOST_BUCKETS = 1000
@@ -90,3 +90,10 @@ def best_keywords(text: Column, buckets: dict[str, list[str]]) -> Column:
 def unit(vector: Column) -> Column:
     length = norm(vector)
     return F.when(length > 0, F.transform(vector, lambda x: x / length)).otherwise(vector)
+
+
+def bucket_text(name: Column, description: Column, keywords: Column, prototypes: Column) -> Column:
+    """What is embedded of a bucket: all it says, normalised."""
+    words = lambda x: F.array_join(F.coalesce(x, F.array().cast("array<string>")), " ")
+    part = lambda x: F.nullif(x, F.lit(""))
+    return soft_normalize(F.concat_ws(" ", part(name), part(description), part(words(keywords)), part(words(prototypes))))

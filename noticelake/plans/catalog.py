@@ -696,4 +696,4 @@ def any_signal(spark, sf_dir):
     return e.select("event_id", numbers.any_signal(F.col("m")).alias("signal"))
 
 
-from . import digest  # noqa: E402, F401  registers its queries
+from . import digest, records  # noqa: E402, F401  register their queries

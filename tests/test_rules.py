@@ -64,8 +64,9 @@ def test_notice_normalisation(spark):
 
 
 def test_briefs(spark):
-    reply = 'Sure: {"category": "erp upgrade", "fit": "Strong", "requirements": ["provide S/4HANA", "cook lunch", "train users"], "summary": "Short"} done'
+    reply = 'Sure: {"opportunity_category": "erp upgrade", "SAP_solution_fit": {"fit": "Strong", "notes": ["x"]}, "stakeholder_entities": {"buyer_org": "City", "other_entities": ["A", "City", "A"]}, "timeline": {"milestones": ["m"]}, "key_requirements": ["provide S/4HANA", "cook lunch", "train users"], "recommended_next_step": "Decide"} done'
     d = spark.createDataFrame([(reply, "The supplier must provide S/4HANA and train users.", True), ("no json", "text", False)], "reply string, text string, hint boolean")
     a, b = briefs.normalize_brief(d, "reply", "text", F.col("hint")).select("brief.*").collect()
     assert (a["category"], a["fit"], a["confidence"], a["requirements"]) == ("ERP modernization", "strong", "medium", ["provide S/4HANA", "train users"])
+    assert (a["summary"], a["stakeholders"]["other_entities"], a["fit_notes"]) == ("City: ERP modernization opportunity (SAP fit: strong). Key needs: provide S/4HANA, train users. Next: Decide. Confidence: medium.", ["A"], ["x"])
     assert (b["fit"], b["confidence"], b["requirements"]) == ("unknown", "low", [])
