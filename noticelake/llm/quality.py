@@ -130,7 +130,7 @@ def quality_rules(docs: DataFrame, host: str = "source", least_docs: int = 20, s
 
 def without_lines(batch: pa.RecordBatch) -> pa.RecordBatch:
     out = []
-    for text, gone in zip(batch.column("text"), batch.column("removed_lines")):
+    for text, gone in zip(batch.column("text"), batch.column("__removed")):
         text, gone = text.as_py(), set(gone.as_py() or ())
         if gone and text is not None:
             keep = []
@@ -150,7 +150,7 @@ def apply_quality(docs: DataFrame, verdicts: DataFrame, host: str = "source", mo
     Only documents with something to do are looked up. That list is broadcast if it has at most `most_broadcast` rows
     (counted first), and joined by shuffle beyond.
     """
-    todo = verdicts.filter(~F.col("kept") | (F.col("n_removed_words") > 0)).select("doc_id", "text_key", F.col("host"), F.col("kept").alias("__kept"), F.when(F.col("kept"), F.col("removed_lines")).alias("removed_lines")).dropDuplicates(["doc_id", "text_key", "host"])
+    todo = verdicts.filter(~F.col("kept") | (F.col("n_removed_words") > 0)).select("doc_id", "text_key", F.col("host"), F.col("kept").alias("__kept"), F.when(F.col("kept"), F.col("removed_lines")).alias("__removed")).dropDuplicates(["doc_id", "text_key", "host"])
     todo = materialize(todo, "quality-todo")
     if small_enough(todo, most_broadcast):
         todo = F.broadcast(todo)
@@ -158,10 +158,6 @@ def apply_quality(docs: DataFrame, verdicts: DataFrame, host: str = "source", mo
     keyed = docs.withColumns({"__doc": F.col("doc_id").cast("long"), "__key": text_key(F.col("text")), "__host": F.col(host).cast("string")})
     todo = todo.withColumnsRenamed({"doc_id": "__r1", "text_key": "__r2", "host": "__r3"})
     met = keyed["__doc"].eqNullSafe(todo["__r1"]) & (keyed["__key"] == todo["__r2"]) & keyed["__host"].eqNullSafe(todo["__r3"])
-    kept = keyed.join(todo, met, "left").filter(F.coalesce("__kept", F.lit(True))).select(*names, "removed_lines")
-    cleaned = arrow_map(kept, without_lines, kept.schema).drop("removed_lines")
+    kept = keyed.join(todo, met, "left").filter(F.coalesce("__kept", F.lit(True))).select(*names, "__removed")
+    cleaned = arrow_map(kept, without_lines, kept.schema).drop("__removed")
     return cleaned.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else cleaned
-
-
-
-
