@@ -22,6 +22,13 @@ def best_url(english: Column, french: Column, attachments: Column) -> Column:
     return first_nonempty(english, french, linked)
 
 
+def recoded(pair: Column) -> Column:
+    """A query's name or value pair written in one way: what is encoded needlessly, or otherwise than usual, comes out alike."""
+    part = lambda p: F.replace(F.replace(F.url_encode(F.coalesce(F.try_url_decode(p), p)), F.lit("%7E"), F.lit("~")), F.lit("*"), F.lit("%2A"))
+    at = F.instr(pair, "=")
+    return F.when(pair.rlike("[^A-Za-z0-9=._~-]"), F.concat(part(F.substring(pair, F.lit(1), at - 1)), F.lit("="), part(F.substring(pair, at + 1, F.length(pair))))).otherwise(pair)
+
+
 def normalize_url(x: Column) -> Column:
     """Lower-case scheme (http if none) and host, port kept, query parts in order, no fragment or user."""
     whole = F.when(x.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), x).otherwise(F.concat(F.lit("http://"), F.regexp_replace(x, "^//", "")))
@@ -29,7 +36,7 @@ def normalize_url(x: Column) -> Column:
     host = F.lower(F.regexp_replace(F.regexp_extract(whole, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1), "^.*@", ""))
     path = F.regexp_extract(whole, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
     query = F.regexp_extract(whole, r"^[^?#]*\?([^#]*)", 1)
-    pairs = F.array_sort(F.filter(F.split(query, "&"), lambda p: p.rlike("=.")))
+    pairs = F.array_sort(F.transform(F.filter(F.split(query, "&"), lambda p: p.rlike("=.")), recoded))
     return F.concat(scheme, F.lit("://"), host, path, F.when(F.size(pairs) > 0, F.concat(F.lit("?"), F.array_join(pairs, "&"))).otherwise(F.lit("")))
 
 

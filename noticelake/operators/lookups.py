@@ -43,9 +43,9 @@ def first_key_lookup(items: DataFrame, cache: DataFrame, candidates: Sequence[st
     return out.select(*items.columns, F.coalesce(*found).alias(value))
 
 
-def rows_with_text(cache: DataFrame, least_chars: int, most: int) -> DataFrame:
+def rows_with_text(cache: DataFrame, least_chars: int, most: int, tie: str = "fingerprint") -> DataFrame:
     """A sample of the newest cache rows with a text of some length."""
-    return cache.filter(F.col("text_path").isNotNull() & (F.coalesce("text_chars", F.lit(0)) >= least_chars)).orderBy(F.col("fetched_at").desc_nulls_last()).limit(most)
+    return cache.filter(F.col("text_path").isNotNull() & (F.coalesce("text_chars", F.lit(0)) >= least_chars)).orderBy(F.col("fetched_at").desc_nulls_last(), tie).limit(most)
 
 
 def random_rows(df: DataFrame, key: str, most: int, seed: int = 0) -> DataFrame:

@@ -442,6 +442,22 @@ def evidence_span(spark, sf_dir):
     return items(spark, sf_dir).join(d, "doc_id", "left").select("doc_id", "pos", requirements.has_evidence(F.col("item"), F.col("text")).alias("supported"))
 
 
+@query(rf"""WITH {ITEMS}, w AS (SELECT *, length(item) AS n, regexp_extract_all(item, '[A-Za-z0-9]+') AS words FROM i),
+r AS (SELECT *, CASE WHEN n < 8 OR (len(words) <= 2 AND n < 18) THEN NOT (regexp_matches(lower(item), '{requirements.STANDARDS}') OR lower(item) IN ({NAMES}) OR (contains(item, '/') AND n <= 12) OR regexp_matches(item, '^[A-Z0-9/\\-]{{2,10}}$'))
+  ELSE len(words) <= 4 AND len(list_filter(words, lambda x: x = upper(x) AND x <> lower(x))) / greatest(len(words), 1) >= 0.6 END AS low FROM w),
+s AS (SELECT *, low OR k IN ({BOILER}) OR k = '' OR regexp_matches(k, '^(?:{STARTS})') AS boiler FROM r), q AS (SELECT *, CASE WHEN doc_id % 2 = 0 THEN true ELSE false END AS same FROM s),
+a AS (SELECT doc_id, item, pos, row_number() OVER (PARTITION BY doc_id, k ORDER BY pos) AS f FROM q WHERE NOT boiler AND same), b AS (SELECT doc_id, item, pos, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS m FROM a WHERE f = 1),
+c AS (SELECT doc_id, item, pos, row_number() OVER (PARTITION BY doc_id, k ORDER BY pos) AS f FROM q WHERE NOT boiler AND NOT (n < 6 OR (len(words) <= 2 AND n < 18))), d AS (SELECT doc_id, item, pos, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS m FROM c WHERE f = 1)
+SELECT o.doc_id, coalesce((SELECT string_agg(item, '|' ORDER BY pos) FROM b WHERE b.doc_id = o.doc_id AND m <= 8), '') AS requirements, coalesce((SELECT string_agg(item, '|' ORDER BY pos) FROM d WHERE d.doc_id = o.doc_id AND m <= 6), '') AS risks FROM (SELECT DISTINCT doc_id FROM i) o""")
+def cleaned_summaries(spark, sf_dir):
+    """Lines as items of a summary, the text (or none) as evidence."""
+    listed = items(spark, sf_dir).groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "item"))), lambda x: x["item"]).alias("requirements"))
+    d = listed.join(table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.col("text")).otherwise("").alias("evidence")), "doc_id")
+    none = F.array().cast("array<string>")
+    out = requirements.clean_summary(d.withColumns({"dates": none, "key_risks": F.col("requirements"), "attachments_used": none}))
+    return out.select("doc_id", F.array_join("requirements", "|").alias("requirements"), F.array_join("key_risks", "|").alias("risks"))
+
+
 @query(f"""WITH {ITEMS}, f AS (SELECT *, row_number() OVER (PARTITION BY doc_id, k ORDER BY pos) AS n FROM i WHERE k <> ''), g AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS m FROM f WHERE n = 1)
 SELECT doc_id, string_agg(item, '|' ORDER BY pos) AS items FROM g WHERE m <= 6 GROUP BY doc_id""")
 def merge_requirements(spark, sf_dir):
@@ -570,15 +586,22 @@ def digest_rows(spark, sf_dir):
 # ---- streaming, over the same operators ----
 
 
+def streamed(spark: SparkSession, sf_dir: str, windows) -> DataFrame:
+    """events read as a stream, counted by windows until all of it is read."""
+    stream = spark.readStream.schema(spark.read.parquet(f"{sf_dir}/events.parquet").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    folder = streaming.work_folder(spark)
+    return streaming.run_complete(windows(stream), streaming.SnapshotTable(spark, f"{folder}/windows"), f"{folder}/checkpoint")
+
+
 @query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2")
 def stream_tumbling(spark, sf_dir):
-    return streaming.tumbling_counts(table(spark, sf_dir, "events"))
+    return streamed(spark, sf_dir, streaming.tumbling_counts)
 
 
 @query("""WITH g AS (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS opens FROM events), s AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS sid FROM g)
 SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 6 HOUR AS session_end, count(*) AS n FROM s GROUP BY user_id, sid""")
 def stream_session(spark, sf_dir):
-    return streaming.session_counts(table(spark, sf_dir, "events"))
+    return streamed(spark, sf_dir, streaming.session_counts)
 
 
 @query("WITH v AS (SELECT o_custkey AS key, o_orderdate AS seen_at, o_orderkey AS amendment FROM orders) SELECT key, arg_max(seen_at, (seen_at, amendment)) AS seen_at, arg_max(amendment, (seen_at, amendment)) AS amendment FROM v GROUP BY key")
@@ -590,6 +613,20 @@ def stream_upsert(spark, sf_dir):
     return streaming.upsert_stream(stream, streaming.SnapshotTable(spark, f"{folder}/state"), "key", [F.col("seen_at").desc(), F.col("amendment").desc()], f"{folder}/checkpoint", greatest=["amendment"])
 
 
+@query(f"""WITH {SPLIT}, f AS (SELECT key, seen_at, version, attachment_hash FROM old) SELECT 0::BIGINT AS batch, key, 'new' AS events FROM f UNION ALL
+SELECT 1, n.key, array_to_string(list_filter([CASE WHEN o.key IS NULL THEN 'new' END, CASE WHEN o.key IS NOT NULL AND n.version > o.version THEN 'amendment' END, CASE WHEN o.key IS NOT NULL AND n.seen_at <> o.seen_at THEN 'close_date_changed' END,
+  CASE WHEN o.key IS NOT NULL AND n.attachment_hash <> o.attachment_hash THEN 'new_attachment' END], lambda x: x IS NOT NULL), ',') FROM new n LEFT JOIN old o ON n.key = o.key""")
+def stream_changes(spark, sf_dir):
+    """Orders in two batches, before and after a day: what each changes in the state of the one before."""
+    folder, cut = streaming.work_folder(spark), F.lit(CUT).cast("timestamp")
+    v = versions(spark, sf_dir).select("key", F.col("version").alias("amendment"), F.col("seen_at").alias("close_date"), "attachment_hash")
+    for part in (F.col("close_date") < cut, F.col("close_date") >= cut):
+        v.filter(part).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stream = spark.readStream.schema(v.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    found = streaming.diff_stream(stream, streaming.SnapshotTable(spark, f"{folder}/state"), "key", [F.col("close_date").desc(), F.col("amendment").desc()], f"{folder}/checkpoint", f"{folder}/events", greatest=["amendment"])
+    return found.select("batch", "key", F.array_join("events", ",").alias("events"))
+
+
 # ---- more functions and lookups ----
 
 

@@ -91,10 +91,10 @@ def review_notes(spark, sf_dir):
     return state.put_marks(marks, edits)
 
 
-@query("SELECT doc_id, n_chars FROM documents WHERE n_chars >= 1500 AND lang <> 'de' ORDER BY n_chars DESC LIMIT 40")
+@query("SELECT doc_id, n_chars FROM documents WHERE n_chars >= 1500 AND lang <> 'de' ORDER BY n_chars DESC, doc_id LIMIT 40")
 def cache_samples(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "n_chars", F.when(F.col("lang") != "de", "x").alias("text_path"), F.col("n_chars").alias("text_chars"), F.col("n_chars").alias("fetched_at"))
-    return lookups.rows_with_text(d, 1500, 40).select("doc_id", "n_chars")
+    return lookups.rows_with_text(d, 1500, 40, "doc_id").select("doc_id", "n_chars")
 
 
 @query("SELECT doc_id FROM documents WHERE n_chars >= 100 ORDER BY md5('7:' || doc_id), doc_id LIMIT 20")
@@ -252,7 +252,7 @@ def structured_summaries(spark, sf_dir):
     d = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")).withColumn("attachment", said("a", k)).withColumn("evidence", F.when(k % 3 == 0, said("we provide hosting ", k)).otherwise(""))
     d = d.withColumn("evidence", F.when(k % 2 == 0, F.concat("evidence", F.lit(" until 2026-01-30"))).otherwise(F.col("evidence"))).withColumn("evidence", F.when(k % 3 == 0, F.col("evidence")).otherwise(""))
     hosting = said("Provide hosting ", k)
-    d = d.withColumn("scope", F.array(item(hosting, given), item(F.lit("TOC")), item(F.concat(F.lit(" "), F.upper(hosting))), item(F.lit("Encrypt all backups")))).withColumn("schedule", F.array(item(F.lit("soon")), item(F.when(k % 2 == 0, "Closing 2026-01-30").otherwise("late"))))
+    d = d.withColumn("scope", F.array(item(hosting, given), item(F.lit("hosting")), item(F.concat(F.lit(" "), F.upper(hosting))), item(F.lit("Encrypt all backups")))).withColumn("schedule", F.array(item(F.lit("soon")), item(F.when(k % 2 == 0, "Closing 2026-01-30").otherwise("late"))))
     out = requirements.clean_structured(d, "attachment")
     cited = F.get(F.get("scope", F.lit(0))["citations"], F.lit(0))
     told = F.concat(cited["attachment_id"], F.lit("/"), cited["section_heading"], F.lit("/"), F.coalesce(cited["page"].cast("string"), F.lit("null")), F.lit("/"), F.coalesce(F.array_join(cited["offsets"].cast("array<string>"), "-"), F.lit("null")))

@@ -6,16 +6,57 @@ import csv
 import io
 import re
 import zipfile
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
+from datetime import datetime, timedelta
+from html.entities import name2codepoint
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Caps of text extraction, by file.
-MAX_BYTES, MAX_MEMBERS, MAX_ROWS, MAX_COLUMNS, MAX_CHARS = 50_000_000, 10, 2000, 50, 400_000
+from ..operators.documents import normalize_extracted
+
+
+
+@dataclass
+class Limits:
+    """How much of a file is read, None for all of it. Texts that a limit has cut are flagged as truncated."""
+
+    max_bytes: int | None = 50_000_000
+    max_members: int | None = 10
+    max_tables: int | None = 50
+    max_sheets: int | None = 20
+    max_rows: int | None = 2000
+    max_columns: int | None = 50
+    max_chars: int | None = 400_000
+
+
+#: Nothing is cut.
+WHOLE = Limits(*[None] * 7)
+
+
+class Reading:
+    """What a file is read with: its limits, and whether one has cut something."""
+
+    def __init__(self, limits: Limits):
+        self.limits, self.truncated = limits, False
+
+    def first(self, values: list, most: int | None) -> list:
+        if most is not None and len(values) > most:
+            self.truncated = True
+            return values[:most]
+        return values
+
+    def text(self, parts: list[str], by: str = "\n") -> str:
+        whole, most = by.join(parts), self.limits.max_chars
+        if most is not None and len(whole) > most:
+            self.truncated = True
+            return whole[:most]
+        return whole
 
 
 def read_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
@@ -34,7 +75,7 @@ def read_zipped_csv(spark: SparkSession, path: str, columns: list[str]) -> DataF
         for frame in frames:
             for content in frame["content"]:
                 with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    member = next((n for n in sorted(z.namelist()) if n.lower().endswith(".csv")), None)
+                    member = next((n for n in z.namelist() if n.lower().endswith(".csv")), None)
                     if member is None:
                         continue
                     rows = csv.DictReader(io.TextIOWrapper(z.open(member), "utf-8-sig", errors="replace", newline=""))
@@ -66,12 +107,26 @@ def read_report(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("multiLine", True).json(path)
 
 
+LEVEL = r"\b(DEBUG|INFO|WARNING|ERROR|CRITICAL)\b"
+
+
+def log_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line_no, level, line) of log files, numbered from 1 in each file. A file is one row until it is cut into lines."""
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split(F.regexp_replace("value", r"\n$", ""), "\n")).alias("at", "line"))
+    return whole.select("file", (F.col("at") + 1).alias("line_no"), F.regexp_extract("line", LEVEL, 1).alias("level"), "line")
+
+
 def log_tail(spark: SparkSession, path: str, level: str | None = None, most: int = 200) -> DataFrame:
-    """(line_no, level, line): the last lines, of one level if given."""
-    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("line_no"), F.col("value").alias("line")).withColumn("level", F.regexp_extract("line", r"\b(DEBUG|INFO|WARNING|ERROR|CRITICAL)\b", 1))
+    """(line_no, level, line): the last lines of a file, of one level if given."""
+    lines = log_lines(spark, path)
     if level:
         lines = lines.filter(F.col("level") == level)
-    return lines.orderBy(F.col("line_no").desc()).limit(most).orderBy("line_no").select("line_no", "level", "line")
+    return lines.orderBy(F.col("file").desc(), F.col("line_no").desc()).limit(most).orderBy("file", "line_no").select("line_no", "level", "line")
+
+
+def count_errors(spark: SparkSession, path: str) -> DataFrame:
+    """(file, errors) of each log file."""
+    return log_lines(spark, path).groupBy("file").agg(F.count_if(F.col("level") == "ERROR").alias("errors"))
 
 
 def resource_choice(resources: DataFrame, preferred: str = "open") -> DataFrame:
@@ -85,26 +140,26 @@ def resource_choice(resources: DataFrame, preferred: str = "open") -> DataFrame:
     return resources.filter(fits).withColumn("score", score).orderBy(F.col("score").desc(), "position").limit(1)
 
 
-def decode_text(data: bytes) -> str:
-    for encoding in ("utf-8", "utf-16"):
+def decode_text(data: bytes, reading: Reading) -> str:
+    for encoding in ("utf-8", "utf-16", "latin-1"):
         try:
-            return data.decode(encoding)
+            return reading.text([data.decode(encoding)])
         except UnicodeDecodeError:
             continue
-    return data.decode("latin-1")
+    return ""
 
 
-def docx_text(data: bytes) -> str:
+def docx_text(data: bytes, reading: Reading) -> str:
     """Paragraphs, then tables as CSV blocks."""
-    space = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+    space, limits = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}", reading.limits
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         body = ElementTree.fromstring(z.read("word/document.xml")).find(f"{space}body")
     text = lambda e: "".join(t.text or "" for t in e.iter(f"{space}t"))
     out = [text(p) for p in body.findall(f"{space}p") if text(p).strip()]
-    for k, table in enumerate(body.findall(f"{space}tbl"), 1):
+    for k, table in enumerate(reading.first(body.findall(f"{space}tbl"), limits.max_tables), 1):
         out.append(f"TABLE {k}")
-        out += [csv_line([text(c) for c in row.findall(f"{space}tc")][:MAX_COLUMNS]) for row in table.findall(f"{space}tr")[:MAX_ROWS]]
-    return "\n".join(out)[:MAX_CHARS]
+        out += [csv_line(reading.first([text(c) for c in row.findall(f"{space}tc")], limits.max_columns)) for row in reading.first(table.findall(f"{space}tr"), limits.max_rows)]
+    return reading.text(out)
 
 
 def csv_line(cells: list[str]) -> str:
@@ -113,51 +168,94 @@ def csv_line(cells: list[str]) -> str:
     return out.getvalue()
 
 
-def xlsx_text(data: bytes) -> str:
-    """Each sheet as a CSV block under its name."""
-    main, rel = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}", "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
+MAIN, REL = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}", "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
+#: Numbers of built-in formats that show days or times.
+DATE_FORMATS = {*range(14, 23), *range(27, 37), *range(45, 48), *range(50, 59)}
+
+
+def date_styles(z: zipfile.ZipFile) -> set[int]:
+    """Which styles of a workbook show dates."""
+    if "xl/styles.xml" not in z.namelist():
+        return set()
+    root = ElementTree.fromstring(z.read("xl/styles.xml"))
+    own = {int(f.get("numFmtId")) for f in root.iter(f"{MAIN}numFmt") if re.search("[dmyhs]", re.sub(r'"[^"]*"|\[[^\]]*\]', "", f.get("formatCode") or ""), re.I)}
+    return {k for k, x in enumerate(root.findall(f"{MAIN}cellXfs/{MAIN}xf")) if int(x.get("numFmtId") or 0) in DATE_FORMATS | own}
+
+
+def cell_text(c, strings: list[str], dates: set[int]) -> str:
+    value = c.find(f"{MAIN}v")
+    if c.get("t") == "s" and value is not None:
+        return strings[int(value.text)]
+    if value is not None and value.text and c.get("t") in (None, "n") and int(c.get("s") or 0) in dates:
+        at = datetime(1899, 12, 30) + timedelta(days=float(value.text))
+        return at.strftime("%Y-%m-%d" if at.time() == at.min.time() else "%Y-%m-%d %H:%M:%S")
+    return "".join(t.text or "" for t in c.iter(f"{MAIN}t")) or (value.text if value is not None else "") or ""
+
+
+def xlsx_sheets(data: bytes, reading: Reading) -> list[tuple[str, list[list[str]]]]:
+    """(name, rows of cells) of each sheet; days and times as they are shown, not as numbers."""
+    limits, out = reading.limits, []
     with zipfile.ZipFile(io.BytesIO(data)) as z:
-        names = set(z.namelist())
-        strings = ["".join(t.text or "" for t in s.iter(f"{main}t")) for s in ElementTree.fromstring(z.read("xl/sharedStrings.xml"))] if "xl/sharedStrings.xml" in names else []
+        names, dates = set(z.namelist()), date_styles(z)
+        strings = ["".join(t.text or "" for t in s.iter(f"{MAIN}t")) for s in ElementTree.fromstring(z.read("xl/sharedStrings.xml"))] if "xl/sharedStrings.xml" in names else []
         targets = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
-        out = []
-        for sheet in ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{main}sheet"):
-            target = targets[sheet.get(f"{rel}id")].lstrip("/")
-            out.append(f"SHEET: {sheet.get('name')}")
-            root = ElementTree.fromstring(z.read(target if target.startswith("xl/") else f"xl/{target}"))
-            for row in list(root.iter(f"{main}row"))[:MAX_ROWS]:
+        for sheet in reading.first(list(ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{MAIN}sheet")), limits.max_sheets):
+            target = targets[sheet.get(f"{REL}id")].lstrip("/")
+            root, rows = ElementTree.fromstring(z.read(target if target.startswith("xl/") else f"xl/{target}")), []
+            for row in reading.first(list(root.iter(f"{MAIN}row")), limits.max_rows):
                 cells: dict[int, str] = {}
-                for c in row.findall(f"{main}c"):
+                for c in row.findall(f"{MAIN}c"):
                     at = 0
                     for letter in re.match("[A-Z]*", c.get("r") or "")[0]:
                         at = at * 26 + ord(letter) - 64
-                    value = c.find(f"{main}v")
-                    inline = "".join(t.text or "" for t in c.iter(f"{main}t"))
-                    cells[at or len(cells) + 1] = strings[int(value.text)] if c.get("t") == "s" and value is not None else inline or (value.text if value is not None else "") or ""
-                width = min(max(cells, default=0), MAX_COLUMNS)
-                out.append(csv_line([cells.get(i, "") for i in range(1, width + 1)]))
-    return "\n".join(out)[:MAX_CHARS]
+                    cells[at or len(cells) + 1] = cell_text(c, strings, dates)
+                rows.append(reading.first([cells.get(i, "") for i in range(1, max(cells, default=0) + 1)], limits.max_columns))
+            out.append((sheet.get("name"), rows))
+    return out
+
+
+def xlsx_text(data: bytes, reading: Reading) -> str:
+    """Each sheet as a CSV block under its name."""
+    out: list[str] = []
+    for name, rows in xlsx_sheets(data, reading):
+        out += [f"SHEET: {name}", *map(csv_line, rows)]
+    return reading.text(out)
 
 
-def zip_text(data: bytes) -> str:
-    """Supported members, at most MAX_MEMBERS and MAX_BYTES in all, under their names."""
-    out, total = [], 0
+def sheet_hints(text: str, most: int = 5) -> list[str]:
+    """Names of the first sheets of a workbook's text, for prompts and memos."""
+    return [f"Sheet: {line[7:]}" for line in text.split("\n") if line.startswith("SHEET: ")][:most]
+
+
+def zip_text(data: bytes, reading: Reading) -> str:
+    """Supported members under their names."""
+    out, total, limits = [], 0, reading.limits
     with zipfile.ZipFile(io.BytesIO(data)) as z:
-        for info in [i for i in z.infolist() if suffix(i.filename) in READERS and suffix(i.filename) != "zip"][:MAX_MEMBERS]:
+        for info in reading.first([i for i in z.infolist() if suffix(i.filename) in READERS and suffix(i.filename) != "zip"], limits.max_members):
             total += info.file_size
-            if total > MAX_BYTES:
+            if limits.max_bytes is not None and total > limits.max_bytes:
+                reading.truncated = True
                 break
-            out += [f"FILE: {info.filename}", READERS[suffix(info.filename)](z.read(info))]
-    return "\n".join(out)[:MAX_CHARS]
+            out += [f"FILE: {info.filename}", READERS[suffix(info.filename)](z.read(info), reading)]
+    return reading.text(out)
+
+
+def without_repeats(pages: list[str]) -> str:
+    """Pages without the lines that stand in them twice or more; one page as it is. (Of a table of pages: documents.strip_page_lines.)"""
+    if len(pages) < 2:
+        return "\n".join(pages).strip()
+    lines = [[x.strip() for x in p.splitlines() if x.strip()] for p in pages]
+    often = {x for x, n in Counter(x for p in lines for x in p).items() if n > 1}
+    return "\n\n".join(t for p in lines if (t := "\n".join(x for x in p if x not in often)))
 
 
-def pdf_text(data: bytes) -> str:
-    """Text of a PDF, if a reader is installed; else empty (needs_ocr then says so)."""
+def pdf_text(data: bytes, reading: Reading) -> str:
+    """Text of a PDF by page, repeated lines out, if a reader is installed; else empty (needs_ocr then says so)."""
     try:
         from pypdf import PdfReader
     except ImportError:
         return ""
-    return "\n".join(p.extract_text() or "" for p in PdfReader(io.BytesIO(data)).pages)[:MAX_CHARS]
+    return reading.text([without_repeats([p.extract_text() or "" for p in PdfReader(io.BytesIO(data)).pages])])
 
 
 READERS = {"txt": decode_text, "csv": decode_text, "docx": docx_text, "xlsx": xlsx_text, "zip": zip_text, "pdf": pdf_text}
@@ -167,29 +265,47 @@ def suffix(name: str) -> str:
     return name.rsplit(".", 1)[-1].lower() if "." in name else ""
 
 
-def extract(content: bytes | None, name: str) -> tuple[str, str | None]:
-    """Text and error of a file; a bad file is no failure of the job."""
-    reader = READERS.get(suffix(name))
+def extract(content: bytes | None, name: str, limits: Limits | None = None) -> tuple[str, str | None, bool]:
+    """Text and error of a file, and whether a limit has cut it; a bad file is no failure of the job."""
+    reading = Reading(limits or Limits())
+    reader, most = READERS.get(suffix(name)), reading.limits.max_bytes
     if reader is None:
-        return "", "unsupported"
-    if content is None or len(content) > MAX_BYTES:
-        return "", "too large"
+        return "", "unsupported", False
+    if content is None or (most is not None and len(content) > most):
+        return "", "too large", False
     try:
-        return reader(content), None
+        return reader(content, reading), None, reading.truncated
     except Exception as error:  # a damaged file says so in its row
-        return "", f"{type(error).__name__}: {error}"
+        return "", f"{type(error).__name__}: {error}", False
 
 
-def extract_files(files: DataFrame, least_pdf_chars: int = 50) -> DataFrame:
-    """(path, text, error, needs_ocr) from binary files; the type goes by suffix. One file is in memory at a time."""
+def extract_files(files: DataFrame, least_pdf_chars: int = 50, limits: Limits | None = None) -> DataFrame:
+    """(path, text, error, needs_ocr, truncated) from binary files; the type goes by suffix. One file is in memory at a time."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for path, content in zip(frame["path"], frame["content"]):
-                text, error = extract(content, path)
-                yield pd.DataFrame([[path, text, error, suffix(path) == "pdf" and len(text) < least_pdf_chars]], columns=["path", "text", "error", "needs_ocr"])
+                text, error, cut = extract(content, path, limits)
+                yield pd.DataFrame([[path, text, error, suffix(path) == "pdf" and len(text) < least_pdf_chars, cut]], columns=["path", "text", "error", "needs_ocr", "truncated"])
+
+    return files.select("path", "content").mapInPandas(run, "path string, text string, error string, needs_ocr boolean, truncated boolean")
+
+
+def extracted_texts(files: DataFrame, limits: Limits | None = None) -> DataFrame:
+    """As extract_files, with the texts normalised: lines trimmed, repeated ones out, wrongly read characters repaired."""
+    found = extract_files(files, limits=limits)
+    return found.drop("text").join(normalize_extracted(found, "path"), "path")
+
 
-    return files.select("path", "content").mapInPandas(run, "path string, text string, error string, needs_ocr boolean")
+def decoded_entities(text: Column) -> Column:
+    """Named and numbered character references decoded, each distinct one of a text once; `&amp;` last."""
+    known = F.create_map(*[F.lit(x) for name, code in name2codepoint.items() if name != "amp" for x in (f"&{name};", " " if name == "nbsp" else chr(code))])
+    number = lambda e: F.when(e.rlike("^&#[xX]"), F.conv(F.regexp_extract(e, "([0-9A-Fa-f]+);", 1), 16, 10)).otherwise(F.regexp_extract(e, "([0-9]+);", 1)).cast("long")
+    char = lambda e: F.when(number(e).between(1, 0x10FFFF), F.decode(F.unhex(F.lpad(F.hex(number(e)), 8, "0")), "UTF-32"))
+    value = lambda e: F.coalesce(F.when(e.startswith("&#"), char(e)).otherwise(F.element_at(known, e)), e)
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit("(&(?:[A-Za-z]+[0-9]*|#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6});)"), F.lit(1)))
+    out = F.aggregate(found, text, lambda t, e: F.replace(t, e, value(e)))
+    return F.when(F.contains(text, F.lit("&")), F.replace(out, F.lit("&amp;"), F.lit("&"))).otherwise(text)
 
 
 def html_text(df: DataFrame, html: str = "html") -> DataFrame:
@@ -197,7 +313,6 @@ def html_text(df: DataFrame, html: str = "html") -> DataFrame:
     body = F.regexp_replace(F.coalesce(F.col(html), F.lit("")), r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", " ")
     text = F.regexp_replace(body, r"(?is)</?(?:p|br|div|li|h[1-6]|tr|article|nav|section)\b[^>]*>", "\n")
     text = F.regexp_replace(text, r"(?s)<[^>]+>", "")
-    for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        text = F.replace(text, F.lit(entity), F.lit(char))
+    text = decoded_entities(text)
     text = F.trim(F.regexp_replace(F.regexp_replace(text, "[ \t]+", " "), r"\s*\n\s*", "\n"))
     return df.withColumns({"title": F.trim(F.regexp_extract(F.coalesce(F.col(html), F.lit("")), r"(?is)<title[^>]*>(.*?)</title>", 1)), "text": F.regexp_replace(text, r"^\n+|\n+$", "")})

@@ -8,17 +8,19 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.state import latest_per_key, upsert
+from ..operators.state import changes, latest_per_key, upsert
 
 
 class SnapshotTable:
-    """A keyed state table as one Parquet snapshot for each batch.
+    """A keyed state table as one Parquet snapshot for each batch, of which the last `keep` stay.
 
-    A batch that runs again after a failure starts from the snapshot before it, so replays change nothing.
+    A batch that runs again after a failure starts from the snapshot before it, so replays change nothing. Each batch rewrites the
+    snapshot: one shuffle of the state by key. (A table format with row-level merges would rewrite only the files it touches; none
+    is installed here.)
     """
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
+    def __init__(self, spark: SparkSession, folder: str, keep: int = 2):
+        self.spark, self.folder, self.keep = spark, folder.rstrip("/"), keep
 
     def _fs(self):
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
@@ -46,6 +48,9 @@ class SnapshotTable:
 
     def write(self, df: DataFrame, batch: int) -> None:
         df.write.mode("overwrite").parquet(f"{self.folder}/batch-{batch}")
+        for number, old in self.versions().items():
+            if number <= batch - self.keep:
+                self._fs().delete(self.spark._jvm.org.apache.hadoop.fs.Path(old), True)
 
 
 def upsert_stream(stream: DataFrame, table: SnapshotTable, key: str, order: list, checkpoint: str, **merge):
@@ -61,6 +66,27 @@ def upsert_stream(stream: DataFrame, table: SnapshotTable, key: str, order: list
     return table.current()
 
 
+def diff_stream(stream: DataFrame, table: SnapshotTable, key: str, order: list, checkpoint: str, events: str, **merge) -> DataFrame:
+    """As upsert_stream; each batch's events (see state.changes) are written under `events` as (batch, key, events). A batch that runs
+    again overwrites its own events, and rows equal to what is stored give none."""
+
+    def batch(df: DataFrame, number: int) -> None:
+        incoming = latest_per_key(df, key, order)
+        stored = table.before(number)
+        known = incoming.limit(0) if stored is None else stored
+        changes(incoming, known, key).filter(F.size("events") > 0).select(F.lit(number).cast("long").alias("batch"), key, "events").write.mode("overwrite").parquet(f"{events.rstrip('/')}/batch-{number}")
+        table.write(incoming if stored is None else upsert(stored, incoming, key, **merge), number)
+
+    stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return table.spark.read.parquet(f"{events.rstrip('/')}/batch-*")
+
+
+def run_complete(aggregated: DataFrame, table: SnapshotTable, checkpoint: str) -> DataFrame:
+    """An aggregation over what is available now, all its windows, closed or not, as the newest snapshot."""
+    aggregated.writeStream.outputMode("complete").foreachBatch(lambda df, number: table.write(df, number)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return table.current()
+
+
 def tumbling_counts(events: DataFrame, at: str = "ts", width: str = "1 day", late: str = "2 hours", by: str = "event_type") -> DataFrame:
     """Counts and sums by window and type; works for streams (with a watermark) and tables alike."""
     source = events.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, late) if events.isStreaming else events

@@ -63,6 +63,16 @@ def test_office_and_zip_text(spark, tmp_path):
         xl___rels__workbook_dot_xml_dot_rels='<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Target="worksheets/sheet1.xml"/></Relationships>',
         xl__worksheets__sheet1_dot_xml=f'<worksheet xmlns="{m}"><sheetData><row><c r="A1" t="inlineStr"><is><t>k</t></is></c><c r="C1"><v>3</v></c></row></sheetData></worksheet>',
     )
+    styles = f'<styleSheet xmlns="{m}"><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/></cellXfs></styleSheet>'
+    dated = zipped(
+        xl__workbook_dot_xml=f'<workbook xmlns="{m}" xmlns:r="{r}"><sheets><sheet name="A" sheetId="1" r:id="r1"/><sheet name="B" sheetId="2" r:id="r1"/></sheets></workbook>', xl___rels__workbook_dot_xml_dot_rels='<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Target="worksheets/s.xml"/></Relationships>',
+        xl__worksheets__s_dot_xml=f'<worksheet xmlns="{m}"><sheetData><row><c r="A1" s="1"><v>46052</v></c></row><row><c r="A2"><v>5</v></c></row></sheetData></worksheet>', xl__styles_dot_xml=styles,
+    )
+    text, error, cut = files.extract(dated, "x.xlsx")
+    assert (text, error, cut) == ("SHEET: A\n2026-01-30\n5\nSHEET: B\n2026-01-30\n5", None, False) and files.sheet_hints(text) == ["Sheet: A", "Sheet: B"]
+    assert files.extract(dated, "x.xlsx", files.Limits(max_sheets=1, max_rows=1)) == ("SHEET: A\n2026-01-30", None, True)
+    assert files.extract(b"x" * 500_000, "t.txt") == ("x" * 400_000, None, True) and files.extract(b"x" * 500_000, "t.txt", files.WHOLE) == ("x" * 500_000, None, False)
+    assert files.without_repeats(["Head\na\n", " Head\nb"]) == "a\n\nb"
     (tmp_path / "a.docx").write_bytes(docx)
     (tmp_path / "b.xlsx").write_bytes(xlsx)
     (tmp_path / "c.zip").write_bytes(zipped(n_dot_txt="inner", x_dot_exe="no"))
@@ -73,6 +83,11 @@ def test_office_and_zip_text(spark, tmp_path):
     assert got["/c.zip"]["text"] == "FILE: n.txt\ninner" and got["/d.txt"]["text"] == "é" and got["e.docx"]["error"].startswith("BadZipFile")
 
 
+def test_character_references(spark):
+    d = spark.createDataFrame([("<p>a &lt;b&gt; &eacute;&#233;&#x1F600; &amp;lt; &unknown; &nbsp;x</p>",)], "html string")
+    assert files.html_text(d).first()["text"] == "a <b> éé\U0001f600 &lt; &unknown; x"
+
+
 def test_csv_sources(spark, tmp_path):
     body = '﻿a,b\n1,"x ""y"", z\nsecond"\n'
     (tmp_path / "x.csv").write_text(body)
@@ -81,6 +96,49 @@ def test_csv_sources(spark, tmp_path):
         assert [tuple(r) for r in got.collect()] == [("1", 'x "y", z\nsecond', None)]
 
 
+def test_exports_reports_and_logs(spark, tmp_path):
+    (tmp_path / "e.csv").write_text('uid,score,close\na,1.5,2026-01-30\nb,x,\n')
+    got = files.read_export(spark, str(tmp_path / "e.csv"), ["close"]).orderBy("uid").collect()
+    assert [(r["score"], r["score_num"], r["close"], str(r["close_dt"])) for r in got] == [("1.5", 1.5, "2026-01-30", "2026-01-30 00:00:00"), ("x", None, "", "None")]
+    assert files.latest_file(spark, str(tmp_path / "*.csv")).first()["path"].endswith("e.csv")
+    (tmp_path / "r.json").write_text('{\n "totals": {"kept": 2},\n "reasons": {"a": 1}\n}')
+    assert files.read_report(spark, str(tmp_path / "r.json")).first()["totals"]["kept"] == 2
+    (tmp_path / "x.log").write_text("".join(f"2026 | {'ERROR' if k % 5 == 0 else 'INFO'} | line {k}\n" for k in range(1, 21)))
+    assert [r["line_no"] for r in files.log_tail(spark, str(tmp_path / "x.log"), most=3).collect()] == [18, 19, 20]
+    assert [(r["line_no"], r["level"]) for r in files.log_tail(spark, str(tmp_path / "x.log"), "ERROR", 2).collect()] == [(15, "ERROR"), (20, "ERROR")]
+    assert files.count_errors(spark, str(tmp_path / "x.log")).first()["errors"] == 4
+
+
+def test_a_batch_that_runs_twice_changes_nothing(spark, tmp_path):
+    """The second batch fails after its state is written, so it runs again when the stream restarts."""
+    schema, source, fails = "key long, close_date string, amendment int, attachment_hash string", tmp_path / "in", [True]
+
+    class Fragile(streaming.SnapshotTable):
+        def write(self, df, batch):
+            super().write(df, batch)
+            if batch == 1 and fails.pop():
+                fails.append(False)
+                raise RuntimeError("lost")
+
+    table = Fragile(spark, f"file://{tmp_path}/state")
+
+    def run():
+        stream = spark.readStream.schema(schema).parquet(str(source))
+        return streaming.diff_stream(stream, table, "key", [F.col("amendment").desc()], f"{tmp_path}/checkpoint", f"file://{tmp_path}/events", greatest=["amendment"])
+
+    spark.createDataFrame([(1, "a", 1, "h"), (2, "a", 1, "h")], schema).write.parquet(str(source))
+    run()
+    spark.createDataFrame([(1, "b", 0, "h"), (2, "a", 1, "h"), (3, "a", 1, "h")], schema).write.mode("append").parquet(str(source))
+    try:
+        run()
+        raise AssertionError("the second batch did not fail")
+    except Exception as error:
+        assert "lost" in str(error)
+    got = sorted((r["batch"], r["key"], ",".join(r["events"])) for r in run().collect())
+    assert got == [(0, 1, "new"), (0, 2, "new"), (1, 1, "close_date_changed"), (1, 3, "new")]
+    assert {r["key"]: (r["close_date"], r["amendment"]) for r in table.current().collect()} == {1: ("b", 1), 2: ("a", 1), 3: ("a", 1)}
+
+
 def test_stream_upsert_keeps_the_largest_amendment(spark, tmp_path):
     source, schema = tmp_path / "in", "key long, seen_at timestamp, amendment int"
     table = streaming.SnapshotTable(spark, f"file://{tmp_path}/state")

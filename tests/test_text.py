@@ -64,6 +64,7 @@ def test_headings(spark):
 def test_urls(spark):
     assert one(spark, urls.normalize_url(F.col("t")), t="HTTP://u:p@Example.ORG:80/A?b=2&a=1&c=#x") == "http://example.org:80/A?a=1&b=2"
     assert one(spark, urls.normalize_url(F.col("t")), t="example.org/x") == "http://example.org/x"
+    assert one(spark, urls.normalize_url(F.col("t")), t="http://e.org/?b=a%20b&a=%7E") == one(spark, urls.normalize_url(F.col("t")), t="http://e.org/?a=~&b=a+b")
     assert one(spark, F.array_join(urls.extract_urls(F.col("t")), " "), t="see https://a.b/c). and https://a.b/c, https://d.e") == "https://a.b/c https://d.e"
     assert one(spark, urls.normalize_etag(F.col("t")), t='W/"abc"') == "abc"
 
