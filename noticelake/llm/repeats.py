@@ -12,9 +12,9 @@ starts in a document with a smaller doc_id.
    longer, word by word. Groups with a common prefix are dealt to buckets of bounded size. Where a whole anchor is still too
    frequent, its windows are suffixes of their own with themselves as prefix; a window that is too frequent even so needs no
    tree, only its smallest doc_id, which is summed on the map side and looked up.
-4. In a bucket, suffixes in lexicographic order with their common-prefix lengths are the subtrees of its prefixes. Internal
-   nodes as deep as a window are the repeats; each one's smallest doc_id tells which of its leaves are removed. Maximal
-   repeats longer than a window are the unions of overlapping ones.
+4. In a bucket, suffixes in lexicographic order with their common-prefix lengths are the subtrees of its prefixes (`Subtree`).
+   Suffixes are as deep as their anchor's windows reach. Internal nodes as deep as a window are the repeats; each one's smallest
+   doc_id tells which of its leaves are removed. Those preceded by different words are maximal repeats (`maximal_repeats`).
 
 Nulls: a null text has no words; a null doc_id counts as larger than all others. Repeated rows (same doc_id and text) are one
 document and each get a result row. Texts shorter than a window lose nothing. An empty table gives an empty result. Extra
@@ -40,6 +40,8 @@ GROUP = 120_000
 #: Buckets at least, so that small inputs are spread as well.
 LEAST_BUCKETS = 24
 LAST = (1 << 63) - 1
+#: Stands where a text has ended.
+END = np.uint64((1 << 64) - 1)
 
 
 def anchors(hashes: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -134,8 +136,9 @@ DEALT = "bucket int, " + SUFFIXES
 
 
 class Suffixes:
-    """Suffixes at anchors. A row of words holds `reach` words before the anchor and a window from it on (0: not known); the
-    anchor's windows start low to high words before it; place is the anchor's position in its text."""
+    """Suffixes at anchors. A row of words holds `reach` words before the anchor and a window from it on, and one word more on either
+    side (0: not known, or before the text); the anchor's windows start low to high words before it; place is the anchor's position
+    in its text."""
 
     def __init__(self, words, docs, text_keys, places, lows, highs):
         self.words, self.docs, self.text_keys, self.places, self.lows, self.highs = words, docs, text_keys, places, lows, highs
@@ -165,18 +168,23 @@ class Suffixes:
         at = np.frombuffer(opened[1], np.uint16 if len(table) < 65536 else np.uint32)
         return Suffixes(table[at].reshape(-1, len(docs)).T, docs, keys, places, lows.astype(np.int64), highs.astype(np.int64))
 
-    def windows(self, width: int, back: int) -> tuple[np.ndarray, np.ndarray]:
-        """Which suffixes have a window that starts so many words before the anchor, and these windows."""
+    def reach(self, width: int) -> int:
+        return self.words.shape[1] - width - 2
+
+    def at(self, width: int, back: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The suffixes that start so many words before the anchor: which rows have one, their words, how many are known, and the
+        word before (0: the text begins there)."""
         own = np.flatnonzero((self.lows <= back) & (back <= self.highs))
-        reach = self.words.shape[1] - width
-        return own, self.words[own, reach - back : reach - back + width]
+        first = self.reach(width) + 1 - back
+        words = self.words[own, first:]
+        return own, words, ((words != 0) & (words != END)).sum(axis=1), self.words[own, first - 1]
 
     def as_windows(self, width: int) -> Suffixes:
         """Each window as a suffix of its own."""
-        reach, parts = self.words.shape[1] - width, []
+        reach, parts = self.reach(width), []
         for back in range(reach + 1):
-            own, words = self.windows(width, back)
-            wide = np.concatenate([np.zeros((len(own), reach), np.uint64), words], axis=1)
+            own, words, _, left = self.at(width, back)
+            wide = np.concatenate([np.zeros((len(own), reach), np.uint64), left[:, None], words[:, : width + 1]], axis=1)
             none = np.zeros(len(own), np.int64)
             parts.append(Suffixes(wide, self.docs[own], self.text_keys[own], self.places[own] - np.int32(back), none, none))
         return Suffixes.joined(parts)
@@ -212,9 +220,10 @@ def suffix_rows(width: int):
         at, doc = place[first], doc[first]
         highs, lows = at - start[first], at - start[last]
         reach = width - min(RUN, width)
-        offset = np.arange(-reach, width)
-        known = (offset >= -highs[:, None]) & (offset < width - lows[:, None])
-        matrix = np.where(known, hashes[np.clip(at[:, None] + offset, 0, len(hashes) - 1)], np.uint64(0))
+        offset = np.arange(-reach - 1, width + 1)
+        spot = at[:, None] + offset
+        known = (offset >= -highs[:, None] - 1) & (offset <= width - lows[:, None]) & (spot >= words.offsets[doc][:, None])
+        matrix = np.where(known, np.where(spot < words.offsets[doc + 1][:, None], hashes[np.clip(spot, 0, len(hashes) - 1)], END), np.uint64(0))
         ids, keys = batch.column("id").to_numpy()[doc], batch.column("text_key").to_numpy()[doc]
         row = Suffixes(matrix, ids, keys, at - words.offsets[doc], lows, highs).coded()
         return batch_of(NAMES, [pa.array([x], pa.binary()) for x in row])
@@ -242,8 +251,8 @@ def lengths_of(runs: np.ndarray, large: dict[int, np.ndarray]) -> np.ndarray:
 
 
 def anchors_of(s: Suffixes, width: int) -> np.ndarray:
-    reach = s.words.shape[1] - width
-    return s.words[:, reach : reach + min(RUN, width)]
+    first = s.reach(width) + 1
+    return s.words[:, first : first + min(RUN, width)]
 
 
 def counter(width: int, length: int, large: dict[int, np.ndarray]):
@@ -265,7 +274,7 @@ def frequent(width: int, large: dict[int, np.ndarray]):
     def run(batches):
         for (s,) in rows_of(batches, []):
             w = s[lengths_of(anchors_of(s, width), large) > min(RUN, width)].as_windows(width)
-            value, at, count = np.unique(prefix(w.words[:, -width:], width), return_inverse=True, return_counts=True)
+            value, at, count = np.unique(prefix(w.words[:, -width - 1 : -1], width), return_inverse=True, return_counts=True)
             least = np.full(len(value), LAST)
             np.minimum.at(least, at, w.docs)
             yield batch_of(["window", "n", "least"], [value.view(np.int64), count.astype(np.int64), least])
@@ -294,7 +303,7 @@ def dealer(width: int, large: dict[int, np.ndarray], hot: tuple[np.ndarray, np.n
         yield from dealt(s[~often], key[~often])
         if often.any():
             w = s[often].as_windows(width)
-            key = prefix(w.words[:, -width:], width)
+            key = prefix(w.words[:, -width - 1 : -1], width)
             at = np.minimum(np.searchsorted(hot[0], key), max(0, len(hot[0]) - 1))
             ready = hot[0][at] == key if len(hot[0]) else np.zeros(len(key), bool)
             gone = w[ready][w.docs[ready] > hot[1][at[ready]]] if ready.any() else w[:0]
@@ -335,24 +344,75 @@ def lexicographic(matrix: np.ndarray, docs: np.ndarray) -> np.ndarray:
     return np.lexsort((docs, *keys[::-1]))
 
 
-def subtree_repeats(matrix: np.ndarray, docs: np.ndarray) -> np.ndarray:
-    """Which leaves lie below an internal node as deep as a window that has a leaf of a smaller doc_id.
-
-    Rows in lexicographic order with the lengths of their common prefixes describe the trees; the nodes of full depth are the
-    runs of rows between which that length is the whole width.
-    """
-    gone = np.zeros(len(docs), bool)
-    if len(docs) < 2:
+class Subtree:
+    """The suffix tree of a group of suffixes: its leaves in lexicographic order, with the lengths of the prefixes that neighbours
+    have in common. Runs of leaves between which those reach a depth are the tree's internal nodes (its LCP intervals)."""
+
+    def __init__(self, matrix: np.ndarray, known: np.ndarray, docs: np.ndarray):
+        self.order, self.docs = lexicographic(matrix, docs), docs
+        rows, known = matrix[self.order], known[self.order]
+        differs = rows[1:] != rows[:-1]
+        common = np.where(differs.any(axis=1), differs.argmax(axis=1), matrix.shape[1]) if len(rows) else np.zeros(0, np.int64)
+        self.common = np.minimum(common, np.minimum(known[1:], known[:-1]))
+
+    def repeated(self, depth: int) -> np.ndarray:
+        """Which leaves lie below an internal node of at least this depth that has a leaf of a smaller doc_id."""
+        gone = np.zeros(len(self.docs), bool)
+        if len(gone) > 1:
+            top = np.concatenate([[True], self.common < depth])
+            node, docs = np.cumsum(top) - 1, self.docs[self.order]
+            gone[self.order] = docs > np.minimum.reduceat(docs, np.flatnonzero(top))[node]
         return gone
-    order, width = lexicographic(matrix, docs), matrix.shape[1]
-    sorted_ = matrix[order]
-    differs = sorted_[1:] != sorted_[:-1]
-    common = np.where(differs.any(axis=1), differs.argmax(axis=1), width)
-    node = np.concatenate([[0], np.cumsum(common < width)])
-    first = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
-    least = docs[order][first]  # leaves of a node are in order of doc_id
-    gone[order] = docs[order] > least[node]
-    return gone
+
+    def internal(self, depth: int):
+        """(first leaf, last leaf, depth) of each internal node of at least this depth, children before parents."""
+        open_: list[tuple[int, int]] = []  # first leaf and depth of the nodes on the way down to the leaf before
+        for leaf, common in enumerate([*self.common.tolist(), -1], 1):
+            first = leaf - 1
+            while open_ and open_[-1][1] > common:
+                first, own = open_.pop()
+                yield first, leaf - 1, own
+            if common >= depth and (not open_ or open_[-1][1] < common):
+                open_.append((first, common))
+
+
+REPEATS = "words int, longer boolean, places bigint, documents bigint, doc_id bigint, start int"
+
+
+def maximal(width: int):
+    """A row for each internal node as deep as a window, with leaves of several documents, that is preceded by different words (or
+    begins a text): a maximal repeat, told at its smallest doc_id."""
+
+    def told(s: Suffixes):
+        for back in range(s.reach(width) + 1):
+            own, matrix, known, left = s.at(width, back)
+            tree = Subtree(matrix, known, s.docs[own])
+            for first, last, depth in tree.internal(width):
+                leaves = tree.order[first : last + 1]
+                docs, before = s.docs[own][leaves], left[leaves]
+                if (n := len(np.unique(docs))) > 1 and (len(np.unique(before)) > 1 or (before == 0).any()):
+                    place = int(leaves[np.lexsort((s.places[own][leaves], docs))[0]])
+                    beyond = matrix[leaves, depth] if depth < matrix.shape[1] else np.zeros(1, np.uint64)
+                    after = np.unique(beyond[beyond != 0])  # two words, or a text's end, prove that it goes no further
+                    yield depth, len(after) < 2 and END not in after, len(leaves), n, int(docs.min()), int(s.places[own][place]) - back
+
+    def run(batches):
+        at, held = None, []
+
+        def closed():
+            rows = list(told(Suffixes.joined(held))) if held else []
+            kinds = [pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
+            return [batch_of([f.split()[0] for f in REPEATS.split(", ")], [pa.array(c, t) for c, t in zip(zip(*rows), kinds)])] if rows else []
+
+        for bucket, s in rows_of(batches, ["bucket"]):
+            if bucket != at:
+                yield from closed()
+                at, held = bucket, []
+            if bucket >= 0:
+                held.append(s)
+        yield from closed()
+
+    return run
 
 
 PLACES = "part int, ids binary, text_keys binary, starts binary"
@@ -367,9 +427,9 @@ def searched(width: int, parts: int):
 
     def found(held: list[Suffixes]):
         s, out = Suffixes.joined(held), []
-        for back in range(s.words.shape[1] - width + 1):
-            own, matrix = s.windows(width, back)
-            at = own[subtree_repeats(matrix, s.docs[own])]
+        for back in range(s.reach(width) + 1):
+            own, matrix, known, _ = s.at(width, back)
+            at = own[Subtree(matrix, known, s.docs[own]).repeated(width)]
             out.append((s.docs[at], s.text_keys[at], s.places[at] - np.int32(back)))
         return [np.concatenate(x) for x in zip(*out)]
 
@@ -439,12 +499,9 @@ def removal(width: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, width: int = 13, least_broadcast: int = 500_000) -> DataFrame:
-    """A row for each document: n_words, n_removed, kept_sha256 of its kept words joined by a space, and kept_text if any went."""
-    keyed = with_keys(docs)
-    single, copies = distinct_texts(keyed, least_broadcast)
-    single = single.withColumnRenamed("k1", "text_key")
-
+def grouped(keyed: DataFrame, single: DataFrame, width: int) -> tuple[DataFrame, DataFrame | None]:
+    """Suffixes of the texts at shared anchors, dealt to buckets by prefix and sorted by bucket; and (window, n, least) of the
+    windows that are too frequent for a bucket, if there are any."""
     buckets = buckets_for(keyed)
     dealt = arrow_map(single.select("text_key", "text"), anchor_rows(width, buckets), ANCHORS).repartition("bucket").sortWithinPartitions("bucket")
     shared = map_batches(dealt, shared_anchors, "text_key bigint, shared binary").groupBy("text_key").agg(F.collect_list("shared").alias("shared"))
@@ -461,15 +518,39 @@ def remove_repeats(docs: DataFrame, width: int = 13, least_broadcast: int = 500_
         if not len(found):
             break
         large[length] = np.sort(np.ascontiguousarray(found).view(np.uint64))
-    hot = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    hot, often = (np.zeros(0, np.uint64), np.zeros(0, np.int64)), None
     if min(RUN, width) in large:
-        least = map_batches(suffixes, frequent(width, large), "window bigint, n bigint, least bigint").groupBy("window").agg(F.sum("n").alias("n"), F.min("least").alias("least")).filter(F.col("n") > GROUP).toArrow()
+        often = materialize(map_batches(suffixes, frequent(width, large), "window bigint, n bigint, least bigint").groupBy("window").agg(F.sum("n").alias("n"), F.min("least").alias("least")).filter(F.col("n") > GROUP), "often")
+        least = often.toArrow()
         value = np.ascontiguousarray(least.column("window").to_numpy()).view(np.uint64)
         order = np.argsort(value)
         hot = (value[order], least.column("least").to_numpy()[order])
     groups = max(LEAST_BUCKETS, -(-2 * total // GROUP))
-    dealt = map_batches(suffixes, dealer(width, large, hot, groups), DEALT).repartition("bucket").sortWithinPartitions("bucket")
-    places = map_batches(dealt, searched(width, buckets), PLACES).repartition("part").sortWithinPartitions("part")
+    return map_batches(suffixes, dealer(width, large, hot, groups), DEALT).repartition("bucket").sortWithinPartitions("bucket"), often
+
+
+def maximal_repeats(docs: DataFrame, width: int = 13, least_broadcast: int = 500_000) -> DataFrame:
+    """(words, longer, places, documents, doc_id, start): the maximal repeats of at least `width` words between different texts: the
+    tree's deep internal nodes whose occurrences can't be extended alike to either side. Equal texts count once, with their smallest
+    doc_id. A suffix is known as far as its anchor's windows reach: longer says that a repeat goes on beyond the words counted. Of
+    windows too frequent for a tree only the window is told (documents and start null)."""
+    keyed = with_keys(docs)
+    single, _ = distinct_texts(keyed, least_broadcast)
+    dealt, often = grouped(keyed, single.withColumnRenamed("k1", "text_key"), width)
+    found = map_batches(dealt, maximal(width), REPEATS)
+    if often is None:
+        return found
+    none = F.lit(None)
+    return found.unionByName(often.select(F.lit(width).alias("words"), F.lit(True).alias("longer"), F.col("n").alias("places"), none.cast("long").alias("documents"), F.col("least").alias("doc_id"), none.cast("int").alias("start")))
+
+
+def remove_repeats(docs: DataFrame, width: int = 13, least_broadcast: int = 500_000) -> DataFrame:
+    """A row for each document: n_words, n_removed, kept_sha256 of its kept words joined by a space, and kept_text if any went."""
+    keyed = with_keys(docs)
+    single, copies = distinct_texts(keyed, least_broadcast)
+    parts = buckets_for(keyed)
+    dealt, _ = grouped(keyed, single.withColumnRenamed("k1", "text_key"), width)
+    places = map_batches(dealt, searched(width, parts), PLACES).repartition("part").sortWithinPartitions("part")
     removed = looked_up(map_batches(places, gathered(width), "id bigint, text_key bigint, ranges binary"), "removed", least_broadcast)
     told = keyed.withColumnRenamed("k1", "text_key").join(copies.select("id", F.col("k1").alias("text_key"), F.lit(True).alias("whole")), ["id", "text_key"], "left")
     told = told.join(removed, ["id", "text_key"], "left").select(F.when(F.col("id") < NO_ID, F.col("id")).alias("doc_id"), "text", "ranges", "whole")

@@ -130,7 +130,44 @@ def test_repeats(documents, monkeypatch, width, group):
     assert sorted(((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got), key=str) == plain_removal(rows, width)
 
 
-@pytest.mark.parametrize("operator", [repeats.remove_repeats, jaccard.jaccard_groups, jaccard.one_of_each])
+def plain_maximal(rows, width, most):
+    """Maximal repeats between different texts, each to `most` words: {words as a tuple: (places, documents, smallest doc_id)}."""
+    texts = {}
+    for i, t, _ in rows:
+        texts[t] = min(i, texts.get(t, i))
+    spots = defaultdict(list)
+    for t, i in texts.items():
+        w = WORD.findall(t or "")
+        for k in range(len(w) - width + 1):
+            for n in range(width, len(w) - k + 1):
+                spots[tuple(w[k : k + n])].append((i, w[k - 1] if k else None, w[k + n] if k + n < len(w) else None))
+    out = {}
+    for words, found in spots.items():
+        differ = lambda side: len({f[side] for f in found}) > 1 or None in {f[side] for f in found}
+        if len({f[0] for f in found}) > 1 and differ(1) and differ(2):
+            out[words] = (len(found), len({f[0] for f in found}), min(f[0] for f in found))
+    return out
+
+
+def test_maximal_repeats(documents):
+    rng = random.Random(21)
+    parts = [" ".join(f"p{rng.randint(0, 40)}" for _ in range(n)) for n in (9, 9, 10, 10, 11, 12, 5)]
+    rows = [(i, " ".join(rng.choice([*parts, f"w{rng.randint(0, 99)}"]) for _ in range(rng.randint(1, 5))), "a") for i in range(60)]
+    width = 9
+    got = repeats.maximal_repeats(documents(rows), width).collect()
+    want, words = plain_maximal(rows, width, 99), {i: WORD.findall(t) for i, t, _ in rows}
+    seen = {}
+    for r in got:
+        found = tuple(words[r["doc_id"]][r["start"] : r["start"] + r["words"]])
+        assert len(found) == r["words"] >= width and found not in seen
+        seen[found] = r
+    short = {w: v for w, v in want.items() if w in seen and not seen[w]["longer"]}
+    assert len(short) > 2 and all((seen[w]["places"], seen[w]["documents"], seen[w]["doc_id"]) == v for w, v in short.items())
+    assert all(w in want for w, r in seen.items() if not r["longer"])
+    assert all(w in seen or any(seen[x]["longer"] and w[: len(x)] == x for x in seen) for w in want)  # none is missed
+
+
+@pytest.mark.parametrize("operator", [repeats.remove_repeats, repeats.maximal_repeats, jaccard.jaccard_groups, jaccard.one_of_each])
 def test_empty_tables(documents, operator):
     assert operator(documents([])).count() == 0
 
