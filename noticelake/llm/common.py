@@ -41,6 +41,17 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Columns of documents that operators name.
+NAMED = ("doc_id", "text", "source", "n_chars")
+
+
+def sheltered(docs: DataFrame, fn: Callable[[DataFrame], DataFrame], named: Sequence[str] = NAMED) -> DataFrame:
+    """fn(docs), which keeps the columns, with all but the named columns under other names meanwhile, so none can clash."""
+    own = {c: c if c in named else f"__other{k}" for k, c in enumerate(docs.columns)}
+    out = fn(docs.select(*[F.col(f"`{c}`").alias(n) for c, n in own.items()]))
+    return out.select(*[F.col(n).alias(c) for c, n in own.items()])
+
+
 def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
     """Equi-join in which null keys meet; right's key columns are dropped."""
     renamed = right.select(*[F.col(k).alias(f"__r_{k}") for k in keys], *[c for c in right.columns if c not in keys])

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, NO_ID, arrow_map, batch_of, blobs, bucket_of, buckets_for, distinct_texts, join_on, looked_up, map_batches, materialize, mix, small_enough, window_hashes, with_keys, Words
+from .common import LOWER, NO_ID, arrow_map, batch_of, blobs, bucket_of, buckets_for, distinct_texts, join_on, looked_up, map_batches, materialize, mix, sheltered, small_enough, window_hashes, with_keys, Words
 from .graph import components
 
 #: Sizes in a class differ by this factor at most.
@@ -366,6 +366,10 @@ def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80, least_broadc
     A document is its doc_id and text: of rows that share both, one stays; texts that share only a doc_id, or have none, are
     numbered and decided each by itself.
     """
+    return sheltered(docs, lambda d: _one_of_each(d, width, percent, least_broadcast))
+
+
+def _one_of_each(docs: DataFrame, width: int, percent: int, least_broadcast: int) -> DataFrame:
     names, text = docs.columns, F.coalesce(F.col("text").cast("string"), F.lit(""))
     key = {"__k1": F.xxhash64(text), "__k2": F.xxhash64(F.lit(1), text, F.length(text))}
     texts = docs.select(F.col("doc_id").cast("long").alias("__doc"), text.alias("text")).withColumns(key).drop("text")
@@ -379,7 +383,7 @@ def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80, least_broadc
         node = F.coalesce("__number", "__doc")
     keyed = keyed.withColumn("__node", node).select(*names, "__node")
 
-    found = materialize(jaccard_groups(keyed.select(F.col("__node").alias("doc_id"), "text"), width, percent).select(F.col("doc_id").alias("__node"), F.col("component_id").alias("component")), "groups")
+    found = materialize(jaccard_groups(keyed.select(F.col("__node").alias("doc_id"), "text"), width, percent, least_broadcast).select(F.col("doc_id").alias("__node"), F.col("component_id").alias("component")), "groups")
     if odd is None:
         gone = found.filter(F.col("__node") != F.col("component")).select("__node").distinct()
     else:  # numbers are in no order: the first of a group goes by doc_id and text key

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SAME, Words, arrow_map, batch_of, join_on, materialize, mix, small_enough, text_key
+from .common import NAMED, SAME, Words, arrow_map, batch_of, join_on, looked_up, materialize, mix, sheltered, text_key
 
 WHITE = b" \t\n\x0b\x0c\r"
 CONTINUATION = bytes(range(0x80, 0xC0))
@@ -147,13 +147,15 @@ def without_lines(batch: pa.RecordBatch) -> pa.RecordBatch:
 def apply_quality(docs: DataFrame, verdicts: DataFrame, host: str = "source", most_broadcast: int = 2_000_000) -> DataFrame:
     """The kept documents, frequent lines taken out of their texts (n_chars follows).
 
-    Only documents with something to do are looked up. That list is broadcast if it has at most `most_broadcast` rows
-    (counted first), and joined by shuffle beyond.
+    Only documents with something to do are looked up. That list is broadcast if it has at most `most_broadcast` rows and
+    its files are small (both measured first), and joined by shuffle beyond.
     """
+    return sheltered(docs, lambda d: _applied(d, verdicts, host, most_broadcast), (*NAMED, host))
+
+
+def _applied(docs: DataFrame, verdicts: DataFrame, host: str, most_broadcast: int) -> DataFrame:
     todo = verdicts.filter(~F.col("kept") | (F.col("n_removed_words") > 0)).select("doc_id", "text_key", F.col("host"), F.col("kept").alias("__kept"), F.when(F.col("kept"), F.col("removed_lines")).alias("__removed")).dropDuplicates(["doc_id", "text_key", "host"])
-    todo = materialize(todo, "quality-todo")
-    if small_enough(todo, most_broadcast):
-        todo = F.broadcast(todo)
+    todo = looked_up(todo, "quality-todo", most_broadcast)
     names = docs.columns
     keyed = docs.withColumns({"__doc": F.col("doc_id").cast("long"), "__key": text_key(F.col("text")), "__host": F.col(host).cast("string")})
     todo = todo.withColumnsRenamed({"doc_id": "__r1", "text_key": "__r2", "host": "__r3"})
