@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noticelake.llm import jaccard, mixing, packing, pii, quality
-from noticelake.llm.common import join_on, looked_up, materialize, small_enough
+from noticelake.llm.common import join_on, looked_up, materialize, sheltered, small_enough
 from noticelake.llm.queries import tokenizer_path
 
 #: Documents up to which a stage's list of decisions is broadcast rather than joined by shuffle.
@@ -32,10 +32,15 @@ def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it. Documents taken once, the common case, need not be looked up."""
+    """Each document as often as the mix takes it."""
+    return sheltered(docs, mixed)
+
+
+def mixed(docs: DataFrame) -> DataFrame:
+    """Documents taken once, the common case, need not be looked up."""
     key = ["doc_id", "__key", "source"]
-    mixed = mixing.mix_sources(docs).withColumnRenamed("text_key", "__key").groupBy(*key).agg(F.sum("copies").alias("__copies"), F.count("*").alias("__rows"))
-    other = looked_up(mixed.filter("__copies <> 1 OR __rows > 1"), "copies", MOST_BROADCAST)
+    taken = mixing.mix_sources(docs).withColumnRenamed("text_key", "__key").groupBy(*key).agg(F.sum("copies").alias("__copies"), F.count("*").alias("__rows"))
+    other = looked_up(taken.filter("__copies <> 1 OR __rows > 1"), "copies", MOST_BROADCAST)
     keyed = join_on(docs.withColumn("__key", F.xxhash64("text")), other, key, "left")
     if not small_enough(other.filter("__rows > 1"), 0):  # equal rows: one of them as often as the mix takes them together
         single = F.coalesce("__rows", F.lit(1)) == 1
@@ -56,7 +61,7 @@ STAGES = [
     ("best-fit packing", packing_stage),
 ]
 
-#: SQL can't express the stages (fingerprints, tokens); tests hold each against a plain version.
+#: SQL can't express the stages (fingerprints, tokens); tests/llm/test_pipeline.py holds each against a plain version.
 ORACLE_SQL = None
 
 
