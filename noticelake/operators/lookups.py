@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.urls import normalize_etag
+
 
 def newest(cache: DataFrame, by: Sequence[str], at: str, tie: str) -> DataFrame:
     """The newest row of each combination of `by` (nulls are values)."""
@@ -56,3 +58,13 @@ def random_rows(df: DataFrame, key: str, most: int, seed: int = 0) -> DataFrame:
 def with_payload(rows: DataFrame, stored: DataFrame, keys: Sequence[str], stored_key: str = "tender_key", payload: str = "payload") -> DataFrame:
     """Exported rows with the payload stored under the first of their keys that is known."""
     return first_key_lookup(rows, stored, keys, stored_key, payload)
+
+
+def fetch_plan(items: DataFrame, cache: DataFrame) -> DataFrame:
+    """items (url and what the server tells: etag, last_modified) with what to do: reuse where the newest cached copy has the same
+    etag (or, without one, the same last_modified), download else; and the validators to ask with."""
+    last = newest(cache, ["url"], "fetched_at", "fingerprint").select(F.col("url").alias("__url"), normalize_etag(F.col("etag")).alias("if_none_match"), F.col("last_modified").alias("if_modified_since"), F.col("fingerprint").alias("cached"))
+    out = items.join(last, items["url"] == F.col("__url"), "left").drop("__url")
+    told = F.nullif(normalize_etag(F.col("etag")), F.lit(""))
+    same = F.when(told.isNotNull(), told == F.col("if_none_match")).otherwise(F.col("last_modified") == F.col("if_modified_since"))
+    return out.withColumn("action", F.when(F.coalesce(same, F.lit(False)), "reuse").otherwise("download"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import html
 from collections.abc import Sequence
+from email.message import EmailMessage
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -333,6 +334,17 @@ def digest_html(rows: DataFrame, day: str, top: int, flagged: int, covered: dict
     return "\n".join([*out, "</body></html>"])
 
 
+def digest_message(sender: str, to: Sequence[str], subject: str, page: str, attachment: tuple[str, str] | None = None) -> EmailMessage:
+    """The digest as a mail, with a CSV file (name and text) if there is one. Sending it is the caller's."""
+    mail = EmailMessage()
+    mail["From"], mail["To"], mail["Subject"] = sender, ", ".join(to), subject
+    mail.set_content("This digest is written in HTML.")
+    mail.add_alternative(page, subtype="html")
+    if attachment:
+        mail.add_attachment(attachment[1], subtype="csv", filename=attachment[0])
+    return mail
+
+
 def coverage_report(windows: dict[str, DataFrame]) -> DataFrame:
     """(section, metric, value): each window's counts and rates, and weekly_delta from current_week and previous_week."""
     tall = None

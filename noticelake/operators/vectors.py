@@ -97,3 +97,21 @@ def bucket_text(name: Column, description: Column, keywords: Column, prototypes:
     words = lambda x: F.array_join(F.coalesce(x, F.array().cast("array<string>")), " ")
     part = lambda x: F.nullif(x, F.lit(""))
     return soft_normalize(F.concat_ws(" ", part(name), part(description), part(words(keywords)), part(words(prototypes))))
+
+
+#: Forms that a reply with embeddings may have.
+REPLIES = ("embeddings struct<float:array<array<double>>>", "embeddings array<array<double>>", "data array<struct<embedding:array<double>>>")
+
+
+def reply_vectors(reply: Column) -> Column:
+    """The vectors of a service's reply (JSON), in order, whichever form it has; empty if none fits."""
+    read = [F.from_json(reply, form) for form in REPLIES]
+    found = (read[0]["embeddings"]["float"], read[1]["embeddings"], F.transform(read[2]["data"], lambda d: d["embedding"]))
+    filled = [F.when(F.exists(f, lambda v: v.isNotNull()), f) for f in found]
+    return F.coalesce(*filled, F.array().cast("array<array<double>>"))
+
+
+def embedded(batches: DataFrame, keys: str, reply: str) -> DataFrame:
+    """(key, vector): the keys of each request with the vectors of its reply, by place; keys without a vector are left out."""
+    pairs = F.arrays_zip(F.col(keys).alias("key"), reply_vectors(F.col(reply)).alias("vector"))
+    return batches.select(F.explode(pairs).alias("p")).select("p.key", "p.vector").filter("key IS NOT NULL AND vector IS NOT NULL")

@@ -110,6 +110,27 @@ def export_payloads(spark, sf_dir):
     return lookups.with_payload(rows, stored, ["uid", "key"]).select("c_custkey", "payload")
 
 
+@query("""WITH c AS (SELECT url, 'W/"e' || (page_id % 5) || '"' AS etag, 'm' || (page_id % 3) AS last_modified, page_id AS fingerprint FROM pages WHERE page_id % 4 <> 0), n AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY url ORDER BY fingerprint DESC) = 1)
+SELECT page_id, CASE WHEN n.url IS NULL THEN 'download' WHEN page_id % 2 = 0 THEN CASE WHEN page_id % 10 = page_id % 5 THEN 'reuse' ELSE 'download' END WHEN 'm' || (page_id % 3) = n.last_modified THEN 'reuse' ELSE 'download' END AS action, 'e' || (n.fingerprint % 5) AS if_none_match FROM pages p LEFT JOIN n ON n.url = p.url""")
+def fetch_plan(spark, sf_dir):
+    k, p = F.col("page_id"), table(spark, sf_dir, "pages")
+    cache = p.filter("page_id % 4 <> 0").select("url", said('W/"e', k % 5, '"').alias("etag"), said("m", k % 3).alias("last_modified"), k.alias("fingerprint"), k.alias("fetched_at"))
+    items = p.select("page_id", "url", F.when(k % 2 == 0, said("e", k % 10)).alias("etag"), said("m", k % 3).alias("last_modified"))
+    return lookups.fetch_plan(items, cache).select("page_id", "action", "if_none_match")
+
+
+@query("SELECT vec_id AS key, label, CAST(embedding[1] AS DOUBLE) AS first, len(embedding)::INT AS size FROM embeddings WHERE vec_id % 4 <> 3")
+def embedding_replies(spark, sf_dir):
+    """Requests of one vector each, answered in three forms, or in none."""
+    k = F.col("vec_id")
+    v = F.col("embedding").cast("array<double>")
+    forms = [F.to_json(F.struct(F.struct(F.array(v).alias("float")).alias("embeddings"))), F.to_json(F.struct(F.array(v).alias("embeddings"))), F.to_json(F.struct(F.array(F.struct(v.alias("embedding"))).alias("data"))), F.lit('{"message": "busy"}')]
+    reply = F.when(k % 4 == 0, forms[0]).when(k % 4 == 1, forms[1]).when(k % 4 == 2, forms[2]).otherwise(forms[3])
+    e = table(spark, sf_dir, "embeddings")
+    got = vectors.embedded(e.select(F.array(k).alias("keys"), reply.alias("reply")), "keys", "reply")
+    return got.join(e.select(k.alias("key"), "label"), "key").select("key", "label", F.get("vector", F.lit(0)).alias("first"), F.size("vector").alias("size"))
+
+
 # ---- source rows ----
 
 ROW_SQL = """r AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 4 = 0 THEN '' ELSE ' ' || c_name || ' ' END AS en, 'Titre ' || c_custkey AS fr, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE 'cb-' || c_custkey END AS ref, CASE WHEN c_custkey % 5 = 0 THEN '' ELSE (c_custkey % 7)::VARCHAR END AS am,

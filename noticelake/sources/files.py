@@ -129,6 +129,16 @@ def count_errors(spark: SparkSession, path: str) -> DataFrame:
     return log_lines(spark, path).groupBy("file").agg(F.count_if(F.col("level") == "ERROR").alias("errors"))
 
 
+CATALOG = "success boolean, result struct<resources:array<struct<id:string,name:string,format:string,url:string,last_modified:string>>>"
+
+
+def catalog_resources(spark: SparkSession, path: str) -> DataFrame:
+    """(position, id, name, format, url, last_modified) of a dataset's resources, from the catalogue's reply as it landed in a file; a
+    reply that tells of no success has none. (The request itself, with its retries, is the caller's: tasks have no network here.)"""
+    reply = spark.read.option("multiLine", True).schema(CATALOG).json(path).filter("success")
+    return reply.select(F.posexplode("result.resources").alias("position", "r")).select("position", "r.*")
+
+
 def resource_choice(resources: DataFrame, preferred: str = "open") -> DataFrame:
     """The best CSV or ZIP resource about tenders: by preference, wording and language; the first where equal."""
     name = F.lower(F.col("name"))

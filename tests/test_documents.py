@@ -109,6 +109,21 @@ def test_exports_reports_and_logs(spark, tmp_path):
     assert files.count_errors(spark, str(tmp_path / "x.log")).first()["errors"] == 4
 
 
+def test_catalogue_and_mail(spark, tmp_path):
+    from noticelake.operators import summaries
+
+    (tmp_path / "c.json").write_text('{"success": true, "result": {"resources": [{"name": "Open tender notice", "format": "CSV", "url": "u"}, {"name": "x", "format": "PDF"}]}}')
+    (tmp_path / "d.json").write_text('{"success": false}')
+    rows = files.catalog_resources(spark, str(tmp_path / "c.json"))
+    assert [(r["position"], r["format"]) for r in rows.collect()] == [(0, "CSV"), (1, "PDF")] and files.resource_choice(rows).first()["url"] == "u"
+    assert files.catalog_resources(spark, str(tmp_path / "d.json")).count() == 0
+    d = spark.createDataFrame([("new", 1, "<tr><td>a</td></tr>"), ("watch", 1, "<tr><td>w</td></tr>"), ("new", 2, "<tr><td>b</td></tr>")], "section string, place int, html string")
+    page = summaries.digest_html(d, "2026-01-30", 2, 5, {"with_requirements": 1, "total": 4, "percent": 25}, "x<y.csv")
+    assert page.index("<td>a</td>") < page.index("<td>b</td>") < page.index("<td>w</td>") and "<b>25%</b> (1 of 4)" in page and "x&lt;y.csv" in page and "Upcoming" not in page
+    mail = summaries.digest_message("a@x.org", ["b@x.org", "c@x.org"], "Digest", page, ("f.csv", "k\n1\n"))
+    assert mail["To"] == "b@x.org, c@x.org" and [p.get_content_type() for p in mail.walk()][-1] == "text/csv"
+
+
 def test_a_batch_that_runs_twice_changes_nothing(spark, tmp_path):
     """The second batch fails after its state is written, so it runs again when the stream restarts."""
     schema, source, fails = "key long, close_date string, amendment int, attachment_hash string", tmp_path / "in", [True]
