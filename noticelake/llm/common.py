@@ -139,8 +139,8 @@ def frugal() -> None:
     raise that limit as it goes and keep them)."""
     try:
         libc = ctypes.CDLL("libc.so.6")
-        libc.mallopt(-3, 256 << 10)  # M_MMAP_THRESHOLD
-        libc.mallopt(-1, 1 << 20)  # M_TRIM_THRESHOLD
+        libc.mallopt(-3, 4 << 20)  # M_MMAP_THRESHOLD; lower, and each array of a step would be mapped and zeroed anew
+        libc.mallopt(-1, 32 << 20)  # M_TRIM_THRESHOLD
         libc.mallopt(-8, 2)  # M_ARENA_MAX
     except (OSError, AttributeError):
         pass
