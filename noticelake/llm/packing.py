@@ -5,8 +5,9 @@ dealt at random into groups of a bounded number; a group is packed from its long
 for which the squared counts of open bins per residual gap become smallest, to a new bin only if no open one has room.
 The counts need a table of `capacity` numbers, however many pieces there are.
 
-Tokens of a text are the tokens of its words, as no token, normalisation or added token of such a tokenizer reaches across
-ASCII white space; a worker keeps a bounded table of words it has seen.
+Tokens of a text are the tokens of its words where no token, normalisation or added token of the tokenizer reaches across ASCII
+white space; a worker then keeps a bounded table of words it has seen. Whether that holds is tried on probes when the file is
+read; with a tokenizer for which it does not, whole texts are encoded.
 
 Nulls: a null text is empty and becomes the end id alone. Repeated rows are packed each. A null doc_id stays null. An empty
 table gives an empty result; extra columns are ignored. Ties go to the smallest gap, in it to the bin opened last.
@@ -34,8 +35,11 @@ PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigin
 MOST_WORDS = 600_000
 #: Bytes of text tokenised at a time.
 SLICE = 2 << 20
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: A word's last character, if one of these follows a letter, is a token run of its own in tokenizers that cut there.
 TAIL = ".,"
+#: Texts by which a tokenizer shows whether words can be encoded by themselves.
+PROBES = ("Hello world", "  lead and trail \n", "a\tb\x0bc\x0cd\r\ne", "it's 12 345, (x) é Ünï co-op.", "one\n\n  two   three", "\u3000wide \u00a0 space", "A . b , c ' d", "<|endoftext|> x </s> <s> y")
 _tokenizers: dict[str, "WordTokenizer"] = {}
 HELD.append(_tokenizers.clear)
 
@@ -55,6 +59,8 @@ class WordTokenizer:
         cut = self.inner.pre_tokenizer
         self.tail = "".join(t for t in TAIL if cut is not None and all([x for x, _ in cut.pre_tokenize_str(f"a{c}{t}")] == [f"a{c}", t] for c in letters))
         self.added = sorted({str(t.content)[:2] for t in self.inner.get_added_tokens_decoder().values()})
+        ids = lambda x: self.inner.encode(x, add_special_tokens=False).ids
+        self.by_word = all(ids(x) == [i for w in WORD.findall(x) for i in ids(w)] for x in PROBES)
 
     def forget(self) -> None:
         """An empty table: 128-bit digests of words in order, each with the number of its entry; entries' ids, flat, with offsets."""
@@ -96,6 +102,10 @@ class WordTokenizer:
 
     def batch_ids(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, flat, each text's end id included, and their offsets."""
+        if not self.by_word:
+            ids = [[*e.ids, end_id] for e in self.inner.encode_batch(pc.fill_null(texts, "").to_pylist(), add_special_tokens=False)]
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+            return np.fromiter((i for x in ids for i in x), np.uint32, int(sizes.sum())), np.concatenate([[0], np.cumsum(sizes)])
         plain = self.lowers and not any(pc.any(pc.match_substring(texts, t)).as_py() for t in self.added)
         words = Words(texts, LOWER if plain else SAME)
         if plain and self.tail and len(words.dictionary):

@@ -59,7 +59,7 @@ def test_jaccard(documents, near_copies, monkeypatch, width, percent, block, com
 def test_jaccard_repeated_rows_and_null_ids(documents):
     rows = [(1, "a b c d", "a"), (1, "x y z", "a"), (0, "A b c d", "a"), (0, "A b c d", "a"), (None, "a b c d", "a"), (None, "q r s", "a"), (None, "q r s", "a"), (3, "X y z", "a")]
     got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_groups(documents(rows)).collect()), key=str)
-    assert got == sorted([(1, 2, 0), (1, 1, 0), (0, 2, 0), (0, 2, 0), (None, 2, 0), (None, 1, None), (None, 1, None), (3, 1, 0)], key=str) or got == sorted([(1, 2, 0), (1, 1, 1), (0, 2, 0), (0, 2, 0), (None, 2, 0), (None, 1, None), (None, 1, None), (3, 1, 1)], key=str)
+    assert got == sorted([(1, 2, 0), (1, 1, 0), (0, 2, 0), (0, 2, 0), (None, 2, 0), (None, 1, None), (None, 1, None), (3, 1, 0)], key=str)
     kept = jaccard.one_of_each(documents(rows))
     assert kept.columns == documents(rows).columns and [r["doc_id"] for r in kept.filter("doc_id = 0").collect()] == [0]
 

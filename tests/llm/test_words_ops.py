@@ -158,6 +158,19 @@ def test_packing(documents):
     assert len(bins) <= math.ceil(sum(r["length"] for r in found) / 256) + 1
 
 
+def test_tokenizers_that_reach_across_white_space(documents):
+    P = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    assert packing.WordTokenizer(P.path("word_bpe_49k.json")).by_word
+    path = P.path("byte_bpe_50k.json")
+    plain = Tokenizer.from_file(path)
+    rows = [(1, "Hello world, it's  two\n lines", "a"), (2, None, "a"), (3, " x", "a")]
+    for r in packing.pack_documents(documents(rows), path, capacity=64, keep_ids=True).collect():
+        ids = plain.encode(rows[r["doc_id"] - 1][1] or "", add_special_tokens=False).ids + [1]
+        assert np.frombuffer(r["ids"], "<u4").tolist() == ids
+
+
 def test_sum_of_squares_places_by_the_rule():
     rng, s = random.Random(5), packing.SumOfSquares(20)
     gaps = []
