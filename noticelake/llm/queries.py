@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, fixity, jaccard, license, mixing, packing, pii, quality, repeats, sql
+from . import align, ann, chat, codebooks, fixity, jaccard, license, mixing, packing, pii, quality, repeats, sql, wavelet
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +66,21 @@ def op10_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op11_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes all documents' ids to shards and reads the shards back."""
+    return wavelet.read_documents(wavelet.write_shards(table(spark, sf_dir, "documents"), tokenizer_path()))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return align.align_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codebooks.encode_vectors(table(spark, sf_dir, "embeddings")).drop("label")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
@@ -78,9 +93,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_chat_formatting": op8_chat_formatting,
         "op9_jaccard_join": op9_jaccard_join,
         "op10_nearest_vectors": op10_nearest_vectors,
+        "op11_wavelet_shards": op11_wavelet_shards,
+        "op12_token_alignment": op12_token_alignment,
+        "op13_vector_codes": op13_vector_codes,
     }
 
 
-
 def oracle_sql() -> dict[str, str]:
     return sql.oracle_sql()

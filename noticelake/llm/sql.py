@@ -1,6 +1,6 @@
 """SQL for DuckDB that gives the rows of the operators' queries, where SQL can express them.
 
-op1 (line frequency) and op3 (tokens, packing) have none; tests hold them against plain versions.
+op1 (line frequency), op3, op11 and op12 (tokens) have none; tests hold them against plain versions.
 """
 
 from __future__ import annotations
@@ -137,6 +137,24 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, list_reduce(list_prepend(0.0::DOUBL
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 20"""
 
 
+def op13(rounds: int = 6) -> str:
+    steps = ""
+    for k in range(rounds + 1):
+        steps += f""",
+a{k} AS MATERIALIZED (SELECT r, p, x, min(d) AS d, min(e) FILTER (d = least) AS e FROM (SELECT *, min(d) OVER (PARTITION BY r, p) AS least
+  FROM (SELECT v.r, v.p, v.x, c.e, list_sum(list_transform(list_zip(v.x, c.c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM v JOIN c{k} c ON c.p = v.p)) GROUP BY r, p, x),
+s{k} AS (SELECT p, e, j, sum(y) AS s, count(*)::HUGEINT AS n FROM (SELECT p, e, unnest(x) AS y, generate_subscripts(x, 1) AS j FROM a{k}) GROUP BY p, e, j),
+m{k} AS (SELECT p, e, list((s - ((s % n) + n) % n) // n ORDER BY j)::BIGINT[] AS c FROM s{k} GROUP BY p, e),
+c{k + 1} AS MATERIALIZED (SELECT c.p, c.e, coalesce(m.c, c.c) AS c FROM c{k} c LEFT JOIN m{k} m ON m.p = c.p AND m.e = c.e)"""
+    return f"""WITH u AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(4096.0::DOUBLE * x)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+k AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY vec_id, v) - 1 AS r, len(v) AS n FROM u WHERE len(v) = (SELECT len(v) FROM u ORDER BY vec_id, v LIMIT 1)),
+v AS MATERIALIZED (SELECT r, p, v[p * n // 8 + 1 : (p + 1) * n // 8] AS x FROM k, range(8) t(p)), c0 AS MATERIALIZED (SELECT p, r AS e, x AS c FROM v WHERE r < 16){steps},
+f AS (SELECT r, string_agg(printf('%02x', e::INT), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a{rounds} GROUP BY r),
+h AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS h FROM c{rounds})
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, h AS codebooks_sha256 FROM k JOIN f ON f.r = k.r, h"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_license_scan": op2(),
@@ -147,4 +165,5 @@ def oracle_sql() -> dict[str, str]:
         "op8_chat_formatting": OP8,
         "op9_jaccard_join": OP9,
         "op10_nearest_vectors": OP10,
+        "op13_vector_codes": op13(),
     }

@@ -10,7 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from noticelake.llm import license, mixing, packing, pii, quality
+from noticelake.llm import license, mixing, packing, pii, quality, tokens
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 HARD = [(1, None, "a"), (2, "", "a"), (3, " \n\t ", None), (4, "a b c a b c a b c", "a"), (4, "a b c a b c a b c", "a"), (None, "x  y z\nx y z\n\nx  y z", "b"), (5, "é é \x1c ü", None), (6, "word " * 3000, "a")]
@@ -162,7 +162,7 @@ def test_tokenizers_that_reach_across_white_space(documents):
     P = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
 
-    assert packing.WordTokenizer(P.path("word_bpe_49k.json")).by_word
+    assert tokens.WordTokenizer(P.path("word_bpe_49k.json")).by_word
     path = P.path("byte_bpe_50k.json")
     plain = Tokenizer.from_file(path)
     rows = [(1, "Hello world, it's  two\n lines", "a"), (2, None, "a"), (3, " x", "a")]
