@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import blank, json_object, match_key, normalize_text, truncate
+from ..functions.text import blank, json_object, let, match_key, normalize_text, truncate
 
 #: A model's reply; other forms of a field are null, and so take the defaults.
 BRIEF = (
@@ -58,8 +58,8 @@ def parse_reply(reply: Column) -> Column:
 
 def grounded(items: Column, text: Column) -> Column:
     """Items that the notice's text holds, as they are or in match form."""
-    low, key = F.lower(blank(text)), match_key(text)
-    return F.filter(items, lambda x: F.contains(low, F.lower(x)) | F.contains(key, match_key(x)))
+    forms = F.struct(F.lower(blank(text)).alias("low"), match_key(text).alias("key"))
+    return let(forms, lambda t: F.filter(items, lambda x: F.contains(t["low"], F.lower(x)) | F.contains(t["key"], match_key(x))))
 
 
 def normalize_brief(df: DataFrame, reply: str, text: str, hinted: Column, org: Column | None = None, close: Column | None = None) -> DataFrame:

@@ -36,10 +36,11 @@ def split_by_cache(items: DataFrame, cache: DataFrame, keys: Sequence[str]) -> t
 
 
 def first_key_lookup(items: DataFrame, cache: DataFrame, candidates: Sequence[str], cache_key: str, value: str) -> DataFrame:
-    """items with the value cached under the first of its candidate keys that the cache has."""
+    """items with the value cached under the first of its candidate keys that the cache has. Of several values of a key the smallest
+    counts, so no item comes twice."""
     out, found = items, []
     for k, c in enumerate(candidates):
-        one = cache.select(F.col(cache_key).alias(f"__k{k}"), F.col(value).alias(f"__v{k}"))
+        one = cache.groupBy(F.col(cache_key).alias(f"__k{k}")).agg(F.min(value).alias(f"__v{k}"))
         out = out.join(one, F.col(c) == F.col(f"__k{k}"), "left")
         found.append(F.col(f"__v{k}"))
     return out.select(*items.columns, F.coalesce(*found).alias(value))

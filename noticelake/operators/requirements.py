@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import blank, let, match_key, repair_leniently
-from .documents import DATE_HINT
+from ..functions.text import blank, let, match_key, once, repair_leniently
+from .evidence import supported, with_support
 
 # Whole items that say nothing.
 BOILERPLATE = [
@@ -32,15 +32,9 @@ TECHNICAL_WORDS = (
 
 
 def has_evidence(item: Column, evidence: Column) -> Column:
-    """Whether the evidence holds the item, a date of it, or two (all, if fewer) of its tokens of four characters or more."""
-    dates = F.transform(F.regexp_extract_all(item, F.lit(f"({DATE_HINT})"), F.lit(1)), match_key)
-
-    def holds(x: Column) -> Column:
-        tokens = F.filter(F.split(x["key"], " "), lambda t: F.char_length(t) >= 4)
-        some = let(tokens, lambda ts: (F.size(ts) > 0) & (F.size(F.filter(ts, lambda t: F.contains(x["text"], t))) >= F.least(F.lit(2), F.size(ts))))
-        return (x["key"] != "") & (x["text"] != "") & (F.contains(x["text"], x["key"]) | F.exists(dates, lambda d: F.contains(x["text"], d)) | some)
-
-    return let(F.struct(match_key(item).alias("key"), match_key(evidence).alias("text")), holds)
+    """Whether the evidence holds the item, a date of it, or two (all, if fewer) of its tokens of four characters or more. For many
+    items of one text, ask for all at once (evidence.supported)."""
+    return F.get(supported(F.array(item), evidence), F.lit(0))
 
 
 def word_list(x: Column) -> Column:
@@ -78,29 +72,28 @@ def ordered_strings(items: Column) -> Column:
     return F.array_distinct(items)
 
 
-def ordered_distinct(items: Column) -> Column:
-    """Items in order, each match key once. Keys stand at the same places, so the first place of a key decides."""
-    keyed = F.struct(items.alias("items"), F.transform(items, match_key).alias("keys"))
-    return let(keyed, lambda s: F.filter(s["items"], lambda x, i: (F.get(s["keys"], i) != "") & (F.array_position(s["keys"], F.get(s["keys"], i)) == i + 1)))
+def first_of_each(items: Column, key) -> Column:
+    """Items in order, each key(item) once, none with an empty one. Sorted by key and place, an item stands if another key is before it."""
+    placed = F.transform(items, lambda x, i: F.struct(key(x).alias("key"), i.alias("i"), x.alias("item")))
+    by_key = lambda s: F.filter(s, lambda x, i: (x["key"] != "") & ((i == 0) | (F.get(s, i - 1)["key"] != x["key"])))
+    by_place = F.array_sort(F.transform(let(F.array_sort(placed), by_key), lambda x: F.struct(x["i"].alias("i"), x["item"].alias("item"))))
+    return F.transform(by_place, lambda x: x["item"])
 
 
-def cleaned(items: Column, evidence: Column, low: object, most: int, need_evidence: bool = True) -> Column:
-    """Items of a summary that stand: not boilerplate, not of low signal, with evidence, each once, at most so many."""
-    stands = lambda x: ~is_boilerplate(x) & ~low(x) & (has_evidence(x, evidence) if need_evidence else F.lit(True))
-    return F.slice(ordered_distinct(F.filter(items, stands)), 1, most)
+def ordered_distinct(items: Column) -> Column:
+    """Items in order, each match key once."""
+    return first_of_each(items, match_key)
 
 
 def clean_summary(df: DataFrame, evidence: str = "evidence") -> DataFrame:
-    """requirements (8), dates (6), risks (6, no evidence needed) and attachments_used (4) of a summary, normalised."""
-    e = F.col(evidence)
-    return df.withColumns(
-        {
-            "requirements": cleaned(F.col("requirements"), e, low_signal_requirement, 8),
-            "dates": cleaned(F.col("dates"), e, low_signal_date, 6),
-            "key_risks": cleaned(F.col("key_risks"), e, low_signal_risk, 6, need_evidence=False),
-            "attachments_used": F.slice(ordered_distinct(F.col("attachments_used")), 1, 4),
-        }
-    )
+    """requirements (8), dates (6), risks (6, no evidence needed) and attachments_used (4) of a summary, normalised: without what is
+    boilerplate, of low signal or (requirements and dates) not in the evidence, each once."""
+    says = lambda low: lambda x: ~is_boilerplate(x) & ~low(x)
+    told = once(df, {f"__{n}": F.filter(n, says(low)) for n, low in (("requirements", low_signal_requirement), ("dates", low_signal_date), ("key_risks", low_signal_risk))})
+    told = once(told, {f"__ok_{n}": with_support(F.col(f"__{n}"), F.col(evidence)) for n in ("requirements", "dates")})
+    stands = lambda n: F.transform(F.filter(f"__ok_{n}", lambda x: x["ok"]), lambda x: x["item"])
+    kept = {"requirements": (stands("requirements"), 8), "dates": (stands("dates"), 6), "key_risks": (F.col("__key_risks"), 6), "attachments_used": (F.col("attachments_used"), 4)}
+    return told.withColumns({n: F.slice(ordered_distinct(x), 1, most) for n, (x, most) in kept.items()}).select(*df.columns)
 
 
 # The categories of a structured summary, each with its test for low signal.
@@ -123,16 +116,18 @@ def clean_structured(df: DataFrame, attachment: str, evidence: str = "evidence")
     """Each category's array<struct<text, citations>> (with section_heading, if items have one): repaired texts, without those of low
     signal or (where there is evidence) without support in it, each match key once, with citations."""
 
-    def one(name, low):
+    def told(name, low):
         kind = df.schema[name].dataType.elementType
         heading = lambda x: x["section_heading"] if "section_heading" in kind.names else F.lit("")
         items = F.transform(F.col(name), lambda x: F.struct(repair_leniently(F.trim(blank(x["text"]))).alias("text"), citations(x["citations"], F.col(attachment), heading(x)).alias("citations")))
-        told = F.filter(items, lambda x: (x["text"] != "") & ~low(x["text"]) & ((blank(F.col(evidence)) == "") | has_evidence(x["text"], F.col(evidence))))
-        keyed = lambda xs: F.struct(xs.alias("items"), F.transform(xs, lambda x: match_key(x["text"])).alias("keys"))
-        first = lambda s: F.filter(s["items"], lambda x, i: (F.get(s["keys"], i) != "") & (F.array_position(s["keys"], F.get(s["keys"], i)) == i + 1))
-        return let(let(told, keyed), first)
-
-    return df.withColumns({n: one(n, low) for n, low in CATEGORIES.items() if n in df.columns})
+        return F.filter(items, lambda x: (x["text"] != "") & ~low(x["text"]))
+
+    names = {n: low for n, low in CATEGORIES.items() if n in df.columns}
+    whole = once(df, {f"__{n}": told(n, low) for n, low in names.items()})
+    whole = once(whole, {f"__ok_{n}": with_support(F.col(f"__{n}"), F.col(evidence), lambda x: x["text"]) for n in names})
+    stands = lambda n: F.filter(f"__ok_{n}", lambda x: (blank(F.col(evidence)) == "") | x["ok"])
+    out = whole.withColumns({n: first_of_each(F.transform(stands(n), lambda x: x["item"]), lambda x: match_key(x["text"])) for n in names})
+    return out.select(*df.columns)
 
 
 def route(item: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import evidence_score, semantic_score
-from ..functions.text import blank, listed, normalize_text
+from ..functions.text import blank, listed, normalize_text, once
 from ..plans import terms as T
 
 # Reasons for rejection, in the order in which they are tried.
@@ -46,11 +46,6 @@ def code_starts(codes: Column, prefixes: list[str]) -> Column:
     return F.exists(codes, lambda c: c.rlike("^(?:" + "|".join(prefixes) + ")"))
 
 
-def once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
-    """df with the columns, computed once for each row: a one-row generator, through which no later filter is pushed."""
-    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
-
-
 IN_TEXT = ("direct", "domain", "transform", "it", "portal", "supply", "hardware")
 IN_TITLE = ("allow_title", "allow_product", "negative")
 

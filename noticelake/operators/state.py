@@ -128,8 +128,8 @@ def upsert_cache(stored: DataFrame, incoming: DataFrame) -> DataFrame:
 
 
 def put_payload(stored: DataFrame, payloads: DataFrame, key: str, payload: str = "payload") -> DataFrame:
-    """stored with the payload of known keys replaced; unknown keys add nothing."""
-    new = payloads.select(F.col(key).alias("__key"), F.col(payload).alias("__new"))
+    """stored with the payload of known keys replaced; unknown keys add nothing. Of several payloads of a key the largest counts."""
+    new = payloads.groupBy(F.col(key).alias("__key")).agg(F.max(payload).alias("__new"))
     out = stored.join(new, F.col(key) == F.col("__key"), "left")
     return out.withColumn(payload, F.when(F.col("__key").isNotNull(), F.col("__new")).otherwise(F.col(payload))).drop("__key", "__new")
 

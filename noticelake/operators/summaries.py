@@ -18,6 +18,7 @@ from ..functions.numbers import percentage
 from ..functions.text import blank, cut_at_space, html_escape, let, match_key, scrub_pii, trimmed
 from ..functions.urls import display_url
 from .briefs import match_word
+from .daily import windows
 from .requirements import STAFFING_WORDS, SUBMISSION_WORDS, TECHNICAL_WORDS, ordered_strings
 
 ITEM = "struct<category:string,text:string,section_heading:string,page:int>"
@@ -181,32 +182,47 @@ def scrub_summary(summary: Column) -> Column:
     return out.withField("structured", items)
 
 
-def coverage(notices: DataFrame, attachments: str = "attachments", summaries: str = "summaries", needs: str = "needs", metrics: str = "metrics") -> DataFrame:
-    """One row: how many notices have attachments, summaries, requirements, dates, evaluation, submission, any of these; the sums
-    that jobs report; rates in per cent. One aggregation, summed on the map side."""
+def coverage_sums(attachments: str = "attachments", summaries: str = "summaries", needs: str = "needs", metrics: str = "metrics") -> dict[str, Column]:
+    """How many notices have attachments, summaries, requirements, dates, evaluation, submission, any of these; the sums that jobs
+    report. Each adds up over parts."""
     s = F.col(summaries)
     holds = lambda category: F.exists(s, lambda x: F.exists(x["structured"], lambda i: i["category"] == category))
     flags = {"with_attachments": some(F.col(attachments)), "with_summaries": some(s), "with_requirements": some(F.col(needs)), "with_dates": F.exists(s, lambda x: some(x["dates"])), "with_evaluation": holds("evaluation"), "with_submission": holds("submission")}
     flags["with_any_signal"] = flags["with_requirements"] | flags["with_dates"] | flags["with_evaluation"] | flags["with_submission"]
     total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
     count = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
-    out = notices.agg(
-        F.count("*").alias("notices"), *[count(c).alias(n) for n, c in flags.items()], total(F.greatest(F.coalesce(F.size(attachments), F.lit(0)), F.lit(0))).alias("attachments_total"),
-        *[total(F.coalesce(F.col(f"{metrics}.{m}"), F.lit(0))).alias(m) for m in METRICS],
-    )
-    rates = {f"{r}_rate": percentage(F.col(f"with_{r}"), F.col("notices")) for r in RATES}
-    return out.withColumns(rates | {"low_signal_rate": percentage(F.col("low_signal"), F.col("summary_exists"))})
+    jobs = {m: total(F.coalesce(F.col(f"{metrics}.{m}"), F.lit(0))) for m in METRICS}
+    return {"notices": F.count("*")} | {n: count(c) for n, c in flags.items()} | {"attachments_total": total(F.greatest(F.coalesce(F.size(attachments), F.lit(0)), F.lit(0)))} | jobs
+
+
+def coverage_rates(of=F.col) -> dict[str, Column]:
+    """Rates in per cent of sums; of(name) is a sum."""
+    return {f"{r}_rate": percentage(of(f"with_{r}"), of("notices")) for r in RATES} | {"low_signal_rate": percentage(of("low_signal"), of("summary_exists"))}
+
+
+def coverage(notices: DataFrame, **columns: str) -> DataFrame:
+    """One row of coverage_sums and their rates; added up on the map side."""
+    return notices.agg(*[c.alias(n) for n, c in coverage_sums(**columns).items()]).withColumns(coverage_rates())
+
+
+#: The windows of the coverage report, in days back from the day of the run (see daily.windows).
+WINDOWS = {"baseline": (30, 0), "current_week": (7, 0), "previous_week": (14, 7), "current_run": (1, 0)}
+
+
+def coverage_windows(parts: DataFrame, as_of: Column) -> DataFrame:
+    """One row: a struct of sums for each of the report's windows, from daily parts of coverage_sums."""
+    return windows(parts, as_of, WINDOWS, [c for c in parts.columns if c != "day"])
 
 
-def acceptance(run: DataFrame, baseline: DataFrame, durations: DataFrame, took: Column, cited: Column) -> DataFrame:
+def acceptance(by_window: DataFrame, durations: DataFrame, took: Column, cited: Column) -> DataFrame:
     """The limits: coverage 75, summaries with signal 60, provenance present, no more than 1.2 times the mean of the last runs,
-    at most 10 of low signal over the baseline. Each input is one row, or a few (durations)."""
+    at most 10 of low signal over the baseline. by_window is one row (coverage_windows), durations are a few."""
     mean = durations.agg(F.coalesce(F.floor(F.avg("seconds")), F.lit(0)).cast("long").alias("mean_seconds"))
-    whole = run.crossJoin(baseline.select(F.col("low_signal_rate").alias("baseline_rate"))).crossJoin(mean)  # one row each
-    signal = percentage(F.col("with_any_signal"), F.col("with_summaries"))
+    run, baseline = (lambda n, w=w: F.col(f"{w}.{n}") for w in ("current_run", "baseline"))
+    signal = percentage(run("with_any_signal"), run("with_summaries"))
     within = (F.col("mean_seconds") == 0) | (took <= F.floor(F.col("mean_seconds") * 1.2))
-    return whole.select(
-        (F.col("any_signal_rate") >= 75).alias("coverage_ok"), (signal >= 60).alias("signal_ok"), cited.alias("provenance_ok"), within.alias("duration_ok"), (F.col("baseline_rate") <= 10).alias("low_signal_ok"),
+    return by_window.crossJoin(mean).select(  # one row each
+        (coverage_rates(run)["any_signal_rate"] >= 75).alias("coverage_ok"), (signal >= 60).alias("signal_ok"), cited.alias("provenance_ok"), within.alias("duration_ok"), (coverage_rates(baseline)["low_signal_rate"] <= 10).alias("low_signal_ok"),
         signal.alias("signal_rate"), F.col("mean_seconds"),
     )
 
@@ -345,16 +361,13 @@ def digest_message(sender: str, to: Sequence[str], subject: str, page: str, atta
     return mail
 
 
-def coverage_report(windows: dict[str, DataFrame]) -> DataFrame:
-    """(section, metric, value): each window's counts and rates, and weekly_delta from current_week and previous_week."""
-    tall = None
-    for name, stats in windows.items():
-        listed = F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in stats.columns])).alias("x")
-        one = stats.select(F.lit(name).alias("section"), listed).select("section", "x.*")
-        tall = one if tall is None else tall.unionByName(one)
-    if not {"current_week", "previous_week"} <= set(windows):
-        return tall
-    rates = [f"{r}_rate" for r in RATES]
-    now, before = (windows[w].select(*[F.col(c).alias(f"{w}_{c}") for c in rates]) for w in ("current_week", "previous_week"))
-    delta = F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.round(F.col(f"current_week_{c}") - F.col(f"previous_week_{c}"), 2).alias("value")) for c in rates])).alias("x")
-    return tall.unionByName(now.crossJoin(before).select(F.lit("weekly_delta").alias("section"), delta).select("section", "x.*"))  # one row each
+def coverage_report(by_window: DataFrame) -> DataFrame:
+    """(section, metric, value): each window's sums and rates, and weekly_delta from current_week and previous_week, all from the one
+    row of coverage_windows."""
+    said = lambda section, metric, value: F.struct(F.lit(section).alias("section"), F.lit(metric).alias("metric"), value.cast("double").alias("value"))
+    of = {w: (lambda n, w=w: F.col(f"{w}.{n}")) for w in WINDOWS}
+    rates = {w: coverage_rates(at) for w, at in of.items()}
+    listed = [said(w, n, of[w](n)) for w in WINDOWS for n in by_window.schema[w].dataType.names]
+    listed += [said(w, r, c) for w in WINDOWS for r, c in rates[w].items()]
+    listed += [said("weekly_delta", f"{r}_rate", F.round(rates["current_week"][f"{r}_rate"] - rates["previous_week"][f"{r}_rate"], 2)) for r in RATES]
+    return by_window.select(F.inline(F.array(*listed)))

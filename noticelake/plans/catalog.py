@@ -10,10 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import numbers, text, urls
-from ..operators import documents, lookups, reports, requirements, rules, state, vectors
+from ..operators import documents, evidence, lookups, reports, requirements, rules, state, vectors
 from ..plans import terms
 from ..sources import files
+from ..streaming import keyed
 from ..streaming import state as streaming
+from ..streaming.buckets import BucketedTable
 from .registry import QUERIES, SQL, query, table  # noqa: F401
 
 AS_OF = "1996-06-01"
@@ -439,7 +441,9 @@ SELECT doc_id, pos, k <> '' AND (contains(body, k) OR len(list_filter(regexp_ext
   OR (len(tokens) > 0 AND len(list_filter(tokens, lambda t: contains(body, t))) >= least(2, len(tokens)))) AS supported FROM e""")
 def evidence_span(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select((F.col("doc_id") - 1).alias("doc_id"), "text")
-    return items(spark, sf_dir).join(d, "doc_id", "left").select("doc_id", "pos", requirements.has_evidence(F.col("item"), F.col("text")).alias("supported"))
+    listed = table(spark, sf_dir, "documents").select("doc_id", documents.line_list(F.col("text")).alias("items")).join(d, "doc_id", "left")
+    told = listed.select("doc_id", F.explode(evidence.with_support(F.col("items"), F.col("text"), lambda x: x["line"])).alias("x"))
+    return told.select("doc_id", "x.item.pos", F.col("x.ok").alias("supported"))
 
 
 @query(rf"""WITH {ITEMS}, w AS (SELECT *, length(item) AS n, regexp_extract_all(item, '[A-Za-z0-9]+') AS words FROM i),
@@ -610,21 +614,25 @@ def stream_upsert(spark, sf_dir):
     path = f"{sf_dir}/orders.parquet"
     stream = spark.readStream.schema(spark.read.parquet(path).schema).option("pathGlobFilter", "orders.parquet").parquet(sf_dir).select(F.col("o_custkey").alias("key"), F.col("o_orderdate").alias("seen_at"), F.col("o_orderkey").alias("amendment"))
     folder = streaming.work_folder(spark)
-    return streaming.upsert_stream(stream, streaming.SnapshotTable(spark, f"{folder}/state"), "key", [F.col("seen_at").desc(), F.col("amendment").desc()], f"{folder}/checkpoint", greatest=["amendment"])
+    return streaming.upsert_stream(stream, BucketedTable(spark, f"{folder}/state", "key"), [F.col("seen_at").desc(), F.col("amendment").desc()], f"{folder}/checkpoint", greatest=["amendment"])
 
 
 @query(f"""WITH {SPLIT}, f AS (SELECT key, seen_at, version, attachment_hash FROM old) SELECT 0::BIGINT AS batch, key, 'new' AS events FROM f UNION ALL
 SELECT 1, n.key, array_to_string(list_filter([CASE WHEN o.key IS NULL THEN 'new' END, CASE WHEN o.key IS NOT NULL AND n.version > o.version THEN 'amendment' END, CASE WHEN o.key IS NOT NULL AND n.seen_at <> o.seen_at THEN 'close_date_changed' END,
   CASE WHEN o.key IS NOT NULL AND n.attachment_hash <> o.attachment_hash THEN 'new_attachment' END], lambda x: x IS NOT NULL), ',') FROM new n LEFT JOIN old o ON n.key = o.key""")
 def stream_changes(spark, sf_dir):
-    """Orders in two batches, before and after a day: what each changes in the state of the one before."""
-    folder, cut = streaming.work_folder(spark), F.lit(CUT).cast("timestamp")
-    v = versions(spark, sf_dir).select("key", F.col("version").alias("amendment"), F.col("seen_at").alias("close_date"), "attachment_hash")
-    for part in (F.col("close_date") < cut, F.col("close_date") >= cut):
+    """Orders in two batches, before and after a day: what each changes in the state of the one before, by key in a state store."""
+    folder = streaming.work_folder(spark)
+    found = keyed.run_keyed(keyed.keyed_changes(two_batches(spark, sf_dir, folder)), f"{folder}/events", f"{folder}/checkpoint")
+    return found.filter(F.size("events") > 0).select("batch", "key", F.array_join("events", ",").alias("events"))
+
+
+def two_batches(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
+    """Orders as a stream of notices in two files, those before a day and the others."""
+    v = versions(spark, sf_dir).select("key", F.col("version").alias("amendment"), F.col("seen_at").cast("timestamp").alias("close_date"), "attachment_hash", F.col("seen_at").cast("timestamp").alias("seen_at"))
+    for part in (F.col("seen_at") < F.lit(CUT).cast("timestamp"), F.col("seen_at") >= F.lit(CUT).cast("timestamp")):
         v.filter(part).coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    stream = spark.readStream.schema(v.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
-    found = streaming.diff_stream(stream, streaming.SnapshotTable(spark, f"{folder}/state"), "key", [F.col("close_date").desc(), F.col("amendment").desc()], f"{folder}/checkpoint", f"{folder}/events", greatest=["amendment"])
-    return found.select("batch", "key", F.array_join("events", ",").alias("events"))
+    return spark.readStream.schema(v.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
 
 
 # ---- more functions and lookups ----
@@ -733,4 +741,4 @@ def any_signal(spark, sf_dir):
     return e.select("event_id", numbers.any_signal(F.col("m")).alias("signal"))
 
 
-from . import digest, records  # noqa: E402, F401  register their queries
+from . import digest, flows, records  # noqa: E402, F401  register their queries

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import reports, state, summaries
+from ..operators import daily, reports, state, summaries
 from ..functions import numbers
 from .registry import query, table
 
@@ -190,6 +190,13 @@ def covered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return notices(spark, sf_dir).withColumns({"attachments": listed(2, k % 2, lambda _: F.lit("a")), "metrics": metrics, "age": (k % 40).cast("int")})
 
 
+def coverage_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report's windows from daily parts: a notice's age in days tells its day."""
+    today = F.lit("2026-01-30").cast("date")
+    parts = daily.daily_parts(covered(spark, sf_dir), F.date_sub(today, F.col("age")), summaries.coverage_sums())
+    return summaries.coverage_windows(parts, today)
+
+
 @query(f"WITH {COVERED} {stats_sql()}")
 def attachment_coverage(spark, sf_dir):
     return summaries.coverage(covered(spark, sf_dir))
@@ -209,8 +216,7 @@ REPORT = f"WITH {COVERED}, " + ", ".join(f"w_{w} AS ({stats_sql(c)})" for w, c i
 @query(REPORT + " " + " UNION ALL ".join([tall_sql(f"w_{w}", [(n, n) for n in ALL_STATS], w) for w in WINDOWS] + [tall_sql("w_current_week a, w_previous_week b", [(f"{r}_rate", f"round(a.{r}_rate - b.{r}_rate, 2)") for r in summaries.RATES], "weekly_delta")]))
 def coverage_report(spark, sf_dir):
     """All windows of the report, and the change of the week."""
-    c = covered(spark, sf_dir)
-    return summaries.coverage_report({w: summaries.coverage(c.filter(cond)) for w, cond in WINDOWS.items()})
+    return summaries.coverage_report(coverage_windows(spark, sf_dir))
 
 
 @query(f"""{REPORT}, du AS (SELECT (user_id * 60)::BIGINT AS seconds FROM events WHERE event_type = 'purchase' ORDER BY ts DESC LIMIT 5), me AS (SELECT coalesce(floor(avg(seconds)), 0)::BIGINT AS mean_seconds FROM du),
@@ -218,11 +224,9 @@ sg AS (SELECT r.*, b.low_signal_rate AS baseline_rate, mean_seconds, CASE WHEN r
 SELECT any_signal_rate >= 75 AS coverage_ok, signal_rate >= 60 AS signal_ok, true AS provenance_ok, mean_seconds = 0 OR 4000 <= floor(mean_seconds * 1.2) AS duration_ok, baseline_rate <= 10 AS low_signal_ok, signal_rate, mean_seconds FROM sg""")
 def acceptance(spark, sf_dir):
     """The run's limits; purchases stand for earlier runs (see recent_durations), this one took 4000 seconds."""
-    c = covered(spark, sf_dir)
     started = F.col("ts") - F.make_dt_interval(F.lit(0), F.lit(0), F.col("user_id").cast("int"))
     runs = table(spark, sf_dir, "events").filter("event_type = 'purchase'").select(F.lit("ok").alias("status"), started.alias("started_at"), F.col("ts").alias("finished_at"))
-    run, baseline = summaries.coverage(c.filter(WINDOWS["current_run"])), summaries.coverage(c.filter(WINDOWS["baseline"]))
-    return summaries.acceptance(run, baseline, state.recent_durations(runs), F.lit(4000), F.lit(True))
+    return summaries.acceptance(coverage_windows(spark, sf_dir), state.recent_durations(runs), F.lit(4000), F.lit(True))
 
 
 @query("SELECT count_if(c_custkey % 5 <> 0 AND c_custkey % 3 = 0) AS new, count_if(c_custkey % 5 <> 0 AND c_custkey % 3 <> 0) AS updated FROM customer")

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import numbers, text, urls
-from ..operators import briefs, documents, lookups, notices, reports, requirements, rules, state, vectors
+from ..operators import briefs, daily, documents, lookups, notices, reports, requirements, rules, state, vectors
 from ..sources import files
 from .registry import query, table
 
@@ -183,10 +183,19 @@ def free_dates(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", numbers.parse_timestamp(raw).alias("parsed"))
 
 
-@query("SELECT * FROM (SELECT 'tender notice open data' AS name, 'CSV' AS format, 3 AS position, 115 AS score)")
+RESOURCE_NAMES, RESOURCE_FORMATS = ["awards open", "Tender notice new data", "tender open", "Tender notices, open data", "tender notice French"], ["csv", "XML", "Zip"]
+
+
+@query(f"""WITH r AS (SELECT page_id AS position, {RESOURCE_NAMES}[page_id % 5 + 1] || CASE WHEN page_id % 4 = 0 THEN ' ' || split_part(url, '/', 3) ELSE '' END AS name, {RESOURCE_FORMATS}[page_id % 3 + 1] AS format FROM pages),
+s AS (SELECT *, lower(name) AS l FROM r WHERE upper(format) IN ('CSV', 'ZIP') AND contains(lower(name), 'tender'))
+SELECT position, name, format, (CASE WHEN contains(l, 'tender') AND contains(l, 'notice') THEN 10 ELSE 0 END + CASE WHEN contains(l, 'open') THEN 100 ELSE 0 END + CASE WHEN contains(l, 'new') THEN 50 ELSE 0 END + CASE WHEN contains(l, 'en') THEN 5 ELSE 0 END
++ CASE WHEN contains(l, 'french') OR contains(l, 'fr') THEN 5 ELSE 0 END)::INT AS score FROM s ORDER BY score DESC, position LIMIT 1""")
 def resource_choice(spark, sf_dir):
-    rows = [("tender notice new data", "CSV", 0), ("awards open", "CSV", 1), ("tender open", "XML", 2), ("tender notice open data", "CSV", 3), ("tender notice open data", "ZIP", 4)]
-    return files.resource_choice(spark.createDataFrame(rows, "name string, format string, position int")).select("name", "format", "position", "score")
+    """Pages as the resources of a catalogue: named by turns, some after their hosts."""
+    k = F.col("page_id")
+    host = F.when(k % 4 == 0, F.concat(F.lit(" "), F.split_part("url", F.lit("/"), F.lit(3)))).otherwise("")
+    listed = table(spark, sf_dir, "pages").select(k.alias("position"), F.concat(pick(RESOURCE_NAMES, k), host).alias("name"), pick(RESOURCE_FORMATS, k).alias("format"))
+    return files.resource_choice(listed).select("position", "name", "format", "score")
 
 
 # ---- briefs ----
@@ -293,13 +302,12 @@ def rationales(spark, sf_dir):
 
 # ---- plain functions ----
 
-BUCKETS = ", ".join(f"{{'name': '{n}', 'words': {w}}}" for n, w in vectors.BUCKET_KEYWORDS.items())
-
-
-@query(f"SELECT b.name AS name, trim(lower(b.name || ' Work on ' || b.name || ' ' || array_to_string(b.words, ' ') || ' Replace  it’s')).replace('’', '''').replace('  ', ' ') AS text FROM (SELECT unnest([{BUCKETS}]) AS b)")
+@query("""SELECT p_partkey, replace(lower(concat_ws(' ', p_name, CASE WHEN p_size % 3 <> 0 THEN 'Work on  ' || p_brand END, CASE WHEN p_size % 2 = 0 THEN p_type || ' ' || p_brand END, 'Replace it' || chr(39) || 's')), '  ', ' ') AS text FROM part""")
 def bucket_texts(spark, sf_dir):
-    rows = spark.createDataFrame([(n, f"Work on {n}", w, ["Replace  it’s"]) for n, w in vectors.BUCKET_KEYWORDS.items()], "name string, description string, keywords array<string>, prototypes array<string>")
-    return rows.select("name", vectors.bucket_text(F.col("name"), F.col("description"), F.col("keywords"), F.col("prototypes")).alias("text"))
+    """Parts as buckets: with or without a description and keywords."""
+    size = F.col("p_size")
+    described, words = F.when(size % 3 != 0, said("Work on  ", F.col("p_brand"))).when(size % 2 == 0, ""), F.when(size % 2 == 0, F.array("p_type", "p_brand"))
+    return table(spark, sf_dir, "part").select("p_partkey", vectors.bucket_text(F.col("p_name"), described, words, F.array(F.lit("Replace  it’s"))).alias("text"))
 
 
 @query("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'x' ELSE 'a' END || ',b,' || CASE WHEN event_id % 3 = 0 THEN 'z' ELSE 'none' END AS merged, user_id::INT AS back, ts - INTERVAL 5 HOUR AS local FROM events")
@@ -320,10 +328,7 @@ def filtered_exports(spark, sf_dir):
 
 @query("SELECT CASE WHEN ts >= TIMESTAMP '2024-01-20' - INTERVAL 7 DAY THEN 'week' WHEN ts >= TIMESTAMP '2024-01-20' - INTERVAL 14 DAY THEN 'before' ELSE 'month' END AS part, count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-20' - INTERVAL 30 DAY AND ts < TIMESTAMP '2024-01-20' GROUP BY 1")
 def trailing_windows(spark, sf_dir):
-    e, now = table(spark, sf_dir, "events"), F.lit("2024-01-20").cast("timestamp")
-    parts = (("week", 7, 0), ("before", 14, 7), ("month", 30, 14))
-    out = None
-    for name, back, to in parts:
-        one = reports.between(e, "ts", now, back, to).groupBy(F.lit(name).alias("part")).agg(F.count("*").alias("n"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    parts = daily.daily_parts(table(spark, sf_dir, "events"), F.to_date("ts"), {"n": F.count("*")})
+    spans = {"week": (7, 0), "before": (14, 7), "month": (30, 14)}
+    found = daily.windows(parts, F.lit("2024-01-19").cast("date"), spans, ["n"])
+    return found.select(F.inline(F.array(*[F.struct(F.lit(w).alias("part"), F.col(f"{w}.n").alias("n")) for w in spans]))).filter("n > 0")

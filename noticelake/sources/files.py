@@ -6,11 +6,10 @@ import csv
 import io
 import re
 import zipfile
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from datetime import datetime, timedelta
-from html.entities import name2codepoint
+from html.entities import html5
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -18,8 +17,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.documents import normalize_extracted
-
+from ..functions.folders import work_folder
+from ..functions.text import trimmed
+from ..operators.documents import normalize_extracted, strip_page_lines
+from .blocks import numbered_lines, physical_lines, read_records, tail_lines
 
 
 @dataclass
@@ -40,10 +41,10 @@ WHOLE = Limits(*[None] * 7)
 
 
 class Reading:
-    """What a file is read with: its limits, and whether one has cut something."""
+    """What a file is read with: its limits, whether one has cut something, and members without a reader."""
 
     def __init__(self, limits: Limits):
-        self.limits, self.truncated = limits, False
+        self.limits, self.truncated, self.skipped = limits, False, 0
 
     def first(self, values: list, most: int | None) -> list:
         if most is not None and len(values) > most:
@@ -60,15 +61,18 @@ class Reading:
 
 
 def read_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """Header names decide; all strings; cells may hold line feeds and doubled quotes; bad bytes are replaced."""
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    found = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').option("enforceSchema", False).csv(path)
-    names = {c.lstrip("﻿"): c for c in found.columns}
-    return found.select(*[(F.col(f"`{names[f.name]}`") if f.name in names else F.lit(None)).cast("string").alias(f.name) for f in schema])
+    """Header names decide; all strings; cells may hold line feeds and doubled quotes; bad bytes are replaced. A file is read by block."""
+    found = read_records(spark, path)
+    return found.select(*[(F.col(f"`{c}`") if c in found.columns else F.lit(None).cast("string")).alias(c) for c in columns])
 
 
 def read_zipped_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """The first .csv member of each archive, by row. Archives are read in tasks; a row is yielded as it is parsed."""
+    """The first .csv member of each archive, by row."""
+    return zipped_rows(spark.read.format("binaryFile").load(path), columns)
+
+
+def zipped_rows(files: DataFrame, columns: list[str]) -> DataFrame:
+    """As read_zipped_csv, of archives in a column `content`. They are read in tasks; a row is yielded as it is parsed."""
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -88,12 +92,12 @@ def read_zipped_csv(spark: SparkSession, path: str, columns: list[str]) -> DataF
                     if held:
                         yield pd.DataFrame(held, columns=columns)
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, schema)
+    return files.select("content").mapInPandas(run, schema)
 
 
 def read_export(spark: SparkSession, path: str, dates: list[str], score: str = "score") -> DataFrame:
     """A CSV export as strings, empty for null, with <date>_dt and score_num beside; what cannot be read is null."""
-    raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    raw = read_records(spark, path)
     out = raw.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in raw.columns])
     out = out.withColumns({f"{d}_dt": F.try_to_timestamp(F.col(d)) for d in dates if d in out.columns})
     return out.withColumn("score_num", F.col(score).try_cast("double")) if score in out.columns else out
@@ -111,22 +115,24 @@ LEVEL = r"\b(DEBUG|INFO|WARNING|ERROR|CRITICAL)\b"
 
 
 def log_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line_no, level, line) of log files, numbered from 1 in each file. A file is one row until it is cut into lines."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split(F.regexp_replace("value", r"\n$", ""), "\n")).alias("at", "line"))
-    return whole.select("file", (F.col("at") + 1).alias("line_no"), F.regexp_extract("line", LEVEL, 1).alias("level"), "line")
+    """(file, line_no, level, line) of log files, numbered from 1 in each file; a file is read by block."""
+    return numbered_lines(spark, path).select("file", "line_no", F.regexp_extract("line", LEVEL, 1).alias("level"), F.regexp_replace("line", "\r$", "").alias("line"))
 
 
 def log_tail(spark: SparkSession, path: str, level: str | None = None, most: int = 200) -> DataFrame:
-    """(line_no, level, line): the last lines of a file, of one level if given."""
-    lines = log_lines(spark, path)
-    if level:
-        lines = lines.filter(F.col("level") == level)
-    return lines.orderBy(F.col("file").desc(), F.col("line_no").desc()).limit(most).orderBy("file", "line_no").select("line_no", "level", "line")
+    """(at, level, line): the last lines of a file (of several the last by name), of one level if given, with the bytes before them.
+    Only the blocks at the end are read that hold them."""
+    newest = spark.read.format("binaryFile").load(path).select("path").orderBy(F.col("path").desc()).first()
+    of_level = lambda line: (m := re.search(LEVEL, line)) is not None and m[1] == level
+    found = tail_lines(spark, newest["path"], most, of_level if level else None) if newest else []
+    lines = spark.createDataFrame(found, "at bigint, line string")
+    return lines.select("at", F.regexp_extract("line", LEVEL, 1).alias("level"), "line")
 
 
 def count_errors(spark: SparkSession, path: str) -> DataFrame:
     """(file, errors) of each log file."""
-    return log_lines(spark, path).groupBy("file").agg(F.count_if(F.col("level") == "ERROR").alias("errors"))
+    lines = physical_lines(spark, path).withColumn("level", F.regexp_extract("line", LEVEL, 1))
+    return lines.groupBy("file").agg(F.count_if(F.col("level") == "ERROR").alias("errors"))
 
 
 CATALOG = "success boolean, result struct<resources:array<struct<id:string,name:string,format:string,url:string,last_modified:string>>>"
@@ -150,13 +156,20 @@ def resource_choice(resources: DataFrame, preferred: str = "open") -> DataFrame:
     return resources.filter(fits).withColumn("score", score).orderBy(F.col("score").desc(), "position").limit(1)
 
 
+#: Tried in turn; the last fits any bytes.
+ENCODINGS = ("utf-8", "utf-16", "latin-1")
+
+
+def decodable(data: bytes, encoding: str) -> bool:
+    try:
+        data.decode(encoding)
+    except UnicodeDecodeError:
+        return False
+    return True
+
+
 def decode_text(data: bytes, reading: Reading) -> str:
-    for encoding in ("utf-8", "utf-16", "latin-1"):
-        try:
-            return reading.text([data.decode(encoding)])
-        except UnicodeDecodeError:
-            continue
-    return ""
+    return reading.text([data.decode(next(e for e in ENCODINGS if decodable(data, e)))])
 
 
 def docx_text(data: bytes, reading: Reading) -> str:
@@ -238,10 +251,13 @@ def sheet_hints(text: str, most: int = 5) -> list[str]:
 
 
 def zip_text(data: bytes, reading: Reading) -> str:
-    """Supported members under their names."""
+    """Supported members under their names; others, archives within it too, are counted as skipped."""
     out, total, limits = [], 0, reading.limits
     with zipfile.ZipFile(io.BytesIO(data)) as z:
-        for info in reading.first([i for i in z.infolist() if suffix(i.filename) in READERS and suffix(i.filename) != "zip"], limits.max_members):
+        members = [i for i in z.infolist() if not i.is_dir()]
+        supported = [i for i in members if suffix(i.filename) in READERS and suffix(i.filename) != "zip"]
+        reading.skipped += len(members) - len(supported)
+        for info in reading.first(supported, limits.max_members):
             total += info.file_size
             if limits.max_bytes is not None and total > limits.max_bytes:
                 reading.truncated = True
@@ -250,22 +266,17 @@ def zip_text(data: bytes, reading: Reading) -> str:
     return reading.text(out)
 
 
-def without_repeats(pages: list[str]) -> str:
-    """Pages without the lines that stand in them twice or more; one page as it is. (Of a table of pages: documents.strip_page_lines.)"""
-    if len(pages) < 2:
-        return "\n".join(pages).strip()
-    lines = [[x.strip() for x in p.splitlines() if x.strip()] for p in pages]
-    often = {x for x, n in Counter(x for p in lines for x in p).items() if n > 1}
-    return "\n\n".join(t for p in lines if (t := "\n".join(x for x in p if x not in often)))
+#: Stands between the pages of a text.
+PAGE_END = "\f"
 
 
 def pdf_text(data: bytes, reading: Reading) -> str:
-    """Text of a PDF by page, repeated lines out, if a reader is installed; else empty (needs_ocr then says so)."""
+    """Text of a PDF, pages apart by form feeds, if a reader is installed; else empty (needs_ocr then says so)."""
     try:
         from pypdf import PdfReader
     except ImportError:
         return ""
-    return reading.text([without_repeats([p.extract_text() or "" for p in PdfReader(io.BytesIO(data)).pages])])
+    return reading.text([(p.extract_text() or "").replace(PAGE_END, "\n") for p in PdfReader(io.BytesIO(data)).pages], PAGE_END)
 
 
 READERS = {"txt": decode_text, "csv": decode_text, "docx": docx_text, "xlsx": xlsx_text, "zip": zip_text, "pdf": pdf_text}
@@ -277,45 +288,85 @@ def suffix(name: str) -> str:
 
 def extract(content: bytes | None, name: str, limits: Limits | None = None) -> tuple[str, str | None, bool]:
     """Text and error of a file, and whether a limit has cut it; a bad file is no failure of the job."""
+    return read_file(content, name, limits)[:3]
+
+
+def read_file(content: bytes | None, name: str, limits: Limits | None = None) -> tuple[str, str | None, bool, int]:
+    """As extract, and how many members of an archive have no reader."""
     reading = Reading(limits or Limits())
     reader, most = READERS.get(suffix(name)), reading.limits.max_bytes
     if reader is None:
-        return "", "unsupported", False
-    if content is None or (most is not None and len(content) > most):
-        return "", "too large", False
+        return "", "unsupported", False, 0
+    if content is None:
+        return "", "no content", False, 0
+    if most is not None and len(content) > most:
+        return "", "too large", False, 0
     try:
-        return reader(content, reading), None, reading.truncated
+        return reader(content, reading), None, reading.truncated, reading.skipped
     except Exception as error:  # a damaged file says so in its row
-        return "", f"{type(error).__name__}: {error}", False
+        return "", f"{type(error).__name__}: {error}", False, 0
+
+
+EXTRACTED = "path string, text string, error string, needs_ocr boolean, truncated boolean, skipped int"
 
 
 def extract_files(files: DataFrame, least_pdf_chars: int = 50, limits: Limits | None = None) -> DataFrame:
-    """(path, text, error, needs_ocr, truncated) from binary files; the type goes by suffix. One file is in memory at a time."""
+    """(path, text, error, needs_ocr, truncated, skipped) from binary files; the type goes by suffix. One file is in memory at a time."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for path, content in zip(frame["path"], frame["content"]):
-                text, error, cut = extract(content, path, limits)
-                yield pd.DataFrame([[path, text, error, suffix(path) == "pdf" and len(text) < least_pdf_chars, cut]], columns=["path", "text", "error", "needs_ocr", "truncated"])
+                text, error, cut, skipped = read_file(content, path, limits)
+                yield pd.DataFrame([[path, text, error, suffix(path) == "pdf" and len(text) < least_pdf_chars, cut, skipped]], columns=[c.split()[0] for c in EXTRACTED.split(", ")])
+
+    return files.select("path", "content").mapInPandas(run, EXTRACTED)
+
 
-    return files.select("path", "content").mapInPandas(run, "path string, text string, error string, needs_ocr boolean, truncated boolean")
+def joined_pages(texts: DataFrame) -> DataFrame:
+    """(path, text): texts whose pages are apart by form feeds, without the lines that their pages share, pages apart by blank lines."""
+    pages = texts.select("path", F.posexplode(F.split("text", PAGE_END)).alias("at", "text")).withColumn("page", F.concat_ws("#", "path", "at"))
+    clean = strip_page_lines(pages, "path", "page").join(pages.select("page", "at"), "page")
+    kept = F.array_sort(F.collect_list(F.when(F.col("text") != "", F.struct("at", "text"))))
+    return clean.groupBy("path").agg(trimmed(F.array_join(F.transform(kept, lambda x: x["text"]), "\n\n")).alias("text"))
 
 
 def extracted_texts(files: DataFrame, limits: Limits | None = None) -> DataFrame:
-    """As extract_files, with the texts normalised: lines trimmed, repeated ones out, wrongly read characters repaired."""
-    found = extract_files(files, limits=limits)
-    return found.drop("text").join(normalize_extracted(found, "path"), "path")
+    """As extract_files, with the texts normalised: lines that a text's pages share out, lines trimmed, repeated ones out, wrongly read
+    characters repaired. The extracted texts are written first, so each file is read and parsed once."""
+    spark, schema = files.sparkSession, EXTRACTED
+    folder = work_folder(spark)
+    extract_files(files, limits=limits).write.parquet(f"{folder}/texts")
+    found = spark.read.schema(schema).parquet(f"{folder}/texts")
+    paged = F.lower("path").endswith(".pdf")
+    texts = found.filter(~paged).select("path", "text").unionByName(joined_pages(found.filter(paged)))
+    return found.drop("text").join(normalize_extracted(texts, "path"), "path")
+
+
+REFERENCE = "&(?:[A-Za-z][A-Za-z0-9]*|#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6});"
+
+
+def reference_values() -> dict[str, str]:
+    """What each named reference stands for (a no-break space as a plain one), and the numbers that browsers read as Windows-1252."""
+    named = {f"&{name}": " " if value == "\u00a0" else value for name, value in html5.items() if name.endswith(";")}
+    narrow = {str(n): bytes([n]).decode("cp1252", "replace") for n in range(0x80, 0xA0)}
+    return named | {n: c for n, c in narrow.items() if c != "\ufffd"}
 
 
 def decoded_entities(text: Column) -> Column:
-    """Named and numbered character references decoded, each distinct one of a text once; `&amp;` last."""
-    known = F.create_map(*[F.lit(x) for name, code in name2codepoint.items() if name != "amp" for x in (f"&{name};", " " if name == "nbsp" else chr(code))])
-    number = lambda e: F.when(e.rlike("^&#[xX]"), F.conv(F.regexp_extract(e, "([0-9A-Fa-f]+);", 1), 16, 10)).otherwise(F.regexp_extract(e, "([0-9]+);", 1)).cast("long")
-    char = lambda e: F.when(number(e).between(1, 0x10FFFF), F.decode(F.unhex(F.lpad(F.hex(number(e)), 8, "0")), "UTF-32"))
-    value = lambda e: F.coalesce(F.when(e.startswith("&#"), char(e)).otherwise(F.element_at(known, e)), e)
-    found = F.array_distinct(F.regexp_extract_all(text, F.lit("(&(?:[A-Za-z]+[0-9]*|#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6});)"), F.lit(1)))
-    out = F.aggregate(found, text, lambda t, e: F.replace(t, e, value(e)))
-    return F.when(F.contains(text, F.lit("&")), F.replace(out, F.lit("&amp;"), F.lit("&"))).otherwise(text)
+    """Character references decoded, each once, so `&amp;lt;` gives `&lt;`. Numbers that are no character give U+FFFD, unknown names
+    stay. The text is cut at its references and joined again: linear in its length."""
+    known = F.create_map(*[F.lit(x) for p in reference_values().items() for x in p])
+
+    def numbered(e: Column) -> Column:
+        number = F.when(e.rlike("^&#[xX]"), F.conv(F.regexp_extract(e, "([0-9A-Fa-f]+);", 1), 16, 10)).otherwise(F.regexp_extract(e, "([0-9]+);", 1)).cast("long")
+        none = (number == 0) | number.between(0xD800, 0xDFFF) | (number > 0x10FFFF)
+        char = F.decode(F.unhex(F.lpad(F.hex(F.when(~none, number)), 8, "0")), "UTF-32")
+        return F.when(none, "\ufffd").when(number == 0xA0, " ").otherwise(F.coalesce(F.when(number.between(0x80, 0x9F), F.element_at(known, number.cast("string"))), char))
+
+    value = lambda e: F.when(e.startswith("&#"), numbered(e)).otherwise(F.coalesce(F.element_at(known, e), e))
+    found = F.transform(F.regexp_extract_all(text, F.lit(f"({REFERENCE})"), F.lit(1)), value)
+    whole = F.array_join(F.zip_with(F.split(text, REFERENCE, -1), found, lambda x, v: F.concat(x, F.coalesce(v, F.lit("")))), "")
+    return F.when(F.contains(text, F.lit("&")), whole).otherwise(text)
 
 
 def html_text(df: DataFrame, html: str = "html") -> DataFrame:

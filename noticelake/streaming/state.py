@@ -2,21 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.folders import work_folder  # noqa: F401
 from ..operators.state import changes, latest_per_key, upsert
+from .buckets import BucketedTable
 
 
 class SnapshotTable:
     """A keyed state table as one Parquet snapshot for each batch, of which the last `keep` stay.
 
     A batch that runs again after a failure starts from the snapshot before it, so replays change nothing. Each batch rewrites the
-    snapshot: one shuffle of the state by key. (A table format with row-level merges would rewrite only the files it touches; none
-    is installed here.)
+    snapshot, which suits small results (windows); `buckets.BucketedTable` rewrites only what a batch touches.
     """
 
     def __init__(self, spark: SparkSession, folder: str, keep: int = 2):
@@ -53,22 +53,21 @@ class SnapshotTable:
                 self._fs().delete(self.spark._jvm.org.apache.hadoop.fs.Path(old), True)
 
 
-def upsert_stream(stream: DataFrame, table: SnapshotTable, key: str, order: list, checkpoint: str, **merge):
+def upsert_stream(stream: DataFrame, table: BucketedTable, order: list, checkpoint: str, **merge) -> DataFrame:
     """Runs what is available now: each batch's latest rows by key are merged into the state table."""
 
     def batch(df: DataFrame, number: int) -> None:
-        incoming = latest_per_key(df, key, order)
-        stored = table.before(number)
-        table.write(incoming if stored is None else upsert(stored, incoming, key, **merge), number)
+        table.merge(latest_per_key(df, table.key, order), number, **merge)
 
     query = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    return table.current()
+    return table.read()
 
 
 def diff_stream(stream: DataFrame, table: SnapshotTable, key: str, order: list, checkpoint: str, events: str, **merge) -> DataFrame:
-    """As upsert_stream; each batch's events (see state.changes) are written under `events` as (batch, key, events). A batch that runs
-    again overwrites its own events, and rows equal to what is stored give none."""
+    """As keyed.keyed_changes, by a join with a snapshot of all keys: for state tables that other jobs read as they are. Each batch's
+    events (see state.changes) are written under `events` as (batch, key, events). A batch that runs again overwrites its own
+    events, and rows equal to what is stored give none."""
 
     def batch(df: DataFrame, number: int) -> None:
         incoming = latest_per_key(df, key, order)
@@ -105,14 +104,3 @@ def run_to_table(stream: DataFrame, folder: str, schema_of: DataFrame) -> DataFr
     out = f"{folder.rstrip('/')}/out-{uuid.uuid4().hex}"
     stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-checkpoint").outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return schema_of.sparkSession.read.schema(schema_of.schema).parquet(out)
-
-
-def work_folder(spark: SparkSession) -> str:
-    """A new folder for state and checkpoints: under spark.checkpoint.dir, or a local one if that is unset and the master is local."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        master = spark.sparkContext.master
-        if not master.startswith("local") or "local-cluster" in master:
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = f"file://{tempfile.gettempdir()}/stream-{spark.sparkContext.applicationId}"
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from noticelake.operators import documents, requirements
 from noticelake.sources import files
 from noticelake.streaming import state as streaming
+from noticelake.streaming.buckets import BucketedTable
 
 
 def docs(spark, *texts):
@@ -72,7 +73,8 @@ def test_office_and_zip_text(spark, tmp_path):
     assert (text, error, cut) == ("SHEET: A\n2026-01-30\n5\nSHEET: B\n2026-01-30\n5", None, False) and files.sheet_hints(text) == ["Sheet: A", "Sheet: B"]
     assert files.extract(dated, "x.xlsx", files.Limits(max_sheets=1, max_rows=1)) == ("SHEET: A\n2026-01-30", None, True)
     assert files.extract(b"x" * 500_000, "t.txt") == ("x" * 400_000, None, True) and files.extract(b"x" * 500_000, "t.txt", files.WHOLE) == ("x" * 500_000, None, False)
-    assert files.without_repeats(["Head\na\n", " Head\nb"]) == "a\n\nb"
+    pages = spark.createDataFrame([("a.pdf", "Head\na\n\f Head\nb"), ("b.pdf", " one\n"), ("c.pdf", "")], "path string, text string")
+    assert {r["path"]: r["text"] for r in files.joined_pages(pages).collect()} == {"a.pdf": "a\n\nb", "b.pdf": "one", "c.pdf": ""}
     (tmp_path / "a.docx").write_bytes(docx)
     (tmp_path / "b.xlsx").write_bytes(xlsx)
     (tmp_path / "c.zip").write_bytes(zipped(n_dot_txt="inner", x_dot_exe="no"))
@@ -104,8 +106,9 @@ def test_exports_reports_and_logs(spark, tmp_path):
     (tmp_path / "r.json").write_text('{\n "totals": {"kept": 2},\n "reasons": {"a": 1}\n}')
     assert files.read_report(spark, str(tmp_path / "r.json")).first()["totals"]["kept"] == 2
     (tmp_path / "x.log").write_text("".join(f"2026 | {'ERROR' if k % 5 == 0 else 'INFO'} | line {k}\n" for k in range(1, 21)))
-    assert [r["line_no"] for r in files.log_tail(spark, str(tmp_path / "x.log"), most=3).collect()] == [18, 19, 20]
-    assert [(r["line_no"], r["level"]) for r in files.log_tail(spark, str(tmp_path / "x.log"), "ERROR", 2).collect()] == [(15, "ERROR"), (20, "ERROR")]
+    assert [r["line"][-2:] for r in files.log_tail(spark, str(tmp_path / "x.log"), most=3).collect()] == ["18", "19", "20"]
+    assert [(r["line"][-2:], r["level"]) for r in files.log_tail(spark, str(tmp_path / "x.log"), "ERROR", 2).collect()] == [("15", "ERROR"), ("20", "ERROR")]
+    assert sorted((r["line_no"], r["line"][-2:].strip()) for r in files.log_lines(spark, str(tmp_path / "x.log")).collect()) == [(k, str(k)) for k in range(1, 21)]
     assert files.count_errors(spark, str(tmp_path / "x.log")).first()["errors"] == 4
 
 
@@ -156,12 +159,12 @@ def test_a_batch_that_runs_twice_changes_nothing(spark, tmp_path):
 
 def test_stream_upsert_keeps_the_largest_amendment(spark, tmp_path):
     source, schema = tmp_path / "in", "key long, seen_at timestamp, amendment int"
-    table = streaming.SnapshotTable(spark, f"file://{tmp_path}/state")
+    table = BucketedTable(spark, f"file://{tmp_path}/state", "key", 4)
 
     def batch(rows):
         spark.createDataFrame(rows, "key long, seen_at string, amendment int").selectExpr("key", "cast(seen_at as timestamp) seen_at", "amendment").write.mode("append").parquet(str(source))
         stream = spark.readStream.schema(schema).parquet(str(source))
-        return streaming.upsert_stream(stream, table, "key", [F.col("seen_at").desc(), F.col("amendment").desc()], f"{tmp_path}/checkpoint", greatest=["amendment"])
+        return streaming.upsert_stream(stream, table, [F.col("seen_at").desc(), F.col("amendment").desc()], f"{tmp_path}/checkpoint", greatest=["amendment"])
 
     batch([(1, "2026-01-01", 2), (1, "2026-01-02", 3), (2, "2026-01-01", 0)])
     got = {r["key"]: r["amendment"] for r in batch([(1, "2026-01-03", 1), (3, "2026-01-03", 5)]).collect()}
