@@ -12,7 +12,8 @@ In roles and texts a backslash is doubled and `<` and `[` are followed by a back
 back. The loss mask covers the text of each assistant message, nothing else.
 
 Nulls: a null text is empty, a null role is an empty role, a null conv_id is a conversation, null seq comes first. Repeated
-rows are events of their own; ties of seq go by role, then text. An empty table gives an empty result. Extra columns are ignored.
+rows are events of their own; ties of seq go by role, text, then kind; of edits of one seq the one with the greatest text wins, and
+one without a target changes nothing. An empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -98,10 +99,10 @@ def format_conversations(events: DataFrame) -> DataFrame:
 
     A conversation's rows lie in one partition, in order; its formatted text is their segments joined.
     """
-    edits = events.filter(F.col("kind") == "edit").groupBy("conv_id", "target").agg(F.max(F.struct("seq", F.coalesce("text", F.lit("")).alias("text"))).alias("last"))
+    edits = events.filter((F.col("kind") == "edit") & F.col("target").isNotNull()).groupBy("conv_id", "target").agg(F.max(F.struct("seq", F.coalesce("text", F.lit("")).alias("text"))).alias("last"))
     edits = edits.select("conv_id", F.col("target").alias("seq"), F.col("last.text").alias("edited"))
     live = join_on(events.filter(~F.col("kind").eqNullSafe("edit")), edits, ["conv_id", "seq"], "left")
-    dealt = live.select("conv_id", "seq", "kind", "role", "text", "edited").repartition("conv_id").sortWithinPartitions("conv_id", "seq", "role", "text")
+    dealt = live.select("conv_id", "seq", "kind", "role", "text", "edited").repartition("conv_id").sortWithinPartitions("conv_id", "seq", "role", "text", "kind", "edited")
     return map_batches(dealt, folded, SEGMENTS)
 
 

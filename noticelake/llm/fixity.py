@@ -10,6 +10,8 @@ Nulls: a null payload is a record of an empty body, a null page_id or url is wri
 Repeated rows are records of their own. An empty table has no archives and no findings. Extra columns are ignored. A record that
 one replica lacks is `missing` (or `extra`); one that differs is `corrupt`; one that is whole but not in its order is `moved`.
 A record in another range is missing from its own and extra there. A member that can't be unpacked has the digest of its bytes.
+A range that a replica stores more than once differs from one that is stored once: equal copies are paired first, then the others
+in the order of their hashes; records of a copy that is left over are `extra` (of ours: `missing`).
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from difflib import SequenceMatcher
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_map, map_batches, materialize, shared_dir, slices
@@ -164,8 +166,10 @@ def hashed(batch: pa.RecordBatch) -> pa.RecordBatch:
 
 
 def tree(ranges: DataFrame) -> list[DataFrame]:
-    """Nodes by level, from ranges to roots: (archive, node, hash). A child's place goes into its parent's hash."""
-    levels = [ranges.select("archive", "node", "hash")]
+    """Nodes by level, from ranges to roots: (archive, node, hash). A child's place goes into its parent's hash, and how many copies of
+    a range there are into the range's."""
+    n, ends = F.count("*"), (F.min("hash"), F.max("hash"), F.bit_xor(F.xxhash64("hash")).cast("string"))
+    levels = [ranges.groupBy("archive", "node").agg(F.when(n == 1, F.min("hash")).otherwise(F.sha2(F.concat_ws(":", n.cast("string"), *ends), 256)).alias("hash"))]
     for _ in range(LEVELS - 1):
         child = F.concat_ws(":", F.lpad(F.col("node").cast("string"), 6, "0"), "hash")
         below = levels[-1].withColumn("child", child).groupBy("archive", F.shiftright("node", FAN_OUT_BITS).alias("node"))
@@ -228,5 +232,9 @@ def audit(ours: DataFrame | tuple[DataFrame, DataFrame], theirs: DataFrame | Non
     for level in range(LEVELS - 2, -1, -1):
         bad = differing(under(a[level], bad), under(b[level], bad))
     bad = materialize(bad, "differing")
-    sides = [x.select("archive", "node", F.col("records").alias(n)).join(bad, ["archive", "node"], "left_semi") for x, n in ((ours, "ours"), (theirs, "theirs"))]
-    return map_batches(sides[0].join(sides[1], ["archive", "node"], "full"), paired, FINDINGS)
+    alike, copy = Window.partitionBy("archive", "node", "hash").orderBy(F.xxhash64("records")), Window.partitionBy("archive", "node").orderBy("hash", "k")
+    sides = [x.join(bad, ["archive", "node"], "left_semi").withColumn("k", F.row_number().over(alike)) for x in (ours, theirs)]
+    equal = ["archive", "node", "hash", "k"]
+    left = [a.join(b.select(*equal), equal, "left_anti").withColumn("copy", F.row_number().over(copy)) for a, b in (sides, sides[::-1])]
+    told = [x.select("archive", "node", "copy", F.col("records").alias(n)) for x, n in zip(left, ("ours", "theirs"))]
+    return map_batches(told[0].join(told[1], ["archive", "node", "copy"], "full"), paired, FINDINGS)

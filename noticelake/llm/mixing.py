@@ -13,7 +13,9 @@ The ranking is never gathered by source: ranks are cut into buckets whose words
 bucket in which the target is reached is ordered exactly. A source with a third of all rows is thus spread evenly.
 
 Nulls: a null text has no words and is never taken beyond 0 words; null sources are one source, last in order; a null doc_id
-is hashed as such. Ties of rank go by doc_id, size, then place in the input. Empty table: empty result. Extra columns are ignored.
+is hashed as such. Each row has a random number of its own: rows that share id, source and text are told apart by numbers 0, 1,
+2, ..., dealt by counting them by partition, so the numbers of equal rows are the same however the input is split. Ties of rank
+go by doc_id, size, then place in the input. Empty table: empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Words, arrow_map, batch_of, join_on, looked_up, materialize
+from .common import Words, arrow_map, batch_of, join_on, looked_up, materialize, small_enough
 
 BUCKETS = 4096
 #: A probability below this is none.
@@ -32,7 +34,8 @@ NONE = 1e-12
 
 
 def sized(batch: pa.RecordBatch) -> pa.RecordBatch:
-    return batch_of(["doc_id", "source", "text_key", "size"], [batch.column("doc_id"), batch.column("source"), batch.column("text_key"), Words(batch.column("text")).counts])
+    kept = ["doc_id", "source", "text_key", "draw"]
+    return batch_of([*kept, "size"], [*[batch.column(c) for c in kept], Words(batch.column("text")).counts])
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), total_ratio: float = 1.5, max_ratio: float = 2.0) -> DataFrame:
@@ -80,9 +83,34 @@ def inclusion(by_class: DataFrame, targets: DataFrame, favour: float) -> DataFra
     return found.withColumns({"missing": missing, "certain": F.col("certain") + full.cast("long"), "p": F.when(full, F.lit(0.0)).otherwise(F.col("p"))}).select("source", "class", "source_size", "target", "certain", "p", "missing")
 
 
-def rank_key(p, seed: int):
+def drawn(*parts: Column) -> Column:
+    """A random whole number of 52 bits from a hash of the parts."""
+    told = [F.coalesce(p.cast("string"), F.lit("null")) for p in parts]
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *told)), 1, 13), 16, 10).cast("long")
+
+
+def own_draws(sizes: DataFrame) -> DataFrame:
+    """sizes in which rows with the same draw, equal rows above all, have draws of their own: from the first one and their number.
+
+    A row's number is its place among its equals in its partition and their count in the partitions before, so no window spans
+    more than one partition's equal rows.
+    """
+    several = looked_up(sizes.groupBy("draw").agg(F.count("*").alias("rows")).filter("rows > 1").select("draw"), "several")
+    if small_enough(several, 0):
+        return sizes
+    equal = sizes.join(several, "draw").select("draw", "row", F.shiftright("row", 33).alias("part"))
+    counts = equal.groupBy("draw", "part").agg(F.count("*").alias("rows"))
+    before = F.coalesce(F.sum("rows").over(Window.partitionBy("draw").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select("draw", "part", before.alias("before"))
+    place = F.row_number().over(Window.partitionBy("draw", "part").orderBy("row")) - 1
+    numbered = equal.withColumn("place", place).join(counts, ["draw", "part"]).select("row", "draw", (F.col("place") + F.col("before")).alias("n")).filter("n > 0")
+    anew = looked_up(numbered.select("row", drawn(F.col("draw"), F.col("n")).alias("own")), "draws")
+    return sizes.join(anew, "row", "left").withColumn("draw", F.coalesce("own", "draw")).drop("own")
+
+
+def rank_key(p):
     """The Pareto ranking variable as a number from 0 to 1 (q / (1+q), which keeps the order)."""
-    u = (F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))), 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 52))
+    u = (F.col("draw").cast("double") + 0.5) / F.lit(float(1 << 52))
     odds = (u / (1 - u)) / (p / (1 - p))
     return odds / (1 + odds)
 
@@ -90,14 +118,15 @@ def rank_key(p, seed: int):
 def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), total_ratio: float = 1.5, max_ratio: float = 2.0, seed: int = 7, favour: float = 0.25) -> DataFrame:
     """A row for each document: doc_id, text_key, source, size, source_size, target, copies, taken (copies times size)."""
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64("text").alias("text_key"), F.col("text").cast("string").alias("text"))
-    sizes = materialize(arrow_map(narrow, sized, "doc_id bigint, source string, text_key bigint, size bigint").withColumn("row", F.monotonically_increasing_id()), "sizes")
-    sizes = sizes.withColumn("class", size_class(F.col("size")))
+    narrow = narrow.withColumn("draw", drawn(F.lit(seed), F.col("doc_id"), F.col("source"), F.md5("text")))
+    sizes = materialize(arrow_map(narrow, sized, "doc_id bigint, source string, text_key bigint, draw bigint, size bigint").withColumn("row", F.monotonically_increasing_id()), "sizes")
+    sizes = own_draws(sizes).withColumn("class", size_class(F.col("size")))
     by_class = materialize(sizes.groupBy("source", "class").agg(F.sum("size").alias("words")), "classes")
     targets = source_targets(by_class.groupBy("source").agg(F.sum("words").alias("source_size")), weights, total_ratio, max_ratio)
     odds = looked_up(inclusion(by_class, targets, favour), "odds")
     ranked = (
         join_on(sizes, odds, ["source", "class"], "inner")
-        .withColumn("rank", F.when(F.col("p") > NONE, rank_key(F.col("p"), seed)).otherwise(F.lit(1.0)))
+        .withColumn("rank", F.when(F.col("p") > NONE, rank_key(F.col("p"))).otherwise(F.lit(1.0)))
         .withColumn("bucket", F.least(F.floor(F.col("rank") * BUCKETS), F.lit(BUCKETS - 1)))
     )
     ranked = materialize(ranked, "ranked")

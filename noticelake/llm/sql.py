@@ -42,7 +42,8 @@ FROM d LEFT JOIN g ON d.doc_id = g.doc_id LEFT JOIN v ON d.doc_id = v.doc_id"""
 
 
 def op4(seed: int = 7, favour: float = 0.25) -> str:
-    return f"""WITH z AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::BIGINT AS size FROM documents),
+    return f"""WITH h AS (SELECT doc_id, source, text, ('0x' || substr(md5(concat_ws(':', '{seed}', coalesce(doc_id::VARCHAR, 'null'), coalesce(source, 'null'), coalesce(md5(text), 'null'))), 1, 13))::BIGINT AS draw, row_number() OVER (PARTITION BY doc_id, source, text) - 1 AS n FROM documents),
+z AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::BIGINT AS size, CASE WHEN n = 0 THEN draw ELSE ('0x' || substr(md5(draw || ':' || n), 1, 13))::BIGINT END AS draw FROM h),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, [5.0, 2.0, 1.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS weight FROM z GROUP BY source),
 c AS (SELECT *, 2.0::DOUBLE * source_size AS cap, 1.5::DOUBLE * sum(source_size) OVER () AS total, sum(weight) OVER () AS all_weight, row_number() OVER o AS turn,
   coalesce(sum(2.0::DOUBLE * source_size) OVER (ORDER BY 2.0::DOUBLE * source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cap_before,
@@ -56,7 +57,7 @@ x3 AS (SELECT *, sum(words * f) OVER (PARTITION BY source ORDER BY class DESC RO
 x4 AS (SELECT *, CASE WHEN rest > 0 THEN (missing - before) / rest ELSE 0 END AS level FROM x3),
 x5 AS (SELECT * EXCLUDE (level), arg_max(level, class) FILTER (level * f <= 1 + 1e-12) OVER (PARTITION BY source) AS level FROM x4), x6 AS (SELECT *, greatest(level * f, 0) AS p0 FROM x5),
 x7 AS (SELECT source, class, source_size, target, certain + (p0 >= 1 - 1e-12)::INT AS certain, CASE WHEN p0 >= 1 - 1e-12 THEN 0 ELSE p0 END AS p, missing - coalesce(sum(words) FILTER (p0 >= 1 - 1e-12) OVER (PARTITION BY source), 0)::DOUBLE AS missing FROM x6),
-p AS (SELECT z.*, source_size, target, certain, p, missing, (('0x' || substr(md5('{seed}:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE AS u FROM z JOIN x7 ON z.source IS NOT DISTINCT FROM x7.source AND length(bin(size)) = x7.class),
+p AS (SELECT z.*, source_size, target, certain, p, missing, (draw::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE AS u FROM z JOIN x7 ON z.source IS NOT DISTINCT FROM x7.source AND length(bin(size)) = x7.class),
 q AS (SELECT *, CASE WHEN p > 1e-12 THEN (u / (1 - u)) / (p / (1 - p)) END AS odds FROM p),
 k AS (SELECT *, CASE WHEN odds IS NULL THEN 1.0::DOUBLE ELSE odds / (1 + odds) END AS rank FROM q),
 a AS (SELECT *, sum(CASE WHEN p > 1e-12 THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY rank, doc_id, size ROWS UNBOUNDED PRECEDING) AS upto FROM k),

@@ -81,7 +81,12 @@ def plain_mix(rows, seed=7):
             break
         target |= {s: 2.0 * total[s] for s in over}
         left = [s for s in left if s not in over]
-    copies = [0] * len(rows)
+    copies, equal, draws = [0] * len(rows), Counter(), []
+    drawn = lambda *parts: int(hashlib.md5(":".join("null" if x is None else str(x) for x in parts).encode()).hexdigest()[:13], 16)
+    for i, t, s in rows:
+        first, n = drawn(seed, i, s, None if t is None else hashlib.md5(t.encode()).hexdigest()), equal[i, t, s]
+        equal[i, t, s] += 1
+        draws.append(drawn(first, n) if n else first)
     for s in order:
         own = [k for k, r in enumerate(rows) if r[2] == s]
         certain = math.floor(target[s] / total[s] + 1e-12) if total[s] else 0
@@ -106,7 +111,7 @@ def plain_mix(rows, seed=7):
         for k in own:
             copies[k] = certain + (kind[k] in full)
             if kind[k] not in full and p[kind[k]] > 1e-12:
-                u = (int(hashlib.md5(f"{seed}:{'null' if rows[k][0] is None else rows[k][0]}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+                u = (draws[k] + 0.5) / 2**52
                 odds = (u / (1 - u)) / (p[kind[k]] / (1 - p[kind[k]]))
                 drawn.append((odds / (1 + odds), rows[k][0] is not None, rows[k][0] or 0, sizes[k], k))
         reached = 0

@@ -230,6 +230,37 @@ def test_fixity_reads_stored_files(spark):
     assert [x[1] for x in got if x[0] == "moved"] in ([48], [49])
 
 
+def test_ranges_that_a_replica_holds_more_than_once(spark):
+    pages = [(i, f"http://h/{i}", f"<p>{i}</p>") for i in range(100)]
+    ours = fixity.archives(spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1))
+    rows = [r.asDict() for r in ours.collect()]
+    at = {r["node"]: r for r in rows}
+
+    def changed(node, change):
+        row = at[node]
+        return dict(row) | dict(zip(row, fixity.piece(0, node, row["offset"], change([(p, u, fixity.unpacked(m)) for p, u, _, m in fixity.members(row)]))))
+
+    rot = lambda x: [(p, u, r[:-5] + b"!" + r[-4:] if p % 16 == 3 else r) for p, u, r in x]
+
+    def found(replica):
+        theirs = fixity.stored(spark.createDataFrame([tuple(r.values()) for r in replica], fixity.STORED), "replica")
+        return sorted((r["status"], r["page_id"]) for r in fixity.audit(ours, theirs).collect())
+
+    assert found([*rows, at[0]]) == [("extra", k) for k in range(16)]  # twice
+    assert found([*rows, at[0], at[0], at[2]]) == sorted([("extra", k) for k in range(16)] * 2 + [("extra", k) for k in range(32, 48)])
+    assert found([*rows, changed(1, rot)]) == [("extra", k) for k in range(16, 32)]  # twice, one of them corrupt
+    both = [r for r in rows if r["node"] != 1] + [changed(1, rot), changed(1, lambda x: x[1:])]
+    got = found(both)  # two copies, neither whole: one is compared, the other is surplus
+    assert {s for s, _ in got} in ({"corrupt", "extra"}, {"missing", "extra"}) and sum(s == "extra" for s, _ in got) in (15, 16)
+    assert found(rows) == [] and found([r for r in rows if r["node"] != 6]) == [("missing", k) for k in range(96, 100)]
+
+
+def test_an_edit_without_a_target_changes_nothing(spark):
+    log = [(1, None, "message", None, "user", "first"), (1, 2, "message", None, "assistant", "second"), (1, 3, "edit", None, "user", "EDITED"), (1, 4, "edit", 2, "user", "a"), (1, 4, "edit", 2, "user", "b")]
+    turns = [r["segment"] for r in chat.format_conversations(spark.createDataFrame(log, chat.EVENTS)).orderBy("turn_no").collect()]
+    assert turns == ["<s>[INST]first[/INST]", "[OUT]b</s>"]
+
+
 @pytest.mark.parametrize("events", [chat.message_events, chat.turn_events])
 def test_chat_round_trip(spark, events):
     rng = random.Random(9)

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from noticelake.llm import license, mixing, packing, pii, quality, tokens
 
@@ -223,6 +224,25 @@ def test_mix(documents):
         assert target[k] == pytest.approx(want[k]) and abs(taken[k] - want[k]) <= largest / 2
 
 
+@pytest.mark.parametrize("rows", [
+    [(None, f"w{i} b c d", "a") for i in range(600)],  # no ids
+    [(7, f"w{i} b c d", "a") for i in range(600)],  # one id
+    [(None, "all the same words", "a")] * 600,  # equal rows
+], ids=["null ids", "one id", "equal"])
+def test_rows_without_an_id_of_their_own_are_drawn_at_random(documents, rows):
+    """Of 600 rows of one size half a copy more is taken on average, evenly over the file, and as often however the rows are split."""
+    got = mixing.mix_sources(documents(rows).coalesce(1).withColumn("doc_id", F.col("doc_id"))).collect()
+    copies = [r["copies"] for r in got]
+    extra = sum(c == 2 for c in copies)
+    assert sum(copies) == 900 and set(copies) == {1, 2} and extra == 300
+    if rows[0][1] != rows[1][1]:  # which of equal rows is taken shows nowhere
+        where = {r["text_key"]: k for k, r in enumerate(documents(rows).coalesce(1).select(F.xxhash64("text").alias("text_key")).collect())}
+        thirds = Counter(where[r["text_key"]] // 200 for r in got if r["copies"] == 2)
+        assert all(70 < thirds[k] < 130 for k in range(3))
+    other = mixing.mix_sources(documents(rows).repartition(3)).collect()
+    assert Counter((r["text_key"], r["copies"]) for r in other) == Counter((r["text_key"], r["copies"]) for r in got)
+
+
 def test_chances_differ_by_size_and_come_to_what_is_missing(spark):
     rng = random.Random(8)
     words = {("a", k): rng.randint(1, 10**6) for k in range(1, 15)} | {(None, k): rng.randint(1, 100) for k in range(1, 6)} | {("c", 1): 0, ("d", 3): 40}
