@@ -5,9 +5,11 @@ in order by a Hilbert curve. Spark range-partitions each ordering; in it a run o
 window before and after it, for the queries among them; so neighbouring windows overlap. The curves' findings are merged and
 reranked. On vectors with structure that is nearly all; on others (isotropic noise in many dimensions) no such ordering finds
 enough, so a second pass makes the result whole: vectors in runs of one ordering, and queries in such runs, each run with centre
-and radius. Only the runs' summaries are paired at first: a pair stays where its bound (the largest product that a query and a
-vector of the two can have) reaches the least that one of its queries has found. Vectors go only to pairs that stay, and are
-searched for the queries whose own bound reaches what they have. The result is exact.
+and radius, and groups of runs with theirs: a tree of three levels on either side. Groups are paired first, then the runs below
+pairs of groups that stay: a pair stays where its bound (the largest product that a query and a vector of the two can have)
+reaches the least that one of its queries has found. Query runs are dealt to parts; a run of vectors goes once to each part that
+has a query run it is paired with, and is searched for the queries whose own bound reaches what they have by then. The result
+is exact.
 
 Inner products are sums of products of doubles from the first component to the last; a faster product only preselects, with a
 margin above its rounding. Vectors of other lengths than the query's are no candidates for it.
@@ -33,7 +35,12 @@ from .common import batch_of, looked_up, map_batches, materialize, small_enough
 MARGIN = 1e-9
 #: Parts that blocks of queries are dealt to at most.
 MOST_PARTS = 4096
-BLOCKS = "block string, dim int, ids binary, vectors binary, centre binary, radius double, norm double, least binary, floor double"
+#: Blocks of a group.
+FAN = 32
+#: Tasks for each shuffle partition that parts of queries, times salts of vectors, should come to.
+SPREAD = 4
+BLOCKS = "block string, grp string, dim int, ids binary, vectors binary, centre binary, radius double, norm double, least binary, floor double"
+GROUPS = "grp string, dim int, centre binary, radius double, norm double, floor double"
 FOUND = "query_id bigint, vec_id bigint, score double"
 
 
@@ -146,8 +153,8 @@ def blocker(window: int):
                 centre = y.mean(axis=0)
                 radius, norm = np.sqrt(((y - centre) ** 2).sum(axis=1).max()), np.sqrt((y * y).sum(axis=1).max())
                 count += 1
-                values = (f"{task}-{count}", dim, ids[part].tobytes(), x[part].tobytes(), centre.tobytes(), float(radius), float(norm), floor.tobytes(), float(floor.min()))
-                kinds = [pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.float64(), pa.float64(), pa.binary(), pa.float64()]
+                values = (f"{task}-{count}", f"{task}-{dim}-{count // FAN}", dim, ids[part].tobytes(), x[part].tobytes(), centre.tobytes(), float(radius), float(norm), floor.tobytes(), float(floor.min()))
+                kinds = [pa.string(), pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.float64(), pa.float64(), pa.binary(), pa.float64()]
                 yield batch_of([f.split()[0] for f in BLOCKS.split(", ")], [pa.array([v], t) for v, t in zip(values, kinds)])
 
     return run
@@ -186,33 +193,90 @@ def _found(rows):
     return batch_of(["query_id", "vec_id", "score"], [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.float64()))])
 
 
-PAIRED = "block string, asking string"
+def summed_up(blocks: pa.Table) -> pa.Table:
+    """A group of blocks (at most FAN) as one: a ball that holds theirs."""
+    centres = np.stack([np.frombuffer(c) for c in blocks.column("centre").to_pylist()])
+    centre = centres.mean(axis=0)
+    away = np.sqrt(((centres - centre) ** 2).sum(axis=1)) * (1 + MARGIN)
+    of = lambda n: blocks.column(n).to_numpy()
+    values = (blocks.column("grp")[0].as_py(), blocks.column("dim")[0].as_py(), centre.tobytes(), float((away + of("radius")).max()), float(of("norm").max()), float(of("floor").min()))
+    kinds = [pa.string(), pa.int32(), pa.binary(), pa.float64(), pa.float64(), pa.float64()]
+    return pa.table([pa.array([v], t) for v, t in zip(values, kinds)], names=[f.split()[0] for f in GROUPS.split(", ")])
 
 
-def reaching(batches):
-    """Pairs of a block and a block of queries that may hold a product as large as the least that one of the queries has found."""
-    for b in batches:
-        rows = []
-        for r in b.to_pylist():
-            c, q = np.frombuffer(r["centre"]), np.frombuffer(r["q_centre"])
-            most = c @ q + np.sqrt(c @ c) * r["q_radius"] + r["radius"] * (np.sqrt(q @ q) + r["q_radius"])
-            most = min(most, r["norm"] * r["q_norm"])
-            if most + abs(most) * MARGIN + MARGIN >= r["q_floor"]:
-                rows.append((r["block"], r["asking"]))
-        if rows:
-            yield batch_of(["block", "asking"], [pa.array(c, pa.string()) for c in zip(*rows)])
+def groups_of(blocks: DataFrame) -> DataFrame:
+    return blocks.select("grp", "dim", "centre", "radius", "norm", "floor").groupBy("grp").applyInArrow(summed_up, GROUPS)
+
+
+def reaching(one: str, other: str):
+    """Pairs (one, other) of vectors and queries that may hold a product as large as the least that one of the queries has found."""
+
+    def run(batches):
+        for b in batches:
+            dims = b.column("dim").to_numpy()
+            for dim in np.unique(dims).tolist():
+                part = b.filter(pa.array(dims == dim))
+                c, q = (np.frombuffer(b"".join(part.column(n).to_pylist())).reshape(-1, dim) for n in ("centre", "q_centre"))
+                radius, norm, q_radius, q_norm, floor = (part.column(n).to_numpy() for n in ("radius", "norm", "q_radius", "q_norm", "q_floor"))
+                long, q_long = (np.sqrt((x * x).sum(axis=1)) for x in (c, q))
+                most = np.minimum((c * q).sum(axis=1) + long * q_radius + radius * (q_long + q_radius), norm * q_norm)
+                stays = pa.array(most + np.abs(most) * MARGIN + MARGIN >= floor)
+                yield batch_of([one, other], [part.column(n).filter(stays) for n in (one, other)])
+
+    return run
+
+
+SIDE = "part int, salt int, vectors boolean, asking string, askings array<string>, dim int, ids binary, x binary, centre binary, radius double, least binary"
+
+
+class Asking:
+    """A block of queries with the best each has found: at most k, and the least that counts."""
+
+    def __init__(self, ids, x, least, k):
+        self.ids, self.x, self.least, self.k = ids, x, least.copy(), k
+        self.norm, self.row, self.found = np.sqrt((x * x).sum(axis=1)), {int(i): n for n, i in enumerate(ids)}, [[] for _ in ids]
+
+    def meet(self, ids, x, centre, radius) -> None:
+        bound = self.x @ centre + self.norm * radius
+        reach = np.flatnonzero(bound + np.abs(bound) * MARGIN + MARGIN >= self.least)
+        changed = set()
+        for query, vec, score in best(self.ids[reach], self.x[reach], self.least[reach], ids, x, self.k):
+            n = self.row[query]
+            self.found[n].append((-score, vec))
+            changed.add(n)
+        for n in changed:
+            self.found[n] = sorted(self.found[n])[: self.k]
+            if len(self.found[n]) == self.k:
+                self.least[n] = max(self.least[n], -self.found[n][-1][0])
+
+    def rows(self):
+        return [(int(i), vec, -score) for i, found in zip(self.ids, self.found) for score, vec in found]
 
 
 def across(k: int, kind: str):
+    """What the queries of each part find in the blocks of vectors that are sent to it, one block after the other."""
+
     def run(batches):
+        at, held = None, {}
+
+        def closed():
+            for asking in held.values():
+                if rows := asking.rows():
+                    yield _found(rows)
+            held.clear()
+
         for b in batches:
             for r in b.to_pylist():
-                q_ids, least = np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["q_least"])
-                q, x = (np.frombuffer(r[n], kind).astype(np.float64).reshape(-1, r["dim"]) for n in ("q_vectors", "vectors"))
-                bound = q @ np.frombuffer(r["centre"]) + np.sqrt((q * q).sum(axis=1)) * r["radius"]
-                reach = bound + np.abs(bound) * MARGIN + MARGIN >= least
-                if rows := best(q_ids[reach], q[reach], least[reach], np.frombuffer(r["ids"], np.int64), x, k):
-                    yield _found(rows)
+                if (r["part"], r["salt"]) != at:
+                    yield from closed()
+                    at = (r["part"], r["salt"])
+                ids, x = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["x"], kind).astype(np.float64).reshape(-1, r["dim"])
+                if r["vectors"]:
+                    for name in r["askings"]:
+                        held[name].meet(ids, x, np.frombuffer(r["centre"]), r["radius"])
+                else:
+                    held[r["asking"]] = Asking(ids, x, np.frombuffer(r["least"]), k)
+        yield from closed()
 
     return run
 
@@ -222,11 +286,26 @@ def ranked(found: DataFrame) -> DataFrame:
     return found.dropDuplicates(["query_id", "vec_id"]).withColumn("rank", F.row_number().over(order))
 
 
+def paired(blocks: DataFrame, asking: DataFrame) -> DataFrame:
+    """(block, asking): the pairs of blocks that may hold a neighbour. Only groups of blocks, one row for some FAN * window vectors
+    and one for as many queries, meet without a key but their length; blocks meet through the groups that stay."""
+    told = ("centre", "radius", "norm", "floor")
+    groups = materialize(groups_of(blocks), "groups")
+    q_blocks = asking.select("dim", F.col("q_grp").alias("grp"), *[F.col(f"q_{c}").alias(c) for c in told])
+    q_groups = materialize(groups_of(q_blocks).select(F.col("grp").alias("q_grp"), "dim", *[F.col(c).alias(f"q_{c}") for c in told]), "query-groups")
+    parts = max(1, min(q_groups.count(), MOST_PARTS))
+    everywhere = F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part")
+    dealt = q_groups.withColumn("part", F.pmod(F.xxhash64("q_grp"), F.lit(parts)).cast("int"))
+    near = map_batches(groups.select("*", everywhere).join(looked_up(dealt, "told"), ["part", "dim"]), reaching("grp", "q_grp"), "grp string, q_grp string")
+    below = near.join(blocks.select("grp", "block", "dim", "centre", "radius", "norm"), "grp")
+    below = below.join(asking.select("q_grp", "asking", *[f"q_{c}" for c in told]), "q_grp")
+    return map_batches(below, reaching("block", "asking"), "block string, asking string")
+
+
 def nearest(vectors: DataFrame, asks, k: int = 20, curves: int = 4, axes: int = 6, bits: int = 10, window: int = 1024, query_block: int = 1024, seed: int = 11, whole: bool = True) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest of each row for which the condition `asks` holds, among all other rows.
 
-    With whole=False, what the curves' windows find, without the second pass. Blocks of queries are dealt out and meet the
-    summaries of all blocks of vectors; that is a stated set of queries against all rows, in blocks.
+    With whole=False, what the curves' windows find, without the second pass.
     """
     single = isinstance(vectors.schema["embedding"].dataType.elementType, T.FloatType)
     kind, element = ("<f4", "float") if single else ("<f8", "double")
@@ -251,13 +330,16 @@ def nearest(vectors: DataFrame, asks, k: int = 20, curves: int = 4, axes: int =
     blocks = materialize(map_batches(ordered(keyed(rows, 1)).withColumn("least", none), blocker(window), BLOCKS), "blocks")
     reached = first.filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("least"))
     asking = keyed(rows.filter("asks"), 1).join(reached, "vec_id", "left")
-    asking = materialize(map_batches(ordered(asking), blocker(query_block), BLOCKS).select(F.col("block").alias("asking"), "dim", *[F.col(c).alias(f"q_{c}") for c in ("ids", "vectors", "centre", "radius", "norm", "least", "floor")]), "queries")
+    asking = materialize(map_batches(ordered(asking), blocker(query_block), BLOCKS).select(F.col("block").alias("asking"), "dim", *[F.col(c).alias(f"q_{c}") for c in ("grp", "ids", "vectors", "centre", "radius", "norm", "least", "floor")]), "queries")
+    pairs = materialize(paired(blocks, asking), "pairs")
     parts = max(1, min(asking.count(), MOST_PARTS))
-    dealt = F.pmod(F.xxhash64("asking"), F.lit(parts)).cast("int").alias("part")
-    told = asking.select(dealt, "asking", "dim", "q_centre", "q_radius", "q_norm", "q_floor")
-    everywhere = F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part")
-    pairs = blocks.select("block", "dim", "centre", "radius", "norm", everywhere).join(looked_up(told, "told"), ["part", "dim"])
-    pairs = materialize(map_batches(pairs, reaching, PAIRED), "pairs")
-    meeting = blocks.select("block", "dim", "ids", "vectors", "centre", "radius").join(pairs, "block").join(looked_up(asking.drop("dim"), "asking"), "asking")
-    rest = map_batches(meeting.select("dim", "ids", "vectors", "centre", "radius", "q_ids", "q_vectors", "q_least"), across(k, kind), FOUND)
+    salts = max(1, -(-SPREAD * int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")) // parts))
+    own, salt = F.pmod(F.xxhash64("asking"), F.lit(parts)).cast("int"), F.pmod(F.xxhash64("block"), F.lit(salts)).cast("int")
+    sent = pairs.groupBy("block", own.alias("part")).agg(F.collect_list("asking").alias("askings"))  # the blocks of a part, at most
+    null = lambda c: F.lit(None).cast(c)
+    ours = blocks.join(sent, "block").select("part", salt.alias("salt"), F.lit(True).alias("vectors"), null("string").alias("asking"), "askings", "dim", "ids", F.col("vectors").alias("x"), "centre", "radius", null("binary").alias("least"))
+    every_salt = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")
+    theirs = asking.select(own.alias("part"), every_salt, F.lit(False).alias("vectors"), "asking", null("array<string>").alias("askings"), "dim", F.col("q_ids").alias("ids"), F.col("q_vectors").alias("x"), null("binary").alias("centre"), null("double").alias("radius"), F.col("q_least").alias("least"))
+    dealt = ours.unionByName(theirs).repartition("part", "salt").sortWithinPartitions("part", "salt", "vectors")
+    rest = map_batches(dealt, across(k, kind), FOUND)
     return ranked(first.select("query_id", "vec_id", "score").unionByName(rest)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

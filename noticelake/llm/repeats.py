@@ -14,7 +14,8 @@ starts in a document with a smaller doc_id.
    tree, only its smallest doc_id, which is summed on the map side and looked up.
 4. In a bucket, suffixes in lexicographic order with their common-prefix lengths are the subtrees of its prefixes (`Subtree`).
    Suffixes are as deep as their anchor's windows reach. Internal nodes as deep as a window are the repeats; each one's smallest
-   doc_id tells which of its leaves are removed. Those preceded by different words are maximal repeats (`maximal_repeats`).
+   doc_id tells which of its leaves are removed. `maximal_repeats` follows the subtrees of windows that are preceded by different
+   words to their full depth.
 
 Nulls: a null text has no words; a null doc_id counts as larger than all others. Repeated rows (same doc_id and text) are one
 document and each get a result row. Texts shorter than a window lose nothing. An empty table gives an empty result. Extra
@@ -31,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, arrow_map, batch_of, blobs, bucket_of, buckets_for, by_bucket, distinct_texts, looked_up, map_batches, materialize, mix, window_hashes, with_keys, Words
+from .common import NO_ID, SLICE_BYTES, arrow_map, batch_of, blobs, bucket_of, buckets_for, by_bucket, distinct_texts, looked_up, map_batches, materialize, mix, small_enough, window_hashes, with_keys, Words
 
 #: Words in a run from which anchors are taken.
 RUN = 6
@@ -376,45 +377,202 @@ class Subtree:
                 open_.append((first, common))
 
 
-REPEATS = "words int, longer boolean, places bigint, documents bigint, doc_id bigint, start int"
+REPEATS = "words int, places bigint, documents bigint, doc_id bigint, start int"
+#: A place at which a class of equal word sequences (all of `depth` words, told by a fingerprint) stands, with the word before it.
+LEAVES = "cls bigint, depth int, id bigint, text_key bigint, start int, left bigint"
+BLOCKS = LEAVES + ", block binary"
+#: Words by which classes are read on: in the first round, at most, and of classes too large for a task.
+FIRST, MOST, FEW = 64, 4096, 16
+#: Words of a class that a tree holds at a time.
+CELLS = 16_000_000
 
 
-def maximal(width: int):
-    """A row for each internal node as deep as a window, with leaves of several documents, that is preceded by different words (or
-    begins a text): a maximal repeat, told at its smallest doc_id."""
+def runs_of(same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last (exclusive) of each run of rows, from which rows are like the one before them."""
+    first = np.flatnonzero(np.concatenate([[True], ~same]))
+    return first, np.append(first[1:], len(same) + 1)
+
+
+def spread_left(left: np.ndarray) -> bool:
+    """Whether a sequence can't be extended to the left at all its places: other words before it, or a text's beginning."""
+    return bool((left == 0).any() or (left != left[0]).any())
+
+
+def leaf_rows(cls, depth, docs, keys, starts, left) -> pa.RecordBatch:
+    signed = lambda x: np.ascontiguousarray(x).view(np.int64)
+    return batch_of([c.split()[0] for c in LEAVES.split(", ")], [signed(cls), np.full(len(cls), depth, np.int32), docs, keys, starts.astype(np.int32), signed(left)])
+
+
+def window_leaves(width: int):
+    """The places of windows that stand in several texts and not always after the same word, from the trees of the buckets."""
 
     def told(s: Suffixes):
         for back in range(s.reach(width) + 1):
             own, matrix, known, left = s.at(width, back)
+            if len(own) < 2:
+                continue
             tree = Subtree(matrix, known, s.docs[own])
-            for first, last, depth in tree.internal(width):
-                leaves = tree.order[first : last + 1]
-                docs, before = s.docs[own][leaves], left[leaves]
-                if (n := len(np.unique(docs))) > 1 and (len(np.unique(before)) > 1 or (before == 0).any()):
-                    place = int(leaves[np.lexsort((s.places[own][leaves], docs))[0]])
-                    beyond = matrix[leaves, depth] if depth < matrix.shape[1] else np.zeros(1, np.uint64)
-                    after = np.unique(beyond[beyond != 0])  # two words, or a text's end, prove that it goes no further
-                    yield depth, len(after) < 2 and END not in after, len(leaves), n, int(docs.min()), int(s.places[own][place]) - back
+            first, last = runs_of(tree.common >= width)
+            docs, before = s.docs[own][tree.order], left[tree.order]
+            several = np.minimum.reduceat(docs, first) != np.maximum.reduceat(docs, first)
+            spread = (np.minimum.reduceat(before, first) == 0) | (np.minimum.reduceat(before, first) != np.maximum.reduceat(before, first))
+            at = np.repeat(several & spread, last - first)
+            if at.any():
+                rows = own[tree.order][at]
+                yield leaf_rows(prefix(matrix[tree.order][at], width), width, docs[at], s.text_keys[rows], s.places[rows] - np.int32(back), before[at])
 
     def run(batches):
         at, held = None, []
-
-        def closed():
-            rows = list(told(Suffixes.joined(held))) if held else []
-            kinds = [pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
-            return [batch_of([f.split()[0] for f in REPEATS.split(", ")], [pa.array(c, t) for c, t in zip(zip(*rows), kinds)])] if rows else []
-
         for bucket, s in rows_of(batches, ["bucket"]):
             if bucket != at:
-                yield from closed()
+                if held:
+                    yield from told(Suffixes.joined(held))
                 at, held = bucket, []
             if bucket >= 0:
                 held.append(s)
-        yield from closed()
+        if held:
+            yield from told(Suffixes.joined(held))
 
     return run
 
 
+def frequent_leaves(width: int, large: dict[int, np.ndarray], hot: np.ndarray):
+    """The places of windows too frequent for a bucket."""
+
+    def run(batches):
+        for (s,) in rows_of(batches, []):
+            w = s[lengths_of(anchors_of(s, width), large) > min(RUN, width)].as_windows(width)
+            cls = prefix(w.words[:, -width - 1 : -1], width)
+            at = np.isin(cls, hot)
+            if at.any():
+                yield leaf_rows(cls[at], width, w.docs[at], w.text_keys[at], w.places[at], w.words[at, -width - 2])
+
+    return run
+
+
+def block_rows(size: int):
+    """For each text's leaves the hashes of the words that follow, END where the text has ended."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        words = Words(batch.column("text"))
+        hashes, leaves = words.hashes(), batch.column("leaves")
+        count = np.diff(leaves.offsets.to_numpy())
+        flat = leaves.flatten()
+        if not len(flat):
+            return None
+        cls, depth, start, left = (flat.field(n).to_numpy() for n in ("cls", "depth", "start", "left"))
+        doc = np.repeat(np.arange(len(count)), count)
+        spot = (words.offsets[doc] + start + depth)[:, None] + np.arange(size)
+        matrix = np.where(spot < words.offsets[doc + 1][:, None], hashes[np.clip(spot, 0, len(hashes) - 1)], END)
+        ids, keys = batch.column("id").to_numpy()[doc], batch.column("text_key").to_numpy()[doc]
+        return batch_of([c.split()[0] for c in BLOCKS.split(", ")], [cls, depth, ids, keys, start, left, pa.array([x.tobytes() for x in matrix], pa.binary())])
+
+    return run
+
+
+FOUND = REPEATS + ", " + ", ".join(f"next_{c}" for c in LEAVES.split(", "))
+
+
+def found_rows(repeats: list[tuple], leaves: list[tuple]):
+    """Repeats, and leaves of classes to be read on, as rows of one table."""
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32()], [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
+    names = [c.split()[0] for c in FOUND.split(", ")]
+    for rows, own, filled in ((repeats, kinds[0], range(5)), (leaves, kinds[1], range(5, 11))):
+        if rows:
+            columns = dict(zip(filled, (pa.array(c, t) for c, t in zip(zip(*rows), own))))
+            yield batch_of(names, [columns.get(k, pa.nulls(len(rows), (kinds[0] + kinds[1])[k])) for k in range(11)])
+
+
+def subtrees(batches):
+    """The maximal repeats among classes of leaves with their next words, and the leaves that agree on all of these.
+
+    A class is a subtree whose root is as deep as the class; an internal node is right-maximal, as its children begin with other words
+    or a text ends there. It is told if it has leaves of several documents and isn't always preceded by the same word; a node that
+    is, and all below it, can be extended to the left.
+    """
+
+    def told(depth, docs, keys, starts, left, blocks):
+        matrix = np.stack([np.frombuffer(b, np.uint64) for b in blocks])
+        matrix = matrix[:, : max(FEW, CELLS // len(matrix))]
+        size, repeats, leaves = matrix.shape[1], [], []
+        tree = Subtree(matrix, (matrix != END).sum(axis=1), docs)
+        for first, last, below in tree.internal(0):
+            at = tree.order[first : last + 1]
+            if docs[at].min() == docs[at].max() or not spread_left(left[at]):
+                continue
+            if below < size:
+                one = at[np.lexsort((starts[at], docs[at]))[0]]
+                repeats.append((depth + below, len(at), len(np.unique(docs[at])), int(docs[one]), int(starts[one])))
+            else:
+                deeper = int(mix(np.array([cls_at], np.int64).view(np.uint64) ^ prefix(matrix[at[:1]], size)).view(np.int64)[0])
+                leaves += [(deeper, depth + size, *x) for x in zip(docs[at].tolist(), keys[at].tolist(), starts[at].tolist(), left[at].view(np.int64).tolist())]
+        return found_rows(repeats, leaves)
+
+    cls_at, held = None, []
+
+    def closed():
+        columns = list(zip(*held))
+        docs, keys, starts = (np.array(columns[k], np.int64) for k in (1, 2, 3))
+        return told(columns[0][0], docs, keys, starts, np.array(columns[4], np.int64).view(np.uint64), columns[5])
+
+    for batch in batches:
+        for cls, *row in zip(*(batch.column(c.split()[0]).to_pylist() for c in BLOCKS.split(", "))):
+            if cls != cls_at:
+                if len(held) > 1:
+                    yield from closed()
+                cls_at, held = cls, []
+            held.append(row)
+    if len(held) > 1:
+        yield from closed()
+
+
+PREFIXES = "cls bigint, depth int, prefix bigint, id bigint, text_key bigint, start int, left bigint, after bigint"
+
+
+def prefix_rows(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Of each leaf of a class too large for a task, the prefixes of its next words and the word after each (0: the text ends)."""
+    matrix = np.stack([np.frombuffer(b, np.uint64) for b in batch.column("block").to_pylist()])
+    known, size = (matrix != END).sum(axis=1), matrix.shape[1]
+    total, out = batch.column("cls").to_numpy().view(np.uint64), []
+    for k in range(size):
+        at = np.flatnonzero(known >= k)
+        if not len(at):
+            break
+        rows = batch.take(pa.array(at))
+        after = np.where(known[at] > k, matrix[at, k], np.uint64(0))
+        depth = rows.column("depth").to_numpy() + k
+        out.append(batch_of([c.split()[0] for c in PREFIXES.split(", ")], [rows.column("cls"), depth.astype(np.int32), total[at].view(np.int64), *(rows.column(c) for c in ("id", "text_key", "start", "left")), after.view(np.int64)]))
+        total = mix(total ^ matrix[:, k])
+    return pa.Table.from_batches(out).combine_chunks().to_batches()[0]
+
+
+def next_leaves(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The leaves of such a class by their next words: classes `FEW` words deeper."""
+    matrix = np.stack([np.frombuffer(b, np.uint64) for b in batch.column("block").to_pylist()])
+    whole = (matrix != END).all(axis=1)
+    rows, matrix = batch.filter(pa.array(whole)), matrix[whole]
+    total = rows.column("cls").to_numpy().view(np.uint64)
+    for k in range(matrix.shape[1]):
+        total = mix(total ^ matrix[:, k])
+    kept = [rows.column(c) for c in ("id", "text_key", "start", "left")]
+    return batch_of([c.split()[0] for c in LEAVES.split(", ")], [total.view(np.int64), (rows.column("depth").to_numpy() + matrix.shape[1]).astype(np.int32), *kept])
+
+
+def by_prefix(blocks: DataFrame) -> DataFrame:
+    """The maximal repeats of classes too large for a task, `FEW` words on: prefixes are counted, summed on the map side, and
+    distinct documents by a sum over (prefix, document), so no task holds a class."""
+    rows = arrow_map(blocks, prefix_rows, PREFIXES, "block")
+    key = ["cls", "depth", "prefix"]
+    ends = [F.count("*").alias("n"), F.min("start").alias("start"), *[f(c).alias(f"{n}_{c}") for c in ("left", "after") for n, f in (("least", F.min), ("most", F.max))], *[F.max((F.col(c) == 0).cast("int")).alias(f"ends_{c}") for c in ("left", "after")]]
+    by_doc = rows.groupBy(*key, "id").agg(*ends)
+    again = [F.sum("n").alias("places"), F.count("*").alias("documents"), F.min(F.struct("id", "start")).alias("told")]
+    for c in ("left", "after"):
+        again += [F.min(f"least_{c}").alias(f"least_{c}"), F.max(f"most_{c}").alias(f"most_{c}"), F.max(f"ends_{c}").alias(f"ends_{c}")]
+    several = lambda c: (F.col(f"least_{c}") != F.col(f"most_{c}")) | (F.col(f"ends_{c}") == 1)
+    nodes = by_doc.groupBy(*key).agg(*again).filter((F.col("documents") > 1) & several("left") & several("after"))
+    return nodes.select(F.col("depth").alias("words"), "places", "documents", F.col("told.id").alias("doc_id"), "told.start")
+
+
 PLACES = "part int, ids binary, text_keys binary, starts binary"
 
 
@@ -499,9 +657,9 @@ def removal(width: int):
     return run
 
 
-def grouped(keyed: DataFrame, single: DataFrame, width: int) -> tuple[DataFrame, DataFrame | None]:
-    """Suffixes of the texts at shared anchors, dealt to buckets by prefix and sorted by bucket; and (window, n, least) of the
-    windows that are too frequent for a bucket, if there are any."""
+def grouped(keyed: DataFrame, single: DataFrame, width: int) -> tuple[DataFrame, DataFrame, dict[int, np.ndarray], np.ndarray]:
+    """Suffixes of the texts at shared anchors, dealt to buckets by prefix and sorted by bucket; all suffixes, the prefixes that are too
+    large, and the windows that are too frequent for a bucket."""
     buckets = buckets_for(keyed)
     dealt = arrow_map(single.select("text_key", "text"), anchor_rows(width, buckets), ANCHORS).repartition("bucket").sortWithinPartitions("bucket")
     shared = map_batches(dealt, shared_anchors, "text_key bigint, shared binary").groupBy("text_key").agg(F.collect_list("shared").alias("shared"))
@@ -518,7 +676,7 @@ def grouped(keyed: DataFrame, single: DataFrame, width: int) -> tuple[DataFrame,
         if not len(found):
             break
         large[length] = np.sort(np.ascontiguousarray(found).view(np.uint64))
-    hot, often = (np.zeros(0, np.uint64), np.zeros(0, np.int64)), None
+    hot = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
     if min(RUN, width) in large:
         often = materialize(map_batches(suffixes, frequent(width, large), "window bigint, n bigint, least bigint").groupBy("window").agg(F.sum("n").alias("n"), F.min("least").alias("least")).filter(F.col("n") > GROUP), "often")
         least = often.toArrow()
@@ -526,22 +684,53 @@ def grouped(keyed: DataFrame, single: DataFrame, width: int) -> tuple[DataFrame,
         order = np.argsort(value)
         hot = (value[order], least.column("least").to_numpy()[order])
     groups = max(LEAST_BUCKETS, -(-2 * total // GROUP))
-    return map_batches(suffixes, dealer(width, large, hot, groups), DEALT).repartition("bucket").sortWithinPartitions("bucket"), often
+    return map_batches(suffixes, dealer(width, large, hot, groups), DEALT).repartition("bucket").sortWithinPartitions("bucket"), suffixes, large, hot[0]
 
 
 def maximal_repeats(docs: DataFrame, width: int = 13, least_broadcast: int = 500_000) -> DataFrame:
-    """(words, longer, places, documents, doc_id, start): the maximal repeats of at least `width` words between different texts: the
-    tree's deep internal nodes whose occurrences can't be extended alike to either side. Equal texts count once, with their smallest
-    doc_id. A suffix is known as far as its anchor's windows reach: longer says that a repeat goes on beyond the words counted. Of
-    windows too frequent for a tree only the window is told (documents and start null)."""
+    """(words, places, documents, doc_id, start): the maximal repeats of at least `width` words between different texts, in full
+    length: sequences that stand in several documents and can't be extended to either side at all their places. They are told at
+    their smallest doc_id. Equal texts count once, with their smallest doc_id.
+
+    The trees of windows give the places from which a maximal repeat may begin. Their classes are read on by blocks of words, twice
+    as long each round, until no two texts agree: the deeper parts of the subtrees. A class with more places than a task should
+    hold is counted by prefixes instead, and split by its next words.
+    """
     keyed = with_keys(docs)
     single, _ = distinct_texts(keyed, least_broadcast)
-    dealt, often = grouped(keyed, single.withColumnRenamed("k1", "text_key"), width)
-    found = map_batches(dealt, maximal(width), REPEATS)
-    if often is None:
-        return found
-    none = F.lit(None)
-    return found.unionByName(often.select(F.lit(width).alias("words"), F.lit(True).alias("longer"), F.col("n").alias("places"), none.cast("long").alias("documents"), F.col("least").alias("doc_id"), none.cast("int").alias("start")))
+    single = single.withColumnRenamed("k1", "text_key")
+    dealt, suffixes, large, hot = grouped(keyed, single, width)
+    leaves = map_batches(dealt, window_leaves(width), LEAVES)
+    if len(hot):
+        leaves = leaves.unionByName(map_batches(suffixes, frequent_leaves(width, large, hot), LEAVES))
+    leaves = materialize(leaves, "leaves")
+    texts = materialize(single.join(leaves.select("id", "text_key").distinct(), ["id", "text_key"], "left_semi").select("id", "text_key", "text"), "texts")
+    out, size = [], FIRST
+    while not small_enough(leaves, 0):
+        crowded = looked_up(leaves.groupBy("cls").count().filter(F.col("count") > GROUP).select("cls"), "crowded")
+        any_crowded, ahead = not small_enough(crowded, 0), []
+        for in_trees in (True, False):
+            if not in_trees and not any_crowded:
+                continue
+            part, n = leaves.join(crowded, "cls", "left_anti" if in_trees else "left_semi") if any_crowded else leaves, size if in_trees else FEW
+            of_text = part.groupBy("id", "text_key").agg(F.collect_list(F.struct("cls", "depth", "start", "left")).alias("leaves"))
+            blocks = arrow_map(of_text.join(texts, ["id", "text_key"]), block_rows(n), BLOCKS, most=max(1 << 14, SLICE_BYTES * FIRST // (8 * n)))
+            if in_trees:
+                found = materialize(map_batches(blocks.repartition("cls").sortWithinPartitions("cls"), subtrees, FOUND), "found")
+                out.append(found.filter("words IS NOT NULL").select("words", "places", "documents", "doc_id", "start"))
+                ahead.append(found.filter("words IS NULL").select(*[F.col(f"next_{c.split()[0]}").alias(c.split()[0]) for c in LEAVES.split(", ")]))
+            else:
+                blocks = materialize(blocks, "crowded")
+                out.append(materialize(by_prefix(blocks), "repeats"))
+                ahead.append(arrow_map(blocks, next_leaves, LEAVES, "block"))
+        leaves = materialize(ahead[0] if len(ahead) == 1 else ahead[0].unionByName(ahead[1]), "leaves")
+        size = min(2 * size, MOST)
+    if not out:
+        return docs.sparkSession.createDataFrame([], REPEATS)
+    every = out[0]
+    for more in out[1:]:
+        every = every.unionByName(more)
+    return every.withColumn("doc_id", F.when(F.col("doc_id") < NO_ID, F.col("doc_id")))
 
 
 def remove_repeats(docs: DataFrame, width: int = 13, least_broadcast: int = 500_000) -> DataFrame:
@@ -549,7 +738,7 @@ def remove_repeats(docs: DataFrame, width: int = 13, least_broadcast: int = 500_
     keyed = with_keys(docs)
     single, copies = distinct_texts(keyed, least_broadcast)
     parts = buckets_for(keyed)
-    dealt, _ = grouped(keyed, single.withColumnRenamed("k1", "text_key"), width)
+    dealt, *_ = grouped(keyed, single.withColumnRenamed("k1", "text_key"), width)
     places = map_batches(dealt, searched(width, parts), PLACES).repartition("part").sortWithinPartitions("part")
     removed = looked_up(map_batches(places, gathered(width), "id bigint, text_key bigint, ranges binary"), "removed", least_broadcast)
     told = keyed.withColumnRenamed("k1", "text_key").join(copies.select("id", F.col("k1").alias("text_key"), F.lit(True).alias("whole")), ["id", "text_key"], "left")

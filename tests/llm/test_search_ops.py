@@ -149,22 +149,55 @@ def plain_maximal(rows, width, most):
     return out
 
 
-def test_maximal_repeats(documents):
+def maximal(docs, rows, width):
+    """What the operator tells, by the words themselves."""
+    words, out = defaultdict(list), {}
+    for i, t, _ in rows:
+        words[i].append(WORD.findall(t or ""))
+    for r in repeats.maximal_repeats(docs, width).collect():
+        found = {tuple(w[r["start"] : r["start"] + r["words"]]) for w in words[r["doc_id"]] if len(w) >= r["start"] + r["words"]}
+        assert len(found) == 1 or len(words[r["doc_id"]]) > 1
+        for f in found:
+            assert len(f) == r["words"] >= width and f not in out
+            out[f] = (r["places"], r["documents"], r["doc_id"])
+    return out
+
+
+@pytest.mark.parametrize("group", [120_000, 12, 3])
+def test_maximal_repeats(documents, monkeypatch, group):
+    monkeypatch.setattr(repeats, "GROUP", group)
     rng = random.Random(21)
     parts = [" ".join(f"p{rng.randint(0, 40)}" for _ in range(n)) for n in (9, 9, 10, 10, 11, 12, 5)]
     rows = [(i, " ".join(rng.choice([*parts, f"w{rng.randint(0, 99)}"]) for _ in range(rng.randint(1, 5))), "a") for i in range(60)]
-    width = 9
-    got = repeats.maximal_repeats(documents(rows), width).collect()
-    want, words = plain_maximal(rows, width, 99), {i: WORD.findall(t) for i, t, _ in rows}
-    seen = {}
-    for r in got:
-        found = tuple(words[r["doc_id"]][r["start"] : r["start"] + r["words"]])
-        assert len(found) == r["words"] >= width and found not in seen
-        seen[found] = r
-    short = {w: v for w, v in want.items() if w in seen and not seen[w]["longer"]}
-    assert len(short) > 2 and all((seen[w]["places"], seen[w]["documents"], seen[w]["doc_id"]) == v for w, v in short.items())
-    assert all(w in want for w, r in seen.items() if not r["longer"])
-    assert all(w in seen or any(seen[x]["longer"] and w[: len(x)] == x for x in seen) for w in want)  # none is missed
+    rows += [(100, parts[0], "a"), (101, f"{parts[0]} end", "a"), (102, " ".join(["z"] * 14), "a"), (103, " ".join(["z"] * 11), "a"), (104, None, "a"), (105, rows[0][1], "a")]
+    want = plain_maximal(rows, 9, 99)
+    assert maximal(documents(rows), rows, 9) == want and max(map(len, want)) > 25
+
+
+@pytest.mark.parametrize("group, first", [(120_000, 64), (120_000, 8), (5, 64)])
+def test_maximal_repeats_have_their_full_length(documents, monkeypatch, group, first):
+    """Passages of 13 to 300 words, in two to six texts, some within others; one of them in most texts."""
+    monkeypatch.setattr(repeats, "GROUP", group)
+    monkeypatch.setattr(repeats, "FIRST", first)
+    rng = random.Random(22)
+    word = lambda: f"w{rng.randint(0, 10**6)}"
+    passages = [" ".join(word() for _ in range(n)) for n in (13, 14, 20, 33, 60, 64, 77, 128, 129, 300)]
+    passages.append(" ".join([word(), *passages[9].split()[40:260], word()]))
+    texts = [[word() for _ in range(rng.randint(0, 12))] for _ in range(30)]
+    for k, p in enumerate(passages):
+        for i in rng.sample(range(30), 2 + k % 5):
+            texts[i] += [p, word()]
+    for i in range(0, 30, 2):
+        texts[i] = [passages[4], *texts[i]]
+    rows = [(i, " ".join(t), "a") for i, t in enumerate(texts)]
+    want = {}
+    for p in {*passages, " ".join(passages[9].split()[40:260])}:
+        w = tuple(p.split())
+        found = [(i, k) for i, t, _ in rows for k in range(len(t.split()) - len(w) + 1) if tuple(t.split()[k : k + len(w)]) == w]
+        if len({i for i, _ in found}) > 1:
+            want[w] = (len(found), len({i for i, _ in found}), min(i for i, _ in found))
+    got = maximal(documents(rows), rows, 13)
+    assert got == want and max(map(len, got)) == 300
 
 
 @pytest.mark.parametrize("operator", [repeats.remove_repeats, repeats.maximal_repeats, jaccard.jaccard_groups, jaccard.one_of_each])
@@ -376,3 +409,24 @@ def test_hilbert_neighbours_are_neighbours():
     cells = np.stack(np.meshgrid(*[np.arange(8)] * 3), -1).reshape(-1, 3)
     order = np.argsort(ann.hilbert_key(cells, 3))
     assert (np.abs(np.diff(cells[order], axis=0)).sum(axis=1) == 1).all()
+
+
+def test_only_blocks_that_may_hold_a_neighbour_meet(spark, monkeypatch):
+    """On clustered vectors fewer than half of the pairs of blocks stay, each true neighbour's among them."""
+    monkeypatch.setattr(ann, "FAN", 4)
+    rng = np.random.default_rng(17)
+    centres = 8 * rng.normal(size=(60, 12))
+    x = (centres[np.arange(6000) % 60] + 0.05 * rng.normal(size=(6000, 12))).astype(np.float32)
+    d = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "vec_id long, embedding array<float>")
+    kept, paired = [], ann.paired
+    monkeypatch.setattr(ann, "paired", lambda blocks, asking: kept.append((blocks.count(), asking.count(), paired(blocks, asking))) or kept[-1][2])
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in ann.nearest(d, F.col("vec_id") % 20 == 0, window=64, query_block=16).collect()}
+    n, q, pairs = kept[0]
+    found = pairs.count()
+    assert n >= 94 and q >= 18 and found == pairs.distinct().count() and found < 0.5 * n * q
+    y = x.astype(np.float64)
+    for query in range(0, 6000, 400):
+        score = y @ y[query]
+        score[query] = -np.inf
+        order = np.lexsort((np.arange(6000), -score))[:20]
+        assert [got[query, k + 1][0] for k in range(20)] == order.tolist()
