@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, NO_ID, arrow_map, batch_of, blobs, bucket_of, buckets_for, distinct_texts, join_on, looked_up, map_batches, materialize, mix, sheltered, small_enough, window_hashes, with_keys, Words
+from .common import LOWER, NO_ID, arrow_map, batch_of, blobs, bucket_of, buckets_for, distinct_texts, join_on, looked_up, map_batches, materialize, mix, sheltered, slices, small_enough, window_hashes, with_keys, Words
 from .graph import components
 
 #: Sizes in a class differ by this factor at most.
@@ -38,6 +38,8 @@ CLASS_RATIO = 1.4
 GROUP_ELEMENTS = 2_000_000
 #: A list of a part with more documents is long.
 COMMON = 8
+#: Parts that a task holds before it deals them out.
+HELD_PARTS = 400_000
 
 
 def shingle_sets(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -84,7 +86,11 @@ def size_classes(most: int, percent: int) -> tuple[np.ndarray, np.ndarray, np.nd
 
 
 def part_rows(width: int, percent: int, buckets: int):
-    """Of each document the fingerprints of its parts, by bucket; and a row with sizes of the slice's documents."""
+    """Of each document the fingerprints of its parts, by bucket; and a row with sizes of a slice's documents.
+
+    A list that is long among the parts a task holds is long: its entries need no bucket, which gets one mark of it instead. So a
+    bucket has for each list at most `COMMON` entries, or a mark, of each `HELD_PARTS` parts, whatever share of the texts is in it.
+    """
 
     def parts_of(element, sizes, chosen, level, ids, differ, parts, few):
         """Fingerprints, ids and notes (size, level, how many parts may be left out) for documents `chosen`, cut as class `level` has it."""
@@ -119,7 +125,7 @@ def part_rows(width: int, percent: int, buckets: int):
         spare = np.clip(allowed - weak, 0, 255)
         return key, ids[whose], (sizes + (level << 32) + (spare << 40))[whose]
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def parts_and_sizes(batch: pa.RecordBatch):
         element, offsets = shingle_sets(batch.column("text"), width)
         sizes, ids = np.diff(offsets), batch.column("id").to_numpy()
         tops, differ, parts, few = size_classes(int(sizes.max()) * 2 + 4, percent)
@@ -127,19 +133,47 @@ def part_rows(width: int, percent: int, buckets: int):
         own = parts_of(element, sizes, sizes > 0, level, ids, differ, parts, few)
         upper = (sizes > 0) & (100 * sizes >= percent * (tops[level] + 1))  # can be linked with a set of the next class
         above = parts_of(element, sizes, upper, level + 1, ids, differ, parts, few)
-        key, doc, n = (np.concatenate(x) for x in zip(own, above))
-        bucket, (e, d, s) = blobs(bucket_of(key, buckets), key, doc, n)
-        told = [batch.column("k1").to_numpy().astype(np.int64).tobytes(), ids.tobytes(), sizes.astype(np.int64).tobytes()]
-        somewhere = int(ids[0]) % buckets
-        return batch_of(
-            ["bucket", "told", "keys", "docs", "notes"],
-            [pa.array([*bucket.tolist(), somewhere], pa.int32()), pa.array([False] * len(e) + [True]), pa.array([*e, told[0]], pa.binary()), pa.array([*d, told[1]], pa.binary()), pa.array([*s, told[2]], pa.binary())],
-        )
+        return [np.concatenate(x) for x in zip(own, above)], (batch.column("k1").to_numpy().astype(np.int64), ids, sizes.astype(np.int64))
+
+    def rows(kind, bucket, keys, docs, notes):
+        arrays = [pa.array(bucket, pa.int32()), pa.array([kind] * len(bucket), pa.int32()), *(pa.array(x, pa.binary()) for x in (keys, docs, notes))]
+        return batch_of([c.split()[0] for c in PARTS.split(", ")], arrays)
+
+    def dealt(held):
+        """What a task holds: short lists by bucket, those it knows to be long as they are, and a mark of each for its bucket."""
+        key, doc, note = (np.concatenate(x) for x in zip(*held))
+        _, at, count = np.unique(key, return_inverse=True, return_counts=True)
+        long = count[at] > COMMON
+        marks = np.unique(key[long])
+        key_, doc_, note_ = np.concatenate([key[~long], marks]), np.concatenate([doc[~long], np.zeros(len(marks), np.int64)]), np.concatenate([note[~long], np.full(len(marks), LONG)])
+        bucket, lists = blobs(bucket_of(key_, buckets), key_, doc_, note_)
+        if len(bucket):
+            yield rows(LISTS, bucket, *lists)
+        where = np.flatnonzero(long)
+        for low in range(0, len(where), 50_000):
+            some = where[low : low + 50_000]
+            yield rows(KNOWN, [int(doc[some[0]]) % buckets], *([np.ascontiguousarray(x[some]).tobytes()] for x in (key, doc, note)))
+
+    def run(batches):
+        held, size = [], 0
+        for batch in slices(batches, "text"):
+            parts, told = parts_and_sizes(batch)
+            yield rows(SIZES, [int(told[1][0]) % buckets], *([x.tobytes()] for x in told))
+            held.append(parts)
+            size += len(parts[0])
+            if size >= HELD_PARTS:
+                yield from dealt(held)
+                held, size = [], 0
+        if size:
+            yield from dealt(held)
 
     return run
 
 
-PARTS = "bucket int, told boolean, keys binary, docs binary, notes binary"
+PARTS = "bucket int, kind int, keys binary, docs binary, notes binary"
+#: Rows of PARTS: lists of a bucket, sizes of documents, entries of lists known to be long. The note that marks a list as long.
+LISTS, SIZES, KNOWN = 0, 1, 2
+LONG = -1
 FOUND = "kind int, a bigint, b bigint, n bigint, c bigint"
 PAIR, DOCUMENT, SHARED = 0, 1, 2
 
@@ -157,10 +191,14 @@ def merged_lists(percent: int):
         e, d, note = np.frombuffer(key, np.uint64), np.frombuffer(doc, np.int64), np.frombuffer(note, np.int64)
         order = np.lexsort((d, e))
         e, d, note = e[order], d[order], note[order]
+        marked, real = np.unique(e[note == LONG]), note != LONG
+        e, d, note = e[real], d[real], note[real]
+        if not len(e):
+            return
         size, level, spare = note & 0xFFFFFFFF, (note >> 32) & 0xFF, note >> 40
         first = np.flatnonzero(np.concatenate([[True], e[1:] != e[:-1]]))
         count = np.diff(np.append(first, len(e)))
-        long = np.repeat(count > COMMON, count)
+        long = np.repeat(count > COMMON, count) | np.isin(e, marked)
         pairs = []
         for step in range(1, COMMON):
             i = np.flatnonzero((e[step:] == e[:-step]) & ~long[step:])
@@ -178,8 +216,12 @@ def merged_lists(percent: int):
     def run(batches):
         at, held = None, ([], [], [])
         for b in batches:
-            for bucket, told, *row in zip(*(b.column(n).to_pylist() for n in ("bucket", "told", "keys", "docs", "notes"))):
-                if told:
+            for bucket, kind, *row in zip(*(b.column(n).to_pylist() for n in ("bucket", "kind", "keys", "docs", "notes"))):
+                if kind == KNOWN:
+                    part, doc, note = (np.frombuffer(x, np.int64) for x in row)
+                    yield rows(SHARED, doc, part, note, np.ones(len(doc), np.int64))
+                    continue
+                if kind == SIZES:
                     sizes = np.frombuffer(row[2], np.int64)
                     yield rows(DOCUMENT, np.frombuffer(row[1], np.int64), np.frombuffer(row[0], np.int64), sizes, np.zeros(len(sizes), np.int64))
                     continue
@@ -332,7 +374,7 @@ def jaccard_groups(docs: DataFrame, width: int = 3, percent: int = 90, least_bro
     keyed = with_keys(docs)
     buckets = buckets_for(keyed)
     single, copies = distinct_texts(keyed, least_broadcast)
-    dealt = arrow_map(single.select("id", "k1", "text"), part_rows(width, percent, buckets), PARTS).repartition("bucket").sortWithinPartitions("bucket")
+    dealt = map_batches(single.select("id", "k1", "text"), part_rows(width, percent, buckets), PARTS).repartition("bucket").sortWithinPartitions("bucket")
     found = materialize(map_batches(dealt, merged_lists(percent), FOUND), "lists")
     sizes = found.filter(F.col("kind") == DOCUMENT).select(F.col("a").alias("id"), F.col("b").alias("k1"), "n")
 

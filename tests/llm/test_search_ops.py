@@ -3,7 +3,7 @@
 import hashlib
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from pathlib import Path
 
 import numpy as np
@@ -430,3 +430,28 @@ def test_only_blocks_that_may_hold_a_neighbour_meet(spark, monkeypatch):
         score[query] = -np.inf
         order = np.lexsort((np.arange(6000), -score))[:20]
         assert [got[query, k + 1][0] for k in range(20)] == order.tolist()
+
+
+def test_a_list_that_most_texts_are_in_needs_no_bucket(documents, monkeypatch):
+    """Texts of few shingles that share all but some: one list has them all. What a bucket gets of it is bounded by tasks' buffers."""
+    monkeypatch.setattr(jaccard, "HELD_PARTS", 300)
+    rng = random.Random(31)
+    shared = " ".join(f"s{k}" for k in range(60))
+    rows = [(i, f"{shared} " + " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(rng.choice([1, 2, 40]))), "a") for i in range(700)]
+    rows += [(1000 + i, " ".join(f"v{rng.randint(0, 10**6)}" for _ in range(50)), "a") for i in range(50)] + [(2000, None, "a"), (2001, "one two", "a"), (2002, "one two", "b")]
+    d = documents(rows)
+    keyed = jaccard.with_keys(d)
+    parts = jaccard.map_batches(keyed.select("id", "k1", "text").coalesce(1), jaccard.part_rows(3, 90, 8), jaccard.PARTS).collect()
+    entries = np.concatenate([np.frombuffer(r["keys"], np.uint64) for r in parts if r["kind"] == jaccard.LISTS])
+    known = np.concatenate([np.frombuffer(r["keys"], np.uint64) for r in parts if r["kind"] == jaccard.KNOWN])
+    most, rounds = Counter(entries.tolist()).most_common(1)[0][1], -(-(len(entries) + len(known)) // 300)
+    assert most <= (jaccard.COMMON + 1) * rounds and Counter(known.tolist()).most_common(1)[0][1] > 300
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_groups(d).collect()}
+    sets = {i: {tuple(w[k : k + 3]) for k in range(max(1, len(w) - 2))} if (w := WORD.findall((t or "").lower())) else set() for i, t, _ in rows}
+    least = {i: i for i in sets}
+    for _ in range(3):
+        for a in sets:
+            for b in sets:
+                if a != b and sets[a] and sets[b] and least[a] != least[b] and 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b]):
+                    least[a] = least[b] = min(least[a], least[b])
+    assert got == {i: (len(sets[i]), least[i]) for i in sets}
