@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import evidence_score, semantic_score
+from ..functions.rows import spread
 from ..functions.text import blank, listed, normalize_text, once
 from ..plans import terms as T
 
@@ -52,6 +53,7 @@ IN_TITLE = ("allow_title", "allow_product", "negative")
 
 def rule_hits(df: DataFrame, config: RuleConfig = RuleConfig()) -> DataFrame:
     """Adds __title, __type and the hits of each dictionary; the text and the title are each read once for all terms."""
+    df = spread(df)
     told = lambda names: {k: config.terms[k] for k in names}
     out = df.withColumns({"__in_text": T.scan(raw_blob(df), told(IN_TEXT)), "__in_title": T.scan(F.col("title"), told(IN_TITLE))})
     hits = {f"{k}_hits": F.col(f"__in_text.{k}") for k in IN_TEXT} | {f"{k}_hits": F.col(f"__in_title.{k}") for k in IN_TITLE}

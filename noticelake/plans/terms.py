@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 
 from ..functions.text import plain_text
 
+try:  # pyahocorasick: finds all terms in one pass
+    import ahocorasick
+except ImportError:
+    ahocorasick = None
+
 # Terms by dictionary, in order; a repeated term counts each time.
 DIRECT = ["sap", "abap", "s/4hana", "s4hana", "ecc", "fiori", "successfactors", "ariba", "concur", "bw/4hana", "businessobjects", "sap btp", "sap cpi", "cloud platform integration", "sap grc"]
 DOMAIN = [
@@ -94,6 +99,28 @@ def any_of(text: Column, terms: list[str]) -> Column:
     return text.rlike("|".join(map(pattern, terms))) if terms else F.lit(False)
 
 
+class OneByOne:
+    """What the automaton gives, by a search for each term: where its library is not installed."""
+
+    def __init__(self, terms: dict[str, bool]):
+        self.terms = terms
+
+    def iter(self, text: str):
+        for term, bounded in self.terms.items():
+            at = text.find(term)
+            while at >= 0:
+                yield at + len(term) - 1, (term, bounded)
+                at = text.find(term, at + 1)
+
+
+def automaton(terms: dict[str, bool]):
+    made = ahocorasick.Automaton()
+    for term, bounded in terms.items():
+        made.add_word(term, (term, bounded))
+    made.make_automaton()
+    return made
+
+
 class TermScanner:
     """All terms of several dictionaries found in one pass over a text, however many they are (an Aho-Corasick automaton)."""
 
@@ -106,12 +133,8 @@ class TermScanner:
 
     def built(self):
         if self.automaton is None:
-            import ahocorasick
-
-            self.automaton = ahocorasick.Automaton()
-            for term in {t for terms in self.dictionaries.values() for t in terms}:
-                self.automaton.add_word(term, (term, re.fullmatch(BOUNDED, term) is not None))
-            self.automaton.make_automaton()
+            terms = {t: re.fullmatch(BOUNDED, t) is not None for of in self.dictionaries.values() for t in of}
+            self.automaton = automaton(terms) if ahocorasick is not None else OneByOne(terms)
         return self.automaton
 
     def found(self, text: str) -> set[str]:

@@ -70,3 +70,14 @@ def test_briefs(spark):
     assert (a["category"], a["fit"], a["confidence"], a["requirements"]) == ("ERP modernization", "strong", "medium", ["provide S/4HANA", "train users"])
     assert (a["summary"], a["stakeholders"]["other_entities"], a["fit_notes"]) == ("City: ERP modernization opportunity (SAP fit: strong). Key needs: provide S/4HANA, train users. Next: Decide. Confidence: medium.", ["A"], ["x"])
     assert (b["fit"], b["confidence"], b["requirements"]) == ("unknown", "low", [])
+
+
+def test_terms_without_the_automaton(monkeypatch):
+    from noticelake.plans import terms
+
+    texts = ["sap and erp systems", "sapling", "an s/4hana erp", "accounts payable accounts payable", "", "hcm, hcm2 hcm"]
+    fast = terms.TermScanner(terms.NOTICE_TERMS)
+    expected = [fast.hits(t) for t in texts]
+    monkeypatch.setattr(terms, "ahocorasick", None)
+    slow = terms.TermScanner(terms.NOTICE_TERMS)
+    assert [slow.hits(t) for t in texts] == expected and isinstance(slow.built(), terms.OneByOne) and expected[0]["direct"] == ["sap"]
