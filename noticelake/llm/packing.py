@@ -1,7 +1,8 @@
 """Best-fit packing of token sequences by sums of squares.
 
 Texts become token ids (any `tokenizers` file) and one end id; only longer ones are cut, into full-length pieces. Pieces are
-dealt at random into groups of a bounded number; a group is packed from its longest piece down. A piece goes to the open bin
+dealt at random, by a hash of what they are (equal rows of a slice by their number), into groups of a bounded number; a group is
+packed from its longest piece down. A piece goes to the open bin
 for which the squared counts of open bins per residual gap become smallest, to a new bin only if no open one has room.
 The counts need a table of `capacity` numbers, however many pieces there are.
 
@@ -17,12 +18,12 @@ from __future__ import annotations
 
 import math
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,17 +37,17 @@ SLICE = 2 << 20
 
 def cutter(path: str, capacity: int, end_id: int, groups: int, keep_ids: bool):
     def run(batches):
-        context, row = TaskContext.get(), 0
-        task, tokenizer = context.partitionId() if context else 0, word_tokenizer(path)
+        tokenizer = word_tokenizer(path)
         for batch in slices(batches, "text", SLICE):
             ids, offsets = tokenizer.batch_ids(pc.fill_null(batch.column("text"), ""), end_id)
-            docs, out = batch.column("doc_id").to_pylist(), []
+            docs, out, alike = batch.column("doc_id").to_pylist(), [], Counter()
             for doc, low, high in zip(docs, offsets[:-1].tolist(), offsets[1:].tolist()):
                 for piece, at in enumerate(range(low, high, capacity)):
                     raw = ids[at : min(at + capacity, high)].astype("<u4").tobytes()
-                    grp = xxhash.xxh3_64_intdigest(f"{task} {row} {piece}") % groups
-                    out.append((doc, piece, at - low, len(raw) // 4, zlib.crc32(raw), grp, raw if keep_ids else None))
-                row += 1
+                    crc = zlib.crc32(raw)
+                    alike[doc, piece, crc] += 1
+                    grp = xxhash.xxh3_64_intdigest(f"{doc} {piece} {crc} {alike[doc, piece, crc]}") % groups
+                    out.append((doc, piece, at - low, len(raw) // 4, crc, grp, raw if keep_ids else None))
             columns = list(zip(*out))
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             names = ["doc_id", "piece", "start", "length", "ids_crc32", "grp", "ids"]
