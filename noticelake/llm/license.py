@@ -34,6 +34,15 @@ BASE = {
 FOLDER = Path(__file__).parent / "templates"
 
 
+#: How a license is told: its text, its notice, a line that names it.
+FORMS = re.compile("-(?:text|notice|line)$")
+
+
+def license_of(name: str) -> str:
+    """The license of a template: its name without the form."""
+    return FORMS.sub("", name)
+
+
 def read_templates(folder: str | Path = FOLDER) -> dict[str, str]:
     """Markup by label from a folder's .txt files, read on the driver. A file's name is the label."""
     return {f.stem: f.read_text() for f in sorted(Path(folder).glob("*.txt"))}
@@ -191,7 +200,7 @@ def scanner(automata: list[Automaton]):
             if starts:
                 first[doc], last[doc] = min(starts), max(starts)
             base_labels[doc] = ",".join(sorted({a.label for _, _, a in found if a.base}))
-            labels[doc] = ",".join(sorted({a.label for _, _, a in found}))
+            labels[doc] = ",".join(sorted({license_of(a.label) for _, _, a in found}))
             covered, reach = 0, 0
             for s, e, _ in sorted(found, key=lambda x: x[:2]):
                 covered += max(0, e - max(s, reach))
@@ -208,6 +217,7 @@ def scanner(automata: list[Automaton]):
 
 
 def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, base: dict[str, str] | None = None) -> DataFrame:
-    """A row for each document: words, places of base phrases, labels, the share of words that matches cover, all places."""
+    """A row for each document: words, places of base phrases, labels (licenses), the share of words that matches cover, all places
+    (with the templates' names)."""
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return arrow_map(narrow, scanner(compiled(templates, base)), SCHEMA)

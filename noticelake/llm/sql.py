@@ -26,15 +26,15 @@ def template_regex(elements: list[tuple]) -> str:
 
 def op2() -> str:
     plain = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
-    every = [(True, label, markup) for markup, label in license_.BASE.items()] + [(False, label, markup) for label, markup in license_.read_templates().items()]
+    every = [(True, label, markup) for markup, label in license_.BASE.items()] + [(False, name, markup) for name, markup in license_.read_templates().items()]
     cuts = []
-    for base, label, markup in every:
-        pattern = template_regex(license_.parsed(label, markup))
-        cuts.append(f"SELECT doc_id, {base} AS base, '{label}' AS label, string_split(regexp_replace(cells, '({pattern})', chr(1) || '\\1' || chr(1), 'g'), chr(1)) AS cut FROM d WHERE regexp_matches(cells, '{pattern}')")
+    for base, name, markup in every:
+        pattern = template_regex(license_.parsed(name, markup))
+        cuts.append(f"SELECT doc_id, {base} AS base, '{name}' AS name, '{license_.license_of(name)}' AS label, string_split(regexp_replace(cells, '({pattern})', chr(1) || '\\1' || chr(1), 'g'), chr(1)) AS cut FROM d WHERE regexp_matches(cells, '{pattern}')")
     return f"""WITH w AS (SELECT doc_id, {plain} AS words FROM documents), d AS (SELECT doc_id, len(words) AS n, CASE WHEN len(words) > 0 THEN ' ' || array_to_string(words, '  ') || ' ' ELSE '' END AS cells FROM w),
 c AS ({" UNION ALL ".join(cuts)}),
-u AS (SELECT doc_id, base, label, unnest(cut) AS piece, generate_subscripts(cut, 1) AS i FROM c), k AS (SELECT *, (length(piece) - length(replace(piece, ' ', ''))) // 2 AS k FROM u),
-p AS (SELECT *, sum(k) OVER (PARTITION BY doc_id, base, label ORDER BY i) AS high FROM k), s AS (SELECT doc_id, base, label, high - k AS low, high FROM p WHERE i % 2 = 0),
+u AS (SELECT doc_id, base, name, label, unnest(cut) AS piece, generate_subscripts(cut, 1) AS i FROM c), k AS (SELECT *, (length(piece) - length(replace(piece, ' ', ''))) // 2 AS k FROM u),
+p AS (SELECT *, sum(k) OVER (PARTITION BY doc_id, base, name ORDER BY i) AS high FROM k), s AS (SELECT doc_id, base, label, high - k AS low, high FROM p WHERE i % 2 = 0),
 v AS (SELECT doc_id, count(DISTINCT x) AS covered FROM (SELECT doc_id, unnest(range(low::BIGINT, high::BIGINT)) AS x FROM s) GROUP BY doc_id),
 g AS (SELECT doc_id, count(*) FILTER (base) AS n_base, min(low) FILTER (base) AS first_word, max(low) FILTER (base) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM s GROUP BY doc_id)
 SELECT d.doc_id, n::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(covered / n, 0)::DOUBLE AS score

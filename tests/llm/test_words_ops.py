@@ -71,9 +71,9 @@ def test_license(documents):
     rows = HARD + [(10, "Released UNDER the MIT License. Apache-License, version 2.0 cc-by-nc", "a"), (11, "GNU General Public License, version 3", "a"), (12, "gnu general public license as published by the free software foundation, either version 3; all rights reserved", None), (13, long + "under the mit license " + long, "a")]
     got = {r["doc_id"]: r for r in license.license_scan(documents(rows)).collect()}
     assert (got[10]["n_words"], got[10]["n_base"], got[10]["first_word"], got[10]["last_word"], got[10]["base_labels"]) == (13, 3, 1, 10, "apache-2,cc-by-nc,mit")
-    assert got[11]["labels"] == "gpl-3-line" and got[12]["labels"] == "gpl-3-line" and got[12]["n_base"] == 0 and got[11]["score"] == 1.0
+    assert got[11]["labels"] == "gpl-3" and got[12]["labels"] == "gpl-3" and got[12]["n_base"] == 0 and got[11]["score"] == 1.0
     assert got[1]["n_words"] == 0 and got[1]["labels"] == "" and got[1]["first_word"] is None
-    assert (got[13]["n_base"], got[13]["first_word"], got[13]["labels"]) == (1, 100_000, "mit,mit-line")
+    assert (got[13]["n_base"], got[13]["first_word"], got[13]["labels"]) == (1, 100_000, "mit")
 
 
 def filled(markup, rng):
@@ -112,7 +112,10 @@ def test_whole_license_texts(documents):
                     words += ["zz"] * max(1, e[1])
             rows.append((len(rows), " ".join(words), "a"))
             want[rows[-1][0]] = (label, False)
-    got = {r["doc_id"]: set(r["labels"].split(",")) for r in license.license_scan(documents(rows)).collect()}
+    scanned = license.license_scan(documents(rows)).collect()
+    got = {r["doc_id"]: {p["label"] for p in r["places"]} for r in scanned}
+    assert all(set(filter(None, r["labels"].split(","))) == {license.license_of(x) for x in got[r["doc_id"]]} for r in scanned)
+    assert license.license_of("lgpl-2.1-notice") == "lgpl-2.1" and license.license_of("mit") == "mit"
     assert len(want) > 100 and not [(i, label, there, got[i], rows[i]) for i, (label, there) in want.items() if (label in got[i]) != there]
 
 
