@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.urls import normalize_etag
@@ -46,6 +46,17 @@ def first_key_lookup(items: DataFrame, cache: DataFrame, candidates: Sequence[st
     return out.select(*items.columns, F.coalesce(*found).alias(value))
 
 
+def seen_between(df: DataFrame, at: str, start: Column, end: Column) -> DataFrame:
+    """Rows seen from start to end, both included; pushed down to the scan where both are literals. Rows never seen are out."""
+    return df.filter(F.col(at).between(start, end))
+
+
+def with_review(items: DataFrame, marks: DataFrame, key: str) -> DataFrame:
+    """items with `reviewed`: whether there is a mark for their key, however many."""
+    marked = marks.select(F.col(key).alias("__key")).distinct().withColumn("__marked", F.lit(True))
+    return items.join(marked, F.col(key) == F.col("__key"), "left").withColumn("reviewed", F.coalesce("__marked", F.lit(False))).drop("__key", "__marked")
+
+
 def rows_with_text(cache: DataFrame, least_chars: int, most: int, tie: str = "fingerprint") -> DataFrame:
     """A sample of the newest cache rows with a text of some length."""
     return cache.filter(F.col("text_path").isNotNull() & (F.coalesce("text_chars", F.lit(0)) >= least_chars)).orderBy(F.col("fetched_at").desc_nulls_last(), tie).limit(most)

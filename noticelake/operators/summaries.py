@@ -8,6 +8,8 @@ array of struct<category, text, section_heading, page>. A notice has an array of
 from __future__ import annotations
 
 import html
+import smtplib
+import time
 from collections.abc import Sequence
 from email.message import EmailMessage
 
@@ -361,6 +363,23 @@ def digest_message(sender: str, to: Sequence[str], subject: str, page: str, atta
     return mail
 
 
+def send(mail: EmailMessage, host: str, port: int = 587, login: tuple[str, str] | None = None, tls: bool = True, attempts: int = 3, wait: float = 2.0) -> None:
+    """Sends a mail, again after failures of the connection, with a wait that grows by the same step; refusals are final."""
+    for k in range(attempts):
+        try:
+            with smtplib.SMTP(host, port, timeout=60) as server:
+                if tls:
+                    server.starttls()
+                if login:
+                    server.login(*login)
+                server.send_message(mail)
+            return
+        except (ConnectionError, TimeoutError, smtplib.SMTPServerDisconnected, smtplib.SMTPConnectError):
+            if k == attempts - 1:
+                raise
+            time.sleep(wait * (k + 1))
+
+
 def coverage_report(by_window: DataFrame) -> DataFrame:
     """(section, metric, value): each window's sums and rates, and weekly_delta from current_week and previous_week, all from the one
     row of coverage_windows."""

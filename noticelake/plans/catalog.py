@@ -689,7 +689,8 @@ def parse_dates(spark, sf_dir):
 
 @query("SELECT o_orderkey FROM orders WHERE o_orderdate BETWEEN TIMESTAMP '1995-01-01' AND TIMESTAMP '1995-03-31'")
 def seen_between(spark, sf_dir):
-    return table(spark, sf_dir, "orders").filter(F.col("o_orderdate").between(F.lit("1995-01-01").cast("timestamp"), F.lit("1995-03-31").cast("timestamp"))).select("o_orderkey")
+    at = lambda x: F.lit(x).cast("timestamp")
+    return lookups.seen_between(table(spark, sf_dir, "orders"), "o_orderdate", at("1995-01-01"), at("1995-03-31")).select("o_orderkey")
 
 
 @query("SELECT (user_id * 60)::BIGINT AS seconds FROM events WHERE event_type = 'purchase' ORDER BY ts DESC LIMIT 5")
@@ -730,8 +731,8 @@ def model_gate(spark, sf_dir):
 
 @query("SELECT c_custkey, c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F') AS reviewed FROM customer")
 def review_marks(spark, sf_dir):
-    marks = table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey"), F.lit(True).alias("reviewed")).distinct()
-    return table(spark, sf_dir, "customer").join(marks, "c_custkey", "left").select("c_custkey", F.coalesce("reviewed", F.lit(False)).alias("reviewed"))
+    marks = table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey"))
+    return lookups.with_review(table(spark, sf_dir, "customer"), marks, "c_custkey").select("c_custkey", "reviewed")
 
 
 @query("SELECT event_id, CASE WHEN user_id % 4 = 0 THEN false ELSE true END AS signal FROM events")

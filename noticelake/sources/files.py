@@ -21,6 +21,7 @@ from ..functions.folders import work_folder
 from ..functions.text import trimmed
 from ..operators.documents import normalize_extracted, strip_page_lines
 from .blocks import numbered_lines, physical_lines, read_records, tail_lines
+from .pdf import page_texts
 
 
 @dataclass
@@ -271,12 +272,14 @@ PAGE_END = "\f"
 
 
 def pdf_text(data: bytes, reading: Reading) -> str:
-    """Text of a PDF, pages apart by form feeds, if a reader is installed; else empty (needs_ocr then says so)."""
+    """Text of a PDF, pages apart by form feeds: by pypdf if it is installed, else by `pdf`."""
     try:
         from pypdf import PdfReader
     except ImportError:
-        return ""
-    return reading.text([(p.extract_text() or "").replace(PAGE_END, "\n") for p in PdfReader(io.BytesIO(data)).pages], PAGE_END)
+        pages = page_texts(data)
+    else:
+        pages = [p.extract_text() or "" for p in PdfReader(io.BytesIO(data)).pages]
+    return reading.text([p.replace(PAGE_END, "\n") for p in pages], PAGE_END)
 
 
 READERS = {"txt": decode_text, "csv": decode_text, "docx": docx_text, "xlsx": xlsx_text, "zip": zip_text, "pdf": pdf_text}

@@ -328,3 +328,34 @@ def test_first_rows_of_keys_are_bounded_before_the_shuffle(spark, name):
 @pytest.mark.parametrize("name, scans", [("coverage_report", 1), ("trailing_windows", 1), ("acceptance", 2)])
 def test_windows_read_their_table_once(spark, name, scans):
     assert plan_of(spark, name).count("FileScan parquet") == scans
+
+
+def test_a_mail_is_sent_again_after_a_lost_connection(monkeypatch):
+    import smtplib
+
+    from noticelake.operators import summaries
+
+    said = []
+
+    class Server:
+        def __init__(self, host, port, timeout):
+            said.append((host, port))
+            if len(said) == 1:
+                raise ConnectionRefusedError
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *args):
+            return False
+
+        def __getattr__(self, name):
+            return lambda *args: said.append((name, *args))
+
+    monkeypatch.setattr(smtplib, "SMTP", Server)
+    mail = summaries.digest_message("a@x.org", ["b@x.org"], "Digest", "<p>x</p>")
+    summaries.send(mail, "h", login=("u", "p"), wait=0)
+    assert said == [("h", 587), ("h", 587), ("starttls",), ("login", "u", "p"), ("send_message", mail)]
+    said.clear()
+    with pytest.raises(ConnectionRefusedError):
+        summaries.send(mail, "h", attempts=1)
