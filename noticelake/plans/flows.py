@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text
 from ..functions.folders import work_folder
 from ..operators import search
 from ..sources import files
@@ -200,3 +201,27 @@ def search_indexed(spark, sf_dir):
     parts, columns, folder = table(spark, sf_dir, "part"), ["p_name", "p_type", "p_brand"], work_folder(spark)
     search.write_postings(parts, "p_partkey", columns, f"{folder}/postings")
     return search.found(parts, "p_partkey", columns, f"{folder}/postings", "LL Wid").select("p_partkey", "p_name", "p_type")
+
+
+# ---- texts read wrongly ----
+
+
+@query(r"SELECT doc_id, text AS strict, CASE WHEN regexp_matches(text, '[\x{80}-\x{FF}]') THEN text END AS lenient FROM documents WHERE text IS NOT NULL")
+def mojibake_repaired(spark, sf_dir):
+    """Documents whose UTF-8 was read as Latin-1, turned back: as a whole, and (where a letter of Latin-1 shows it) leniently."""
+    wrong = F.decode(F.encode("text", "UTF-8"), "ISO-8859-1")
+    docs = table(spark, sf_dir, "documents").filter("text IS NOT NULL").select("doc_id", "text", wrong.alias("wrong"))
+    lenient = F.when(F.col("text").rlike("[\u0080-ÿ]"), text.repair_leniently(F.col("wrong")))
+    return docs.select("doc_id", text.repair_mojibake(F.col("wrong")).alias("strict"), lenient.alias("lenient"))
+
+
+@query("SELECT event_type AS kind, count(*) AS n FROM events GROUP BY 1")
+def report_read_back(spark, sf_dir):
+    """A report (kinds of events and their counts, and the newest of two by time) written as one JSON object and read back."""
+    folder = work_folder(spark)
+    counts = table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"))
+    whole = counts.agg(F.to_json(F.struct(F.collect_list(F.struct(F.col("event_type").alias("kind"), "n")).alias("rows"))).alias("value"))
+    for name, report in (("old", spark.createDataFrame([('{"rows": []}',)], "value string")), ("new", whole)):
+        report.coalesce(1).write.text(f"{folder}/{name}")
+    newest = files.latest_file(spark, f"{folder}/*/part-*").first()["path"]
+    return files.read_report(spark, newest).select(F.inline("rows")).select("kind", "n")
