@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS, BATCH_BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Text bytes that one step of a vectorised function works on; bounds a Python worker's memory.
 SLICE_BYTES = 1 << 20
 
@@ -167,9 +167,11 @@ def released(fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]])
 
 
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow with batches of a bounded number of rows."""
+    """mapInArrow with batches of a bounded number of rows and bytes."""
     if df.sparkSession.conf.get(BATCH_ROWS, "10000") == "10000":  # the default; long texts make such batches large
         df.sparkSession.conf.set(BATCH_ROWS, "1000")
+    if df.sparkSession.conf.get(BATCH_BYTES, "64MB") in ("64MB", "67108864b"):  # the default; rows that hold lists are large
+        df.sparkSession.conf.set(BATCH_BYTES, "8MB")
     return df.mapInArrow(released(fn), schema)
 
 
