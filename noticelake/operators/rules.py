@@ -83,9 +83,9 @@ def reject_reasons(config: RuleConfig, as_of: Column) -> Column:
     against = F.contains(kind, F.lit("rfp against supply arrangement")) | F.contains(kind, F.lit("decoulant d'un arrangement en matiere d'approvisionnement"))
     days = F.floor((F.unix_timestamp("close_at") - F.unix_timestamp(as_of)) / 86400)
     checks = {
-        "exclude_award_notice": T.any_of(kind, terms["award"]) | title.rlike(r"^(?:acan|pac)\b"),
+        "exclude_award_notice": T.any_of(kind, terms["award"]) | T.found_in(title, [r"^(?:acan|pac)\b"]),
         "exclude_supply_arrangement": F.lit(not config.include_supply) & some("supply") & ~against,
-        "exclude_staffing": ~direct & F.lit(not config.include_staffing) & title.rlike("|".join(config.staffing_patterns)),
+        "exclude_staffing": ~direct & F.lit(not config.include_staffing) & T.found_in(title, config.staffing_patterns),
         "exclude_negative_title": ~direct & some("negative") & ~allowed,
         "exclude_non_it_unspsc": ~direct & code_starts(F.col("unspsc"), T.NON_IT_PREFIXES),
         "exclude_goods_or_hardware": ~direct & (F.contains(F.upper(blank(F.col("procurement_category"))), F.lit("GD")) | some("hardware")),

@@ -92,3 +92,13 @@ def test_pages_that_share_a_url(spark, tmp_path):
     got = equals_sql(spark, tmp_path, "fetch_plan", "pages", pd.DataFrame({"page_id": list(urls), "url": list(urls.values()), "html": ""}))
     said = {r.page_id: (r.action, r.if_none_match) for r in got.itertuples()}
     assert len(got) == len(urls) and said[22] == ("reuse", "e1") and said[8] == ("download", "e1") and said[4] == ("download", None) and said[42] == ("download", None)
+
+
+@pytest.mark.parametrize("name", ["reject_report", "rule_cascade", "term_hits"])
+def test_words_beside_letters_outside_ascii(spark, tmp_path, name):
+    """The edge of a word is where letters of ASCII, digits and _ end: in titles and in bodies, for patterns and terms."""
+    beside = [f"{a}{{}}{b}" for x in ("ß", "æ", "œ", "ø", "и", "λ", "中", "٣", "_", "2", "-", "") for a, b in ((x, ""), ("", x), (x, x))]
+    titles, bodies = ["in", "der", "aux", "enes", "acan"], ["tion", "hation", "pour", "ederwh", "estou", "ndtion"]
+    texts = [f"{w.format(t)} x\nx" for w in beside for t in titles] + [f"x\nx {w.format(t)} x" for w in beside for t in bodies]
+    ids = range(1, 5 * len(texts), 5)
+    equals_sql(spark, tmp_path, name, "documents", pd.DataFrame({"doc_id": ids, "text": texts, "n_chars": [len(t) for t in texts]}))
